@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, linededup, packing, sharding, simhash, toxicity, warc
+from . import decontam, fingerprint, langid, linededup, lm, packing, sharding, simhash, toxicity, warc
 from .common import fold
 
 
@@ -47,6 +47,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.fit_and_score(docs)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.clean(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     kept = F.coalesce("__text", F.lit(""))
@@ -73,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_benchmark_decontamination, op4_shard_compaction, op5_simhash_near_dedup, op6_toxicity, op8_line_dedup, op9_warc_round_trip, op10_best_fit_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_benchmark_decontamination, op4_shard_compaction, op5_simhash_near_dedup, op6_toxicity, op7_lm_scoring, op8_line_dedup, op9_warc_round_trip, op10_best_fit_packing, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
