@@ -100,19 +100,13 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], prefix: str) ->
     )
     n_ranges = span["n"] // GROUP_ROWS + 2
     guests = keyed.join(F.broadcast(heads) if n_ranges <= 200_000 and width > 1 else heads, F.col("__key") == F.col("__head"), "left")
-    dealt = guests.withColumn(
-        "__at",
-        F.explode(
-            F.when(F.col("__to").isNull(), F.array(F.struct(F.col("__range").alias("range"), F.lit(False).alias("guest")))).otherwise(
-                F.array(F.struct(F.col("__range").alias("range"), F.lit(False).alias("guest")), F.struct(F.col("__to").alias("range"), F.lit(True).alias("guest")))
-            )
-        ),
-    )
-    window = Window.partitionBy("__at.range").orderBy(F.col("__at.guest"), F.desc("__key"), F.col("__tie"))
-    dealt = dealt.withColumn("__tie", F.xxhash64(*carried))
-    for c in carried:
-        dealt = dealt.withColumn(prefix + c, F.lead(c).over(window))
-    return dealt.where(~F.col("__at.guest")).drop("__key", "__range", "__head", "__to", "__wraps", "__at", "__tie")
+    own, guest = (F.struct(F.col(c).alias("range"), F.lit(g).alias("guest")) for c, g in (("__range", False), ("__to", True)))
+    dealt = guests.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, guest))))
+    dealt = dealt.select(*docs.columns, "__key", F.col("__at.range").alias("__range"), F.col("__at.guest").alias("__guest"), F.xxhash64(*carried).alias("__tie"))
+    # one lead for all that is carried: one sort, one shuffle
+    window = Window.partitionBy("__range").orderBy("__guest", F.desc("__key"), "__tie")
+    led = dealt.withColumn("__next", F.lead(F.struct(*carried)).over(window)).where(~F.col("__guest"))
+    return led.select(*docs.columns, *[F.col(f"__next.{c}").alias(prefix + c) for c in carried])
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
