@@ -92,8 +92,8 @@ def weighted_correlation(rows: DataFrame, keys: list[str], x: str, y: str, w: st
     """Pearson correlation with integer weights; 0 where it is undefined. The sums are taken about the means."""
     if not keys:
         return weighted_correlation(rows.withColumn("__all", F.lit(1)), ["__all"], x, y, w, name).drop("__all")
-    total = rows.groupBy(*keys).agg(F.sum(w).alias("W"), F.sum(F.col(w) * F.col(x)).alias("X"), F.sum(F.col(w) * F.col(y)).alias("Y"))
-    centred = rows.join(total, keys).select(*keys, w, (F.col(x) - F.col("X") / F.col("W")).alias("dx"), (F.col(y) - F.col("Y") / F.col("W")).alias("dy"))
+    total = rows.groupBy(*keys).agg(F.sum(w).alias("__w"), F.sum(F.col(w) * F.col(x)).alias("__x"), F.sum(F.col(w) * F.col(y)).alias("__y"))
+    centred = rows.join(total, keys).select(*keys, w, (F.col(x) - F.col("__x") / F.col("__w")).alias("dx"), (F.col(y) - F.col("__y") / F.col("__w")).alias("dy"))
     sums = centred.groupBy(*keys).agg(F.sum(F.col(w) * F.col("dx") * F.col("dy")).alias("xy"), F.sum(F.col(w) * F.col("dx") * F.col("dx")).alias("xx"), F.sum(F.col(w) * F.col("dy") * F.col("dy")).alias("yy"))
     return sums.select(*keys, F.coalesce(F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0)).alias(name))
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def group_counts(rows: DataFrame, group: str, y: str, classes: int, scanner: str | None = None) -> DataFrame:
@@ -34,7 +35,7 @@ def _numbered(groups: DataFrame, group: str, by: list[str], seed: int) -> DataFr
 def _assign(groups: DataFrame, group: str, by: list[str], table: pd.DataFrame, seed: int) -> DataFrame:
     """(group, fold) from a table (class columns, first, last, fold): the class's groups numbered first..last-1 go to the fold."""
     spark = groups.sparkSession
-    schema = groups.select(*by).schema.add("first", "long").add("last", "long").add("fold", "int")
+    schema = groups.select(*by).schema.add("first", T.LongType()).add("last", T.LongType()).add("fold", T.IntegerType())
     t = spark.createDataFrame([tuple(list(v) if isinstance(v, tuple | np.ndarray) else v for v in r) for r in table.itertuples(index=False)], schema)
     numbered = _numbered(groups, group, by, seed)
     return numbered.join(t, by).where((F.col("__i") >= F.col("first")) & (F.col("__i") < F.col("last"))).select(group, "fold")

@@ -367,22 +367,24 @@ def noise(vox: DataFrame, sd: float, seed: int = 0) -> DataFrame:
     return vox.withColumn("intensity", F.col("intensity") + sd * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2)))
 
 
+def _spread(mask: DataFrame, axis: str, radius: int) -> DataFrame:
+    """Each row at all places up to `radius` along an axis: two passes along the axes make a square."""
+    return mask.withColumn(axis, F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius)))
+
+
 def dilate(vox: DataFrame, labels: list[int], radius: int = 1) -> DataFrame:
     """Each disc's mask grown by a square of the radius within the image; where two reach, the lower label; other labels are overgrown."""
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
     m = vox.where(F.col("label").isin(labels)).select(*REGION, "y", "x")
-    m = m.select(*REGION, (F.col("y") + F.explode(offsets)).alias("y"), "x").distinct()
-    m = m.select(*REGION, "y", (F.col("x") + F.explode(offsets)).alias("x")).groupBy(*SLICE, "y", "x").agg(F.min("label").alias("__grown"))
+    m = _spread(_spread(m, "y", radius).distinct(), "x", radius).groupBy(*SLICE, "y", "x").agg(F.min("label").alias("__grown"))
     return vox.join(m, [*SLICE, "y", "x"], "left").withColumn("label", F.coalesce("__grown", "label")).drop("__grown")
 
 
 def erode(vox: DataFrame, labels: list[int], radius: int = 1) -> DataFrame:
     """Each disc's mask shrunk by a square of the radius; what is lost gets label 0."""
     side = 2 * radius + 1
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
     m = vox.where(F.col("label").isin(labels)).select(*REGION, "y", "x")
-    rows = m.select(*REGION, (F.col("y") + F.explode(offsets)).alias("y"), "x").groupBy(*REGION, "y", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == side)
-    kept = rows.select(*REGION, "y", (F.col("x") + F.explode(offsets)).alias("x")).groupBy(*REGION, "y", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == side).select(*REGION, "y", "x", F.lit(True).alias("__kept"))
+    rows = _spread(m, "y", radius).groupBy(*REGION, "y", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == side)
+    kept = _spread(rows.drop("n"), "x", radius).groupBy(*REGION, "y", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == side).select(*REGION, "y", "x", F.lit(True).alias("__kept"))
     joined = vox.join(kept, [*REGION, "y", "x"], "left")
     return joined.withColumn("label", F.when(F.col("label").isin(labels) & F.col("__kept").isNull(), 0).otherwise(F.col("label"))).drop("__kept")
 

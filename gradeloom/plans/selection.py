@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, harmonize, linear, selection
+from ..operators.lineage import settled
 from . import inputs
 from .inputs import FEATURES, PLANTED
 from .registry import query, r6
@@ -42,7 +43,7 @@ def f04_benjamini_hochberg(spark, sf_dir) -> DataFrame:
 
 
 def _tests(spark, sf_dir) -> DataFrame:
-    t = selection.spearman_with(inputs.planted(spark, sf_dir))
+    t = settled(selection.spearman_with(inputs.planted(spark, sf_dir)))
     return selection.benjamini_hochberg(t.withColumn("p", selection.p_value(F.col("rho"), F.col("n"))))
 
 
@@ -166,17 +167,17 @@ def w1_robust_selection(spark, sf_dir) -> DataFrame:
     long = inputs.features(spark, sf_dir)
     pos = F.substring_index("feature", "_", -1).cast("int")
     long = long.withColumn("value", F.when(pos < 8, F.col("value") + 0.05 * F.col("pfirrmann")).otherwise(F.col("value")))
-    clean = cleaning.drop_constant(cleaning.drop_incomplete(cleaning.align(long, len(inputs.CONDITIONS)))).persist()
+    clean = settled(cleaning.drop_constant(cleaning.drop_incomplete(cleaning.align(settled(long), len(inputs.CONDITIONS)))))
     gold = clean.where(F.col("condition") == "gold")
-    tests = selection.spearman_with(gold)
+    tests = settled(selection.spearman_with(gold))
     tests = selection.benjamini_hochberg(tests.withColumn("p", selection.p_value(F.col("rho"), F.col("n"))))
-    strong = selection.relevant(tests, selection.icc21(clean, 0.75))
-    kept = gold.join(strong, "feature", "left_semi")
-    audit = selection.deduplicate(selection.pairwise_spearman(kept), strong, 0.95).where("kept")
+    strong = settled(selection.relevant(tests, selection.icc21(clean, 0.75)))
+    kept = settled(gold.join(strong, "feature", "left_semi"))
+    audit = selection.deduplicate(settled(selection.pairwise_spearman(kept)), strong, 0.95).where("kept")
     names = sorted(r["feature"] for r in audit.select("feature").collect())
     if not names:
         return spark.createDataFrame([], "feature string, pi double, mean_abs_beta double, score double, stable boolean, rank int")
     v = cleaning.patient_weights(harmonize.feature_vectors(kept.where(F.col("feature").isin(names)), ["case_id", "segment", "pfirrmann"]), "case_id")
-    vectors = v.select("case_id", "segment", (F.col("case_id").cast("long") % 5).cast("int").alias("fold"), "x", F.col("pfirrmann").cast("double").alias("y"), F.col("weight").alias("w"))
+    vectors = settled(v.select("case_id", "segment", (F.col("case_id").cast("long") % 5).cast("int").alias("fold"), "x", F.col("pfirrmann").cast("double").alias("y"), F.col("weight").alias("w")))
     alpha = linear.choose_lambda(vectors, "fold", "segment", len(names), n=40, one_se=False).where("selected").first()["alpha"]
     return linear.stability(vectors, "case_id", "segment", names, alpha)
