@@ -20,8 +20,10 @@ from .common import new_dir, saved
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 1000
-#: Bytes of payload in one file, about; a reader task holds a file at a time.
+#: Bytes in one file, about; a reader task holds a file at a time.
 FILE_BYTES = 8 << 20
+#: Repeated payloads whose digests (some 60 bytes each) may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 VERSION = b"WARC/1.1\r\n"
 
@@ -42,7 +44,8 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1("html"))
     # Only payloads that occur again are looked up; counting them combines a hot payload before the shuffle.
     again = rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = again.select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first")
+    again = saved(again.select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first"), "again")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     rows = rows.join(again, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), "html"))
@@ -70,10 +73,9 @@ def write(pages: DataFrame, path: str, *, file_bytes: int = FILE_BYTES, **column
     """Write the archives as Spark part files under `path`; a failed task's file never appears."""
     made = records(pages, **columns)
     sized = pages.agg(F.sum(F.octet_length(columns.get("html_col", "html"))).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    files = max(1, ((sized["bytes"] or 0) + 700 * sized["n"]) // file_bytes + 1)
-    # dealt by content: equal sizes everywhere, and a rerun deals the same way
-    dealt = made.repartition(int(files), F.xxhash64("record"))
-    dealt.select("record").write.option("lineSep", "\r\n\r\n").text(path)
+    each = (sized["bytes"] or 0) // max(1, sized["n"]) + 700
+    # files are cut by records where the rows lie: the payloads are not shuffled for it
+    made.select("record").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, file_bytes // each)).text(path)
 
 
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n")
