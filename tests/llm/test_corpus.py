@@ -294,8 +294,8 @@ def test_toxicity_edges(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(3, 1), (4, 1)], "doc_id long, toxic int"))
     assert model.trees is None and model.base == 1.0
     rng = random.Random(1)
-    words = lambda n: " ".join(rng.choice(["good", "fine", "calm", "tree"]) for _ in range(n))
-    texts = [f"{words(10)} {'you awful' if i % 3 == 0 else words(2)} {words(10)}" for i in range(240)]
+    words = lambda n: " ".join(rng.choice("good fine calm tree leaf root bark wood path hill rain snow wind moon star lake".split()) for _ in range(n))
+    texts = [f"{words(10)} {'awful' if i % 3 == 0 else words(2)} {words(10)}" for i in range(240)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(1, None), (2, 5)], "doc_id long, toxic int")
     model = toxicity.fit(frame(spark, texts), labels, trees=5)
     assert "awful" in model.lexicon
