@@ -1,4 +1,8 @@
-"""Ordinal grades from cumulative probabilities P(y > k), and back."""
+"""Ordinal grades from cumulative probabilities P(y > k), and back.
+
+Probabilities are an array column, or a list of columns where the number of classes is known: a list becomes plain arithmetic, which
+Spark compiles, while functions over arrays are interpreted element by element.
+"""
 
 from __future__ import annotations
 
@@ -25,24 +29,35 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def cumulative(s: Column, thresholds: list[float], slope: float = 1.0) -> Column:
+def bounds(s: Column, thresholds: list[float], slope: float = 1.0) -> list[Column]:
     """P(y > k) for each cut point."""
-    return F.transform(F.lit([float(t) for t in thresholds]), lambda t: sigmoid(F.lit(float(slope)) * (s - t)))
+    return [sigmoid(F.lit(float(slope)) * (s - F.lit(float(t)))) for t in thresholds]
+
+
+def cumulative(s: Column, thresholds: list[float], slope: float = 1.0) -> Column:
+    return F.array(*bounds(s, thresholds, slope))
 
 
-def expected(p_gt: Column) -> Column:
+def expected(p_gt: Column | list[Column]) -> Column:
+    if isinstance(p_gt, list):
+        return sum(p_gt, F.lit(1.0))
     return F.aggregate(p_gt, F.lit(1.0), lambda a, p: a + p)
 
 
-def class_probabilities(p_gt: Column) -> Column:
+def class_probabilities(p_gt: Column | list[Column]) -> Column:
     """[1 - p_1, p_1 - p_2, ..., p_{K-1}]"""
+    if isinstance(p_gt, list):
+        return F.array(*[a - b for a, b in zip([F.lit(1.0), *p_gt], [*p_gt, F.lit(0.0)], strict=True)])
     upper = F.concat(F.array(F.lit(1.0)), p_gt)
     lower = F.concat(p_gt, F.array(F.lit(0.0)))
     return F.zip_with(upper, lower, lambda a, b: a - b)
 
 
-def decode(p_gt: Column, threshold: float | Column = 0.5) -> Column:
+def decode(p_gt: Column | list[Column], threshold: float | Column = 0.5) -> Column:
     """1 + the number of probabilities strictly over their threshold: a number, or an array with one for each bound."""
+    if isinstance(p_gt, list):
+        limit = [threshold[k] for k in range(len(p_gt))] if isinstance(threshold, Column) else [F.lit(float(threshold))] * len(p_gt)
+        return sum(((p > t).cast("int") for p, t in zip(p_gt, limit, strict=True)), F.lit(1))
     if isinstance(threshold, Column):
         return F.aggregate(F.zip_with(p_gt, threshold, lambda p, t: (p > t).cast("int")), F.lit(1), lambda a, x: a + x)
     return F.aggregate(p_gt, F.lit(1), lambda a, p: a + (p > F.lit(float(threshold))).cast("int"))

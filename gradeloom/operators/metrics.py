@@ -38,41 +38,46 @@ def normalized(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.withColumn("share", F.coalesce(F.try_divide(F.col("n"), total), F.lit(0.0)))
 
 
-def count_metrics(table: DataFrame, keys: list[str], classes: int) -> DataFrame:
-    """MAE, accuracies, F1 scores and quadratic kappa of each confusion table.
+def _marginals(rows: DataFrame, keys: list[str], classes: int, n=None) -> DataFrame:
+    """One row per group: counts by true class (t), predicted class (p) and both (d), and sums over distances. A single aggregation, combined before its shuffle."""
+    w = F.lit(1) if n is None else n
+    t, p = F.col("y_true"), F.col("y_pred")
+    gap = F.abs(t - p)
+    count = lambda where: F.sum(F.when(where, w).otherwise(0)).cast("double")
+    by_class = [count(c == k).alias(f"{name}{k}") for name, c in (("t", t), ("p", p)) for k in range(1, classes + 1)] + [count((t == k) & (p == k)).alias(f"d{k}") for k in range(1, classes + 1)]
+    return rows.where(t.between(1, classes) & p.between(1, classes)).groupBy(*keys).agg(*by_class, F.sum(w).alias("n"), F.sum(w * gap).alias("gap"), count(gap <= 1).alias("near"), F.sum(w * gap * gap).alias("seen"))
+
+
+def _of_marginals(table: DataFrame, keys: list[str], classes: int) -> DataFrame:
+    """MAE, accuracies, F1 scores and quadratic kappa.
 
     A class that is absent from truth counts as recall 0, and one absent from both as F1 0. Kappa is 0 if truth or prediction has one class.
     """
-    by_true, by_pred = Window.partitionBy(*keys, "y_true"), Window.partitionBy(*keys, "y_pred")
-    cells = table.select(*keys, "y_true", "y_pred", F.col("n").cast("double").alias("n"), F.sum("n").over(by_true).cast("double").alias("t"), F.sum("n").over(by_pred).cast("double").alias("p"))
-    same, gap = F.col("y_true") == F.col("y_pred"), F.abs(F.col("y_true") - F.col("y_pred"))
-    diagonal = cells.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * gap).alias("distance"),
-        F.sum(F.when(same, F.col("n"))).alias("hit"),
-        F.sum(F.when(gap <= 1, F.col("n"))).alias("near"),
-        F.sum(F.when(same & (F.col("t") > 0), F.col("n") / F.col("t"))).alias("recall"),
-        F.sum(F.when(same & (F.col("t") + F.col("p") > 0), 2 * F.col("n") / (F.col("t") + F.col("p")))).alias("f1"),
-        F.sum(F.when(same & (F.col("t") + F.col("p") > 0), 2 * F.col("n") * F.col("t") / (F.col("t") + F.col("p")))).alias("f1_weighted"),
-        F.sum(F.col("n") * gap * gap).alias("seen"),
-        F.sum(F.col("t") * F.col("p") * gap * gap).alias("chance"),
-        F.count_if(same & (F.col("t") > 0)).alias("true_classes"),
-        F.count_if(same & (F.col("p") > 0)).alias("pred_classes"),
-    )
-    kappa = F.when((F.col("true_classes") < 2) | (F.col("pred_classes") < 2), 0.0).otherwise(1 - F.try_divide(F.col("seen") * F.col("n"), F.col("chance")))
-    return diagonal.select(
+    ks, c = range(1, classes + 1), F.col
+    total = lambda terms: sum(terms, F.lit(0.0))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    f1 = {i: share(2 * c(f"d{i}"), c(f"t{i}") + c(f"p{i}")) for i in ks}
+    chance = total(c(f"t{i}") * c(f"p{j}") * (i - j) ** 2 for i in ks for j in ks if i != j)
+    several = lambda side: total((c(f"{side}{i}") > 0).cast("int") for i in ks) > 1
+    kappa = F.when(several("t") & several("p"), 1 - F.try_divide(c("seen") * c("n"), chance)).otherwise(0.0)
+    return table.where(c("n") > 0).select(
         *keys,
-        F.col("n").cast("long").alias("n"),
-        (F.col("distance") / F.col("n")).alias("mae"),
-        (F.col("hit") / F.col("n")).alias("acc"),
-        (F.col("near") / F.col("n")).alias("acc_pm1"),
-        (F.coalesce("recall", F.lit(0.0)) / classes).alias("bacc"),
-        (F.coalesce("f1", F.lit(0.0)) / classes).alias("macro_f1"),
-        (F.coalesce("f1_weighted", F.lit(0.0)) / F.col("n")).alias("weighted_f1"),
+        c("n").cast("long").alias("n"),
+        (c("gap") / c("n")).alias("mae"),
+        (total(c(f"d{i}") for i in ks) / c("n")).alias("acc"),
+        (c("near") / c("n")).alias("acc_pm1"),
+        (total(share(c(f"d{i}"), c(f"t{i}")) for i in ks) / classes).alias("bacc"),
+        (total(f1.values()) / classes).alias("macro_f1"),
+        (total(f1[i] * c(f"t{i}") for i in ks) / c("n")).alias("weighted_f1"),
         F.coalesce(kappa, F.lit(0.0)).alias("kappa_quadratic"),
     )
 
 
+def count_metrics(rows: DataFrame, keys: list[str], classes: int, n: str | None = None) -> DataFrame:
+    """The metrics that follow from the confusion table of each group; `n` may name a column of counts."""
+    return _of_marginals(_marginals(rows, keys, classes, F.col(n) if n else None), keys, classes)
+
+
 def average_rank(rows: DataFrame, keys: list[str], value: str, count: str = "n") -> DataFrame:
     """(keys, value, rank) for distinct values with their counts: ties share the mean of their places."""
     before = F.sum(count).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
@@ -110,7 +115,7 @@ def ordinal_metrics(rows: DataFrame, keys: list[str], classes: int) -> DataFrame
     """The nine metrics and n for each group; without keys, for all rows."""
     if not keys:
         return ordinal_metrics(rows.withColumn("__all", F.lit(1)), ["__all"], classes).drop("__all")
-    counted = count_metrics(confusion(rows, keys, classes), keys, classes)
+    counted = count_metrics(rows, keys, classes)
     ranked, ccc = spearman(rows, keys), lin_ccc(rows, keys)
     return counted.join(ranked, keys).join(ccc, keys)
 
@@ -121,8 +126,7 @@ def metrics_by_sets(rows: DataFrame, sets: list[list[str]], classes: int) -> Dat
     seen = rows.where(F.col("y_true").between(1, classes) & F.col("y_pred").between(1, classes)).groupBy(*every, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
     out = None
     for s in sets:
-        cells = seen.groupBy(*s, "y_true", "y_pred").agg(F.sum("n").alias("n"))
-        part = count_metrics(_filled(cells, s, classes), s, classes).select(*[(F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in every], F.lit("+".join(s) or "all").alias("grouping"), "n", *COUNT_METRICS)
+        part = count_metrics(seen, s, classes, "n").select(*[(F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in every], F.lit("+".join(s) or "all").alias("grouping"), "n", *COUNT_METRICS)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -23,8 +23,8 @@ def predictions(spark, sf_dir) -> DataFrame:
     rows = o.select(
         F.col("o_orderkey").alias("orig_index"), F.col("o_custkey").alias("patient_id"), (F.col("o_orderkey") % 3).cast("int").alias("task"), (F.col("o_custkey") % 5).cast("int").alias("fold"), y.alias("y_true"), (y - 3 + 2 * noise * 1.8).alias("s")
     )
-    rows = rows.withColumn("p_gt", coral.cumulative(F.col("s"), THETA))
-    return rows.withColumns({"y_cont": coral.expected(F.col("p_gt")), "y_pred": coral.decode(F.col("p_gt")), "p_cls": coral.class_probabilities(F.col("p_gt"))})
+    p = coral.bounds(F.col("s"), THETA)
+    return rows.withColumns({"p_gt": F.array(*p), "y_cont": coral.expected(p), "y_pred": coral.decode(p), "p_cls": coral.class_probabilities(p)})
 
 
 _P = ", ".join(f"1.0/(1.0+exp(-(s - ({t})))) AS p{k}" for k, t in enumerate(THETA, 1))
