@@ -138,10 +138,13 @@ def j07_merge_features(spark, sf_dir) -> DataFrame:
     return joins.merge_features(a, b)
 
 
-@query(f"SELECT l_orderkey, {r6('arg_min(l_quantity, l_partkey * 100000 + l_suppkey) FILTER (l_discount > 0.02)', 'q')}, {r6('arg_min(l_tax, l_partkey * 100000 + l_suppkey) FILTER (l_tax > 0)', 't')} FROM lineitem GROUP BY l_orderkey")
+_ROW = "(l_partkey * 100000 + l_suppkey) * 100000 + l_linenumber * 10000 + CAST(l_quantity AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT)"
+
+
+@query(f"SELECT l_orderkey, {r6(f'arg_min(l_quantity, {_ROW}) FILTER (l_discount > 0.02)', 'q')}, {r6(f'arg_min(l_tax, {_ROW}) FILTER (l_tax > 0)', 't')} FROM lineitem GROUP BY l_orderkey")
 def c01_first_values(spark, sf_dir) -> DataFrame:
     li = inputs.table(spark, sf_dir, "lineitem")
-    rows = li.select("l_orderkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("row"), F.when(F.col("l_discount") > 0.02, F.col("l_quantity")).alias("q"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("t"))
+    rows = li.select("l_orderkey", F.expr(_ROW).alias("row"), F.when(F.col("l_discount") > 0.02, F.col("l_quantity")).alias("q"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("t"))
     return cleaning.first_values(rows, ["l_orderkey"], "row", ["q", "t"])
 
 
