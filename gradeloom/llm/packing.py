@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences into fixed-size training sequences.
 
-Documents are tokenized and cut; short pieces are dealt to packers, longest first. A packer keeps a fixed number of open
+Documents are tokenized and cut; short pieces are dealt to packers, longest first. A packer keeps a bounded number of open
 bins, found through a bitset keyed by free space: a piece goes to the fullest bin that still holds it, and when a bin must
-close to make room, it is the fullest.
+close to make room, it is the fullest. Every piece over half a sequence opens a bin before the short ones come, so the bound
+is over the pieces of a packer, and no bin closes that a later piece could fill.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from tokenizers import Tokenizer
 from .common import rows_in, saved
 
 LENGTH = 2048
-OPEN_BINS = 4096
+OPEN_BINS = 131_072
 #: Pieces that one packer gets, about.
 PACKER_ROWS = 100_000
 CACHE = 400_000

@@ -502,3 +502,14 @@ def test_pipeline_stages(spark, sf_dir):
         now = after
     packed = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in now.collect()}
+
+
+def test_packing_fill_of_a_full_packer():
+    """100,000 pieces, three in ten over half a sequence: no bin closes before the short pieces that fill it."""
+    rng = np.random.default_rng(3)
+    sizes = np.clip(rng.lognormal(6.4, 1.1, packing.PACKER_ROWS).astype(int), 1, packing.LENGTH - 1)
+    assert (sizes > packing.LENGTH // 2).sum() > 20_000
+    bins = packing.OpenBins(packing.LENGTH, packing.OPEN_BINS)
+    for n in sorted(sizes.tolist(), reverse=True):
+        bins.put(n)
+    assert bins.made <= 1.01 * max(-(-int(sizes.sum()) // packing.LENGTH), int((sizes > packing.LENGTH // 2).sum()))
