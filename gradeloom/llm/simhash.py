@@ -161,14 +161,38 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """`docs` with one row of each component, that with the least id; of rows that share this id, one."""
-    found = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, shingle=shingle)
-    gone = saved(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    repeated = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
-    if repeated.isEmpty():
+    """`docs` with one row of each component, that with the least id (null last); of rows that share its id and text, one.
+
+    Texts are the nodes: they are linked where their fingerprints are within two bits. A row goes by its id and text, so null ids and ids of several texts lose no component.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+
+    def hashed(frames):
+        for frame in rows_in(frames, size=2_000_000):
+            yield pd.DataFrame({"id": frame["id"], "node": frame["node"], "fp": simhash_texts(frame["text"], shingle).view(np.int64)})
+
+    rows = source.withColumn("id", F.col("id").cast("string")).mapInPandas(hashed, "id string, node long, fp long")
+    rows = saved(rows.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)), "fingerprints")
+    nodes = saved(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("id")), "nodes")
+    leads = saved(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    edges = nodes.join(leads, "fp").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    of = lambda side: leads.select(F.col("fp").alias(side), F.col("lead").alias(f"lead_{side}"))
+    edges = edges.union(links(leads.select("fp")).join(of("a"), "a").join(of("b"), "b").select("lead_a", "lead_b"))
+    roots = components(edges).withColumnRenamed("node", "__node")
+    # a text that is linked to none keeps its own least id
+    known = rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")).join(roots, F.col("node") == F.col("__node"), "left")
+    known = saved(known.select("id", "node", "n", F.coalesce("root", "node").alias("root")), "known")
+    order = F.struct(F.col("id").isNull(), "id", "node")
+    first = known.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.node").alias("__node"))
+    first = saved(first, "first")
+    same = lambda left, right: left["id"].eqNullSafe(right["__id"]) & (left["node"] == right["__node"])
+    gone = saved(known.join(first, same(known, first), "left_anti").select(F.col("id").alias("__id"), F.col("node").alias("__node")), "gone")
+    again = known.where("n > 1").join(first, same(known, first), "left_semi").select(F.col("id").alias("__id"), F.col("node").alias("__node"))
+    again = saved(again, "again")
+    here = lambda right: docs[id_col].eqNullSafe(right["__id"]) & (F.xxhash64(docs[text_col]) == right["__node"])
+    kept = docs.join(gone, here(gone), "left_anti")
+    if again.isEmpty():
         return kept
-    again = kept.join(repeated, kept[id_col].eqNullSafe(repeated["__again"]), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns])
-    first = again.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return kept.join(repeated, kept[id_col].eqNullSafe(repeated["__again"]), "left_anti").unionByName(first)
+    turn = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns])
+    one = docs.join(again, here(again), "left_semi").withColumn("__n", F.row_number().over(turn)).where("__n = 1").drop("__n")
+    return kept.join(again, here(again), "left_anti").unionByName(one)

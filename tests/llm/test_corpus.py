@@ -513,3 +513,13 @@ def test_packing_fill_of_a_full_packer():
     for n in sorted(sizes.tolist(), reverse=True):
         bins.put(n)
     assert bins.made <= 1.01 * max(-(-int(sizes.sum()) // packing.LENGTH), int((sizes > packing.LENGTH // 2).sum()))
+
+
+def test_keep_first_goes_by_id_and_text(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(4))
+    kept = lambda texts, ids: sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_first(frame(spark, texts, ids=ids)).collect())
+    # null ids of unrelated texts stay; one of them has a copy with an id
+    assert kept([a, b, c, c], [None, None, None, 7]) == sorted([("None", a), ("None", b), ("7", c)])
+    # id 5 stands for two texts; one of them is a copy of id 1's
+    assert kept([a, a, b, d, b], [1, 5, 5, 6, 9]) == sorted([("1", a), ("5", b), ("6", d)])
