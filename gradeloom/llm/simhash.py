@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import resemblance
 from .common import rows_in, saved
 
 SHINGLE = 3
@@ -160,10 +161,11 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
     """`docs` with one row of each component, that with the least id (null last); of rows that share its id and text, one.
 
-    Texts are the nodes: they are linked where their fingerprints are within two bits. A row goes by its id and text, so null ids and ids of several texts lose no component.
+    Texts are the nodes: they are linked where their fingerprints are within two bits, and with `least` also where their
+    five-word resemblance is `least` or more. A row goes by its id and text, so null ids and ids of several texts lose no component.
     """
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
 
@@ -178,6 +180,8 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     edges = nodes.join(leads, "fp").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     of = lambda side: leads.select(F.col("fp").alias(side), F.col("lead").alias(f"lead_{side}"))
     edges = edges.union(links(leads.select("fp")).join(of("a"), "a").join(of("b"), "b").select("lead_a", "lead_b"))
+    if least is not None:
+        edges = edges.union(resemblance.pairs(source, nodes.select("id", "node"), least=least))
     roots = components(edges).withColumnRenamed("node", "__node")
     # a text that is linked to none keeps its own least id
     known = rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")).join(roots, F.col("node") == F.col("__node"), "left")

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontam, fingerprint, langid, linededup, lm, packing, sharding, simhash, toxicity, warc
+from gradeloom.llm import decontam, fingerprint, langid, linededup, lm, packing, resemblance, sharding, simhash, toxicity, warc
 from gradeloom.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score double, found int, key string"
@@ -523,3 +523,29 @@ def test_keep_first_goes_by_id_and_text(spark):
     assert kept([a, b, c, c], [None, None, None, 7]) == sorted([("None", a), ("None", b), ("7", c)])
     # id 5 stands for two texts; one of them is a copy of id 1's
     assert kept([a, a, b, d, b], [1, 5, 5, 6, 9]) == sorted([("1", a), ("5", b), ("6", d)])
+
+
+def _resemblance(x, y):
+    a, b = _shingles(x), _shingles(y)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_near_dedup_stage_catches_resemblance(spark, monkeypatch, crowd):
+    """Copies with a run of words changed: those at 0.8 or more go, those below stay, however many bits they differ in."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(resemblance, "CROWD", crowd)
+    rng = random.Random(9)
+    texts = []
+    for k in range(40):
+        words = [f"w{rng.randrange(90000)}" for _ in range(120)]
+        near = list(words)
+        n = 5 if k % 2 else 30
+        near[40 : 40 + n] = [f"x{rng.randrange(90000)}" for _ in range(n)]
+        texts += [" ".join(words), " ".join(near)]
+    at = [_resemblance(texts[i], texts[i + 1]) for i in range(0, 80, 2)]
+    assert min(at[1::2]) >= 0.8 > max(at[::2])
+    assert sum((_simhash(texts[i]) ^ _simhash(texts[i + 1])).bit_count() > 2 for i in range(2, 80, 4)) > 10
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), "").collect()}
+    assert kept == {i for i in range(80) if i % 4 != 3}
