@@ -2,8 +2,8 @@
 
 A text is a sequence of words (lower-cased A-Z, ASCII blanks between) and one end. Words are cut into subwords by a public
 byte-level vocabulary. The model gives each next subword's unit (a frequent subword, or a group of rarer ones) from a bigram
-table and one layer of causal self-attention, and a subword within its group by bigram counts. All counts cover all
-training texts; the attention weights are trained in place on a fixed share of the texts of every partition and averaged.
+table and one layer of causal self-attention, and a subword within its group by bigram counts. All counts cover all adjacent
+subwords of all training texts; the attention weights are trained in place on a fixed share of the texts of every partition and averaged.
 Windows overlap, and each subword is scored in one window only. Beside it, an add-one unigram base over words.
 """
 
@@ -308,11 +308,11 @@ def _units(counts: np.ndarray, own: int, grouped: int) -> np.ndarray:
     return of
 
 
-def learn_units(counts: DataFrame, texts: int, path: str) -> Units:
+def learn_units(counts: DataFrame, texts: int, path: str, rows: DataFrame | None = None) -> Units:
     """Units and bigram tables from the counts of all words and the number of texts.
 
-    Pairs of subwords inside words are counted exactly. Across words, and around a text's end, the last subword of a word and the
-    first of the next are taken as independent. What comes to the driver is a row per subword, and one per input unit and frequent
+    With `rows`, the texts themselves, all adjacent pairs are counted, across words and around a text's end too. From word counts
+    alone, the last subword of a word and the first of the next are taken as independent. What comes to the driver is a row per subword, and one per input unit and frequent
     subword at most, whatever the input.
     """
     spark = counts.sparkSession
@@ -351,15 +351,32 @@ def learn_units(counts: DataFrame, texts: int, path: str) -> Units:
             to = np.where(column[b] >= 0, column[b], PAIRED + of[b])
             yield pd.DataFrame({"u": enter[frame["a"].to_numpy()] * (PAIRED + n_out) + to, "n": frame["n"]}).groupby("u", as_index=False)["n"].sum()
 
-    inner = both.where((F.col("a") != END) & (F.col("b") != END)).mapInPandas(unite, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).toArrow()
+    def adjacent(frames):
+        enter, of, column = place.value
+        to, cutter = np.where(column >= 0, column, PAIRED + of), Subwords(path)
+        held = np.zeros(n_in * (PAIRED + n_out), np.int64)
+        for frame in rows_in(frames, size=2_000_000):
+            ids, sizes = cutter.texts([words_of(t) for t in frame["text"]])
+            before = np.concatenate(([END], ids[:-1]))  # a text closes with END, so each begins behind one
+            held += np.bincount(enter[before] * (PAIRED + n_out) + to[ids], minlength=len(held))
+        u = np.flatnonzero(held)
+        for i in range(0, len(u), 500_000):
+            yield pd.DataFrame({"u": u[i : i + 500_000], "n": held[u[i : i + 500_000]]})
+
+    if rows is not None:
+        cells = rows.select("text").mapInPandas(adjacent, "u long, n long")
+    else:
+        cells = both.where((F.col("a") != END) & (F.col("b") != END)).mapInPandas(unite, "u long, n long")
+    inner = cells.groupBy("u").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(n_in * (PAIRED + n_out))
     table[inner["u"].to_numpy()] = inner["n"].to_numpy()
     table = table.reshape(n_in, PAIRED + n_out)
     to = np.where(column >= 0, column, PAIRED + of)
-    starts = first.copy()
-    starts[END] += texts  # behind a word: another's first subword, or the end
-    table += np.outer(np.bincount(enter, weights=last, minlength=n_in), np.bincount(to, weights=starts, minlength=PAIRED + n_out) / max(starts.sum(), 1))
-    table[enter[END]] += np.bincount(to, weights=first, minlength=PAIRED + n_out)
+    if rows is None:
+        starts = first.copy()
+        starts[END] += texts  # behind a word: another's first subword, or the end
+        table += np.outer(np.bincount(enter, weights=last, minlength=n_in), np.bincount(to, weights=starts, minlength=PAIRED + n_out) / max(starts.sum(), 1))
+        table[enter[END]] += np.bincount(to, weights=first, minlength=PAIRED + n_out)
     unit_of = np.concatenate((of[np.argsort(np.where(column >= 0, column, VOCABULARY), kind="stable")[:PAIRED]], np.arange(n_out)))
     in_unit = np.bincount(of, weights=single + 0.5, minlength=n_out)
     within = np.log((single + 0.5) / in_unit[of])
@@ -444,7 +461,7 @@ def fit_and_score(
     counts = saved(word_counts(learned), "words")
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = (sums["n"] or 0) + n_texts, sums["v"] + (1 if n_texts else 0)
-    units = learn_units(counts, n_texts, path)
+    units = learn_units(counts, n_texts, path, learned)
     net = train(learned, units, path)
     known = most_frequent(counts, frequent)
     shared = spark.sparkContext.broadcast((net, units, known, math.log10(n_texts + 1), n_texts > 0))

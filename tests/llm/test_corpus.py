@@ -549,3 +549,13 @@ def test_near_dedup_stage_catches_resemblance(spark, monkeypatch, crowd):
     assert sum((_simhash(texts[i]) ^ _simhash(texts[i + 1])).bit_count() > 2 for i in range(2, 80, 4)) > 10
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), "").collect()}
     assert kept == {i for i in range(80) if i % 4 != 3}
+
+
+def test_lm_counts_pairs_across_words(spark):
+    """Every text alternates two words: what follows each is certain, though both are as frequent."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = frame(spark, ["cat dog " * 50] * 4)
+    units = lm.learn_units(lm.word_counts(rows), 4, path, rows)
+    (cat,), (dog,) = (lm.coder(path).encode_ordinary(w) for w in (" cat", " dog"))
+    p = np.exp(units.bigram)
+    assert p[units.enter[cat], units.of[dog]] > 0.9 and p[units.enter[cat], units.of[cat]] < 0.05
