@@ -3,7 +3,7 @@
 A text is a sequence of words (lower-cased A-Z, ASCII blanks between) and one end. Words are cut into subwords by a public
 byte-level vocabulary. The model gives each next subword's unit (a frequent subword, or a group of rarer ones) from a bigram
 table and one layer of causal self-attention, and a subword within its group by bigram counts. All counts cover all adjacent
-subwords of all training texts; the attention weights are trained in place on a fixed share of the texts of every partition and averaged.
+subwords of all training texts; the attention weights are trained in place on all texts of every partition and averaged.
 Windows overlap, and each subword is scored in one window only. Beside it, an add-one unigram base over words.
 """
 
@@ -39,7 +39,7 @@ WIDTH, HIDDEN = 24, 32
 #: Inputs of a window and how many of them, the last, are scored in it.
 CONTEXT, STRIDE = 48, 40
 #: One text in so many trains the attention weights; each of ROUNDS rounds takes its part of these texts.
-TRAIN_SHARE, ROUNDS = 24, 2
+TRAIN_SHARE, ROUNDS = 1, 2
 #: Words whose counts go to every task, the most frequent ones; the other words' counts are joined.
 FREQUENT = 300_000
 CACHE = 500_000

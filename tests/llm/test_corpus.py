@@ -559,3 +559,14 @@ def test_lm_counts_pairs_across_words(spark):
     (cat,), (dog,) = (lm.coder(path).encode_ordinary(w) for w in (" cat", " dog"))
     p = np.exp(units.bigram)
     assert p[units.enter[cat], units.of[dog]] > 0.9 and p[units.enter[cat], units.of[cat]] < 0.05
+
+
+def test_lm_trains_on_every_text(spark):
+    """The rounds' parts are all texts, each in one."""
+    rows = frame(spark, [f"t{i} u{i} v{i}" for i in range(40)])
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    units = lm.learn_units(lm.word_counts(rows), 40, path, rows)
+    share = lm.TRAIN_SHARE * lm.ROUNDS
+    parts = [rows.where(F.pmod(F.xxhash64("id", "text", F.lit(31)), F.lit(share)) == r).count() for r in range(lm.ROUNDS)]
+    assert sum(parts) == 40
+    assert any(lm.train(rows, units, path).weights["head"].ravel())
