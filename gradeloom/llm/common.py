@@ -6,6 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +56,12 @@ def bounded_sample(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
     total = rows.count()
     if total <= limit:
         return rows
-    keep = int(limit / total * 1_000_000)
-    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < keep)
+    return rows.where(F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(17)), 1) < F.lit(sample_bound(total, limit)))
+
+
+def sample_bound(total: int, limit: int) -> int:
+    """The 63-bit hashes under it are `limit` of `total` rows, about."""
+    return (limit << 63) // max(1, total) if total > limit else 1 << 63
 
 
 def groups(texts: Sequence[str | None], limit: int = 2_000_000) -> Iterator[tuple[list[int], list[str]]]:
@@ -96,3 +103,46 @@ def rows_in(batches: Iterable, rows: int = 1000, size: int = 16_000_000, text: s
             held += n
         if start < len(frame):
             yield frame.iloc[start:]
+
+
+#: Rows that hold a part's share of a sum of vectors, block by block.
+BLOCKS = "vector int, block int, part long, kind string, at binary, x binary"
+BLOCK = 1 << 15
+
+
+def blocks(vector: int, x: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The rows of BLOCKS for a task's share `x` of a vector: blocks of zeros are left out, thin ones list what they hold."""
+    out, part = [], TaskContext.get().partitionId()
+    for i in range(0, len(x), BLOCK):
+        piece = x[i : i + BLOCK]
+        full = np.flatnonzero(piece)
+        if len(full):
+            thin = 2 * len(full) < len(piece)
+            out.append((vector, i // BLOCK, part, piece.dtype.str, full.astype("<u4").tobytes() if thin else b"", (piece[full] if thin else piece).tobytes()))
+    if out:
+        yield pd.DataFrame(out, columns=["vector", "block", "part", "kind", "at", "x"])
+
+
+def _add_blocks(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(BLOCK)
+    for kind, at, x in zip(frame["kind"], frame["at"], frame["x"], strict=True):
+        x = np.frombuffer(x, kind)
+        if len(at):
+            total[np.frombuffer(at, "<u4")] += x
+        else:
+            total[: len(x)] += x
+    first = frame.iloc[:1]
+    return first.assign(kind=total.dtype.str, at=[b""], x=[total.tobytes()])
+
+
+def tree_sum(rows: DataFrame, sizes: Sequence[int], fan: int = 64) -> list[np.ndarray]:
+    """Sums, of the given sizes, of the vectors whose shares `rows` (BLOCKS) hold.
+
+    Blocks are added by groups of `fan` partitions and then the groups' sums, so no task holds a block of every partition.
+    The driver gets the sums alone.
+    """
+    near = rows.groupBy("vector", "block", F.floor(F.col("part") / fan)).applyInPandas(_add_blocks, BLOCKS)
+    out = [np.zeros(-(-n // BLOCK) * BLOCK) for n in sizes]
+    for row in near.groupBy("vector", "block").applyInPandas(_add_blocks, BLOCKS).select("vector", "block", "x").toLocalIterator():
+        out[row["vector"]][row["block"] * BLOCK :][:BLOCK] = np.frombuffer(row["x"])
+    return [x[:n] for x, n in zip(out, sizes, strict=True)]

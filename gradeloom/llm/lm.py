@@ -1,21 +1,23 @@
-"""Language-model scores of whole texts: a causal self-attention model over subword ids, in numpy.
+"""Language-model scores of whole texts: a causal self-attention model over subword ids, trained in numpy.
 
 A text is a sequence of words (lower-cased A-Z, ASCII blanks between) and one end. Words are cut into subwords by a public
-byte-level vocabulary. The model gives each next subword's unit (a frequent subword, or a group of rarer ones) from a bigram
-table and one layer of causal self-attention, and a subword within its group by bigram counts. All counts cover all adjacent
-subwords of all training texts; the attention weights are trained in place on all texts of every partition and averaged.
-Windows overlap, and each subword is scored in one window only. Beside it, an add-one unigram base over words.
+byte-level vocabulary. The model gives each next subword's unit (a frequent subword, or a group of rarer ones) from bigram counts
+and one layer of causal self-attention over the subwords before it, and a subword within its unit from bigram counts. What a
+subword means to the attention are its coordinates in the corpus: leading directions of the table of texts by subwords. The
+attention's own weights (which subwords to look at, by content and by distance, and what to make of them) are trained on every
+window of every training text. Windows overlap, and each subword is scored in one window only.
+
+Beside it goes a base: add-one shares of the training words, where all unknown words are one kind more. The score's word
+probability is MIX times the attention's and the rest the base's; over the known words and that one kind it sums to no more than 1,
+as an unknown word's spelling is no likelier than its kind. All counts and coordinates cover all training texts.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from array import array
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,25 +27,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, rows_in, saved
+from .common import BLOCKS, blocks, fold, new_dir, rows_in, saved, tree_sum
 
 VOCABULARY = 50257
 END = 50256
 LINE_END = 198
-#: Units that the model tells apart in its output and its input: the most frequent subwords, and groups of the rest of about equal counts.
-OWN_UNITS, GROUP_UNITS = 72, 24
+#: Units that the model tells apart in its input and its output: the most frequent subwords, and groups of the rest.
 OWN_INPUTS, GROUP_INPUTS = 992, 32
-#: The most frequent subwords, whose counts behind each input unit are kept; the others go by their share of their group.
+OWN_UNITS, GROUP_UNITS = 48, 16
+#: The most frequent subwords, whose counts behind each input unit are kept; the others go by their share of their unit.
 PAIRED = 4096
-WIDTH, HIDDEN = 24, 32
+#: Coordinates of a subword, a constant 1 among them.
+WIDTH = 16
 #: Inputs of a window and how many of them, the last, are scored in it.
-CONTEXT, STRIDE = 48, 40
-#: One text in so many trains the attention weights; each of ROUNDS rounds takes its part of these texts.
-TRAIN_SHARE, ROUNDS = 1, 2
+CONTEXT, STRIDE = 32, 24
+#: One part in FIRST_ROUND of the training texts is the first round's, the others the second's. After a round, weights are averaged.
+FIRST_ROUND = 4
+BATCH = 64
+#: Share of the attention in a word's probability; the rest goes to the word's own count.
+MIX = 0.7
 #: Words whose counts go to every task, the most frequent ones; the other words' counts are joined.
-FREQUENT = 300_000
+FREQUENT = 1_000_000
+#: Distinct words that a cutting task keeps before it hands on their counts and starts anew.
 CACHE = 500_000
 
+_FROM = CONTEXT - STRIDE
+_SEEN = (_BACK := np.arange(_FROM, CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]) >= 0
+#: Bounds that keep every exponential finite: length of coordinates, of the score matrix, of a unit's weights, of distance weights.
+_LONGEST, _SCORE, _HEAD, _DISTANCE = 4.0, 3.5, 10.0, 20.0
+_f = np.float32
+
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> tiktoken.Encoding:
@@ -51,40 +64,100 @@ def coder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def starts(path: str) -> np.ndarray:
+    """Which ids begin a word: those that begin with a blank, and the end."""
+    out = np.zeros(VOCABULARY, bool)
+    for line in open(path, "rb"):
+        a, b = line.split()
+        out[int(b)] = base64.b64decode(a)[:1] == b" "
+    out[END] = True
+    return out
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII blanks only
 
 
-class Subwords:
-    """Subword ids of words (each with a blank before it), as bytes of 16-bit integers; recent words are kept."""
+class Cutter:
+    """Numbers of words, in the order they are met, and the subword ids of each (with a blank before it). Number 0 is the end."""
 
-    def __init__(self, path: str, cache: int = CACHE):
-        self.encode, self.known, self.cache = coder(path).encode_ordinary, {}, cache
+    def __init__(self, path: str):
+        self.encode = coder(path).encode_ordinary
+        self.number, self.data, self.size = {b" ": 0}, [np.array([END], np.uint16)], [1]
+        self.flat, self.sizes = self.data[0], np.ones(1, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
         """Cut new words in one call, a line each: a line end is a token of its own unless a word has other white space."""
         lines = [" " + w.decode("utf-8", "replace") for w in words]
         ids = np.asarray(self.encode("\n".join(lines)), np.uint16)
-        cut = np.flatnonzero(ids == LINE_END).tolist()
+        cut = np.flatnonzero(ids == LINE_END)
         if len(cut) == len(words) - 1:
-            data = ids.tobytes()
-            self.known.update((w, data[2 * a + 2 : 2 * b]) for w, a, b in zip(words, [-1, *cut], [*cut, len(ids)], strict=True))
+            sizes = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
+            ids = ids[ids != LINE_END]
         else:
-            self.known.update((w, array("H", self.encode(line)).tobytes()) for w, line in zip(words, lines, strict=True))
-
-    def texts(self, listed: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each closed by END, and how many each has."""
-        if len(self.known) > self.cache:
-            self.known.clear()
-        get, end, new = self.known.get, array("H", [END]).tobytes(), set()
-        found = [list(map(get, words)) for words in listed]
-        for words, got in zip(listed, found, strict=True):
-            if None in got:
-                new.update(w for w, g in zip(words, got, strict=True) if g is None)
-        if new:
-            self.learn(list(new))
-        parts = [b"".join(map(get, words) if None in got else got) + end for words, got in zip(listed, found, strict=True)]
-        return np.frombuffer(b"".join(parts), np.uint16).astype(np.int32), np.array([len(p) // 2 for p in parts], np.int64)
+            parts = [np.asarray(self.encode(line), np.uint16) for line in lines]
+            sizes, ids = np.array([len(p) for p in parts]), np.concatenate(parts)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.data.append(ids)
+        self.size.append(sizes)
+        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        got = list(map(self.number.get, words))
+        if None in got:
+            self.learn(list({w for w, g in zip(words, got, strict=True) if g is None}))
+            got = list(map(self.number.get, words))
+        return np.array(got, np.int64)
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of a sequence of words, and how many each word has."""
+        sizes = self.sizes[numbers]
+        first = (np.cumsum(self.sizes) - self.sizes)[numbers]
+        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at], sizes
+
+
+PARTS = "kind int, id string, held boolean, data binary, n long"
+
+
+def cut_texts(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of two kinds, saved: 0, a text of `rows` (id, held, text) as 16-bit subword ids with its number of words;
+    1, a word of the texts that are not held, as ids, with its count in a part of the input. The end is a word."""
+
+    def cut(frames):
+        cutter = Cutter(path)
+        count = np.zeros(1, np.int64)
+
+        def counted():
+            full = np.flatnonzero(count)
+            begin = np.cumsum(cutter.sizes) - cutter.sizes
+            words = [cutter.flat[begin[k] : begin[k] + cutter.sizes[k]].tobytes() for k in full.tolist()]
+            return pd.DataFrame({"kind": 1, "id": None, "held": False, "data": words, "n": count[full]})
+
+        for frame in rows_in(frames, size=4_000_000):
+            listed = [words_of(t) for t in frame["text"]]
+            flat = [w for words in listed for w in (*words, b" ")]
+            numbers = cutter.numbers(flat)
+            n = np.array([len(words) + 1 for words in listed])
+            held = frame["held"].to_numpy(bool)
+            count = np.concatenate([count, np.zeros(len(cutter.sizes) - len(count), np.int64)])
+            count += np.bincount(numbers[~np.repeat(held, n)], minlength=len(count))
+            ids, sizes = cutter.ids(numbers)
+            stop = np.cumsum(sizes)[np.cumsum(n) - 1].tolist()
+            data = [ids[a:b].tobytes() for a, b in zip([0, *stop], stop, strict=False)]
+            yield pd.DataFrame({"kind": 0, "id": frame["id"].to_numpy(), "held": held, "data": data, "n": n})
+            if len(cutter.number) > CACHE:
+                yield counted()
+                cutter, count = Cutter(path), np.zeros(1, np.int64)
+        if count.any():
+            yield counted()
+
+    spark = rows.sparkSession
+    made, at = rows.mapInPandas(cut, PARTS), new_dir(spark, "subwords")
+    made.write.partitionBy("kind").parquet(at)
+    return spark.read.schema(made.schema).parquet(at)
 
 
 @dataclass
@@ -93,6 +166,8 @@ class Units:
     inputs: int
     of: np.ndarray  # output unit of each id
     count: int
+    begins: np.ndarray  # 1 for the output units of subwords that begin a word
+    vectors: np.ndarray  # coordinates by input unit; the last row, of no unit, is 0
     bigram: np.ndarray  # log probability of the next output unit, by input unit
     within: np.ndarray  # log share of each id in its output unit
     column: np.ndarray  # column of each id in `paired`, or -1
@@ -102,32 +177,154 @@ class Units:
     def in_unit(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Log probability of ids within their units, given the input units before them."""
         column = self.column[ids]
-        return np.where(column >= 0, self.paired[before, column], self.within[ids] + self.others[before, self.of[ids]])
+        out = self.paired[before, column]
+        seldom = np.flatnonzero(column < 0)
+        out[seldom] = self.within[ids[seldom]] + self.others[before[seldom], self.of[ids[seldom]]]
+        return out
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """Ids by falling count, the end first."""
+    order = np.lexsort((np.arange(VOCABULARY), -counts))
+    return np.concatenate(([END], order[order != END]))
+
+
+def input_units(counts: np.ndarray) -> np.ndarray:
+    """Input unit of each id: the most frequent ids have their own, the others share groups of about equal counts."""
+    order, of = _by_count(counts), np.zeros(VOCABULARY, np.int64)
+    of[order[:OWN_INPUTS]] = np.arange(OWN_INPUTS)
+    mass = np.cumsum(counts[order[OWN_INPUTS:]] + 1e-3)
+    of[order[OWN_INPUTS:]] = OWN_INPUTS + np.minimum((mass / mass[-1] * GROUP_INPUTS).astype(np.int64), GROUP_INPUTS - 1)
+    return of
+
+
+def output_units(counts: np.ndarray, places: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Output unit of each id: the most frequent ids have their own; the others, those that begin words and those that do not,
+    are halved again and again along one coordinate after another, so that a group's subwords keep like company."""
+    order, of = _by_count(counts), np.zeros(VOCABULARY, np.int64)
+    of[order[:OWN_UNITS]] = np.arange(OWN_UNITS)
+    rest = np.sort(order[OWN_UNITS:])
+    parts, axis = [rest[begins[rest]], rest[~begins[rest]]], 0
+    while len(parts) < GROUP_UNITS:
+        halves = []
+        for p in parts:
+            p = p[np.argsort(places[p, axis % places.shape[1]], kind="stable")]
+            mass = np.cumsum(counts[p] + 1e-3)
+            cut = int(np.searchsorted(mass, mass[-1] / 2)) + 1 if len(p) else 0
+            halves += [p[:cut], p[cut:]]
+        parts, axis = halves, axis + 1
+    for k, p in enumerate(parts):
+        of[p] = OWN_UNITS + k
+    return of
+
+
+def coordinates(company: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Coordinates of input units from `company`, the sum over texts of the products of two units' counts over the text's length.
+
+    They are the leading directions, but the trivial one, of the table of texts by units, as in correspondence analysis.
+    """
+    root = np.sqrt(np.maximum(counts, 1))
+    values, vectors = np.linalg.eigh(company / root[:, None] / root[None, :])
+    vectors = np.where(values > 1e-6, vectors, 0)[:, ::-1][:, 1:WIDTH]
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
+    vectors = np.clip(vectors * np.sqrt(max(1.0, counts.sum()) / np.maximum(counts, 1))[:, None], -4, 4)
+    longest = np.sqrt(_LONGEST**2 - 1)  # with the constant 1
+    return vectors * np.minimum(1, longest / np.maximum(np.sqrt((vectors**2).sum(axis=1)), 1e-9))[:, None]
+
+
+def learn_units(texts: DataFrame, counts: DataFrame, path: str) -> Units:
+    """Units, coordinates and bigram tables, from the counts of all words (data, n) and the ids (data) of all training texts.
+
+    All adjacent pairs count, across words and around a text's end too. What comes to the driver is a row per subword and tables
+    whose size is that of the units, whatever the input.
+    """
+    spark = texts.sparkSession
+
+    def singles(frames):
+        total = np.zeros(VOCABULARY, np.int64)
+        for frame in frames:
+            sizes = frame["data"].str.len().to_numpy() // 2
+            ids = np.frombuffer(b"".join(frame["data"]), np.uint16)
+            total += np.bincount(ids, weights=np.repeat(frame["n"].to_numpy(), sizes), minlength=VOCABULARY).astype(np.int64)
+        yield pd.DataFrame({"a": np.flatnonzero(total), "n": total[total > 0]})
+
+    single = np.zeros(VOCABULARY)
+    got = counts.mapInPandas(singles, "a int, n long").groupBy("a").agg(F.sum("n").alias("n")).toPandas()
+    single[got["a"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    enter = input_units(single)
+    n_in = OWN_INPUTS + GROUP_INPUTS
+    column = np.full(VOCABULARY, -1, np.int64)
+    column[_by_count(single)[:PAIRED]] = np.arange(PAIRED)
+    place = spark.sparkContext.broadcast((enter, column))
+
+    def gather(frames):
+        """Per task: counts of an input unit before a column (the rest: one column), and of input units in a text together."""
+        enter, column = place.value
+        to = np.where(column >= 0, column, PAIRED)
+        pairs, company = np.zeros(n_in * (PAIRED + 1), np.int64), np.zeros((n_in, n_in), np.float64)
+        for frame in _parts(frames, 4_000_000):
+            ids, sizes = _joined(frame["data"])
+            units = enter.take(ids)
+            before = np.concatenate(([enter[END]], units[:-1]))  # a text closes with END, so each begins behind one
+            pairs += np.bincount(before * (PAIRED + 1) + to.take(ids), minlength=len(pairs))
+            for i in range(0, len(sizes), 512):
+                some = slice(int(sizes[:i].sum()), int(sizes[: i + 512].sum()))
+                text = np.repeat(np.arange(len(sizes[i : i + 512])), sizes[i : i + 512])
+                table = np.bincount(text * n_in + units[some], minlength=len(sizes[i : i + 512]) * n_in).reshape(-1, n_in)
+                table = (table / np.sqrt(sizes[i : i + 512])[:, None]).astype(_f)
+                company += table.T @ table
+        yield from blocks(0, pairs)
+        yield from blocks(1, company[np.triu_indices(n_in)].astype(_f))
+
+    tables = tree_sum(texts.select("data").mapInPandas(gather, BLOCKS), [n_in * (PAIRED + 1), n_in * (n_in + 1) // 2])
+    table, company = tables[0].reshape(n_in, PAIRED + 1), np.zeros((n_in, n_in))
+    company[np.triu_indices(n_in)] = tables[1]
+    company = company + company.T - np.diag(np.diag(company))
+    vectors = coordinates(company, np.bincount(enter, weights=single, minlength=n_in))
+    begins = starts(path)
+    of, n_out = output_units(single, vectors[enter][:, :3], begins), OWN_UNITS + GROUP_UNITS
+    marks = np.zeros(n_out, _f)
+    marks[of[begins]] = 1
+    listed = np.argsort(np.where(column >= 0, column, VOCABULARY), kind="stable")[:PAIRED]  # ids by column
+    in_unit = np.bincount(of, weights=single + 1e-3, minlength=n_out)
+    share = (single + 1e-3) / in_unit[of]  # of an id in its unit
+    by_unit = np.zeros((n_out, n_in))
+    np.add.at(by_unit, of[listed], table[:, :PAIRED].T)
+    paired_counts = by_unit.T.copy()
+    # what the rest column holds goes to units by the rest's counts
+    others = np.bincount(of[column < 0], weights=single[column < 0] + 1e-9, minlength=n_out)
+    units = paired_counts + table[:, PAIRED:] * others / others.sum()
+    all_units = (in_unit + 1) / (in_unit + 1).sum()
+    bigram = (units + 4.0 * all_units) / (units.sum(axis=1, keepdims=True) + 4.0)
+    weight = 2.0
+    paired = (table[:, :PAIRED] + weight * share[listed]) / (paired_counts + weight)[:, of[listed]]
+    full = np.zeros((n_in + 1, WIDTH), _f)
+    full[:n_in, 0] = 1
+    full[:n_in, 1:] = vectors
+    flat = np.vstack([np.log(bigram), np.zeros((1, n_out))]).astype(_f)
+    return Units(enter, n_in, of, n_out, marks, full, flat, np.log(share).astype(_f), column, np.log(paired).astype(_f), np.log(weight / (paired_counts + weight)).astype(_f))
+
+
+def _joined(data) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(d) // 2 for d in data], np.int64)
+    return np.frombuffer(b"".join(data), np.uint16).astype(np.int64), sizes
+
+
+def _parts(frames, size: int):
+    """Frames of about `size` bytes of ids."""
+    return rows_in(frames, rows=4000, size=size, text="data")
 
 
 @dataclass
 class Attention:
-    """Weights of the model by name."""
+    """Weights of the model by name: `score` (content of a place and of an earlier one), `distance`, `head` (what is seen to units)."""
 
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
-    def new(inputs: int, units: int, width: int = WIDTH, hidden: int = HIDDEN, seed: int = 11) -> Attention:
-        rng = np.random.default_rng(seed)
-        draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        return Attention(
-            {
-                "embed": draw(inputs, width, scale=0.3),
-                "query": draw(width, width, scale=width**-0.5),
-                "key": draw(width, width, scale=width**-0.5),
-                "value": draw(width, width, scale=width**-0.5),
-                "distance": np.zeros(CONTEXT, np.float32),
-                "in": draw(width, hidden, scale=width**-0.5),
-                "in_bias": np.zeros(hidden, np.float32),
-                "out": draw(hidden, width, scale=hidden**-0.5),
-                "head": np.zeros((width, units), np.float32),
-            }
-        )
+    def new(units: int, width: int = WIDTH, seed: int = 11) -> Attention:
+        score = np.random.default_rng(seed).standard_normal((width, width)) * 0.1 / width
+        return Attention({"score": score.astype(_f), "distance": np.zeros(CONTEXT, _f), "head": np.zeros((width, units), _f)})
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.weights.values()])
@@ -135,155 +332,163 @@ class Attention:
     def filled(self, flat: np.ndarray) -> Attention:
         out, at = {}, 0
         for name, w in self.weights.items():
-            out[name] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+            out[name] = flat[at : at + w.size].reshape(w.shape).astype(_f)
             at += w.size
         return Attention(out)
 
-
-_FROM = CONTEXT - STRIDE
-#: distance from each scored place back to each input, -1 where the input lies ahead
-_BACK = np.where((d := np.arange(_FROM, CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]) >= 0, d, -1)
+    def bounded(self) -> None:
+        """Keep the weights where no exponential of the forward pass can run over."""
+        w = self.weights
+        w["distance"] = np.clip(w["distance"] - w["distance"].mean(), -_DISTANCE, _DISTANCE)
+        w["score"] = w["score"] * _f(min(1.0, _SCORE / max(float(np.sqrt((w["score"] ** 2).sum())), 1e-9)))
+        w["head"] = w["head"] * np.minimum(1.0, _HEAD / np.maximum(np.sqrt((w["head"] ** 2).sum(axis=0)), 1e-9)).astype(_f)
 
 
 def windows(units: Units, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (windows x CONTEXT), next units of their last STRIDE places (-1: none) and the places of these in `ids`.
+    """Inputs (windows x CONTEXT), next units of their last STRIDE places (-1: none), and the place of each id in the latter, laid flat.
 
     Text k has ids[ends[k]-sizes[k]:ends[k]]; the input of each is the id before it, END for the first. Places before a text
     have the input `units.inputs`.
     """
     per = -(-sizes // STRIDE)
-    text = np.repeat(np.arange(len(sizes)), per)
-    number = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-    start = (np.cumsum(sizes) - sizes)[text]
-    place = number[:, None] * STRIDE + np.arange(-_FROM, STRIDE)[None, :]  # in the text
-    inside = (place >= 0) & (place < sizes[text][:, None])
-    at = np.where(inside, start[:, None] + place, 0)
-    # the ids before each place, END at the beginning of a text
+    slots = per * STRIDE
+    begin = np.cumsum(sizes) - sizes
     before = np.empty(len(ids), np.int64)
-    before[1:] = units.enter[ids[:-1]]
-    before[np.cumsum(sizes) - sizes] = units.enter[END]
-    inputs = np.where(inside, before[at], units.inputs)
-    return inputs, np.where(inside[:, _FROM:], units.of[ids][at[:, _FROM:]], -1), at[:, _FROM:]
+    before[1:] = units.enter.take(ids[:-1])
+    before[begin[sizes > 0]] = units.enter[END]
+    laid = np.cumsum(slots + _FROM) - slots - _FROM  # a text's slots lie behind _FROM empty ones
+    scored = np.repeat(np.cumsum(slots) - slots - begin, sizes) + np.arange(len(ids))
+    slot = np.repeat(laid + _FROM - begin, sizes) + np.arange(len(ids))
+    total = int((slots + _FROM).sum())
+    inputs, targets = np.full(total, units.inputs, np.int64), np.full(int(slots.sum()), -1, np.int64)
+    inputs[slot] = before
+    targets[scored] = units.of.take(ids)
+    first = np.repeat(laid - STRIDE * (np.cumsum(per) - per), per) + STRIDE * np.arange(int(per.sum()))
+    view = np.lib.stride_tricks.sliding_window_view(inputs, CONTEXT)[first] if len(first) else np.zeros((0, CONTEXT), np.int64)
+    return view, targets.reshape(-1, STRIDE), scored
 
 
 def _forward(net: Attention, units: Units, inputs: np.ndarray):
-    w = net.weights
-    n, width = len(inputs), w["embed"].shape[1]
-    padded = lambda table: np.vstack([table, np.zeros((1, table.shape[1]), np.float32)])
-    embed = w["embed"]
-    keys = padded(embed @ w["key"])[inputs]
-    values = padded(np.hstack([embed @ w["value"], np.ones((len(embed), 1), np.float32)]))[inputs]
-    last = np.minimum(inputs[:, _FROM:], len(embed) - 1)
-    queries = (embed @ w["query"] * np.float32(width**-0.5))[last]
-    weight = queries @ keys.transpose(0, 2, 1)
-    np.clip(weight, -30, 30, out=weight)
+    """Unnormalised probabilities of units (places x units) and what the gradient needs."""
+    w, vectors, n = net.weights, units.vectors, len(inputs)
+    width = vectors.shape[1]
+    last = inputs[:, _FROM:].ravel()
+    values = vectors.take(inputs, axis=0)
+    keys = np.ascontiguousarray(values.transpose(0, 2, 1))
+    weight = np.matmul((vectors @ w["score"]).take(last, axis=0).reshape(n, STRIDE, width), keys)
     np.exp(weight, out=weight)
-    weight *= np.where(_BACK >= 0, np.exp(np.clip(w["distance"], -30, 30))[_BACK], 0).astype(np.float32)
-    summed = weight @ values
-    total = np.maximum(summed[..., -1:], 1e-20)
-    state = (embed[last] + summed[..., :-1] / total).reshape(n * STRIDE, width)
-    inner = np.maximum(state @ w["in"] + w["in_bias"], 0)
-    top = state + inner @ w["out"]
-    logits = top @ w["head"]
-    logits += units.bigram[last.ravel()]
-    return logits, (keys, values, last, queries, weight, total, state, inner, top)
-
-
-def log_probabilities(net: Attention, units: Units, ids: np.ndarray, sizes: np.ndarray, batch: int = 256) -> np.ndarray:
-    """Natural log probability of every id given those before it in its text; each is scored in one window."""
-    before = np.concatenate(([END], ids[:-1]))
-    before[np.cumsum(sizes)[:-1]] = END
-    out = units.in_unit(units.enter[before], ids).astype(np.float64)
-    inputs, targets, at = windows(units, ids, sizes)
-    ones = np.ones(units.count, np.float32)
+    weight *= np.where(_SEEN, np.exp(w["distance"])[np.maximum(_BACK, 0)], 0).astype(weight.dtype)
+    seen = np.matmul(weight, values)
+    whole = 1 / np.maximum(seen[..., :1], _f(1e-30))  # the constant of real places sums their weights; the others' is 0
+    seen *= whole
+    seen = seen.reshape(-1, width)
+    out = seen @ w["head"]
+    out += units.bigram.take(last, axis=0)
+    np.exp(out, out=out)
+    return out, (values, keys, last, weight, whole, seen)
+
+
+def log_probabilities(net: Attention, units: Units, ids: np.ndarray, sizes: np.ndarray, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of every id given those before it in its text, and that of any subword that begins a word (or the end) in its place."""
+    inputs, targets, place = windows(units, ids, sizes)
+    both = np.stack([np.ones(units.count, _f), units.begins], axis=1)
+    chosen, beginning = np.empty(targets.size, _f), np.empty(targets.size, _f)
+    rows = np.arange(batch * STRIDE)
     for i in range(0, len(inputs), batch):
-        logits, _ = _forward(net, units, inputs[i : i + batch])
-        wanted = targets[i : i + batch].ravel()
-        real = np.flatnonzero(wanted >= 0)
-        chosen = logits[real, wanted[real]]
-        with np.errstate(over="ignore"):
-            total = np.exp(logits) @ ones  # without the largest first: bigrams are log probabilities and seldom outgrown
-        if not (np.isfinite(total).all() and (total > 0).all()):
-            peak = logits.max(axis=1)
-            chosen, total = chosen - peak[real], np.exp(logits - peak[:, None]) @ ones
-        got = chosen - np.log(total[real])
-        out[at[i : i + batch].ravel()[real]] += got
-    return out
+        out, _ = _forward(net, units, inputs[i : i + batch])
+        wanted, span = np.maximum(targets[i : i + batch].ravel(), 0), slice(i * STRIDE, (i + batch) * STRIDE)
+        total = out @ both
+        chosen[span] = out[rows[: len(out)], wanted] / total[:, 0]
+        beginning[span] = total[:, 1] / total[:, 0]
+    before = np.empty(len(ids), np.int64)
+    before[1:] = units.enter.take(ids[:-1])
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = units.enter[END]
+    inner = units.in_unit(before, ids) * _f(1 / math.log(10))
+    return np.log10(np.maximum(chosen.take(place), 1e-37)).astype(np.float64) + inner, np.log10(np.maximum(beginning.take(place), 1e-37))
 
 
 def gradients(net: Attention, units: Units, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the scored places of the windows, and its gradient."""
-    w = net.weights
-    logits, (keys, values, last, queries, weight, total, state, inner, top) = _forward(net, units, inputs)
+    w, n = net.weights, len(inputs)
+    out, (values, keys, last, weight, whole, seen) = _forward(net, units, inputs)
+    width = seen.shape[1]
     wanted = targets.ravel()
-    real = wanted >= 0
-    n = max(1, int(real.sum()))
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    rows = np.flatnonzero(real)
-    loss = -float(np.log(np.maximum(logits[rows, wanted[rows]], 1e-30)).mean()) if len(rows) else 0.0
-    logits[rows, wanted[rows]] -= 1
-    logits *= (real / np.float32(n)).astype(np.float32)[:, None]
-    g = {"head": top.T @ logits}
-    d_top = logits @ w["head"].T
-    d_inner = (d_top @ w["out"].T) * (inner > 0)
-    g["out"], g["in"], g["in_bias"] = inner.T @ d_top, state.T @ d_inner, d_inner.sum(axis=0)
-    d_state = (d_top + d_inner @ w["in"].T).reshape(*last.shape, -1)
-    share = weight / total * values[:, None, :, -1]  # nothing at places before the text
-    d_values = share.transpose(0, 2, 1) @ d_state
-    d_share = d_state @ values[..., :-1].transpose(0, 2, 1)
-    d_score = share * (d_share - (share * d_share).sum(axis=2, keepdims=True))
-    by_place = d_score.sum(axis=0)
-    g["distance"] = np.bincount(_BACK[_BACK >= 0], weights=by_place[_BACK >= 0], minlength=CONTEXT).astype(np.float32)
-    size, width = len(w["embed"]), w["embed"].shape[1]
-    d_queries, d_keys = d_score @ keys * np.float32(width**-0.5), d_score.transpose(0, 2, 1) @ queries
-
-    def gathered(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        flat, rows = index.ravel(), rows.reshape(-1, width)
-        return np.stack([np.bincount(flat, weights=rows[:, j], minlength=size + 1)[:size] for j in range(width)], axis=1).astype(np.float32)
-
-    by_query, by_key, by_value = gathered(last, d_queries), gathered(inputs, d_keys), gathered(inputs, d_values)
-    g["query"], g["key"], g["value"] = w["embed"].T @ by_query, w["embed"].T @ by_key, w["embed"].T @ by_value
-    g["embed"] = gathered(last, d_state) + by_query @ w["query"].T + by_key @ w["key"].T + by_value @ w["value"].T
+    rows = np.flatnonzero(wanted >= 0)
+    total = out @ np.ones(out.shape[1], out.dtype)
+    loss = -float(np.log(out[rows, wanted[rows]] / total[rows]).mean()) if len(rows) else 0.0
+    each = 1 / max(1, len(rows))
+    out *= ((wanted >= 0) * each / total).astype(out.dtype)[:, None]
+    out[rows, wanted[rows]] -= each
+    g = {"head": seen.T @ out}
+    d_seen = out @ np.ascontiguousarray(w["head"].T)
+    d_score = np.matmul(d_seen.reshape(n, STRIDE, width), keys)
+    d_score -= np.einsum("ij,ij->i", d_seen, seen).reshape(n, STRIDE, 1)
+    weight *= whole
+    d_score *= weight
+    by_place = np.einsum("nsc,nc->sc", d_score, values[:, :, 0])  # nothing at places before the text
+    g["distance"] = np.bincount(_BACK[_SEEN], weights=by_place[_SEEN], minlength=CONTEXT).astype(out.dtype)
+    g["score"] = units.vectors.take(last, axis=0).T @ np.matmul(d_score, values).reshape(-1, width)
     return loss, g
 
 
 class Adam:
-    def __init__(self, rate: float = 4e-3):
+    def __init__(self, rate: float = 5e-3):
         self.rate, self.step, self.m, self.v = rate, 0, {}, {}
 
     def update(self, net: Attention, g: dict[str, np.ndarray]) -> None:
         self.step += 1
-        norm = math.sqrt(sum(float((x.astype(np.float64) ** 2).sum()) for x in g.values()))
-        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-12)))
         rate = self.rate * min(1.0, self.step / 20)
         for k, x in g.items():
-            x = x * scale
-            self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * x
-            self.v[k] = 0.99 * self.v.get(k, 0) + 0.01 * x * x
-            net.weights[k] = (net.weights[k] - rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            self.m[k] = _f(0.9) * self.m.get(k, 0) + _f(0.1) * x
+            self.v[k] = _f(0.99) * self.v.get(k, 0) + _f(0.01) * x * x
+            net.weights[k] = net.weights[k] - _f(rate / (1 - 0.9**self.step)) * self.m[k] / (np.sqrt(self.v[k] / _f(1 - 0.99**self.step)) + _f(1e-8))
+        net.bounded()
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts; a task counts what it reads before anything is shuffled."""
+def train(texts: DataFrame, units: Units, batch: int = BATCH) -> Attention:
+    """Attention weights from the ids (data) of all training texts. Each of two rounds takes its part of the texts; every partition
+    makes one pass over all windows of its own, mixed within some thousands, and the weights are averaged by windows."""
+    spark = texts.sparkSession
+    net = Attention.new(units.count)
+    size = len(net.flat()) + 1
+    part = F.pmod(F.xxhash64("data", F.lit(31)), F.lit(FIRST_ROUND))
+    for chosen in (part == 0, part != 0):
+        shared = spark.sparkContext.broadcast((net, units))
+
+        def learn(frames, shared=shared):
+            start, units = shared.value
+            mine, adam = Attention(dict(start.weights)), Adam()
+            rng, seen = np.random.default_rng(5), 0
+            for frame in _parts(frames, 4_000_000):
+                x, y, _ = windows(units, *_joined(frame["data"]))
+                mixed = rng.permutation(len(x))
+                for i in range(0, len(x), batch):
+                    some = mixed[i : i + batch]
+                    adam.update(mine, gradients(mine, units, x[some], y[some])[1])
+                seen += len(x)
+            if seen:
+                yield from blocks(0, np.concatenate(([seen], mine.flat().astype(np.float64) * seen)))
 
-    def count(frames):
-        held: Counter = Counter()
-        for frame in rows_in(frames):
-            for text in frame["text"]:
-                held.update(words_of(text))
-            if len(held) > 300_000:
-                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                held = Counter()
-        if held:
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        (flat,) = tree_sum(texts.where(chosen).select("data").mapInPandas(learn, BLOCKS), [size])
+        if flat[0]:
+            net = net.filled(flat[1:] / flat[0])
+    return net
 
-    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def word_keys(ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words of at most four subwords as one number each, no two alike; 0 for longer ones."""
+    out = np.zeros(len(begin), np.uint64)
+    for j in range(4):
+        has = np.flatnonzero(sizes > j)
+        out[has] |= (ids[begin[has] + j] + 1).astype(np.uint64) << np.uint64(16 * j)
+    out[sizes > 4] = 0
+    return out
 
-def most_frequent(counts: DataFrame, limit: int) -> dict[bytes, float]:
-    """log10(n + 1) of all words at or over the least count (on a scale of eighths of a power of two) that `limit` words or fewer reach."""
+
+def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and counts of all words of four subwords or fewer at or over the least count (on a scale of eighths of a
+    power of two) that `limit` words or fewer reach."""
+    counts = counts.where(F.octet_length("data") <= 8)
     step = F.floor(F.log2("n") * 8).cast("int")
     cells = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
     total, least = 0, None
@@ -292,149 +497,12 @@ def most_frequent(counts: DataFrame, limit: int) -> dict[bytes, float]:
             break
         total, least = total + n, at
     if least is None:
-        return {}
-    top = counts.where(step >= least).toArrow()
-    return dict(zip(top["word"].to_pylist(), np.log10(top["n"].to_numpy() + 1.0).tolist(), strict=True))
-
-
-def _units(counts: np.ndarray, own: int, grouped: int) -> np.ndarray:
-    """Unit of each id: the end and the most frequent ids have their own, the others share groups of about equal counts."""
-    order = np.lexsort((np.arange(VOCABULARY), -counts))
-    order = np.concatenate(([END], order[order != END]))
-    of = np.zeros(VOCABULARY, np.int64)
-    of[order[:own]] = np.arange(own)
-    mass = np.cumsum(counts[order[own:]] + 0.5)
-    of[order[own:]] = own + np.minimum((mass / mass[-1] * grouped).astype(np.int64), grouped - 1)
-    return of
-
-
-def learn_units(counts: DataFrame, texts: int, path: str, rows: DataFrame | None = None) -> Units:
-    """Units and bigram tables from the counts of all words and the number of texts.
-
-    With `rows`, the texts themselves, all adjacent pairs are counted, across words and around a text's end too. From word counts
-    alone, the last subword of a word and the first of the next are taken as independent. What comes to the driver is a row per subword, and one per input unit and frequent
-    subword at most, whatever the input.
-    """
-    spark = counts.sparkSession
-
-    def pairs(frames):
-        code = coder(path).encode_ordinary
-        for frame in frames:
-            ids = [[END, *code(" " + bytes(w).decode("utf-8", "replace")), END] for w in frame["word"]]
-            n = np.repeat(frame["n"].to_numpy(), [len(x) - 1 for x in ids])
-            flat = lambda parts: np.fromiter((i for x in parts for i in x), np.int64)
-            pair = flat(x[:-1] for x in ids) * VOCABULARY + flat(x[1:] for x in ids)
-            yield pd.DataFrame({"pair": pair, "n": n}).groupby("pair", as_index=False)["n"].sum()
-
-    both = saved(counts.mapInPandas(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    both = both.select(F.floor(F.col("pair") / VOCABULARY).alias("a"), F.pmod("pair", F.lit(VOCABULARY)).alias("b"), "n")
-
-    def by_id(rows: DataFrame, side: str) -> np.ndarray:
-        out = np.zeros(VOCABULARY)
-        for row in rows.groupBy(side).agg(F.sum("n").alias("n")).collect():
-            out[row[side]] = row["n"]
-        return out
-
-    single, first, last = by_id(both.where(f"b != {END}"), "b"), by_id(both.where(f"a = {END}"), "b"), by_id(both.where(f"b = {END}"), "a")
-    single[END], last[END] = texts, 0
-    enter, of = _units(single, OWN_INPUTS, GROUP_INPUTS), _units(single, OWN_UNITS, GROUP_UNITS)
-    n_in, n_out = OWN_INPUTS + GROUP_INPUTS, OWN_UNITS + GROUP_UNITS
-    column = np.full(VOCABULARY, -1, np.int64)
-    column[np.lexsort((np.arange(VOCABULARY), -single))[:PAIRED]] = np.arange(PAIRED)
-    place = spark.sparkContext.broadcast((enter, of, column))
-
-    def unite(frames):
-        enter, of, column = place.value
-        for frame in frames:
-            b = frame["b"].to_numpy()
-            # the column of a frequent subword, or behind those the unit of another
-            to = np.where(column[b] >= 0, column[b], PAIRED + of[b])
-            yield pd.DataFrame({"u": enter[frame["a"].to_numpy()] * (PAIRED + n_out) + to, "n": frame["n"]}).groupby("u", as_index=False)["n"].sum()
-
-    def adjacent(frames):
-        enter, of, column = place.value
-        to, cutter = np.where(column >= 0, column, PAIRED + of), Subwords(path)
-        held = np.zeros(n_in * (PAIRED + n_out), np.int64)
-        for frame in rows_in(frames, size=2_000_000):
-            ids, sizes = cutter.texts([words_of(t) for t in frame["text"]])
-            before = np.concatenate(([END], ids[:-1]))  # a text closes with END, so each begins behind one
-            held += np.bincount(enter[before] * (PAIRED + n_out) + to[ids], minlength=len(held))
-        u = np.flatnonzero(held)
-        for i in range(0, len(u), 500_000):
-            yield pd.DataFrame({"u": u[i : i + 500_000], "n": held[u[i : i + 500_000]]})
-
-    if rows is not None:
-        cells = rows.select("text").mapInPandas(adjacent, "u long, n long")
-    else:
-        cells = both.where((F.col("a") != END) & (F.col("b") != END)).mapInPandas(unite, "u long, n long")
-    inner = cells.groupBy("u").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(n_in * (PAIRED + n_out))
-    table[inner["u"].to_numpy()] = inner["n"].to_numpy()
-    table = table.reshape(n_in, PAIRED + n_out)
-    to = np.where(column >= 0, column, PAIRED + of)
-    if rows is None:
-        starts = first.copy()
-        starts[END] += texts  # behind a word: another's first subword, or the end
-        table += np.outer(np.bincount(enter, weights=last, minlength=n_in), np.bincount(to, weights=starts, minlength=PAIRED + n_out) / max(starts.sum(), 1))
-        table[enter[END]] += np.bincount(to, weights=first, minlength=PAIRED + n_out)
-    unit_of = np.concatenate((of[np.argsort(np.where(column >= 0, column, VOCABULARY), kind="stable")[:PAIRED]], np.arange(n_out)))
-    in_unit = np.bincount(of, weights=single + 0.5, minlength=n_out)
-    within = np.log((single + 0.5) / in_unit[of])
-    units = np.zeros((n_in, n_out))
-    np.add.at(units.T, unit_of, table.T)
-    share = (in_unit + 1) / (in_unit + 1).sum()
-    bigram = (units + 4.0 * share) / (units.sum(axis=1, keepdims=True) + 4.0)
-    listed = np.zeros((n_in, n_out))
-    np.add.at(listed.T, unit_of[:PAIRED], table[:, :PAIRED].T)
-    ids = np.flatnonzero(column >= 0)
-    ids = ids[np.argsort(column[ids])]
-    weight = 2.0
-    paired = (table[:, :PAIRED] + weight * np.exp(within[ids])) / (listed + weight)[:, of[ids]]
-    f = np.float32
-    return Units(enter, n_in, of, n_out, np.log(bigram).astype(f), within.astype(f), column, np.log(paired).astype(f), np.log(weight / (listed + weight)).astype(f))
-
-
-def train(texts: DataFrame, units: Units, path: str, share: int = TRAIN_SHARE, rounds: int = ROUNDS, batch: int = 64) -> Attention:
-    """Attention weights. In each round every partition trains on its share of the texts, and the weights are averaged by windows."""
-    spark = texts.sparkSession
-    net = Attention.new(units.inputs, units.count)
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast((net, units))
-
-        def learn(frames, shared=shared):
-            start, units = shared.value
-            mine, adam, cutter = Attention({k: v.copy() for k, v in start.weights.items()}), Adam(), Subwords(path)
-            held, seen = [], 0
-
-            def steps(final: bool) -> None:
-                nonlocal held, seen
-                x, y = (np.concatenate(c) for c in zip(*held, strict=True))
-                mixed = np.random.default_rng(len(x) + seen).permutation(len(x))
-                full = len(x) if final else len(x) // batch * batch
-                for i in range(0, full, batch):
-                    part = mixed[i : min(i + batch, full)]
-                    adam.update(mine, gradients(mine, units, x[part], y[part])[1])
-                seen += full
-                held = [(x[mixed[full:]], y[mixed[full:]])] if full < len(x) else []
-
-            for frame in rows_in(frames, size=2_000_000):
-                ids, sizes = cutter.texts([words_of(t) for t in frame["text"]])
-                x, y, _ = windows(units, ids, sizes)
-                held.append((x, y))
-                if sum(len(x) for x, _ in held) >= 16 * batch:
-                    steps(False)
-            if held:
-                steps(True)
-            if seen:
-                flat = mine.flat().astype(np.float64) * seen
-                yield pd.DataFrame({"at": np.arange(-1, len(flat)), "x": np.concatenate(([seen], flat))})
-
-        chosen = texts.where(F.pmod(F.xxhash64("id", "text", F.lit(31)), F.lit(share * rounds)) == r)
-        rows = chosen.select("text").mapInPandas(learn, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()  # a row per weight
-        if rows:
-            flat = np.array([x["x"] for x in rows])
-            net = net.filled(flat[1:] / flat[0])
-    return net
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = counts.where(step >= least).select("data", "n").toArrow()
+    ids, sizes = _joined(top["data"].to_pylist())
+    keys = word_keys(ids, np.cumsum(sizes) - sizes, sizes)
+    order = np.argsort(keys)
+    return keys[order], top["n"].to_numpy()[order]
 
 
 def fit_and_score(
@@ -445,69 +513,96 @@ def fit_and_score(
     held_fold: int = 2,
     folds: int = 7,
     frequent: int = FREQUENT,
+    mix: float = MIX,
     tokenizer_path: str | None = None,
 ) -> DataFrame:
-    """Learn from rows whose crc32(id) modulo `folds` is not `held_fold` and score all: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """Learn from rows whose crc32(id) modulo `folds` is not `held_fold` and score all: id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score.
 
-    Null texts count as empty (the end alone). Null ids are training rows. Repeated rows count and are scored each. No training row: all counts
-    are 0 and the model is near uniform. Scores are log10 probabilities of the whole text with its end.
+    `attention_score` is the model's without the share of word counts in it. Null texts count as empty (the end alone). Null ids are
+    training rows. Repeated rows count and are scored each. No training row: all counts are 0 and the model is near uniform.
+    Scores are log10 probabilities of the whole text with its end. Columns other than the two named are not read.
     """
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     spark = docs.sparkSession
     held = F.coalesce(fold(F.col(id_col), folds) == held_fold, F.lit(False))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    learned = rows.where(~F.col("held"))
-    n_texts = learned.count()
-    counts = saved(word_counts(learned), "words")
+    parts = cut_texts(rows, path)
+    texts = parts.where("kind = 0").select("id", "held", "data", "n")
+    learned = texts.where(~F.col("held")).select("data")
+    counts = saved(parts.where("kind = 1").groupBy("data").agg(F.sum("n").alias("n")), "words")
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = (sums["n"] or 0) + n_texts, sums["v"] + (1 if n_texts else 0)
-    units = learn_units(counts, n_texts, path, learned)
-    net = train(learned, units, path)
-    known = most_frequent(counts, frequent)
-    shared = spark.sparkContext.broadcast((net, units, known, math.log10(n_texts + 1), n_texts > 0))
+    total, distinct = int(sums["n"] or 0), int(sums["v"])
+    units = learn_units(learned, counts, path)
+    net = train(learned, units)
+    shared = spark.sparkContext.broadcast((net, units, most_frequent(counts, frequent), starts(path)))
+    whole = float(total + distinct + 1)
 
     def score(frames):
-        net, units, known, end_log, end_known = shared.value
-        cutter = Subwords(path)
+        net, units, (known, known_n), begins = shared.value
+        logs = np.log10(known_n + 1.0)
         base, row = TaskContext.get().partitionId() << 40, 0
-        for frame in rows_in(frames, rows=500, size=1_000_000):
-            listed = [words_of(t) for t in frame["text"]]
-            ids, sizes = cutter.texts(listed)
-            ends = np.cumsum(sizes)
-            scores = np.add.reduceat(log_probabilities(net, units, ids, sizes), ends - sizes) / math.log(10)
-            keys, parts, n_known, rare, rare_keys = [], [], [], [], []
-            for words in listed:
-                key = base + row
-                row += 1
-                logs = list(map(known.get, words))
-                seldom = [w for w, x in zip(words, logs, strict=True) if x is None]
-                rare += seldom
-                rare_keys += repeat(key, len(seldom))
-                keys.append(key)
-                parts.append(sum(filter(None, logs)) + end_log)
-                n_known.append(len(words) - len(seldom) + end_known)
-            # a text's own row; its key behind a blank is no word, so it meets nothing in the join
+        for frame in _parts(frames, 1_000_000):
+            ids, sizes = _joined(frame["data"])
+            logp, begin_logp = log_probabilities(net, units, ids, sizes)
+            begin = np.flatnonzero(begins[ids])
+            text = np.repeat(np.arange(len(sizes)), frame["n"].to_numpy())  # of each word
+            length = np.diff(begin, append=len(ids))
+            # a word is given where one begins, and ends where the next begins; behind the end nothing does
+            word = np.add.reduceat(logp, begin) - begin_logp[begin]
+            after = begin[1:]
+            word[:-1] += np.where(ids[begin[:-1]] == END, 0, begin_logp[after])
+            keys = word_keys(ids, begin, length)
+            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            hit = (known[at] == keys) & (keys > 0) if len(known) else np.zeros(len(keys), bool)
+            log_n = logs[at[hit]]
+            mixed = np.log10(mix * 10.0 ** word[hit] + (1 - mix) * 10.0**log_n / whole)
+            n = len(sizes)
+            of = text[hit]
+            number = base + row + np.arange(n)
+            row += n
+            # a text's own row; its 21 bytes are no word's, which are even, so it meets nothing in the join
             yield pd.DataFrame(
-                {"key": keys, "word": [b" %d" % k for k in keys], "id": frame["id"].to_numpy(), "held": frame["held"].to_numpy(), "n_tokens": [len(w) + 1 for w in listed], "n_known": n_known, "part": parts, "score": scores}
+                {
+                    "key": number,
+                    "word": [b"%21d" % k for k in number.tolist()],
+                    "id": frame["id"].to_numpy(),
+                    "held": frame["held"].to_numpy(),
+                    "n_tokens": frame["n"].to_numpy(),
+                    "n_known": np.bincount(of, minlength=n),
+                    "part": np.bincount(of, weights=log_n, minlength=n),
+                    "score": np.bincount(of, weights=mixed, minlength=n),
+                    "alone": np.bincount(text, weights=word, minlength=n),
+                }
             )
-            if rare:
-                yield pd.DataFrame({"key": rare_keys, "word": rare, "id": None, "held": None, "n_tokens": 0, "n_known": 0, "part": 0.0, "score": 0.0})
-
-    scored = rows.mapInPandas(score, "key long, word binary, id string, held boolean, n_tokens long, n_known long, part double, score double")
-    joined = scored.join(counts, "word", "left").groupBy("key").agg(
+            rare = np.flatnonzero(~hit)
+            if len(rare):
+                data, a = frame["data"], (2 * begin[rare]).tolist()
+                raw = b"".join(data)
+                yield pd.DataFrame(
+                    {"key": number[text[rare]], "word": [raw[i : i + m] for i, m in zip(a, (2 * length[rare]).tolist(), strict=True)], "id": None, "held": None, "n_tokens": 0, "n_known": 0, "part": 0.0, "score": word[rare], "alone": None}
+                )
+
+    schema = "key long, word binary, id string, held boolean, n_tokens long, n_known long, part double, score double, alone double"
+    scored = texts.mapInPandas(score, schema)
+    joined = scored.join(counts.withColumnRenamed("data", "word"), "word", "left")
+    # a text's own row holds its sum; a rare word's row the log probability that the attention gives it
+    rare = F.log10(F.lit(mix) * F.pow(F.lit(10.0), "score") + F.lit((1 - mix) / whole) * (F.coalesce("n", F.lit(0)) + 1))
+    summed = joined.groupBy("key").agg(
         F.max("id").alias("id"),
         F.max("held").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.count("n")).alias("n_known"),
         (F.sum("part") + F.sum(F.coalesce(F.log10(F.col("n") + 1), F.lit(0.0)))).alias("part"),
-        F.sum("score").alias("score"),
+        F.sum(F.when(F.col("alone").isNotNull(), F.col("score")).otherwise(rare)).alias("score"),
+        F.sum("alone").alias("alone"),
     )
-    return joined.select(
+    return summed.select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
         "held_out",
         "n_tokens",
         "n_known",
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("part") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))).alias("base_score"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("part") - F.col("n_tokens") * F.lit(math.log10(whole))).alias("base_score"),
         "score",
+        F.col("alone").alias("attention_score"),
     )
