@@ -43,6 +43,23 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def masked(docs: DataFrame, *names: str) -> tuple:
+    """`docs` with its columns named c0, c1, ..., so that no name in it meets one of an operator's, and the new names of `names`.
+
+    Columns are told apart by place: names with dots, in other case or twice are carried like any other.
+    """
+    columns = docs.columns
+    folded = [c.lower() for c in columns]
+    at = [columns.index(n) if n in columns else folded.index(n.lower()) for n in names]
+    return docs.toDF(*[f"c{i}" for i in range(len(columns))]), *[f"c{i}" for i in at]
+
+
+def unmasked(rows: DataFrame, columns: Sequence[str], *more: str) -> DataFrame:
+    """The masked columns of `rows` under their own names again, and the columns `more`, which take the place of any of their names."""
+    kept = [i for i, c in enumerate(columns) if c not in more]
+    return rows.select(*[f"c{i}" for i in kept], *more).toDF(*[columns[i] for i in kept], *more)
+
+
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; null ids give null."""
     return F.crc32(id_col.cast("string").cast("binary")) % modulus

@@ -6,13 +6,20 @@ a text set merge by union, and estimate resemblance, containment and the number
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import sample_bound, saved
 
 K = 128
 WORDS = 5
-#: About so many ids share a window group; a group is what one task sorts at once.
-GROUP_ROWS = 1024
+#: About so many ids share a window group; a group is what is sorted at once, and a task has TASK_ROWS rows of them.
+GROUP_ROWS, TASK_ROWS = 1024, 4096
+#: Ranges of ids: FANOUT coarse ones of FANOUT fine ones at most (beyond a billion ids they grow), each drawn from SAMPLED ids.
+FANOUT, SAMPLED = 1024, 20
 
 
 def let(value: Column, body) -> Column:
@@ -78,33 +85,75 @@ def text_in_name(parts: Column) -> Column:
     return F.array_join(parts.cast("array<string>"), " ")
 
 
-def with_next(docs: DataFrame, id_col: str, carried: list[str], prefix: str) -> DataFrame:
+def _ranges(keys: DataFrame, rows: int) -> tuple[list, DataFrame]:
+    """Bounds that cut `key` into ranges of about `rows` keys: coarse ones, a list, and (coarse, fine) with each coarse range's own.
+
+    They are drawn from a hashed sample of SAMPLED keys a range, so they follow the keys' counts, not their values. Every bound is
+    a key, and the least key sampled is none, so no range is empty. At most FANOUT coarse ranges of FANOUT fine ones.
+    """
+    n = keys.count()
+    coarse = min(FANOUT, max(1, math.isqrt(n // rows) + 1))
+    hashed = F.shiftrightunsigned(F.xxhash64("key", F.lit(29)), 1)
+
+    def drawn(wanted: int) -> DataFrame:
+        return keys.where(hashed < F.lit(sample_bound(n, wanted))) if wanted < n else keys
+
+    def cut(listed: Column, parts: Column) -> Column:
+        step = F.greatest(F.lit(1), F.floor(F.size(listed) / parts).cast("int"))
+        return F.filter(F.array_distinct(F.filter(listed, lambda x, i: (i > 0) & (i % step == 0))), lambda x: x > F.try_element_at(listed, F.lit(1)))
+
+    sample = drawn(coarse * SAMPLED).agg(F.sort_array(F.collect_list("key")).alias("l"))
+    bounds = sample.select(cut(F.col("l"), F.lit(coarse)).alias("b")).first()["b"] or []
+    fine = min(FANOUT, max(1, n // rows // (len(bounds) + 1) + 1))
+    placed = drawn((len(bounds) + 1) * fine * SAMPLED).withColumn("coarse", _place(F.col("key"), _listed(keys, bounds)))
+    return bounds, placed.groupBy("coarse").agg(F.sort_array(F.collect_list("key")).alias("l")).select("coarse", cut(F.col("l"), F.lit(fine)).alias("fine"))
+
+
+def _listed(keys: DataFrame, bounds: list) -> Column:
+    """`bounds` as a column of the keys' own type."""
+    kind = T.ArrayType(keys.schema["key"].dataType)
+    parts = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind.elementType.fields, strict=True)]) for b in bounds])
+    return parts.cast(kind)
+
+
+def _place(key: Column, bounds: Column) -> Column:
+    """How many bounds are not over the key."""
+    return F.size(F.filter(bounds, lambda b: b <= key))
+
+
+def with_next(docs: DataFrame, id_col: str, carried: list[str], prefix: str, tie_col: str = "text") -> DataFrame:
     """Each row with the `carried` columns of the next row in descending id order as `<prefix><column>`; the last row's next is the first.
 
-    Rows are dealt to ranges of ids, so that no task sorts more than a range. The first row of each range is also sent to
-    the range before it, where it closes the gap. Null ids come last; rows with equal ids follow by the hash of what they carry.
+    Rows are dealt to ranges that follow the ids' counts, so that no task sorts more than a few ranges. The first row of each range
+    is also sent to the range above it, where it closes the gap. Ids of any type that has an order will do. Null ids come last; rows
+    with equal ids follow by the hash of `tie_col`.
     """
-    spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62)))
-    span = docs.select(F.count(F.lit(1)).alias("n"), F.min(id_col).cast("long").alias("low"), F.max(id_col).cast("long").alias("high")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    width = max(1, (high - low + 1) * GROUP_ROWS // max(1, span["n"]))
-    keyed = docs.withColumn("__key", key).withColumn("__range", F.floor((F.col("__key") - F.lit(low)) / F.lit(width)).cast("long"))
-    heads = keyed.groupBy("__range").agg(F.max("__key").alias("__head"))
-    # One row per range: a ten-thousandth of the rows or less, so that even the single window over it is light.
-    order = Window.orderBy(F.desc("__range"))
-    heads = (
-        heads.withColumn("__before", F.lag("__range").over(order))
-        .withColumn("__last", F.min("__range").over(Window.partitionBy()))
-        .select("__head", F.coalesce("__before", "__last").alias("__to"), F.col("__before").isNull().alias("__wraps"))
-    )
-    n_ranges = span["n"] // GROUP_ROWS + 2
-    guests = keyed.join(F.broadcast(heads) if n_ranges <= 200_000 and width > 1 else heads, F.col("__key") == F.col("__head"), "left")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(tie_col).alias("tie"))
+    keys = saved(docs.select(key.alias("key")), "keys")
+    n = keys.count()
+    bounds, fines = _ranges(keys, GROUP_ROWS)
+    fines = saved(fines, "ranges")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        """`rows`, which have a `__key`, with its `__range`."""
+        rows = rows.withColumn("__coarse", _place(F.col("__key"), _listed(keys, bounds)))
+        # a row a coarse range, FANOUT at most, and FANOUT keys in each at most
+        rows = rows.join(F.broadcast(fines), F.col("__coarse") == F.col("coarse"), "left")
+        fine = F.when(F.col("fine").isNull(), 0).otherwise(_place(F.col("__key"), F.col("fine")))
+        return rows.withColumn("__range", F.col("__coarse").cast("long") * (2 * FANOUT) + fine).drop("coarse", "fine", "__coarse")
+
+    heads = saved(ranged(keys.withColumnRenamed("key", "__key")).groupBy("__range").agg(F.max("__key").alias("__head")), "heads")
+    # ranges are FANOUT squared at most, and their order is all the driver sees
+    order = [r["__range"] for r in heads.select("__range").orderBy("__range").collect()]
+    above = heads.sparkSession.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "__range long, __to long")
+    heads = heads.join(F.broadcast(above), "__range").select("__head", "__to")
+    guests = ranged(docs.withColumn("__key", key)).join(F.broadcast(heads), F.col("__key") == F.col("__head"), "left")
     own, guest = (F.struct(F.col(c).alias("range"), F.lit(g).alias("guest")) for c, g in (("__range", False), ("__to", True)))
     dealt = guests.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-    dealt = dealt.select(*docs.columns, "__key", F.col("__at.range").alias("__range"), F.col("__at.guest").alias("__guest"), F.xxhash64(*carried).alias("__tie"))
+    dealt = dealt.select(*docs.columns, "__key", F.col("__at.range").alias("__range"), F.col("__at.guest").alias("__guest"))
+    dealt = dealt.repartition(max(1, -(-n // TASK_ROWS)), "__range")
     # one lead for all that is carried: one sort, one shuffle
-    window = Window.partitionBy("__range").orderBy("__guest", F.desc("__key"), "__tie")
+    window = Window.partitionBy("__range").orderBy("__guest", F.desc_nulls_last("__key"))
     led = dealt.withColumn("__next", F.lead(F.struct(*carried)).over(window)).where(~F.col("__guest"))
     return led.select(*docs.columns, *[F.col(f"__next.{c}").alias(prefix + c) for c in carried])
 
@@ -113,8 +162,8 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """Fingerprint every text and its edited text.
 
     The edited text is the text with its last floor(n/3) code points replaced by the first as many (or all) of the next
-    row's in descending id order. Null texts count as empty; an empty table gives an empty result; repeated rows a row each;
-    columns other than the two named are not read.
+    row's in descending id order. Ids may be of any type that has an order. Null texts count as empty, null ids come last; an empty
+    table gives an empty result; repeated rows a row each; columns other than the two named are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("sketch", sketch(F.col("text"), k, words))
