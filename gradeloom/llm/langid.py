@@ -2,7 +2,7 @@
 
 One table of slots serves all languages: bit b of a slot belongs to the filter of language b.
 The AND of an n-gram's k slots is the mask of the languages that may contain it, so one probe
-answers for all of them. Per document the bits are counted by language, each count is corrected
+answers for all of them (for up to 64; each further 64 languages are one more word in every slot). Per document the bits are counted by language, each count is corrected
 for its filter's false positives, and the largest decides.
 """
 
@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, groups
 
-MAX_LANGUAGES = 63
+WORD = 64
 
 
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    slots: np.ndarray  # one mask of languages per slot
+    slots: np.ndarray  # words x slots: masks of languages
     hashes: int
     false_positive: np.ndarray  # by language
     usual: int  # index of the most frequent training language
@@ -74,9 +74,10 @@ def fit(
 ) -> LanguageFilters:
     """Learn the filters from rows with a language.
 
-    `max_rows` bounds the sample of labelled rows. An n-gram enters a language's filter if it was seen
-    `min_count` times there and its share in that language is at least `min_share` of its largest share in any.
-    More than 63 languages: the 63 most frequent ones are learned. No usable row: a model without languages.
+    `max_rows` bounds the sample of labelled rows, and `n_slots` the filters, whatever the input: the share of slots in use is what
+    the false positives are reckoned from. An n-gram enters a language's filter if it was seen `min_count` times there and its share in
+    that language is at least `min_share` of its largest share in any. All languages of the sample are learned. Rows without a
+    language or a text teach nothing. No usable row: a model without languages.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = bounded_sample(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), "id", max_rows)
@@ -89,35 +90,33 @@ def fit(
                     yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n})
 
     grams = rows.select("text", "lang").mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).persist()
-    totals = sorted((r["n"], r["lang"]) for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
-    languages = sorted(lang for _, lang in totals)
-    kind = next(np.dtype(t) for t in ("u1", "u2", "u4", "u8") if len(languages) < np.dtype(t).itemsize * 8 or t == "u8")
-    slots = np.zeros(n_slots, kind)
+    totals = [(r["lang"], r["n"]) for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()]
+    languages = [lang for lang, _ in totals]
+    words = max(1, -(-len(languages) // WORD))
+    kind = next(np.dtype(t) for t in ("u1", "u2", "u4", "u8") if len(languages) <= np.dtype(t).itemsize * 8 or t == "u8")
+    slots = np.zeros((words, n_slots), kind)
     if not languages:
         grams.unpersist()
         return LanguageFilters([], slots, hashes, np.zeros(0), 0)
-    bits = {lang: (b, float(n)) for b, lang in enumerate(languages) for n, name in totals if name == lang}
-    bit = F.create_map(*[F.lit(x) for lang, (b, _) in bits.items() for x in (lang, 1 << b)])
-    total = F.create_map(*[F.lit(x) for lang, (_, n) in bits.items() for x in (lang, n)])
-    masks = (
-        grams.where(F.col("lang").isin(languages) & (F.col("n") >= min_count))
-        .select("code", F.element_at(bit, F.col("lang")).cast("long").alias("bit"), (F.col("n") / F.element_at(total, F.col("lang"))).alias("share"))
-        .groupBy("code")
-        .agg(F.collect_list(F.struct("bit", "share")).alias("of"), F.max("share").alias("most"))
-        .select("code", F.expr(f"aggregate(filter(of, x -> x.share >= {min_share} * most), 0L, (m, x) -> m | x.bit)").alias("mask"))
-    )
+    numbers = grams.sparkSession.createDataFrame([(lang, k, float(n)) for k, (lang, n) in enumerate(totals)], "lang string, k int, total double")
+    shares = grams.where(F.col("n") >= min_count).join(F.broadcast(numbers), "lang").select("code", "k", (F.col("n") / F.col("total")).alias("share"))
+    of = shares.groupBy("code").agg(F.collect_list(F.struct("k", "share")).alias("of"), F.max("share").alias("most"))
+    of = of.select("code", F.expr(f"transform(filter(of, x -> x.share >= {min_share} * most), x -> x.k)").alias("of"))
+    of = of.select("code", F.explode("of").alias("k"))
 
     def place(frames):
         for frame in frames:
+            word, bit = np.divmod(frame["k"].to_numpy(), WORD)
+            mask = (np.uint64(1) << bit.astype(np.uint64)).view(np.int64)
             for at in _slots(frame["code"].to_numpy().astype(np.uint64), n_slots, hashes):
-                yield pd.DataFrame({"slot": at, "mask": frame["mask"]})
+                yield pd.DataFrame({"word": word, "slot": at, "mask": mask})
 
-    # at most n_slots rows, whatever the input
-    filled = masks.mapInPandas(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    # at most n_slots rows for each 64 languages, whatever the input
+    filled = of.mapInPandas(place, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
     grams.unpersist()
-    slots[filled["slot"].to_numpy(dtype=np.int64)] = filled["mask"].to_numpy(dtype=np.int64).astype(kind)
-    fill = np.array([np.count_nonzero(slots >> kind.type(b) & kind.type(1)) / n_slots for b in range(len(languages))])
-    return LanguageFilters(languages, slots, hashes, fill**hashes, languages.index(totals[-1][1]))
+    slots[filled["word"].to_numpy(np.int64), filled["slot"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64).astype(kind)
+    fill = np.array([np.count_nonzero(slots[b // WORD] >> kind.type(b % WORD) & kind.type(1)) / n_slots for b in range(len(languages))])
+    return LanguageFilters(languages, slots, hashes, fill**hashes, max(range(len(totals)), key=lambda k: (totals[k][1], totals[k][0])))
 
 
 def predict_texts(model: LanguageFilters, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -128,14 +127,16 @@ def predict_texts(model: LanguageFilters, texts: list[str | None]) -> tuple[list
         codes, n = trigrams(pieces)
         if not len(codes):
             continue
-        mask = None
-        for slot in _slots(codes, len(model.slots), model.hashes):
-            mask = model.slots[slot] if mask is None else mask & model.slots[slot]
-        ends = np.cumsum(n)
+        places = _slots(codes, model.slots.shape[1], model.hashes)
         np.add.at(seen, at, n)
-        for b in range(n_lang):
-            running = np.concatenate(([0], np.cumsum((mask >> mask.dtype.type(b)) & mask.dtype.type(1), dtype=np.int64)))
-            np.add.at(hits[:, b], at, running[ends] - running[ends - n])
+        ends = np.cumsum(n)
+        for word in range(-(-n_lang // WORD)):
+            mask = model.slots[word][places[0]]
+            for slot in places[1:]:
+                mask &= model.slots[word][slot]
+            for b in range(word * WORD, min(n_lang, (word + 1) * WORD)):
+                running = np.concatenate(([0], np.cumsum((mask >> mask.dtype.type(b % WORD)) & mask.dtype.type(1), dtype=np.int64)))
+                np.add.at(hits[:, b], at, running[ends] - running[ends - n])
     if not n_lang:
         return ["und"] * len(texts), np.zeros(len(texts))
     true = np.clip((hits - seen[:, None] * model.false_positive) / (1 - np.minimum(model.false_positive, 0.999)), 0, None)
