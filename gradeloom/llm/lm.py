@@ -43,7 +43,7 @@ WIDTH = 16
 CONTEXT, STRIDE = 32, 24
 #: One part in FIRST_ROUND of the training texts is the first round's, the others the second's. After a round, weights are averaged.
 FIRST_ROUND = 4
-BATCH = 64
+BATCH = 128
 #: Share of the attention in a word's probability; the rest goes to the word's own count.
 MIX = 0.7
 #: Words whose counts go to every task, the most frequent ones; the other words' counts are joined.
@@ -104,11 +104,9 @@ class Cutter:
         self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        got = list(map(self.number.get, words))
-        if None in got:
-            self.learn(list({w for w, g in zip(words, got, strict=True) if g is None}))
-            got = list(map(self.number.get, words))
-        return np.array(got, np.int64)
+        if new := set(words).difference(self.number):
+            self.learn(list(new))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of a sequence of words, and how many each word has."""
@@ -137,10 +135,13 @@ def cut_texts(rows: DataFrame, path: str) -> DataFrame:
             return pd.DataFrame({"kind": 1, "id": None, "held": False, "data": words, "n": count[full]})
 
         for frame in rows_in(frames, size=4_000_000):
-            listed = [words_of(t) for t in frame["text"]]
-            flat = [w for words in listed for w in (*words, b" ")]
-            numbers = cutter.numbers(flat)
-            n = np.array([len(words) + 1 for words in listed])
+            flat, n = [], []
+            for text in frame["text"]:
+                words = words_of(text)
+                flat += words
+                flat.append(b" ")
+                n.append(len(words) + 1)
+            numbers, n = cutter.numbers(flat), np.array(n)
             held = frame["held"].to_numpy(bool)
             count = np.concatenate([count, np.zeros(len(cutter.sizes) - len(count), np.int64)])
             count += np.bincount(numbers[~np.repeat(held, n)], minlength=len(count))
