@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_in, saved
+from .common import masked, rows_in, saved, unmasked
 
 WINDOW = 10
 #: Windows in one broadcast table (some 100 bytes each). More are looked up in blocks, one pass each.
@@ -228,21 +228,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
     """`docs` without benchmark windows, in the columns it came with.
 
     remove="documents": rows with any hit go. remove="spans": hit spans are cut out of the text (and `n_chars_col`, if named, is
-    counted anew); a row left without a word goes. Rows without hits stay as they are, null and empty texts too.
+    counted anew); a row left without a word goes. Rows without hits stay as they are, null and empty texts too. Other columns are
+    carried whatever their names.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    rows = scan(docs, benchmark, text_col=text_col, item_col=item_col, item_text_col=item_text_col, n=n, as_col="__found")
+    plain, t, *count = masked(docs, text_col, *([n_chars_col] if n_chars_col else []))
+    rows = scan(plain, benchmark, text_col=t, item_col=item_col, item_text_col=item_text_col, n=n, as_col="__found")
+    hit = F.size("__found.spans") > 0
     if remove == "documents":
-        return rows.where(F.size("__found.spans") == 0).drop("__found")
+        return unmasked(rows.where(~hit), docs.columns)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(t, s) for t, s in zip(text, spans, strict=True)], index=text.index, dtype=object)
+        return pd.Series([cut_spans(x, s) for x, s in zip(text, spans, strict=True)], index=text.index, dtype=object)
 
-    hit = F.size("__found.spans") > 0
-    rows = rows.withColumn(text_col, F.when(hit, cut(F.col(text_col), F.col("__found.bytes"))).otherwise(F.col(text_col)))
-    rows = rows.where(~hit | F.coalesce(F.col(text_col).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False)))
-    if n_chars_col:
-        rows = rows.withColumn(n_chars_col, F.when(hit, F.char_length(text_col).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
-    return rows.drop("__found").select(*docs.columns)
+    rows = rows.withColumn(t, F.when(hit, cut(F.col(t), F.col("__found.bytes"))).otherwise(F.col(t)))
+    rows = rows.where(~hit | F.coalesce(F.col(t).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False)))
+    for c in count:
+        rows = rows.withColumn(c, F.when(hit, F.char_length(t).cast(plain.schema[c].dataType)).otherwise(F.col(c)))
+    return unmasked(rows, docs.columns)

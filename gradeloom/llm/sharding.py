@@ -191,11 +191,18 @@ class ShardTable:
 
 
 def arrivals_compacted(docs: DataFrame, *, id_col: str = "doc_id", arrivals: int = 16, **options) -> ShardTable:
-    """Append `docs` as `arrivals` arrivals (dealt by a hash of the id), compact, and drop the shards that were merged."""
+    """Append `docs` as `arrivals` arrivals (dealt by a hash of the id), compact, and drop the shards that were merged.
+
+    All columns are stored whatever their names (that of the arrival is chosen to be none of them); null ids are one arrival, repeated
+    rows are stored each, and an empty table is a version without rows.
+    """
     spark = docs.sparkSession
     table = ShardTable(spark, new_dir(spark, "shards"), **options)
-    dealt = docs.withColumn("__arrival", F.pmod(F.xxhash64(F.col(id_col)), F.lit(arrivals)))
-    table.append(dealt, "__arrival")
+    name, taken = "__arrival", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    dealt = docs.withColumn(name, F.pmod(F.xxhash64(F.col(id_col)), F.lit(arrivals)))
+    table.append(dealt, name)
     table.compact()
     table.vacuum()
     return table

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import resemblance
-from .common import rows_in, saved
+from .common import masked, rows_in, saved, unmasked
 
 SHINGLE = 3
 SEED = 42
@@ -166,7 +166,13 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Texts are the nodes: they are linked where their fingerprints are within two bits, and with `least` also where their
     five-word resemblance is `least` or more. A row goes by its id and text, so null ids and ids of several texts lose no component.
+    Null and wordless texts are copies of each other. Other columns are carried whatever their names; an empty table stays empty.
     """
+    rows, i, t = masked(docs, id_col, text_col)
+    return unmasked(_kept(rows, i, t, shingle, least), docs.columns)
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float | None) -> DataFrame:
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
 
     def hashed(frames):

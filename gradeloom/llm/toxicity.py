@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, rows_in, saved
+from .common import bounded_sample, masked, rows_in, saved, unmasked
 
 #: Second-person words of the languages served.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch ti tú usted ustedes vuestro".split())
@@ -209,22 +209,27 @@ def _margin(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", as_col: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1. Null and empty texts are scored by their (zero) features; repeated rows alike."""
+    """`docs` with a score from 0 to 1. Null and empty texts are scored by their (zero) features; repeated rows alike.
+
+    Other columns are carried whatever their names; one named `as_col` gives way to the score. An empty table gives an empty result.
+    """
+    rows, text = masked(docs, text_col)
+    return unmasked(_scored(rows, model, text).withColumnRenamed("__score", as_col), docs.columns, as_col)
+
+
+def _scored(rows: DataFrame, model: ToxicityModel, text_col: str) -> DataFrame:
     if model.trees is None:
-        return docs.withColumn(as_col, F.lit(float(model.base)))
-    columns = docs.columns
-    # The documents travel in one struct, so that none of their names meets one of the model's.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(text_col).alias("__text"))
-    rows = featurized(rows, model.lexicon, "__text", "__f").select("__row", _vector("__f").alias("features"))
-    rows = _margin(model.trees, rows)
+        return rows.withColumn("__score", F.lit(float(model.base)))
+    out = featurized(rows, model.lexicon, text_col, "__f").withColumn("features", _vector("__f"))
+    out = _margin(model.trees, out)
     if model.steps is not None:
-        rows = model.steps.transform(rows.drop("prediction")).withColumn("__score", F.col("prediction"))
+        out = model.steps.transform(out.drop("prediction")).withColumn("__score", F.col("prediction"))
     else:
-        rows = rows.withColumn("__score", F.col("margin"))
-    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score")))
-    return rows.select(*[F.col("__row")[c].alias(c) for c in columns], bounded.alias(as_col))
+        out = out.withColumn("__score", F.col("margin"))
+    return out.select(*rows.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score"))).alias("__score"))
 
 
 def reject(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """`docs` without those that score `threshold` or more, in the columns it came with."""
-    return score(docs, model, text_col=text_col, as_col="__toxicity").where(F.col("__toxicity") < threshold).select(*docs.columns)
+    """`docs` without those that score `threshold` or more, in the columns it came with, whatever their names."""
+    rows, text = masked(docs, text_col)
+    return unmasked(_scored(rows, model, text).where(F.col("__score") < threshold), docs.columns)

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gradeloom.llm import decontam, fingerprint, langid, linededup, lm, packing, resemblance, sharding, simhash, toxicity, warc
+from gradeloom.llm.common import BLOCKS, blocks, sample_bound, tree_sum
 from gradeloom.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score double, found int, key string"
@@ -312,35 +314,70 @@ def test_toxicity_edges(spark):
 # language model
 
 
+def _some_units(rng, n=12):
+    v, width = lm.VOCABULARY, lm.WIDTH
+    vectors = np.vstack([rng.standard_normal((n, width)) * 0.5, np.zeros((1, width))])
+    vectors[:n, 0] = 1
+    bigram = np.vstack([np.log(rng.dirichlet(np.ones(n), n)), np.zeros((1, n))])
+    begins = (np.arange(n) % 2).astype(float)
+    return lm.Units(rng.integers(0, n, v), n, rng.integers(0, n, v), n, begins, vectors, bigram, np.zeros(v), np.zeros(v, np.int64), np.zeros((n, 1)), np.zeros((n, n)))
+
+
+def _some_net(rng, units):
+    net = lm.Attention.new(units.count)
+    net.weights = {k: rng.standard_normal(w.shape) * 0.3 for k, w in net.weights.items()}
+    return net
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(0)
-    n = 12
-    v = lm.VOCABULARY
-    units = lm.Units(rng.integers(0, n, v), n, rng.integers(0, n, v), n, np.log(rng.dirichlet(np.ones(n), n)).astype(np.float32), np.zeros(v, np.float32), np.full(v, -1), np.zeros((n, 1), np.float32), np.zeros((n, n), np.float32))
-    net = lm.Attention.new(n, n)
-    net.weights = {k: w.astype(np.float64) for k, w in net.weights.items()}
-    net.weights["head"] = rng.standard_normal(net.weights["head"].shape) * 0.3
+    units = _some_units(rng)
+    net = _some_net(rng, units)
     ids, sizes = rng.integers(0, 1000, 150), np.array([100, 1, 49])
     x, y, at = lm.windows(units, ids, sizes)
-    assert sorted(at[y >= 0].tolist()) == list(range(150))  # every subword is scored once
+    assert sorted(at.tolist()) == np.flatnonzero(y.ravel() >= 0).tolist()  # every subword is scored once
     _, g = lm.gradients(net, units, x, y)
     for k, w in net.weights.items():
-        i = tuple(int(rng.integers(0, s)) for s in w.shape)
-        old, e = w[i], (1e-3 if k == "distance" else 1e-5)
-        w[i] = old + e
-        up = lm.gradients(net, units, x, y)[0]
-        w[i] = old - e
-        down = lm.gradients(net, units, x, y)[0]
-        w[i] = old
-        assert abs(g[k][i] - (up - down) / 2 / e) < 1e-5
+        for _ in range(4):
+            i = tuple(int(rng.integers(0, s)) for s in w.shape)
+            old, e = w[i], 1e-5
+            w[i] = old + e
+            up = lm.gradients(net, units, x, y)[0]
+            w[i] = old - e
+            down = lm.gradients(net, units, x, y)[0]
+            w[i] = old
+            assert abs(g[k][i] - (up - down) / 2 / e) < 1e-6
     # the future of a place does not change its probability, nor does another text
-    a = lm.log_probabilities(net, units, ids, sizes)
+    a, _ = lm.log_probabilities(net, units, ids, sizes)
     changed = ids.copy()
     changed[90:100] = 7
-    b = lm.log_probabilities(net, units, changed, sizes)
+    b, _ = lm.log_probabilities(net, units, changed, sizes)
     assert np.allclose(a[:90], b[:90]) and np.allclose(a[100:], b[100:])
 
 
+def test_lm_against_a_naive_forward_pass():
+    """Place by place: softmax over the places before it in its window, of content and distance, then over the units."""
+    rng = np.random.default_rng(1)
+    units = _some_units(rng)
+    net = _some_net(rng, units)
+    ids, sizes = rng.integers(0, 1000, 90), np.array([70, 20])
+    got, begin = lm.log_probabilities(net, units, ids, sizes)
+    w, at = net.weights, 0
+    for n in sizes.tolist():
+        text = ids[at : at + n].tolist()
+        entered = [int(units.enter[i]) for i in [lm.END, *text[:-1]]]
+        for k in range(n):
+            first = max(0, k // lm.STRIDE * lm.STRIDE - (lm.CONTEXT - lm.STRIDE))
+            q = units.vectors[entered[k]] @ w["score"]
+            weight = np.array([math.exp(q @ units.vectors[entered[j]] + w["distance"][k - j]) for j in range(first, k + 1)])
+            seen = weight @ units.vectors[entered[first : k + 1]] / weight.sum()
+            p = np.exp(seen @ w["head"] + units.bigram[entered[k]])
+            p /= p.sum()
+            assert abs(got[at + k] - math.log10(p[units.of[text[k]]])) < 1e-5
+            assert abs(begin[at + k] - math.log10(p @ units.begins)) < 1e-5
+        at += n
+
+
 def test_lm_query(spark, docs, sf_dir):
     got = {r["doc_id"]: r for r in QUERIES["op7_lm_scoring"](spark, sf_dir).collect()}
     rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.collect()]
@@ -354,13 +391,59 @@ def test_lm_query(spark, docs, sf_dir):
         assert -20 * len(tokens) < r["score"] < 0
 
 
-def test_lm_probabilities_sum_to_one(spark, docs):
-    counts = lm.word_counts(docs.limit(40))
-    units = lm.learn_units(counts, 40, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    assert np.allclose(np.exp(units.bigram).sum(axis=1), 1, atol=1e-4)
+def _learned(rows):
+    """Texts and words cut, and the units learned from them."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    parts = lm.cut_texts(rows.select(F.col("doc_id").cast("string").alias("id"), F.lit(False).alias("held"), F.coalesce("text", F.lit("")).alias("text")), path)
+    counts = parts.where("kind = 1").groupBy("data").agg(F.sum("n").alias("n"))
+    texts = parts.where("kind = 0").select("id", "data")
+    return texts, counts, lm.learn_units(texts, counts, path)
+
+
+def test_lm_probabilities_sum_to_one(docs):
+    texts, _, units = _learned(docs.limit(40))
+    assert np.allclose(np.exp(units.bigram[:-1]).sum(axis=1), 1, atol=1e-4)
     for before in (0, 5, units.inputs - 1):
         p = np.exp(units.in_unit(np.full(lm.VOCABULARY, before), np.arange(lm.VOCABULARY)))
         assert np.allclose(np.bincount(units.of, weights=p, minlength=units.count), 1, atol=1e-3)
+    begins = lm.starts(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert (units.begins[units.of] == begins).all()  # no unit holds both kinds
+    assert np.isfinite(units.vectors).all() and np.sqrt((units.vectors**2).sum(axis=1)).max() < 4.001
+
+
+def test_lm_cuts_as_the_coder_does(docs):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [t or "" for t in EDGE] + ["x\u00a0y \u2028z \u0085", "Don't  it's\ta"] + [r["text"] or "" for r in docs.limit(50).collect()]
+    cutter = lm.Cutter(path)
+    for t in texts:
+        words = lm.words_of(t)
+        ids, sizes = cutter.ids(cutter.numbers(words))
+        want = [lm.coder(path).encode_ordinary(" " + w.decode()) for w in words]
+        assert ids.tolist() == [i for part in want for i in part] and sizes.tolist() == [len(p) for p in want]
+        assert lm.starts(path)[ids].sum() == len(words)
+
+
+def test_lm_word_keys_are_exact():
+    rng = np.random.default_rng(2)
+    words = list({tuple(rng.integers(0, 50257, rng.integers(1, 7)).tolist()) for _ in range(3000)} | {(0,), (0, 0), (0, 0, 0), (0, 0, 0, 0), (50256,)})
+    sizes = np.array([len(w) for w in words])
+    keys = lm.word_keys(np.array([i for w in words for i in w]), np.cumsum(sizes) - sizes, sizes)
+    short = sizes <= 4
+    assert (keys[~short] == 0).all() and len(set(keys[short].tolist())) == short.sum() and (keys[short] > 0).all()
+
+
+def test_lm_beats_its_base_and_its_ablation(spark, monkeypatch):
+    """Held-out log10 scores a token: over the unigram base, and over the same model with the attention untrained."""
+    sf = "/root/testdata/sf0.01"
+
+    def held(out):
+        sums = out.where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score"), F.sum("attention_score")).first()
+        return [sums[i] / sums[0] for i in (1, 2, 3)]
+
+    base, score, alone = held(QUERIES["op7_lm_scoring"](spark, sf))
+    monkeypatch.setattr(lm, "train", lambda texts, units: lm.Attention.new(units.count))
+    _, no_score, no_alone = held(QUERIES["op7_lm_scoring"](spark, sf))
+    assert score > base + 0.1 and score > no_score + 0.08 and alone > no_alone + 0.15
 
 
 def test_lm_edges(spark):
@@ -553,20 +636,149 @@ def test_near_dedup_stage_catches_resemblance(spark, monkeypatch, crowd):
 
 def test_lm_counts_pairs_across_words(spark):
     """Every text alternates two words: what follows each is certain, though both are as frequent."""
+    _, _, units = _learned(frame(spark, ["cat dog " * 50] * 4))
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = frame(spark, ["cat dog " * 50] * 4)
-    units = lm.learn_units(lm.word_counts(rows), 4, path, rows)
     (cat,), (dog,) = (lm.coder(path).encode_ordinary(w) for w in (" cat", " dog"))
     p = np.exp(units.bigram)
     assert p[units.enter[cat], units.of[dog]] > 0.9 and p[units.enter[cat], units.of[cat]] < 0.05
 
 
-def test_lm_trains_on_every_text(spark):
-    """The rounds' parts are all texts, each in one."""
-    rows = frame(spark, [f"t{i} u{i} v{i}" for i in range(40)])
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    units = lm.learn_units(lm.word_counts(rows), 40, path, rows)
-    share = lm.TRAIN_SHARE * lm.ROUNDS
-    parts = [rows.where(F.pmod(F.xxhash64("id", "text", F.lit(31)), F.lit(share)) == r).count() for r in range(lm.ROUNDS)]
-    assert sum(parts) == 40
-    assert any(lm.train(rows, units, path).weights["head"].ravel())
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    """The rounds' parts are all texts, each in one, and all windows of each are trained on."""
+    texts, _, units = _learned(frame(spark, [f"t{i} u{i} v{i} " * (i + 1) for i in range(40)]))
+    sizes = np.array([len(r["data"]) // 2 for r in texts.collect()])
+    seen = []
+    real = lm.tree_sum
+    monkeypatch.setattr(lm, "tree_sum", lambda rows, n: seen.append(real(rows, n)) or seen[-1])
+    assert any(lm.train(texts, units).weights["head"].ravel())
+    assert len(seen) == 2 and sum(x[0][0] for x in seen) == (-(-sizes // lm.STRIDE)).sum()
+
+
+def test_tree_sum(spark):
+    rng = np.random.default_rng(6)
+    thin = np.zeros(70_000)
+    thin[[3, 40_000, 69_999]] = [1, 2, 3]
+    full = rng.integers(0, 9, 40_000).astype(np.float64)
+
+    def give(frames):
+        for _ in frames:
+            pass
+        yield from blocks(0, thin)
+        yield from blocks(1, full)
+
+    got = tree_sum(spark.range(0, 6, 1, 6).mapInPandas(give, BLOCKS), [70_000, 40_000], fan=2)
+    assert (got[0] == 6 * thin).all() and (got[1] == 6 * full).all()
+    none = tree_sum(spark.range(0).mapInPandas(lambda frames: iter(()), BLOCKS), [5])
+    assert none[0].tolist() == [0] * 5
+
+
+# samples, ids and names
+
+
+def test_bounded_sample_has_rows_at_any_size():
+    assert sample_bound(10**11, 20_000) / 2**63 == pytest.approx(2e-7) and sample_bound(10, 20) == 1 << 63
+    assert sample_bound(5 * 10**13, 12_000) > 0
+
+
+@pytest.mark.parametrize("kind", ["hash", "outlier", "string", "ends", "repeated"])
+def test_next_rows_of_any_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprint, "GROUP_ROWS", 16)
+    rng = random.Random(3)
+    n = 600
+    ids = {
+        "hash": [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)],
+        "outlier": [*range(n - 2), 9 * 10**18, -9 * 10**18],
+        "string": [f"doc-{rng.randrange(10**9)}" for _ in range(n)],
+        "ends": [-(1 << 63), (1 << 63) - 1, 0, None, *range(5, 5 + n - 4)],
+        "repeated": [7] * 300 + list(range(300)),
+    }[kind]
+    texts = [f"t{i} " * 9 for i in range(n)]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {'string' if kind == 'string' else 'long'}, text string")
+    got = sorted((str(r["doc_id"]), r["edited_sha256"]) for r in fingerprint.edited_fingerprints(rows).collect())
+    hashes = [r[0] for r in rows.select(F.xxhash64("text")).collect()]
+    order = sorted(range(n), key=lambda k: (ids[k] is not None, 0 if ids[k] is None else ids[k], hashes[k]) if kind != "string" else (ids[k], hashes[k]), reverse=True)
+    want = []
+    for k, j in zip(order, order[1:] + order[:1], strict=True):
+        m = len(texts[k]) // 3
+        want.append((str(ids[k]), hashlib.sha256((texts[k][: len(texts[k]) - m] + texts[j][:m]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_ranges_follow_counts(spark):
+    keys = spark.range(50_000).select(F.struct(F.when(F.col("id") < 49_990, F.col("id")).otherwise(F.col("id") * 10**12).alias("id"), F.lit(1).cast("long").alias("tie")).alias("key"))
+    bounds, fines = fingerprint._ranges(keys, 1000)
+    sizes = [r["count"] for r in keys.withColumn("c", fingerprint._place(F.col("key"), fingerprint._listed(keys, bounds))).groupBy("c").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 50_000 / len(sizes) * 2.5
+    assert all(r["fine"] for r in fines.collect())
+
+
+def test_language_masks_of_many_words(spark):
+    """150 languages: three mask words a slot."""
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(1500)]
+    own = {f"l{k:03d}": letters[10 * k : 10 * k + 10] for k in range(150)}
+    rows = [(i * 150 + k, " ".join("".join(rng.choice(own[lang]) for _ in range(4)) for _ in range(60)), lang) for i in range(2) for k, lang in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, min_count=1)
+    assert model.slots.shape[0] == 3 and len(model.languages) == 150
+    out = langid.predict(docs, model).join(docs, "doc_id")
+    assert out.where("lang_pred = lang").count() >= 295
+
+
+NAMES = ["__hash", "__id", "__text", "__gone", "__n", "__row", "__found", "__score", "__node", "hash", "features", "margin", "a.b", "TEXTS", "c0", "fp", "__arrival"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents with extra columns of every name that an operator uses inside, one with a dot, and names in other case."""
+    rows = frame(spark, ["one line of text\nshared line", "one line of text\nshared line", None, "", "alpha beta word", "an other text of five words and more"], ids=[1, 2, 3, 4, 5, None])
+    return rows.select("doc_id", "text", "source", "n_chars", *[F.lit(f"v{i}").alias(n) for i, n in enumerate(NAMES)])
+
+
+def test_extra_columns_of_any_name(spark, odd):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    model = toxicity.ToxicityModel({}, None, None, 0.1)
+    rng = random.Random(1)
+    texts = [f"good {'awful' if i % 3 == 0 else 'calm'} tree {rng.choice('abcdef')}" * 4 for i in range(200)]
+    trained = toxicity.fit(frame(spark, texts), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int"), trees=2)
+    outs = {
+        "strip": linededup.strip(odd, n_chars_col="n_chars"),
+        "keep": simhash.keep_first(odd, least=0.8),
+        "reject": toxicity.reject(odd, model),
+        "trained": toxicity.reject(odd, trained, threshold=1.1),
+        "decontam": decontam.clean(odd, bench),
+        "spans": decontam.clean(odd, bench, remove="spans", n_chars_col="n_chars"),
+    }
+    for name, out in outs.items():
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(r[4 + i] == f"v{i}" for r in rows for i in range(len(NAMES))), name
+    new = linededup.clean(odd)
+    assert new.columns == [c for c in odd.columns if c != "__text"] + ["__lines", "__removed", "__text"] and new.count() == 6
+    scored = toxicity.score(odd.withColumn("score", F.lit("x")), trained)
+    assert scored.columns == [*odd.columns, "score"] and dict(scored.dtypes)["score"] == "double"
+    stored = sharding.arrivals_compacted(odd.drop("a.b"), arrivals=2).read()
+    assert stored.columns == odd.drop("a.b").columns and {r["__arrival"] for r in stored.collect()} == {"v16"} and stored.count() == 6
+    none = sharding.arrivals_compacted(odd.drop("a.b").limit(0)).read()
+    assert none.count() == 0
+
+
+def test_pipeline_stages_on_edge_rows(spark, sf_dir):
+    """Null, empty and very long texts, ties, repeated rows, null ids, an extra column; and an empty table."""
+    import corpus_pipeline
+
+    kinds = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    text = "plain words of a text that goes on for a while and then ends here"
+    rows = [(i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate([*EDGE, text, text])] + [(None, text + " again and more", None, None, None), (3, "one", "en", "s0", 3), (3, "one", "en", "s0", 3)]
+    docs = spark.createDataFrame(rows, kinds).withColumn("__text", F.lit("kept"))
+    for name, stage in corpus_pipeline.STAGES:
+        now, none = stage(spark, docs, sf_dir), stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0
+        if name != "best-fit packing":
+            assert now.columns == docs.columns == none.columns
+            assert {r["__text"] for r in now.collect()} == {"kept"}
+        else:
+            assert now.where("piece = 0").count() == len(rows)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert sum(r["text"] == text for r in kept) == 1 and sum(r["text"] == "one" for r in kept) == 1
+    assert sum(not (r["text"] or "").strip() for r in kept) == 1
