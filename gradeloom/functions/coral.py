@@ -29,9 +29,14 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def logits(s: Column, thresholds: list[float], slope: float = 1.0) -> list[Column]:
+    """Log odds of y > k for each cut point."""
+    return [F.lit(float(slope)) * (s - F.lit(float(t))) for t in thresholds]
+
+
 def bounds(s: Column, thresholds: list[float], slope: float = 1.0) -> list[Column]:
     """P(y > k) for each cut point."""
-    return [sigmoid(F.lit(float(slope)) * (s - F.lit(float(t)))) for t in thresholds]
+    return [sigmoid(x) for x in logits(s, thresholds, slope)]
 
 
 def cumulative(s: Column, thresholds: list[float], slope: float = 1.0) -> Column:
@@ -74,10 +79,15 @@ def residual(y: Column, p_gt: Column) -> Column:
     return F.aggregate(F.transform(p_gt, lambda p, i: (y > i + 1).cast("double") - p), F.lit(0.0), lambda a, x: a + x)
 
 
-def loss(y: Column, p_gt: Column) -> Column:
-    """Mean binary cross-entropy over the bounds of a row."""
-    each = F.transform(p_gt, lambda p, i: F.when(y > i + 1, -F.log(p)).otherwise(-F.log1p(-p)))
-    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(p_gt)
+def loss(y: Column, scores: list[Column]) -> Column:
+    """Mean binary cross-entropy over the bounds of a row, from their log odds: however far these lie, it is finite."""
+    each = [F.greatest(x, F.lit(0.0)) - F.when(y > k, x).otherwise(0.0) + F.log1p(F.exp(-F.abs(x))) for k, x in enumerate(scores, 1)]
+    return sum(each, F.lit(0.0)) / len(each)
+
+
+def mean_loss(loss: Column, weight: Column | None = None) -> Column:
+    """Mean of the rows' losses, weighted if a weight is given."""
+    return F.avg(loss) if weight is None else F.try_divide(F.sum(loss * weight), F.sum(F.when(loss.isNotNull(), weight)))
 
 
 def decode_offsets(y_cont: Column, offsets: list[float]) -> Column:

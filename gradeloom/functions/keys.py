@@ -65,25 +65,30 @@ FAMILIES = {"classic": "classic", "pyradiomics": "pyradiomics", "pyr": "pyradiom
 def family_of(feature: Column) -> Column:
     first = F.lower(F.split(feature, "_")[0])
     families = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
-    return F.element_at(families, first)
+    return F.when(F.contains(feature, F.lit("_")), F.try_element_at(families, first))  # a name of one part has none
 
 
 def forced_names(names: list[str], segments: list[str] = SEGMENTS) -> list[str]:
     """Feature names without their segment part, each once, in the given order."""
-    out: list[str] = []
-    for name in names:
-        name = name.strip()
-        for s in segments:
-            name = name.replace(f"_{s}_", "_", 1)
-        if name and name not in out:
-            out.append(name)
-    return out
-
-
-def dummy_name(column: str, level: str) -> str:
-    """Name of a level's dummy column: signs spelled out, everything else that is no letter or digit as "_"."""
-    spelled = level.replace(">=", "ge_").replace("<=", "le_").replace(">", "gt_").replace("<", "lt_")
-    return f"{column}_{re.sub(r'[^0-9A-Za-z]+', '_', spelled).strip('_')}"
+    part = re.compile("_(" + "|".join(map(re.escape, segments)) + ")_")
+    return [n for n in dict.fromkeys(part.sub("_", name.strip()) for name in names) if n]
+
+
+#: How signs of comparison are spelled in a name.
+SIGNS = {">=": "ge_", "<=": "le_", ">": "gt_", "<": "lt_", "=": "eq_"}
+_SIGN = re.compile(">=|<=|[<>=]")
+
+
+def name_part(text: str) -> str:
+    """A text as part of a column or file name: signs of comparison spelled out, runs of blanks, dashes, underscores and signs that a
+    file name may not have as one "_", none at the ends; "empty" for nothing."""
+    spelled = _SIGN.sub(lambda m: SIGNS[m[0]], str(text).strip())
+    return re.sub(r"[\\/:*?\"|\s_-]+", "_", spelled).strip("_") or "empty"
+
+
+def dummy_name(column: str, level: str, prefix: str = "") -> str:
+    """Name of a level's dummy column."""
+    return f"{prefix}{name_part(column)}__{name_part(level)}"
 
 
 def pair_key(path: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sums import added
 from .thresholds import scores_of
 
 BLOCK = 50
@@ -26,10 +28,10 @@ def weights(keys: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
 
 
 def replicate_sums(cells: DataFrame, cluster: str, resamples: int, width: int, seed: int) -> DataFrame:
-    """(block, sums): for each block of replicates the weighted sums of `width` cells, as bytes of a matrix. cells: cluster hash, cell, x."""
+    """(block, sums): for each block of replicates the weighted sums of `width` cells, as bytes of a matrix; the first replicate is the rows as they are. cells: cluster hash, cell, x."""
 
     def partial(frames):
-        total = np.zeros((resamples, width))
+        total = np.zeros((1 + resamples, width))
         some = False
         for frame in frames:
             some = True
@@ -39,22 +41,22 @@ def replicate_sums(cells: DataFrame, cluster: str, resamples: int, width: int, s
                 m = np.zeros((min(2000, len(key) - a), width))
                 np.add.at(m, (at[inside] - a, frame["cell"].to_numpy()[inside]), frame["x"].to_numpy()[inside])
                 used = np.flatnonzero(m.any(axis=0))
-                total[:, used] += weights(key[a : a + 2000], 0, resamples, seed).T @ m[:, used]
+                total[1:, used] += weights(key[a : a + 2000], 0, resamples, seed).T @ m[:, used]
+                total[0, used] += m[:, used].sum(axis=0)
         if some:
-            yield pd.DataFrame({"block": np.arange(-(-resamples // BLOCK)), "sums": [total[i : i + BLOCK].tobytes() for i in range(0, resamples, BLOCK)]})
+            first = range(0, len(total), BLOCK)
+            yield pd.DataFrame({"block": np.arange(len(first)), "sums": [total[i : i + BLOCK].tobytes() for i in first], "part": TaskContext.get().partitionId()})
 
-    def merge(key, frame: pd.DataFrame) -> pd.DataFrame:  # a row per partition
-        return pd.DataFrame({"block": [key[0]], "sums": [sum(np.frombuffer(b) for b in frame["sums"]).tobytes()]})
-
-    parts = cells.select(F.xxhash64(cluster).alias("key"), "cell", F.col("x").cast("double").alias("x")).mapInPandas(partial, "block long, sums binary")
-    return parts.groupBy("block").applyInPandas(merge, "block long, sums binary")
+    parts = cells.select(F.xxhash64(cluster).alias("key"), "cell", F.col("x").cast("double").alias("x")).mapInPandas(partial, "block long, sums binary, part long")
+    return added(parts, ["block"], "sums")
 
 
 def intervals(rows: DataFrame, cluster: str, classes: int, resamples: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(metric, estimate, low, high, n_resamples) of nine ordinal metrics, clusters drawn with replacement.
 
     A cluster's number of draws is Poisson(1), the limit of drawing as many clusters as there are; a cluster's rows may lie in any
-    number of partitions. The rank correlation sees y_cont in steps of 1/50. Undefined metrics of a replicate count as 0.
+    number of partitions. The estimate is that of the rows themselves. The rank correlation sees y_cont in steps of 1/50, in the
+    estimate too. Undefined metrics of a replicate count as 0. Fewer than two clusters: no interval.
     """
     steps = (classes - 1) * STEPS + 1
     y, c = F.col("y_true").cast("int"), F.col("y_cont").cast("double")
@@ -83,8 +85,12 @@ def intervals(rows: DataFrame, cluster: str, classes: int, resamples: int = 1000
                     yield pd.DataFrame({"metric": name, "replicate": block * BLOCK + np.arange(len(v)), "value": v})
 
     drawn = sums.mapInPandas(measure, "metric string, replicate long, value double")
-    bounds = drawn.groupBy("metric").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"), F.count(F.lit(1)).alias("n_resamples"))
-    return bounds
+    several = cells.select(cluster).distinct().limit(2).count() > 1
+    own, again = F.col("replicate") == 0, F.when(F.col("replicate") > 0, F.col("value"))
+    ends = {"low": F.percentile(again, F.lit(alpha / 2)), "high": F.percentile(again, F.lit(1 - alpha / 2))}  # of the replicates
+    return drawn.groupBy("metric").agg(
+        F.max(F.when(own, F.col("value"))).alias("estimate"), *[(e if several else F.max(F.lit(None).cast("double"))).alias(k) for k, e in ends.items()], F.count(again).alias("n_resamples")
+    )
 
 
 def nine(m: np.ndarray, classes: int, steps: int) -> dict[str, np.ndarray]:

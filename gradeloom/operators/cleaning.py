@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import median
+
 
 def first_values(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """One row per key: the first value that is not null of each column, in the given order."""
@@ -34,7 +36,7 @@ def drop_constant(long: DataFrame, least: float = 1e-12, condition: str = "gold"
 def medians(long: DataFrame, train: Column | None = None) -> DataFrame:
     """(feature, median), of the training rows if a condition is given."""
     rows = long if train is None else long.where(train)
-    return rows.groupBy("feature").agg(F.median("value").alias("median"))
+    return median(rows, ["feature"], "value")
 
 
 def impute(long: DataFrame, table: DataFrame) -> DataFrame:

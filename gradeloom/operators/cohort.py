@@ -19,8 +19,9 @@ def grade_distribution(rows: DataFrame, segment: str, grade: str, classes: int)
 def top_and_other(rows: DataFrame, value: str, n: int) -> DataFrame:
     """(value, n): the n most frequent values (ties by value) and "Other" for the rest."""
     counts = rows.groupBy(F.col(value).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "value"))
-    return counts.withColumn("r", rank).groupBy(F.when(F.col("r") <= n, F.col("value")).otherwise("Other").alias("value")).agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "value").limit(n).select(F.col("value").alias("__top"), F.lit(True).alias("__in"))
+    joined = counts.join(F.broadcast(top), F.col("value").eqNullSafe(F.col("__top")), "left")  # n rows
+    return joined.groupBy(F.when(F.col("__in"), F.col("value")).otherwise("Other").alias("value")).agg(F.sum("n").alias("n"))
 
 
 def image_counts(stats: DataFrame, image: str, keys: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import median, percentiles
+
 
 def with_interactions(contrib: DataFrame, terms: DataFrame) -> DataFrame:
     """(sample_id, feature, contrib): main terms plus the interaction terms that the map (term, feature) gives to a feature."""
@@ -66,14 +68,15 @@ def shape_band(contrib: DataFrame, most: int = 200) -> DataFrame:
 def quantile_bins(rows: DataFrame, keys: list[str], x: str, y: str, bins: int = 10) -> DataFrame:
     """(keys, bin, x_median, y_mean, n, y_smooth): right-closed bins between distinct quantiles of x; equal widths where these collapse."""
     ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    q = F.percentile(F.col(x), F.lit([i / bins for i in range(bins + 1)]))
-    edges = ok.groupBy(*keys).agg(F.array_distinct(q).alias("q"), F.min(x).alias("low"), F.max(x).alias("high"), F.least(F.lit(bins), F.count_distinct(x)).cast("int").alias("m"))
+    q = percentiles(ok, keys, x, [i / bins for i in range(bins + 1)]).withColumn("q", F.array_distinct("q"))
+    distinct = ok.groupBy(*keys, x).agg(F.lit(1).alias("__one"))
+    edges = q.join(distinct.groupBy(*keys).agg(F.min(x).alias("low"), F.max(x).alias("high"), F.least(F.lit(bins), F.count(F.lit(1))).cast("int").alias("m")), keys)
     equal = F.transform(F.sequence(F.lit(0), F.col("m")), lambda i: F.col("low") + (F.col("high") - F.col("low")) * i / F.col("m"))
     edges = edges.select(*keys, F.when((F.size("q") > 2) | (F.col("m") <= 1), F.col("q")).otherwise(equal).alias("q"))
     inner = F.when(F.size("q") > 2, F.slice("q", F.lit(2), F.size("q") - 2)).otherwise(F.array().cast("array<double>"))
-    joined = ok.join(edges.select(*keys, inner.alias("__q")), keys)
-    b = F.size(F.filter("__q", lambda e: e < F.col(x)))
-    t = joined.groupBy(*keys, b.alias("bin")).agg(F.median(x).alias("x_median"), F.avg(y).alias("y_mean"), F.count(F.lit(1)).alias("n"))
+    joined = ok.join(edges.select(*keys, inner.alias("__q")), keys).withColumn("bin", F.size(F.filter("__q", lambda e: e < F.col(x)))).drop("__q")
+    t = joined.groupBy(*keys, "bin").agg(F.avg(y).alias("y_mean"), F.count(F.lit(1)).alias("n")).join(median(joined, [*keys, "bin"], x, "x_median"), [*keys, "bin"])
+    t = t.select(*keys, "bin", "x_median", "y_mean", "n")
     w = Window.partitionBy(*keys).orderBy("bin")
     before, after = F.coalesce(F.lag("y_mean").over(w), F.col("y_mean")), F.coalesce(F.lead("y_mean").over(w), F.col("y_mean"))
     smooth = (before + F.col("y_mean") + after) / 3
@@ -85,7 +88,8 @@ def cut_points(rows: DataFrame, keys: list[str], x: str, g: str, quantiles: list
 
     Sums between neighbouring candidates are made in Spark; combinations are tried on these few cells per key.
     """
-    edges = rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile(F.col(x), F.lit(list(quantiles))))).alias("__q"), F.count_distinct(x).alias("__d"))
+    distinct = rows.groupBy(*keys, x).agg(F.lit(1).alias("__one")).groupBy(*keys).agg(F.count(x).alias("__d"))
+    edges = percentiles(rows, keys, x, list(quantiles), "__q").withColumn("__q", F.array_sort(F.array_distinct("__q"))).join(distinct, keys)
     edges = edges.where(F.col("__d") >= segments)
     cell = F.size(F.filter("__q", lambda e: e < F.col(x)))
     cells = rows.join(edges, keys).groupBy(*keys, "__q", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum(g).alias("s"), F.sum(F.col(g) * F.col(g)).alias("ss"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import norm_ppf
+from .lineage import settled
+from .ranks import running_counts
 
 
 def zscore_fit(long: DataFrame) -> DataFrame:
@@ -20,20 +22,28 @@ def zscore_apply(long: DataFrame, fitted: DataFrame) -> DataFrame:
     return long.join(fitted, "feature").withColumn("value", (F.col("value") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
 
 
+def _shares(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """(feature, value, c, u) for the distinct values of both: how often training has it, and its rank share."""
+    some = lambda df, c: df.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(c.alias("c"))
+    cells = some(train, F.count(F.lit(1))).unionByName(some(rows, F.lit(0).cast("long"))).groupBy("feature", "value").agg(F.sum("c").alias("c"))
+    total = train.groupBy("feature").agg(F.count("value").alias("n")).where("n > 0")
+    run = running_counts(cells, ["feature"], "value", "c").join(total, "feature")
+    return run.select("feature", "value", "c", ((F.greatest(F.lit(1), F.col("before") + F.col("c")) - 0.5) / F.col("n")).alias("u"))
+
+
 def rank_share(train: DataFrame, rows: DataFrame) -> DataFrame:
     """rows with `u`: (number of training values <= x, at least 1, less a half) over their number, per feature.
 
-    Distinct training values with running counts are joined as of the value: both sides in one window over the values, no lookup table in a task.
+    Only distinct values with counts are ranked, in ranges; rows meet them in a join by value. Rows of features that training lacks go.
     """
-    cells = train.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    names = [c for c in rows.columns if c not in ("feature", "value")]
-    left = rows.select("feature", "value", F.struct(*names).alias("row"), F.lit(0).cast("long").alias("c"))
-    right = cells.select("feature", "value", F.lit(None).cast(left.schema["row"].dataType).alias("row"), "c")
-    w = Window.partitionBy("feature").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
-    upto = left.unionByName(right).withColumn("k", F.sum("c").over(w)).where(F.col("row").isNotNull())
-    total = cells.groupBy("feature").agg(F.sum("c").alias("n"))
-    u = (F.greatest(F.lit(1), F.least("n", "k")) - 0.5) / F.col("n")
-    return upto.join(total, "feature").select(*[F.col("row")[c].alias(c) for c in names], "feature", "value", F.when(F.col("value").isNotNull(), u).alias("u"))
+    return _with_shares(rows, _shares(train, rows), F.col("u"), "u")
+
+
+def _with_shares(rows: DataFrame, table: DataFrame, what: Column, name: str) -> DataFrame:
+    of = table.select(F.col("feature").alias("__f"), F.col("value").alias("__v"), what.alias(name))
+    known = table.select("feature").distinct()
+    found = rows.where(F.col("value").isNotNull()).join(of, (F.col("feature") == F.col("__f")) & (F.col("value") == F.col("__v"))).select(*rows.columns, name)
+    return found.unionByName(rows.where(F.col("value").isNull()).join(known, "feature", "left_semi").withColumn(name, F.lit(None).cast("double")))
 
 
 def normal_quantile(u: Column) -> Column:
@@ -45,10 +55,17 @@ def normal_quantile(u: Column) -> Column:
 
 
 def rank_gauss(train: DataFrame, rows: DataFrame, gauss: bool = True) -> DataFrame:
-    """Values as normal quantiles of their rank share (or the share itself), then standardised by the training rows' mean and deviation."""
-    to = lambda df: df.withColumn("value", normal_quantile(F.col("u")) if gauss else F.col("u")).drop("u")
-    fitted = zscore_fit(to(rank_share(train, train)))
-    return zscore_apply(to(rank_share(train, rows)), fitted)
+    """Values as normal quantiles of their rank share (or the share itself), then standardised by the training rows' mean and deviation.
+
+    Both follow from the table of distinct values, so the rows are joined once.
+    """
+    table = settled(_shares(train, rows)).withColumn("g", normal_quantile(F.col("u")) if gauss else F.col("u"))
+    c, g = F.col("c"), F.col("g")
+    moments = table.groupBy("feature").agg((F.sum(c * g) / F.sum(c)).alias("mean"), (F.sum(c * g * g) / F.sum(c)).alias("square"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))
+    fitted = moments.select("feature", "mean", F.when(sd > 1e-12, sd).otherwise(1.0).alias("sd"))
+    shared = table.join(fitted, "feature").select("feature", "value", ((g - F.col("mean")) / F.col("sd")).alias("g"))
+    return _with_shares(rows, shared, F.col("g"), "g").drop("value").withColumnRenamed("g", "value")
 
 
 def mean_variance_fit(long: DataFrame, batch: str) -> DataFrame:
@@ -69,11 +86,10 @@ def combat_fit(long: DataFrame, batch: str, covariate: str, *, parametric: bool
     """(feature, batch, covariate, stand, scale, gamma, delta): location and scale of each batch beside a discrete covariate.
 
     The design is categorical, so counts and sums by (batch, covariate) are all that a feature's least-squares fit needs; each feature's
-    few cells are solved in one group. gamma and delta are shrunk by empirical Bayes over the features of a batch. Batches with fewer
-    than `least` rows per feature are left out. With `ref_batch` the others move to it. Only the parametric prior is offered.
+    few cells are solved in one group. gamma and delta are shrunk by empirical Bayes over the features of a batch, by the parametric prior
+    or by the likelihoods of the other features' values (`parametric=False`). Batches with fewer than `least` rows per feature are left
+    out. With `ref_batch` the others move to it. The table, of a size that does not follow the rows, is kept for what is done with it.
     """
-    if not parametric:
-        raise ValueError("only the parametric prior is offered")
     cells = long.groupBy("feature", batch, covariate).agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     sizes = cells.groupBy("feature", batch).agg(F.sum("n").alias("b_n"))
     cells = cells.join(sizes.where(F.col("b_n") >= least), ["feature", batch])
@@ -128,9 +144,32 @@ def combat_fit(long: DataFrame, batch: str, covariate: str, *, parametric: bool
                     break
         return pd.DataFrame({"gamma": g, "delta": d})
 
-    eb = joined.withColumn("eb", shrink("gamma_hat", "delta_hat", "b_n", "g_bar", "t2", "m", "s2"))
+    if parametric:
+        eb = joined.withColumn("eb", shrink("gamma_hat", "delta_hat", "b_n", "g_bar", "t2", "m", "s2"))
+    else:
+        by_batch = hats.groupBy("feature", batch).agg(F.first("gamma_hat").alias("g"), F.first("delta_hat").alias("d"), F.first("b_n").alias("n"))
+        found = by_batch.groupBy(batch).applyInPandas(lambda frame: _by_likelihood(frame, batch, mean_only), f"feature string, {batch} {kinds[batch]}, gamma double, delta double")
+        eb = hats.join(found, ["feature", batch]).withColumn("eb", F.struct("gamma", "delta"))
     kept = (F.col(batch).cast("string") == F.lit(str(ref_batch))) if ref_batch is not None else F.lit(False)
-    return eb.select("feature", batch, covariate, "stand", "scale", F.when(kept, 0.0).otherwise(F.col("eb.gamma")).alias("gamma"), F.when(kept, 1.0).otherwise(F.col("eb.delta")).alias("delta"))
+    return settled(eb.select("feature", batch, covariate, "stand", "scale", F.when(kept, 0.0).otherwise(F.col("eb.gamma")).alias("gamma"), F.when(kept, 1.0).otherwise(F.col("eb.delta")).alias("delta")))
+
+
+def _by_likelihood(frame: pd.DataFrame, batch: str, mean_only: bool, rows: int = 256) -> pd.DataFrame:
+    """A batch's gamma and delta of each feature: the other features' estimates, weighted by the likelihood that they give the feature's
+    rows. Counts, means and variances are enough for it; some features at a time meet all."""
+    g, d, n = (frame[c].to_numpy(float) for c in ("g", "d", "n"))
+    spread = np.ones_like(d) if mean_only else d
+    gamma, delta = g.copy(), spread.copy()
+    for i in range(0, len(g) if len(g) > 1 else 0, rows):
+        some = slice(i, i + rows)
+        square = ((n - 1) * d)[some, None] + n[some, None] * (g[some, None] - g[None, :]) ** 2
+        log = -0.5 * n[some, None] * np.log(2 * np.pi * spread[None, :]) - square / (2 * spread[None, :])
+        log[np.arange(len(log)), np.arange(i, i + len(log))] = -np.inf
+        w = np.exp(log - log.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+        gamma[some] = w @ g
+        delta[some] = 1.0 if mean_only else w @ d
+    return pd.DataFrame({"feature": frame["feature"], batch: frame[batch], "gamma": gamma, "delta": delta})
 
 
 def combat_apply(long: DataFrame, fitted: DataFrame, batch: str, covariate: str) -> DataFrame:

@@ -10,11 +10,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import elastic_net
 from .bootstrap import weights as replicate_weights
+from .sums import added
 
 
 @dataclass
@@ -64,7 +66,7 @@ class Moments:
 def group_moments(vectors: DataFrame, groups: list[str], p: int) -> DataFrame:
     """(groups, moments): one packed row per group."""
     kinds = dict(vectors.dtypes)
-    schema = ", ".join(f"{g} {kinds[g]}" for g in groups) + ", moments binary"
+    schema = ", ".join(f"{g} {kinds[g]}" for g in groups) + ", moments binary, part long"
 
     def partial(frames):
         held: dict[tuple, Moments] = {}
@@ -73,37 +75,43 @@ def group_moments(vectors: DataFrame, groups: list[str], p: int) -> DataFrame:
                 key = key if isinstance(key, tuple) else (key,)
                 held[key] = held.get(key, Moments.zero(p)) + Moments.of(np.stack(part["x"].to_numpy()), part["y"].to_numpy(float), part["w"].to_numpy(float))
         if held:
-            yield pd.DataFrame([(*k, m.packed()) for k, m in held.items()], columns=[*groups, "moments"])
+            yield pd.DataFrame([(*k, m.packed(), TaskContext.get().partitionId()) for k, m in held.items()], columns=[*groups, "moments", "part"])
 
-    return _merged(vectors.select(*groups, "x", "y", "w").mapInPandas(partial, schema), groups, schema)
+    return added(vectors.select(*groups, "x", "y", "w").mapInPandas(partial, schema), groups, "moments")
 
 
-def _merged(parts: DataFrame, groups: list[str], schema: str) -> DataFrame:
-    def merge(key, frame: pd.DataFrame) -> pd.DataFrame:  # a row per partition
-        total = sum(np.frombuffer(data) for data in frame["moments"])
-        return pd.DataFrame([(*key, total.tobytes())], columns=[*groups, "moments"])
-
-    return parts.groupBy(*groups).applyInPandas(merge, schema)
+#: Bytes of moments of one segment that a task may hold; more replicates go in further passes over the rows.
+HELD_BYTES = 64 << 20
 
 
 def replicate_moments(vectors: DataFrame, cluster: str, segment: str, p: int, replicates: int, seed: int) -> DataFrame:
-    """(replicate, segment, moments) with clusters drawn Poisson(1) times in each replicate, in one pass over the rows."""
+    """(replicate, segment, moments) with clusters drawn Poisson(1) times in each replicate, in one pass over the rows for as many
+    replicates as HELD_BYTES hold."""
+    each = max(1, HELD_BYTES // (16 * p * p))
+    out = None
+    for first in range(0, replicates, each):
+        part = _some_replicates(vectors, cluster, segment, p, first, min(replicates, first + each), seed)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _some_replicates(vectors: DataFrame, cluster: str, segment: str, p: int, first: int, last: int, seed: int) -> DataFrame:
     kind = dict(vectors.dtypes)[segment]
-    schema = f"replicate int, {segment} {kind}, moments binary"
+    schema = f"replicate int, {segment} {kind}, moments binary, part long"
 
     def partial(frames):
         held: dict[tuple, Moments] = {}
         for frame in frames:
-            drawn = replicate_weights(frame["key"].to_numpy(), 0, replicates, seed)
+            drawn = replicate_weights(frame["key"].to_numpy(), first, last, seed)
             for s, rows in frame.groupby(segment).indices.items():
                 x, y, w = np.stack(frame["x"].to_numpy()[rows]), frame["y"].to_numpy(float)[rows], frame["w"].to_numpy(float)[rows]
-                for b in range(replicates):
-                    held[b, s] = held.get((b, s), Moments.zero(p)) + Moments.of(x, y, w, drawn[rows, b])
+                for b in range(first, last):
+                    held[b, s] = held.get((b, s), Moments.zero(p)) + Moments.of(x, y, w, drawn[rows, b - first])
         if held:
-            yield pd.DataFrame([(b, s, m.packed()) for (b, s), m in held.items()], columns=["replicate", segment, "moments"])
+            yield pd.DataFrame([(b, s, m.packed(), TaskContext.get().partitionId()) for (b, s), m in held.items()], columns=["replicate", segment, "moments", "part"])
 
     rows = vectors.select(F.xxhash64(cluster).alias("key"), segment, "x", "y", "w").mapInPandas(partial, schema)
-    return _merged(rows, ["replicate", segment], schema)
+    return added(rows, ["replicate", segment], "moments")
 
 
 def standardized(by_segment: list[Moments], fit: list[Moments] | None = None):
@@ -423,6 +431,56 @@ def choose_iteration(rows: DataFrame, classes: int, keep: int = 5) -> DataFrame:
     return m.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
+def iteration_candidates(history: DataFrame, strategy: str, metric: str = "mae", top: int = 5, window: int = 10) -> DataFrame:
+    """(fold, iteration) to choose among, from a training history (fold, iteration, value of `metric`).
+
+    topk_reg: the `top` best iterations of a fold (ties: the earlier); window: those within `window` of the best; all: every one.
+    Areas under a curve, mean average precision and NDCG are better when larger, all else when smaller.
+    """
+    from pyspark.sql import Window
+
+    larger = any(name in metric.lower() for name in ("auc", "map", "ndcg"))
+    place = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("value") if larger else F.asc("value"), "iteration"))
+    ranked = history.where(F.col("value").isNotNull()).withColumn("__place", place)
+    if strategy == "all":
+        return history.select("fold", "iteration").distinct()
+    if strategy == "topk_reg":
+        return ranked.where(F.col("__place") <= max(1, top)).select("fold", "iteration")
+    if strategy == "window":
+        best = ranked.where("__place = 1").select("fold", F.col("iteration").alias("__best"))
+        return history.select("fold", "iteration").distinct().join(best, "fold").where(F.abs(F.col("iteration") - F.col("__best")) <= max(0, window)).drop("__best")
+    raise ValueError(f"strategy is 'topk_reg', 'window' or 'all', not {strategy!r}")
+
+
+def balanced_weights(rows: DataFrame, y: str, name: str = "w") -> DataFrame:
+    """Rows with the weight n / (classes x count of the row's class)."""
+    counts = rows.groupBy(y).agg(F.count(F.lit(1)).alias("__c"))
+    sums = counts.agg(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    return rows.join(F.broadcast(counts), y).withColumn(name, F.lit(float(sums["n"] or 0)) / (F.lit(sums["k"]) * F.col("__c"))).drop("__c")  # a row per class
+
+
+def logistic_grid(rows: DataFrame, fold: str, classes: int, cs: tuple[float, ...] = (0.1, 1.0, 10.0), weights: tuple[str, ...] = ("none", "balanced"), features: str = "t", y: str = "y") -> DataFrame:
+    """(inverse_penalty, class_weight, n, nine metrics): for each setting, every fold predicted by a logistic regression of the other folds."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from .metrics import ordinal_metrics
+
+    data = rows.select(fold, F.col(y).cast("int").alias("y_true"), array_to_vector(F.col(features)).alias("__v"), F.col(y).cast("double").alias("__y")).persist()
+    out = None
+    for f in sorted(r[0] for r in data.select(fold).distinct().collect()):
+        train, held = balanced_weights(data.where(F.col(fold) != f), "__y").persist(), data.where(F.col(fold) == f)
+        n = train.count()
+        for c in cs:
+            for weight in weights:
+                model = LogisticRegression(featuresCol="__v", labelCol="__y", family="multinomial", standardization=False, regParam=1.0 / (c * max(n, 1)), probabilityCol="__p", rawPredictionCol="__r", predictionCol="__q", **({"weightCol": "w"} if weight == "balanced" else {})).fit(train)
+                expect = F.aggregate(F.transform(vector_to_array("__p"), lambda q, i: q * i), F.lit(0.0), lambda a, v: a + v)
+                part = model.transform(held).select(F.lit(c).alias("inverse_penalty"), F.lit(weight).alias("class_weight"), "y_true", F.col("__q").cast("int").alias("y_pred"), expect.alias("y_cont"))
+                out = part if out is None else out.unionByName(part)
+        train.unpersist()
+    return ordinal_metrics(out, ["inverse_penalty", "class_weight"], classes)
+
+
 def logistic_postprocess(rows: DataFrame, features: str = "t", y: str = "y", c: float = 1.0, weight: str | None = None) -> DataFrame:
     """Rows with `prob` and `y_cont` (expected label) of a multinomial logistic regression on an array column, regParam 1/(C n)."""
     from pyspark.ml.classification import LogisticRegression
@@ -430,7 +488,7 @@ def logistic_postprocess(rows: DataFrame, features: str = "t", y: str = "y", c:
 
     data = rows.withColumns({"__v": array_to_vector(F.col(features)), "__y": F.col(y).cast("double")})
     n = rows.count()
-    fit = LogisticRegression(featuresCol="__v", labelCol="__y", family="multinomial", regParam=1.0 / (c * max(n, 1)), probabilityCol="__p", rawPredictionCol="__r", predictionCol="__q", **({"weightCol": weight} if weight else {})).fit(data)
+    fit = LogisticRegression(featuresCol="__v", labelCol="__y", family="multinomial", standardization=False, regParam=1.0 / (c * max(n, 1)), probabilityCol="__p", rawPredictionCol="__r", predictionCol="__q", **({"weightCol": weight} if weight else {})).fit(data)
     out = fit.transform(data).withColumn("prob", vector_to_array("__p"))
     expect = F.aggregate(F.transform("prob", lambda q, i: q * i), F.lit(0.0), lambda a, v: a + v)
     return out.withColumns({"y_cont": expect, "y_pred": F.col("__q").cast("int")}).drop("__v", "__y", "__p", "__r", "__q")

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+from .ranks import average_rank
+
 COUNT_METRICS = ["mae", "acc", "acc_pm1", "bacc", "macro_f1", "weighted_f1", "kappa_quadratic"]
 
 
@@ -78,16 +81,11 @@ def count_metrics(rows: DataFrame, keys: list[str], classes: int, n: str | None
     return _of_marginals(_marginals(rows, keys, classes, F.col(n) if n else None), keys, classes)
 
 
-def average_rank(rows: DataFrame, keys: list[str], value: str, count: str = "n") -> DataFrame:
-    """(keys, value, rank) for distinct values with their counts: ties share the mean of their places."""
-    before = F.sum(count).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.groupBy(*keys, value).agg(F.sum(count).alias(count)).select(*keys, value, (F.coalesce(before, F.lit(0)) + (F.col(count) + 1) / 2).alias("rank"))
-
-
-def spearman(rows: DataFrame, keys: list[str], x: str = "y_true", y: str = "y_cont") -> DataFrame:
-    """(keys, spearman): correlation of average ranks; 0 where either side is constant."""
-    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("n"))
-    ranks_x = average_rank(pairs, keys, x).withColumnRenamed("rank", "rank_x")
+def spearman(rows: DataFrame, keys: list[str], x: str = "y_true", y: str = "y_cont", n: str | None = None) -> DataFrame:
+    """(keys, spearman): correlation of average ranks; 0 where either side is constant. `n` may name a column of counts. `y_true` is a grade, of few values."""
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.sum(F.col(n) if n else F.lit(1)).alias("n"))
+    pairs = settled(pairs)
+    ranks_x = average_rank(pairs, keys, x, few=x == "y_true").withColumnRenamed("rank", "rank_x")
     ranks_y = average_rank(pairs, keys, y).withColumnRenamed("rank", "rank_y")
     joined = pairs.join(ranks_x, [*keys, x]).join(ranks_y, [*keys, y]) if keys else pairs.join(ranks_x, x).join(ranks_y, y)
     return weighted_correlation(joined, keys, "rank_x", "rank_y", "n", "spearman")
@@ -103,32 +101,41 @@ def weighted_correlation(rows: DataFrame, keys: list[str], x: str, y: str, w: st
     return sums.select(*keys, F.coalesce(F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0)).alias(name))
 
 
-def lin_ccc(rows: DataFrame, keys: list[str], x: str = "y_true", y: str = "y_cont") -> DataFrame:
-    """(keys, ccc): concordance with population moments; 0 in degenerate cases."""
+def lin_ccc(rows: DataFrame, keys: list[str], x: str = "y_true", y: str = "y_cont", n: str | None = None) -> DataFrame:
+    """(keys, ccc): concordance with population moments; 0 in degenerate cases. `n` may name a column of counts."""
     u, v = F.col(x).cast("double"), F.col(y).cast("double")
-    m = rows.groupBy(*keys).agg(F.avg(u).alias("mu"), F.avg(v).alias("mv"), F.var_pop(u).alias("vu"), F.var_pop(v).alias("vv"), F.covar_pop(u, v).alias("c"))
+    if n is None:
+        moments = [F.avg(u).alias("mu"), F.avg(v).alias("mv"), F.var_pop(u).alias("vu"), F.var_pop(v).alias("vv"), F.covar_pop(u, v).alias("c")]
+        m = rows.groupBy(*keys).agg(*moments)
+    else:
+        both = rows.where(u.isNotNull() & v.isNotNull())
+        mean = lambda c: F.sum(F.col(n) * c) / F.sum(n)
+        m = both.groupBy(*keys).agg(mean(u).alias("mu"), mean(v).alias("mv"), mean(u * u).alias("uu"), mean(v * v).alias("vv"), mean(u * v).alias("uv"))
+        m = m.select(*keys, "mu", "mv", (F.col("uu") - F.col("mu") * F.col("mu")).alias("vu"), (F.col("vv") - F.col("mv") * F.col("mv")).alias("vv"), (F.col("uv") - F.col("mu") * F.col("mv")).alias("c"))
     value = F.when((F.col("vu") <= 0) | (F.col("vv") <= 0), 0.0).otherwise(F.try_divide(2 * F.col("c"), F.col("vu") + F.col("vv") + F.pow(F.col("mu") - F.col("mv"), 2)))
     return m.select(*keys, F.coalesce(value, F.lit(0.0)).alias("ccc"))
 
 
-def ordinal_metrics(rows: DataFrame, keys: list[str], classes: int) -> DataFrame:
-    """The nine metrics and n for each group; without keys, for all rows."""
+def ordinal_metrics(rows: DataFrame, keys: list[str], classes: int, n: str | None = None) -> DataFrame:
+    """The nine metrics and n for each group; without keys, for all rows. `n` may name a column of counts."""
     if not keys:
-        return ordinal_metrics(rows.withColumn("__all", F.lit(1)), ["__all"], classes).drop("__all")
-    counted = count_metrics(rows, keys, classes)
-    ranked, ccc = spearman(rows, keys), lin_ccc(rows, keys)
+        return ordinal_metrics(rows.withColumn("__all", F.lit(1)), ["__all"], classes, n).drop("__all")
+    counted = count_metrics(rows, keys, classes, n)
+    ranked, ccc = spearman(rows, keys, n=n), lin_ccc(rows, keys, n=n)
     return counted.join(ranked, keys).join(ccc, keys)
 
 
 def metrics_by_sets(rows: DataFrame, sets: list[list[str]], classes: int) -> DataFrame:
-    """Count metrics for several groupings at once: the rows are counted once, and the small table is summed by grouping sets."""
+    """The nine metrics for several groupings at once, as grouping sets: rows are counted once by all keys and outputs, and the
+    counts are summed for each set. A key that a set lacks is null; `grouping` names the set."""
     every = sorted({k for s in sets for k in s})
-    seen = rows.where(F.col("y_true").between(1, classes) & F.col("y_pred").between(1, classes)).groupBy(*every, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    out = None
-    for s in sets:
-        part = count_metrics(seen, s, classes, "n").select(*[(F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in every], F.lit("+".join(s) or "all").alias("grouping"), "n", *COUNT_METRICS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    outputs = ["y_true", "y_pred", "y_cont"]
+    seen = rows.groupBy(*every, *outputs).agg(F.count(F.lit(1)).alias("n"))
+    of_set = lambda s: F.struct(F.lit("+".join(s) or "all").alias("grouping"), *[(F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in every])
+    each = seen.select(F.explode(F.array(*[of_set(s) for s in sets])).alias("__set"), *outputs, "n")
+    cells = each.groupBy("__set", *outputs).agg(F.sum("n").alias("n"))
+    out = ordinal_metrics(cells, ["__set"], classes, "n")
+    return out.select(*[F.col(f"__set.{k}").alias(k) for k in every], F.col("__set.grouping").alias("grouping"), "n", *COUNT_METRICS, "spearman", "ccc")
 
 
 def mistaken(rows: DataFrame, keys: list[str], true: int, pred: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import SEGMENTS, base_case, condition_of, dummy_name, finite
+from ..functions.keys import SEGMENTS, base_case, condition_of, dummy_name, finite, name_part
 
 
 def split_perturbed(rows: DataFrame) -> DataFrame:
@@ -42,16 +42,16 @@ def export_by_level(rows: DataFrame, key: str, segments: list[str] = SEGMENTS) -
     return out
 
 
-#: How a segment may be written.
+#: How a segment may be written, in any case.
 ALIASES = {s: [s, s.replace("-", ""), s.replace("-", "/"), s.replace("-L", "").replace("-", "")] for s in SEGMENTS}
 
 
 def grade_columns(columns: list[str], segments: list[str]) -> dict[str, str]:
-    """Column of each segment: an exact alias first, then a name that contains one; ValueError if there is none."""
+    """Column of each segment, whatever the case: an exact alias first, then a name that contains one; ValueError if there is none."""
     out = {}
     for s in segments:
-        exact = [c for c in columns if c.strip() in ALIASES[s]]
-        inside = [c for c in columns if any(a in c for a in ALIASES[s])]
+        exact = [c for c in columns if c.strip().upper() in ALIASES[s]]
+        inside = [c for c in columns if any(a in c.upper() for a in ALIASES[s])]
         if not exact and not inside:
             raise ValueError(f"no grade column for {s} among {columns}")
         out[s] = (exact or inside)[0]
@@ -67,10 +67,18 @@ def grades_to_long(rows: DataFrame, key: str, segments: list[str]) -> DataFrame:
 
 def one_hot(rows: DataFrame, column: str, levels: list, prefix: str = "seg") -> DataFrame:
     """A 0/1 column per level; a null or other value has 0 in all."""
-    return rows.withColumns({dummy_name(prefix, str(v)): F.when(F.col(column) == F.lit(v), 1.0).otherwise(0.0) for v in levels})
+    return rows.withColumns({f"{prefix}_{name_part(v)}": F.when(F.col(column) == F.lit(v), 1.0).otherwise(0.0) for v in levels})
 
 
-def one_hot_cases(rows: DataFrame, cases: DataFrame, key: str, column: str, drop_first: bool = False, missing: str = "error") -> DataFrame:
+def only_levels(rows: DataFrame, column: str, levels: list[str]) -> DataFrame:
+    """Rows of the levels; ValueError if none remain."""
+    out = rows.where(F.col(column).isin(levels))
+    if out.isEmpty():
+        raise ValueError(f"no row has {column} among {levels}")
+    return out
+
+
+def one_hot_cases(rows: DataFrame, cases: DataFrame, key: str, column: str, drop_first: bool = False, missing: str = "error", prefix: str = "") -> DataFrame:
     """Dummy columns of a case column, for its sorted distinct levels. Cases without a value: ValueError, or the level UNKNOWN."""
     if missing not in ("error", "UNKNOWN"):
         raise ValueError(f"missing is 'error' or 'UNKNOWN', not {missing!r}")
@@ -81,7 +89,7 @@ def one_hot_cases(rows: DataFrame, cases: DataFrame, key: str, column: str, drop
             raise ValueError(f"{key} {lost[0][key]!r} has no {column}")
     joined = joined.withColumn("__v", F.coalesce("__v", F.lit("UNKNOWN")))
     levels = [r["__v"] for r in joined.select("__v").distinct().orderBy("__v").collect()][int(drop_first) :]
-    names = [dummy_name(column, v) for v in levels]
+    names = [dummy_name(column, v, prefix) for v in levels]
     clash = {n for n in names if n in rows.columns or names.count(n) > 1}
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pool_adjacent, t_two_sided
-from .metrics import average_rank, spearman, weighted_correlation
+from .lineage import settled
+from .metrics import spearman, weighted_correlation
+from .ranks import average_rank, median
 
 SAMPLE = ["case_id", "segment"]
 
@@ -58,8 +60,9 @@ def spearman_with(long: DataFrame, grade: str = "pfirrmann") -> DataFrame:
     Ranks are made on counts of distinct values, so a feature with many equal values is a short list.
     """
     pairs = long.where(F.col("value").isNotNull() & F.col(grade).isNotNull()).groupBy("feature", "value", grade).agg(F.count(F.lit(1)).alias("n"))
+    pairs = settled(pairs)
     ranked = pairs.join(average_rank(pairs, ["feature"], "value").withColumnRenamed("rank", "rank_x"), ["feature", "value"]).join(
-        average_rank(pairs, ["feature"], grade).withColumnRenamed("rank", "rank_y"), ["feature", grade]
+        average_rank(pairs, ["feature"], grade, few=True).withColumnRenamed("rank", "rank_y"), ["feature", grade]
     )
     spread = pairs.groupBy("feature").agg(F.sum("n").alias("n"), F.count_distinct("value").alias("vx"), F.count_distinct(grade).alias("vy"))
     rho = weighted_correlation(ranked, ["feature"], "rank_x", "rank_y", "n", "rho").join(spread, "feature")
@@ -84,6 +87,7 @@ def relevant(tests: DataFrame, icc: DataFrame, alpha: float = 0.05, least_rho: f
 
 def rank_vectors(long: DataFrame) -> DataFrame:
     """(case_id, segment, r): average ranks of all features, in the order of their names, centred and scaled to unit length per feature."""
+    long = settled(long)
     n = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     ranks = average_rank(n, ["feature"], "value")
     joined = long.join(ranks, ["feature", "value"])
@@ -120,8 +124,9 @@ def deduplicate(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95) ->
     """
     spark = pairs.sparkSession
     over = pairs.where(F.abs("rho") > threshold)
-    listed = over.select("feature1", "feature2", "rho").orderBy(F.desc(F.abs("rho")), "feature1", "feature2").collect()
-    score = {r["feature"]: (float("-inf") if r["score"] is None else r["score"]) for r in scores.select("feature", "score").collect()}
+    # sums of another order differ in their last digits, which must not decide
+    listed = over.select("feature1", "feature2", "rho").orderBy(F.desc(F.round(F.abs("rho"), 9)), "feature1", "feature2").collect()
+    score = {r["feature"]: (float("-inf") if r["score"] is None else round(r["score"], 9)) for r in scores.select("feature", "score").collect()}
     gone: dict[str, tuple[str, float, int]] = {}
     for a, b, rho in listed:
         if a in gone or b in gone:
@@ -145,7 +150,8 @@ def monotonicity(long: DataFrame, signs: DataFrame, tau: float = 0.1, grade: str
 
     signs: (feature, rho); medians are fitted by a non-decreasing (or, for negative rho, non-increasing) sequence weighted by counts.
     """
-    cells = long.groupBy("feature", grade).agg(F.median("value").alias("median"), F.count("value").alias("n"))
+    counts = long.groupBy("feature", grade).agg(F.count("value").alias("n"))
+    cells = counts.join(median(long, ["feature", grade], "value"), ["feature", grade])
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(grade)
@@ -212,4 +218,4 @@ def interactions(vectors: DataFrame, names: list[str], residual: str, top: int =
     rows = vectors.select("x", residual, F.explode(listed).alias("p")).select("p.i", "p.j", residual, (F.col("x")[F.col("p.i")] * F.col("x")[F.col("p.j")]).alias("product"))
     cells = spearman(rows, ["i", "j"], "product", residual)
     at = F.lit(names)
-    return cells.select(at[F.col("i")].alias("feature1"), at[F.col("j")].alias("feature2"), F.col("spearman").alias("rho"), F.abs("spearman").alias("abs_rho")).orderBy(F.desc("abs_rho"), "feature1", "feature2").limit(top)
+    return cells.select(at[F.col("i")].alias("feature1"), at[F.col("j")].alias("feature2"), F.col("spearman").alias("rho"), F.abs("spearman").alias("abs_rho")).orderBy(F.desc(F.round("abs_rho", 9)), "feature1", "feature2").limit(top)

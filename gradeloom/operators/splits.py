@@ -1,7 +1,8 @@
 """Grouped cross-validation splits. Spark makes one small row per group class; the greedy assignment works on these.
 
-Groups with the same counts are interchangeable, so a greedy pass takes them by class: its size is the number of distinct count
-vectors, not of groups. Which group of a class goes to which fold follows from the groups' order by a hash.
+Groups with the same counts are interchangeable, so a class is dealt to all folds in whole rounds and only what is left, fewer groups
+than folds, goes by the greedy rule: a pass has the size of the number of distinct count vectors, not of groups. Which group of a
+class goes to which fold follows from the groups' order by a hash.
 """
 
 from __future__ import annotations
@@ -73,12 +74,14 @@ def group_kfold(rows: DataFrame, group: str, folds: int, seed: int = 0) -> DataF
 
 
 def _greedy(vectors: np.ndarray, counts: np.ndarray, folds: int, cost, order: np.ndarray) -> np.ndarray:
-    """Groups of each class per fold: each group goes where the total cost grows least, ties to the fold with fewer rows."""
-    state = np.zeros((folds, vectors.shape[1]))
-    given = np.zeros((len(vectors), folds), np.int64)
+    """Groups of each class per fold, and the total cost: whole rounds to all folds, then each group that is left goes where the total
+    cost grows least, ties to the fold with fewer rows."""
+    rounds = counts // folds
+    given = np.repeat(rounds[:, None], folds, axis=1)
+    state = np.repeat((rounds @ vectors)[None, :].astype(float), folds, axis=0)
     costs = cost(state)
     for i in order:
-        for _ in range(int(counts[i])):
+        for _ in range(int(counts[i] - rounds[i] * folds)):
             new = cost(state + vectors[i])
             grow = new - costs
             near = np.flatnonzero(grow <= grow.min() + 1e-12)
@@ -118,7 +121,8 @@ def balanced_split(rows: DataFrame, group: str, y: str, scanner: str, classes: i
     """(group, fold, score): grades and scanners balanced together; the best of `trials` greedy passes in different orders.
 
     The cost of a fold is the weighted sum of squared relative errors of its grade counts, scanner counts, rows and groups against an even share.
-    Groups of rare grades and scanners go first; a trial shuffles within equal priority. Trials run in parallel over the table of classes.
+    First go groups with the largest 5 (1 / groups of the scanner) + 3 (largest share of a grade) + share of all rows; a trial shuffles
+    within equal priority. Trials run in parallel over the table of classes.
     """
     spark = rows.sparkSession
     groups = group_counts(rows, group, y, classes, scanner).persist()
@@ -131,7 +135,8 @@ def balanced_split(rows: DataFrame, group: str, y: str, scanner: str, classes: i
     totals = (vectors * k[:, None]).sum(axis=0)
     target = np.maximum(totals / folds, 1e-9)
     w = np.concatenate([[weights[2], weights[3]], np.full(classes, weights[0]), np.full(s.shape[1], weights[1])]) * (totals > 0)
-    rarity = (c / np.maximum(totals[2 : 2 + classes], 1)).sum(axis=1) + (s / np.maximum(totals[2 + classes :], 1)).sum(axis=1)
+    scanner_share = (s / np.maximum(totals[2 + classes :], 1)).sum(axis=1)
+    rarity = 5 * scanner_share + 3 * (c / np.maximum(totals[2 : 2 + classes], 1)).max(axis=1) + vectors[:, 0] / max(totals[0], 1)
     shared = spark.sparkContext.broadcast((vectors, k, target, w, rarity))
 
     def once(trial: int):

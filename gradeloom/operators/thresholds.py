@@ -76,6 +76,20 @@ def bucketed(rows: DataFrame, keys: list[str], classes: int, grid: np.ndarray, p
     return rows.where(F.col("y_true").between(1, classes)).groupBy(*keys, "y_true", m.alias("m")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows of a bucket table that the driver takes at once to search on; on a larger one every step is an aggregation.
+DRIVER_ROWS = 200_000
+
+
+def _tables(y: np.ndarray, others: np.ndarray, m: np.ndarray, n: np.ndarray, size: int, classes: int) -> np.ndarray:
+    """Confusion tables for each grid position as the bound's threshold: a row exceeds those that its m is over."""
+    held = np.zeros((size + 1, classes, classes))
+    np.add.at(held, (m, y - 1, others), n)
+    upto = np.cumsum(held, axis=0)[:size]
+    cm = upto.copy()
+    cm[:, :, 1:] += (held.sum(axis=0) - upto)[:, :, :-1]
+    return cm
+
+
 def search(table: DataFrame, keys: list[str], classes: int, grid: np.ndarray, objective: list[str], rounds: int = 3, start: float = 0.5) -> dict[tuple, np.ndarray]:
     """Thresholds of each group by coordinate descent over the bounds; one aggregation for all groups in each step."""
     table = table.persist()
@@ -83,6 +97,10 @@ def search(table: DataFrame, keys: list[str], classes: int, grid: np.ndarray, ob
         groups = [tuple(r) for r in table.select(*keys).distinct().collect()] if keys else [()]
         at = int(np.argmin(np.abs(grid - start)))
         where = {g: np.full(classes - 1, at) for g in groups}  # positions in the grid
+        local = table.limit(DRIVER_ROWS + 1).toPandas() if groups else None
+        if local is not None and len(local) <= DRIVER_ROWS:
+            parts = {(): local} if not keys else dict(list(local.groupby(keys if len(keys) > 1 else keys[0])))
+            return {g: grid[w] for g, w in ((k if isinstance(k, tuple) else (k,), _search_local(part, classes, len(grid), at, objective, rounds)) for k, part in parts.items())}
         for _ in range(rounds):
             before = {g: w.copy() for g, w in where.items()}
             for k in range(classes - 1):
@@ -91,11 +109,8 @@ def search(table: DataFrame, keys: list[str], classes: int, grid: np.ndarray, ob
                 parts = dict(list(seen.groupby(keys if len(keys) > 1 else keys[0]))) if keys else {(): seen}
                 for g, part in parts.items():
                     g = g if isinstance(g, tuple) else (g,)
-                    cm = np.zeros((len(grid), classes, classes))
                     y, o, m, n = (part[c].to_numpy(dtype=np.int64) for c in ("y_true", "others", "mk", "n"))
-                    for c in range(len(grid)):
-                        np.add.at(cm[c], (y - 1, o + (m > c)), n)
-                    where[g][k] = best_candidate(cm, objective)
+                    where[g][k] = best_candidate(_tables(y, o, m, n, len(grid), classes), objective)
             if all((where[g] == before[g]).all() for g in groups):
                 break
         return {g: grid[w] for g, w in where.items()}
@@ -103,6 +118,22 @@ def search(table: DataFrame, keys: list[str], classes: int, grid: np.ndarray, ob
         table.unpersist()
 
 
+def _search_local(part: pd.DataFrame, classes: int, size: int, start: int, objective: list[str], rounds: int) -> np.ndarray:
+    """The same descent on one group's buckets."""
+    where = np.full(classes - 1, start)
+    m = np.stack(part["m"].to_numpy()).astype(np.int64)
+    y, n = part["y_true"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+    for _ in range(rounds):
+        before = where.copy()
+        for k in range(classes - 1):
+            over = m > where
+            others = over.sum(axis=1) - over[:, k]
+            where[k] = best_candidate(_tables(y, others, m[:, k], n, size, classes), objective)
+        if (where == before).all():
+            break
+    return where
+
+
 def _exceeded(table: DataFrame, keys: list[str], where: dict[tuple, np.ndarray], k: int, classes: int) -> DataFrame:
     """Number of the other bounds whose threshold (the grid value at its position) a row exceeds."""
     if not keys:

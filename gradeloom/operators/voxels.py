@@ -18,11 +18,17 @@ SLICE = ["case_id", "z"]
 REGION = ["case_id", "z", "label"]
 
 
-def middle_slices(vox: DataFrame, n: int) -> DataFrame:
-    """Voxels of the n slices around size // 2 (clipped to the volume)."""
-    size = F.max("z").over(Window.partitionBy("case_id")) + 1
-    start = F.greatest(F.lit(0), F.floor(size / 2) - n // 2)
-    return vox.withColumn("__s", start).where((F.col("z") >= F.col("__s")) & (F.col("z") < F.col("__s") + n)).drop("__s")
+def slice_axis(spacing: tuple[float, float, float]) -> str:
+    """The axis along which slices lie: that of the largest spacing (z, y, x), the first of equals."""
+    return "zyx"[int(np.argmax(spacing))]
+
+
+def middle_slices(vox: DataFrame, n: int, spacing: tuple[float, float, float] | None = None) -> DataFrame:
+    """Voxels of the n slices around size // 2 (clipped to the volume), along z or the axis of largest spacing."""
+    axis = slice_axis(spacing) if spacing else "z"
+    sizes = vox.groupBy("case_id").agg((F.max(axis) + 1).alias("__size"))
+    rows = vox.join(sizes, "case_id").withColumn("__s", F.greatest(F.lit(0), F.floor(F.col("__size") / 2) - n // 2))
+    return rows.where((F.col(axis) >= F.col("__s")) & (F.col(axis) < F.col("__s") + n)).select(*vox.columns)
 
 
 def extents(vox: DataFrame, spacing: tuple[float, float, float], labels: list[int]) -> DataFrame:
@@ -113,7 +119,7 @@ def fractal_dimension(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hu_moments(mask: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, area, hu1..hu7, log1..log7) of mask pixels (y, x); log is -sign(h) log10 |h|, 0 for 0."""
+    """(keys, area, hu1..hu7, log1..log7) of mask pixels (y, x); log is -sign(h) log10 |h|, 0 for 0 and what rounding leaves of it."""
     c = mask.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     power = lambda b, n: F.lit(1.0) if n == 0 else b * power(b, n - 1)
@@ -133,7 +139,7 @@ def hu_moments(mask: DataFrame, keys: list[str]) -> DataFrame:
         d3 * a * (power(a, 2) - 3 * power(b, 2)) - c3 * b * (3 * power(a, 2) - power(b, 2)),
     ]
     out = m.select(*keys, "area", *[h.alias(f"hu{i}") for i, h in enumerate(hu, 1)])
-    log = lambda h: F.when(h == 0, 0.0).otherwise(-F.signum(h) * F.log10(F.abs(h)))
+    log = lambda h: F.when(F.abs(h) < 1e-30, 0.0).otherwise(-F.signum(h) * F.log10(F.abs(h)))
     return out.select("*", *[log(F.col(f"hu{i}")).alias(f"log{i}") for i in range(1, 8)])
 
 
@@ -360,6 +366,32 @@ def rotate(vox: DataFrame, degrees: float, height: int, width: int) -> DataFrame
     return out.withColumnsRenamed({"ty": "y", "tx": "x"})
 
 
+def rotate_about_mask(vox: DataFrame, degrees: float, height: int, width: int) -> DataFrame:
+    """Volumes rotated in their slices about the centroid of the whole volume's mask (labels over 0): labels from the nearest source
+    pixel, intensities bilinear, outside 0. Volumes without a mask turn about their slices' middle.
+
+    Every voxel's place is also a target place; a target's four sources, whose coordinates depend on the volume, meet their voxels in
+    one equi-join.
+    """
+    cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    masked = F.col("label") > 0
+    middle = vox.groupBy("case_id").agg(F.avg(F.when(masked, F.col("y"))).alias("cy"), F.avg(F.when(masked, F.col("x"))).alias("cx"))
+    middle = middle.select("case_id", F.coalesce("cy", F.lit(float(height // 2))).alias("cy"), F.coalesce("cx", F.lit(float(width // 2))).alias("cx"))
+    dy, dx = F.col("y") - F.col("cy"), F.col("x") - F.col("cx")
+    at = vox.select(*SLICE, "y", "x").join(middle, "case_id").select(*SLICE, "y", "x", (F.col("cy") + dy * cos + dx * sin).alias("sy"), (F.col("cx") - dy * sin + dx * cos).alias("sx"))
+    low = lambda c: F.floor(F.round(F.col(c), 9))
+    at = at.withColumns({"y0": low("sy"), "x0": low("sx"), "ny": F.floor(F.round(F.col("sy"), 9) + 0.5), "nx": F.floor(F.round(F.col("sx"), 9) + 0.5)})
+    fy, fx = F.greatest(F.col("sy") - F.col("y0"), F.lit(0.0)), F.greatest(F.col("sx") - F.col("x0"), F.lit(0.0))
+    corners = [F.struct((F.col("y0") + j).alias("y"), (F.col("x0") + i).alias("x"), ((fy if j else 1 - fy) * (fx if i else 1 - fx)).alias("w")) for j in (0, 1) for i in (0, 1)]
+    near = F.struct(F.col("ny").alias("y"), F.col("nx").alias("x"), F.lit(None).cast("double").alias("w"))  # carries the label alone
+    targets = at.select(*SLICE, F.col("y").alias("ty"), F.col("x").alias("tx"), F.explode(F.array(*corners, near)).alias("c")).select(*SLICE, "ty", "tx", "c.*")
+    joined = targets.join(vox.select(*SLICE, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "intensity", "label"), [*SLICE, "y", "x"], "left")
+    out = joined.groupBy(*SLICE, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(
+        F.coalesce(F.sum(F.col("w") * F.col("intensity")), F.lit(0.0)).alias("intensity"), F.coalesce(F.max(F.when(F.col("w").isNull(), F.col("label"))), F.lit(0)).alias("label")
+    )
+    return out
+
+
 def noise(vox: DataFrame, sd: float, seed: int = 0) -> DataFrame:
     """Gaussian noise that depends on the voxel's place and the seed alone: Box-Muller on two hashes."""
     place = [F.col("case_id"), F.col("z"), F.col("y"), F.col("x")]

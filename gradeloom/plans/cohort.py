@@ -39,10 +39,11 @@ def r05_batch_statistics(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {STATISTICS}, a AS (SELECT image_id, manufacturer, model, CAST(field_strength AS VARCHAR) AS f, '' AS note FROM stats WHERE image_id % 2 = 0 UNION ALL SELECT image_id + 1000000, manufacturer, model, CAST(field_strength AS VARCHAR), 'late' FROM stats WHERE image_id % 2 = 1)
-SELECT CAST(image_id AS VARCHAR) AS image_id, manufacturer, model, note, manufacturer || '__' || model || '__' || f AS batch_scanner, '' AS station FROM a WHERE image_id % 3 = 0""")
+SELECT CAST(image_id AS VARCHAR) AS image_id, manufacturer, model, note, manufacturer || '__' || model || '__' || f AS batch_scanner, '' AS station FROM a WHERE CASE WHEN image_id > 1000000 THEN image_id - 1000000 ELSE image_id END IN (SELECT o_custkey FROM orders)""")
 def r06_unite_cohorts(spark, sf_dir) -> DataFrame:
     s = inputs.statistics(spark, sf_dir)
     first = s.where("image_id % 2 = 0").withColumnsRenamed({"image_id": "imageId", "field_strength": "Field Strength"}).drop("balance")
     second = s.where("image_id % 2 = 1").drop("balance").withColumn("note", F.lit("late")).withColumn("source_case", F.lit("x_t2"))
-    ids = s.select("image_id").union(s.select(F.col("image_id") + 1000000)).where("image_id % 3 = 0")
+    there = inputs.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image_id"))  # images that are at hand
+    ids = there.union(there.select(F.col("image_id") + 1000000)).distinct()
     return cohort.unite_cohorts(first, second, ids, ["image_id", "manufacturer", "model", "note", "batch_scanner", "station"], offset=1000000, suffix="_t2")

@@ -11,9 +11,11 @@ from . import inputs
 from .inputs import CLASSES, PREDICTIONS
 from .registry import query, r6
 
+NINE = [*metrics.COUNT_METRICS, "spearman", "ccc"]
 
-def _metric_sql(keys: list[str], source: str = "pred", extra: str = "") -> str:
-    """SQL of the nine metrics by the given keys."""
+
+def _metric_sql(keys: list[str], source: str = "pred", extra: str = "", exact: bool = False) -> str:
+    """SQL of the nine metrics by the given keys; `exact`: not rounded."""
     k = "".join(f"{x}, " for x in keys)
     on = " AND ".join(f"a.{x} = b.{x}" for x in keys) or "TRUE"
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
@@ -38,7 +40,15 @@ ranked AS (SELECT *, rank() OVER ({part} ORDER BY y_true) + (count(*) OVER ({ove
   rank() OVER ({part} ORDER BY y_cont) + (count(*) OVER ({over('y_cont')}) - 1) / 2.0 AS rb FROM src),
 other AS (SELECT {k}coalesce(corr(ra, rb), 0) AS spearman,
   coalesce(2 * covar_pop(y_true, y_cont) / (var_pop(y_true) + var_pop(y_cont) + power(avg(y_true) - avg(y_cont), 2)), 0) AS ccc FROM ranked {group})
-SELECT {k}n, {', '.join(r6(m, m) for m in [*metrics.COUNT_METRICS, 'spearman', 'ccc'])} FROM counted {joins('other')}"""
+SELECT {k}n, {', '.join(m if exact else r6(m, m) for m in NINE)} FROM counted {joins('other')}"""
+
+
+def _sets_sql(sets: list[list[str]], keys: list[str]) -> str:
+    named = lambda s: ", ".join([*(k if k in s else f"CAST(NULL AS INTEGER) AS {k}" for k in keys), f"'{'+'.join(s) or 'all'}' AS grouping", "n", *NINE])
+    return " UNION ALL ".join(f"SELECT {named(s)} FROM ({_metric_sql(s)})" for s in sets)
+
+
+SETS = [[], ["task"], ["fold"], ["fold", "task"]]
 
 
 @query(f"WITH {PREDICTIONS}, d AS (SELECT DISTINCT task FROM pred), g AS (SELECT task, t AS y_true, p AS y_pred FROM d, (SELECT unnest(range(1, 6)) AS t), (SELECT unnest(range(1, 6)) AS p)), c AS (SELECT g.task, g.y_true, g.y_pred, count(pred.task) AS n FROM g LEFT JOIN pred USING (task, y_true, y_pred) GROUP BY ALL) SELECT task, CAST(y_true AS INTEGER) AS y_true, CAST(y_pred AS INTEGER) AS y_pred, n, {r6('coalesce(n / nullif(sum(n) OVER (PARTITION BY task, y_true), 0), 0)', 'share')} FROM c")
@@ -61,9 +71,9 @@ def e06_metrics_by_fold_and_task(spark, sf_dir) -> DataFrame:
     return metrics.ordinal_metrics(inputs.predictions(spark, sf_dir), ["fold", "task"], CLASSES)
 
 
-@query()
+@query(_sets_sql(SETS, ["fold", "task"]))
 def e06_metrics_by_sets(spark, sf_dir) -> DataFrame:
-    return metrics.metrics_by_sets(inputs.predictions(spark, sf_dir), [[], ["task"], ["fold"], ["fold", "task"]], CLASSES)
+    return metrics.metrics_by_sets(inputs.predictions(spark, sf_dir), SETS, CLASSES)
 
 
 @query(f"WITH {PREDICTIONS} SELECT fold, count(*) AS n, count(DISTINCT orig_index) AS distinct_n, sum(y_pred) AS total FROM pred GROUP BY fold")
@@ -136,7 +146,12 @@ def e15_bland_altman_patients(spark, sf_dir) -> DataFrame:
     return calibration.bland_altman(inputs.predictions(spark, sf_dir), by="patient_id")
 
 
-@query()
+#: Fixed value: 0.975 quantile of Student's t with 4 degrees of freedom, for five folds.
+_T4 = 2.7764451051977987
+_FOLD = "SELECT '{m}' AS metric, {mean}, {sd}, count(*) AS n, {low}, {high} FROM f"
+
+
+@query(f"WITH f AS ({_metric_sql(['fold'], exact=True)}) " + " UNION ALL ".join(_FOLD.format(m=m, mean=r6(f"avg({m})", "mean"), sd=r6(f"stddev_samp({m})", "sd"), low=r6(f"avg({m}) - {_T4} * stddev_samp({m}) / sqrt(count(*))", "low"), high=r6(f"avg({m}) + {_T4} * stddev_samp({m}) / sqrt(count(*))", "high")) for m in ("mae", "kappa_quadratic")))
 def e16_fold_interval(spark, sf_dir) -> DataFrame:
     by_fold = metrics.ordinal_metrics(inputs.predictions(spark, sf_dir), ["fold"], CLASSES)
     return metrics.fold_interval(by_fold, "mae").unionByName(metrics.fold_interval(by_fold, "kappa_quadratic"))
@@ -188,7 +203,18 @@ def p23_axis_thresholds(spark, sf_dir) -> DataFrame:
 @query(f"WITH {PREDICTIONS} SELECT orig_index, {r6(' + '.join(f'(CAST(y_true > {k} AS INTEGER) - p{k})' for k in range(1, 5)), 'residual')}, {r6('(' + ' + '.join(f'CASE WHEN y_true > {k} THEN -ln(p{k}) ELSE -ln(1 - p{k}) END' for k in range(1, 5)) + ') / 4', 'loss')} FROM pred")
 def p24_residual_and_loss(spark, sf_dir) -> DataFrame:
     rows = inputs.predictions(spark, sf_dir)
-    return rows.select("orig_index", coral.residual(F.col("y_true"), F.col("p_gt")).alias("residual"), coral.loss(F.col("y_true"), F.col("p_gt")).alias("loss"))
+    return rows.select("orig_index", coral.residual(F.col("y_true"), F.col("p_gt")).alias("residual"), coral.loss(F.col("y_true"), coral.logits(F.col("s"), inputs.THETA)).alias("loss"))
+
+
+_SLOPED = ", ".join(f"1.0/(1.0+exp(-1.7 * (s - ({t})))) AS q{k}" for k, t in enumerate(inputs.THETA, 1))
+
+
+@query(f"WITH {PREDICTIONS}, q AS (SELECT orig_index, {_SLOPED} FROM pred) SELECT orig_index, {r6('1.0 + q1 + q2 + q3 + q4', 'y_cont')}, {' + '.join(['1'] + [f'CAST(q{k} > 0.5 AS INTEGER)' for k in range(1, 5)])} AS y_pred FROM q")
+def p15_slope_decode(spark, sf_dir) -> DataFrame:
+    """Decoding with a slope beside the cut points."""
+    rows = inputs.predictions(spark, sf_dir)
+    p = coral.bounds(F.col("s"), inputs.THETA, 1.7)
+    return rows.select("orig_index", coral.expected(p).alias("y_cont"), coral.decode(p).alias("y_pred"))
 
 
 @query()

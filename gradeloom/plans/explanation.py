@@ -29,7 +29,19 @@ def x03_shape_curve(spark, sf_dir) -> DataFrame:
     return explanation.shape_curve(rows, ["feature", "fold"], 16)
 
 
-@query()
+_BAND = f"""{CONTRIBUTIONS}, c AS (SELECT feature, fold, x, avg(contrib) AS y FROM contrib GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY feature, fold ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY feature, fold) AS n FROM c),
+k AS (SELECT feature, fold, round_even(k * ((n - 1) / 49.0::DOUBLE), 0) AS i FROM (SELECT DISTINCT feature, fold, n FROM n), (SELECT unnest(range(0, 50)) AS k)),
+cv AS (SELECT n.feature, n.fold, n.x, n.y FROM n WHERE n.n <= 50 OR EXISTS (SELECT 1 FROM k WHERE k.feature = n.feature AND k.fold = n.fold AND k.i = n.i)),
+g0 AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY feature) AS n FROM (SELECT DISTINCT feature, x FROM cv)),
+gk AS (SELECT DISTINCT feature, round_even(k * ((n - 1) / 49.0::DOUBLE), 0) AS i FROM (SELECT DISTINCT feature, n FROM g0), (SELECT unnest(range(0, 50)) AS k)),
+gx AS (SELECT g0.feature, g0.x FROM g0 WHERE n <= 50 OR EXISTS (SELECT 1 FROM gk WHERE gk.feature = g0.feature AND gk.i = g0.i)),
+gf AS (SELECT gx.feature, f.fold, gx.x FROM gx JOIN (SELECT DISTINCT feature, fold FROM cv) f USING (feature)),
+lo AS (SELECT gf.feature, gf.fold, gf.x, cv.x AS x0, cv.y AS y0 FROM gf ASOF JOIN cv ON gf.feature = cv.feature AND gf.fold = cv.fold AND gf.x >= cv.x),
+hi AS (SELECT lo.*, cv.x AS x1, cv.y AS y1 FROM lo ASOF JOIN cv ON lo.feature = cv.feature AND lo.fold = cv.fold AND lo.x <= cv.x),
+v AS (SELECT feature, x, CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) / (x1 - x0) * (x - x0) END AS y FROM hi)"""
+
+
+@query(f"WITH {_BAND} SELECT feature, {r6('x', 'x')}, {r6('avg(y)', 'mean')}, {r6('coalesce(stddev_samp(y), 0)', 'sd')}, count(*) AS folds FROM v GROUP BY feature, x")
 def x04_shape_band(spark, sf_dir) -> DataFrame:
     return explanation.shape_band(inputs.contributions(spark, sf_dir), 50)
 

@@ -32,10 +32,7 @@ def _csv(rows: DataFrame) -> str:
 
 @query(ORACLES["p04_wide_to_long"])
 def s01_read_features(spark, sf_dir) -> DataFrame:
-    long = inputs.features(spark, sf_dir, ["gold"]).where(F.substring("feature", 6, 9).cast("int") < 6)
-    named = long.withColumn("column", F.concat_ws("_", F.lit("Deep"), "segment", F.substring("feature", 6, 9)))
-    wide = named.groupBy("case_id").pivot("column", [f"Deep_{s}_{i}" for s in keys.SEGMENTS for i in range(6)]).agg(F.first("value"))
-    return reshape.wide_to_long(tables.read_features(spark, _csv(wide)), ["case_id"])
+    return reshape.wide_to_long(tables.read_features(spark, _csv(_keys.wide_features(spark, sf_dir))), ["case_id"]).where(F.col("value").isNotNull())
 
 
 @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS y, {r6('o_totalprice', 'f_price')}, {r6('CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END', 'f_cust')} FROM orders")
@@ -50,7 +47,7 @@ def s02_read_model_input(spark, sf_dir) -> DataFrame:
 def s03_read_grades(spark, sf_dir) -> DataFrame:
     o = inputs.table(spark, sf_dir, "orders")
     y = F.substring("o_orderpriority", 1, 1).cast("int")
-    wide = o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")).alias("ID"), y.cast("string").alias("L34"), F.lit(list(keys.ROMAN))[y - 1].alias("L4-L5"), y.cast("string").alias("grade L5S1"))
+    wide = o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")).alias("ID"), y.cast("string").alias("l34"), F.lit(list(keys.ROMAN))[y - 1].alias("l4-L5"), y.cast("string").alias("grade L5S1"))
     return tables.read_grades(spark, _csv(wide), ["L3-L4", "L4-L5", "L5-S1"])
 
 
@@ -87,6 +84,14 @@ def s07_write_summary(spark, sf_dir) -> DataFrame:
     return spark.read.option("header", True).csv(path).select("fold", F.col("mae").cast("double").alias("mae"))
 
 
+@query(f"WITH {PREDICTIONS} SELECT task, {r6('avg(y_cont)', 'mean')}, count(*) AS n, CAST(min(y_pred) AS BIGINT) AS low FROM pred GROUP BY task")
+def s07_write_json(spark, sf_dir) -> DataFrame:
+    rows = inputs.predictions(spark, sf_dir).groupBy("task").agg(F.avg("y_cont").alias("mean"), F.count(F.lit(1)).alias("n"), F.min("y_pred").cast("long").alias("low"))
+    path = _folder(spark)
+    tables.write_json({"by_task": rows}, path)
+    return spark.read.schema(rows.schema).json(f"{path}/by_task")
+
+
 @query("SELECT 'img/' || c_custkey AS key, 'img/' || c_custkey || '.nii.gz' AS image, 'img/' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '_mask.nii' ELSE '-seg.nii.gz' END AS mask FROM customer WHERE c_custkey % 2 = 0")
 def s09_pair_images(spark, sf_dir) -> DataFrame:
     c = inputs.table(spark, sf_dir, "customer")

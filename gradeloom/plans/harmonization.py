@@ -63,6 +63,14 @@ def n04_combat(spark, sf_dir) -> DataFrame:
     return _summary(harmonize.combat_apply(rows, fitted, "batch", "segment"), "batch")
 
 
+@query()
+def n04_combat_by_likelihood(spark, sf_dir) -> DataFrame:
+    """The non-parametric prior."""
+    rows = _long(spark, sf_dir)
+    fitted = harmonize.combat_fit(rows.where("fold <> 0"), "batch", "segment", parametric=False)
+    return _summary(harmonize.combat_apply(rows, fitted, "batch", "segment"), "batch")
+
+
 @query(f"WITH {_LONG} SELECT feature, batch, segment, count(value) AS n, {r6('sum(value)', 's')}, {r6('sum(value * value) / count(value)', 'q')} FROM long GROUP BY ALL")
 def n04_combat_cells(spark, sf_dir) -> DataFrame:
     """The sums by batch and covariate from which the model is fitted."""

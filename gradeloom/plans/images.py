@@ -42,7 +42,10 @@ def i04_signal_ratio(spark, sf_dir) -> DataFrame:
     return voxels.signal_ratio(inputs.voxels(spark, sf_dir), [7])
 
 
-@query()
+_SI = f"{_STATS}, p AS {_PURE}, si AS (SELECT a.case_id, a.z, a.label, a.signal / b.signal AS ratio FROM p a JOIN p b ON a.case_id = b.case_id AND a.z = b.z AND a.label = 7 AND b.label = 20), sm AS (SELECT st.*, CASE WHEN m2 < 1e-8 THEN 0 ELSE m3 / power(m2 + 1e-8, 1.5) END AS skew, CASE WHEN m2 < 1e-8 THEN 0 ELSE m4 / power(m2 + 1e-8, 2) - 3 END AS kurtosis FROM st JOIN mo USING (case_id, z, label))"
+
+
+@query(f"WITH {VOXELS}, {_SI} SELECT case_id, z, label, {r6('ratio', 'hydration')}, {r6('sd / (mean + 1e-8)', 'heterogeneity')}, {r6('0.6 * ratio + 0.4 / (sd / (mean + 1e-8) + 1e-8)', 'nucleus_activity')}, {r6('0.5 * (1 - least(ratio, 1)) + 0.3 * greatest(skew, 0) + 0.2 * (1 - least(abs(kurtosis), 1))', 'rapid_degeneration')} FROM sm JOIN si USING (case_id, z, label)")
 def i03_signal_indices(spark, sf_dir) -> DataFrame:
     vox = inputs.voxels(spark, sf_dir)
     stats = voxels.roi_statistics(vox, [7]).join(voxels.signal_ratio(vox, [7]).select(*voxels.REGION, "si_ratio"), voxels.REGION)
@@ -68,19 +71,30 @@ def i07_fractal_dimension(spark, sf_dir) -> DataFrame:
     return voxels.fractal_dimension(voxels.box_counts(edges, ["case_id", "z"], 8, 8, most=4), ["case_id", "z"])
 
 
-_N = "power(area, {e})"
+_MOMENTS = """k AS (SELECT * FROM vox WHERE label = 7 AND intensity > 100), c AS (SELECT case_id, z, CAST(count(*) AS DOUBLE) AS area, avg(x) AS cx, avg(y) AS cy FROM k GROUP BY ALL),
+m AS (SELECT case_id, z, any_value(area) AS area, sum((x - cx) * (x - cx)) / power(any_value(area), 2) AS n20, sum((y - cy) * (y - cy)) / power(any_value(area), 2) AS n02, sum((x - cx) * (y - cy)) / power(any_value(area), 2) AS n11,
+ sum(power(x - cx, 3)) / power(any_value(area), 2.5) AS n30, sum(power(y - cy, 3)) / power(any_value(area), 2.5) AS n03, sum((x - cx) * (x - cx) * (y - cy)) / power(any_value(area), 2.5) AS n21, sum((x - cx) * (y - cy) * (y - cy)) / power(any_value(area), 2.5) AS n12 FROM k JOIN c USING (case_id, z) GROUP BY ALL)"""
 
 
-@query(f"""WITH {VOXELS}, k AS (SELECT * FROM vox WHERE label = 7 AND intensity > 100), c AS (SELECT case_id, z, CAST(count(*) AS DOUBLE) AS area, avg(x) AS cx, avg(y) AS cy FROM k GROUP BY ALL),
-m AS (SELECT case_id, z, any_value(area) AS area, sum((x - cx) * (x - cx)) / power(any_value(area), 2) AS n20, sum((y - cy) * (y - cy)) / power(any_value(area), 2) AS n02, sum((x - cx) * (y - cy)) / power(any_value(area), 2) AS n11,
- sum(power(x - cx, 3)) / power(any_value(area), 2.5) AS n30, sum(power(y - cy, 3)) / power(any_value(area), 2.5) AS n03, sum((x - cx) * (x - cx) * (y - cy)) / power(any_value(area), 2.5) AS n21, sum((x - cx) * (y - cy) * (y - cy)) / power(any_value(area), 2.5) AS n12 FROM k JOIN c USING (case_id, z) GROUP BY ALL)
+@query(f"""WITH {VOXELS}, {_MOMENTS}
 SELECT case_id, z, {r6('area', 'area')}, {r6('n20 + n02', 'hu1')}, {r6('power(n20 - n02, 2) + 4 * n11 * n11', 'hu2')}, {r6('power(n30 - 3 * n12, 2) + power(3 * n21 - n03, 2)', 'hu3')}, {r6('power(n30 + n12, 2) + power(n21 + n03, 2)', 'hu4')} FROM m""")
 def i08_hu_moments(spark, sf_dir) -> DataFrame:
     mask = inputs.voxels(spark, sf_dir).where("label = 7 AND intensity > 100")
     return voxels.hu_moments(mask, ["case_id", "z"]).select("case_id", "z", "area", "hu1", "hu2", "hu3", "hu4")
 
 
-@query()
+_HU = {
+    1: "n20 + n02",
+    2: "power(n20 - n02, 2) + 4 * n11 * n11",
+    3: "power(n30 - 3 * n12, 2) + power(3 * n21 - n03, 2)",
+    4: "power(n30 + n12, 2) + power(n21 + n03, 2)",
+    5: "(n30 - 3 * n12) * (n30 + n12) * (power(n30 + n12, 2) - 3 * power(n21 + n03, 2)) + (3 * n21 - n03) * (n21 + n03) * (3 * power(n30 + n12, 2) - power(n21 + n03, 2))",
+    6: "(n20 - n02) * (power(n30 + n12, 2) - power(n21 + n03, 2)) + 4 * n11 * (n30 + n12) * (n21 + n03)",
+    7: "(3 * n21 - n03) * (n30 + n12) * (power(n30 + n12, 2) - 3 * power(n21 + n03, 2)) - (n30 - 3 * n12) * (n21 + n03) * (3 * power(n30 + n12, 2) - power(n21 + n03, 2))",
+}
+
+
+@query(f"WITH {VOXELS}, {_MOMENTS}, h AS (SELECT case_id, z, area, {', '.join(f'{v} AS hu{i}' for i, v in _HU.items())} FROM m) SELECT case_id, z, {r6('area', 'area')}, {', '.join(r6(f'hu{i}', f'hu{i}') for i in _HU)}, {', '.join(r6(f'CASE WHEN abs(hu{i}) < 1e-30 THEN 0 ELSE -sign(hu{i}) * log10(abs(hu{i})) END', f'log{i}') for i in _HU)} FROM h")
 def i08_hu_moments_all(spark, sf_dir) -> DataFrame:
     return voxels.hu_moments(inputs.voxels(spark, sf_dir).where("label = 7 AND intensity > 100"), ["case_id", "z"])
 
@@ -196,6 +210,44 @@ def i17_gradients(spark, sf_dir) -> DataFrame:
     return voxels.direction_statistics(voxels.gradients(inputs.voxels(spark, sf_dir)), [7]).select("case_id", "z", "mean", "resultant")
 
 
-@query()
+_DIRECTION = f"{_G}, gd AS (SELECT case_id, z, sqrt(gx * gx + gy * gy) AS m, atan2(gy, gx) AS d FROM gr), gm AS (SELECT case_id, z, avg(m) AS mean, stddev_pop(m) AS sd, max(m) AS high, sqrt(power(avg(cos(d)), 2) + power(avg(sin(d)), 2)) AS resultant FROM gd GROUP BY ALL), gc AS (SELECT case_id, z, avg(power(m - mean, 3)) / power(any_value(sd), 3) AS skew, avg(power(m - mean, 4)) / power(any_value(sd), 4) - 3 AS kurtosis FROM gd JOIN gm USING (case_id, z) GROUP BY ALL), gb AS (SELECT case_id, z, least(35, floor((d + pi()) / (2 * pi()) * 36)) AS b, count(*) AS n FROM gd GROUP BY ALL), ge AS (SELECT case_id, z, -sum(p * log2(p)) AS entropy FROM (SELECT case_id, z, n / sum(n) OVER (PARTITION BY case_id, z) AS p FROM gb) GROUP BY ALL)"
+
+
+@query(f"WITH {VOXELS}, {_DIRECTION} SELECT case_id, z, 7 AS label, {', '.join(r6(c, c) for c in ('entropy', 'resultant', 'mean', 'sd', 'high', 'skew', 'kurtosis'))} FROM gm JOIN gc USING (case_id, z) JOIN ge USING (case_id, z)")
 def i17_direction_entropy(spark, sf_dir) -> DataFrame:
     return voxels.direction_statistics(voxels.gradients(inputs.voxels(spark, sf_dir)), [7])
+
+
+@query(f"""WITH {VOXELS}, {_SI.split(', p AS ')[0]}, {_DIRECTION}, sm AS (SELECT case_id, z, CASE WHEN m2 < 1e-8 THEN 0 ELSE m3 / power(m2 + 1e-8, 1.5) END AS skew, CASE WHEN m2 < 1e-8 THEN 0 ELSE m4 / power(m2 + 1e-8, 2) - 3 END AS kurtosis FROM st JOIN mo USING (case_id, z, label) WHERE label = 7),
+t AS (SELECT case_id, z, sm.skew AS s, sm.kurtosis AS k, entropy, resultant, gm.mean AS g FROM sm JOIN gm USING (case_id, z) JOIN ge USING (case_id, z))
+SELECT case_id, z, {r6('0.3 * 0.75 + 0.3 * 0.2 + 0.2 * least(entropy / 5.5, 1) + 0.2 * (0.5 / (2 + 1e-8))', 'degeneration')}, {r6('0.4 / 3.0 + 0.4 * resultant + 0.2 * exp(-0.5)', 'integrity')},
+  {r6('0.4 * 0.8 + 0.3 * greatest(0, least(1, (1 / (1 + exp(-s)) - 0.5) * 2)) + 0.3 * (1 - least(abs(k), 1))', 'inflammatory')}, {r6('0.4 * (1 - 0.5 / (2 + 1e-8)) + 0.3 * tanh(g / 50) + 0.3 * 0.8', 'load')} FROM t""")
+def i13_texture_indices(spark, sf_dir) -> DataFrame:
+    """Texture indices of measured columns, and given ones where a measure has no SQL."""
+    vox = inputs.voxels(spark, sf_dir)
+    stats = voxels.roi_statistics(vox, [7]).select(*voxels.REGION, "skew", "kurtosis")
+    texture = voxels.direction_statistics(voxels.gradients(vox), [7]).select(*voxels.REGION, "entropy", "resultant", F.col("mean").alias("magnitude"))
+    one = lambda v: F.lit(float(v))
+    rows = stats.join(texture, voxels.REGION).withColumns({"dist_mean": one(2), "dist_std": one(0.5), "dist_max": one(4), "lbp_entropy": one(3), "lbp_energy": one(0.2), "branches": one(4), "ends": one(2)})
+    return voxels.texture_indices(rows).select("case_id", "z", "degeneration", "integrity", "inflammatory", "load")
+
+
+@query(f"WITH {VOXELS} SELECT case_id, x, count(*) AS n FROM vox WHERE x IN (3, 4) GROUP BY ALL")
+def i01_middle_slices_by_spacing(spark, sf_dir) -> DataFrame:
+    """Slices lie along the axis of the largest spacing, here x."""
+    return voxels.middle_slices(inputs.voxels(spark, sf_dir), 2, (0.7, 0.7, 4.0)).groupBy("case_id", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ABOUT = "3.5::DOUBLE AS cy, (36 * 3.5 + 8 * 7) / 44::DOUBLE AS cx"
+
+
+@query(f"""WITH {VOXELS}, s AS (SELECT case_id, z, y, x, cy + (x - cx) AS sy, cx - (y - cy) AS sx FROM vox, (SELECT {_ABOUT})),
+o AS (SELECT *, floor(round(sy, 9)) AS y0, floor(round(sx, 9)) AS x0 FROM s), w AS (SELECT *, greatest(0, sy - y0) AS fy, greatest(0, sx - x0) AS fx FROM o)
+SELECT w.case_id, w.z, CAST(w.y AS INTEGER) AS y, CAST(w.x AS INTEGER) AS x,
+  {r6('coalesce(a.intensity, 0) * (1 - fy) * (1 - fx) + coalesce(b.intensity, 0) * (1 - fy) * fx + coalesce(c.intensity, 0) * fy * (1 - fx) + coalesce(d.intensity, 0) * fy * fx', 'intensity')}, coalesce(l.label, 0) AS label
+FROM w LEFT JOIN vox a ON a.case_id = w.case_id AND a.z = w.z AND a.y = y0 AND a.x = x0 LEFT JOIN vox b ON b.case_id = w.case_id AND b.z = w.z AND b.y = y0 AND b.x = x0 + 1
+LEFT JOIN vox c ON c.case_id = w.case_id AND c.z = w.z AND c.y = y0 + 1 AND c.x = x0 LEFT JOIN vox d ON d.case_id = w.case_id AND d.z = w.z AND d.y = y0 + 1 AND d.x = x0 + 1
+LEFT JOIN vox l ON l.case_id = w.case_id AND l.z = w.z AND l.y = floor(round(sy, 9) + 0.5) AND l.x = floor(round(sx, 9) + 0.5)""")
+def i15_rotate_about_mask(spark, sf_dir) -> DataFrame:
+    """A quarter turn about the mask's centroid, between pixels."""
+    return voxels.rotate_about_mask(inputs.voxels(spark, sf_dir), 90.0, 8, 8)

@@ -23,7 +23,7 @@ def predictions(spark, sf_dir) -> DataFrame:
     rows = o.select(
         F.col("o_orderkey").alias("orig_index"), F.col("o_custkey").alias("patient_id"), (F.col("o_orderkey") % 3).cast("int").alias("task"), (F.col("o_custkey") % 5).cast("int").alias("fold"), y.alias("y_true"), (y - 3 + 2 * noise * 1.8).alias("s")
     )
-    p = coral.bounds(F.col("s"), THETA)
+    p = coral.bounds(F.col("s"), THETA)  # the score itself, s, stays for what works on log odds
     return rows.withColumns({"p_gt": F.array(*p), "y_cont": coral.expected(p), "y_pred": coral.decode(p), "p_cls": coral.class_probabilities(p)})
 
 

@@ -31,7 +31,7 @@ def _samples(spark, sf_dir) -> DataFrame:
 def p02_sample_parts(spark, sf_dir) -> DataFrame:
     levels = ["L3-L4", "L4-L5", "L5-S1"]
     rows = _samples(spark, sf_dir).withColumns({"patient_id": keys.patient_of(F.col("sample_id")), "disc_level": keys.level_of(F.col("sample_id"))})
-    return rows.where(F.col("disc_level").isin(levels)).withColumn("task", keys.task_of(F.col("disc_level"), levels))
+    return reshape.only_levels(rows, "disc_level", levels).withColumn("task", keys.task_of(F.col("disc_level"), levels))
 
 
 _PERTURBED = "pert AS (SELECT (vec_id // 5) || (['', '_dilation', '_erosion_image', '_dilation_trans_rot_mask', '_translation_image_mask'])[CAST(vec_id % 5 AS INTEGER) + 1] AS case_id FROM embeddings)"
@@ -45,13 +45,23 @@ def p03_condition_of_case(spark, sf_dir) -> DataFrame:
     return reshape.split_perturbed(rows)
 
 
-@query(f"WITH {FEATURES} SELECT case_id, segment, feature, {r6('value', 'value')} FROM feat WHERE condition = 'gold' AND CAST(substr(feature, 6) AS INTEGER) < 6")
-def p04_wide_to_long(spark, sf_dir) -> DataFrame:
-    long = inputs.features(spark, sf_dir, ["gold"]).where(F.substring("feature", 6, 9).cast("int") < 6)
+def wide_features(spark, sf_dir) -> DataFrame:
+    """A row per case, a column per segment and feature."""
+    long = inputs.features(spark, sf_dir, ["gold"])
     named = long.withColumn("column", F.concat_ws("_", F.lit("Deep"), "segment", F.substring("feature", 6, 9)))
-    columns = [f"Deep_{s}_{i}" for s in keys.SEGMENTS for i in range(6)]
-    wide = named.groupBy("case_id").pivot("column", columns).agg(F.first("value"))
-    return reshape.wide_to_long(wide, ["case_id"])
+    columns = [f"Deep_{s}_{i}" for s in keys.SEGMENTS for i in range(64)]
+    return named.groupBy("case_id").pivot("column", columns).agg(F.first("value"))
+
+
+@query(f"WITH {FEATURES} SELECT case_id, segment, feature, {r6('value', 'value')} FROM feat WHERE condition = 'gold'")
+def p04_wide_to_long(spark, sf_dir) -> DataFrame:
+    return reshape.wide_to_long(wide_features(spark, sf_dir), ["case_id"])
+
+
+@query(f"WITH {FEATURES} SELECT case_id AS Sample_ID, segment AS Disc_Level, " + ", ".join(r6(f"max(value) FILTER (feature = 'Deep_{i}')", f"Deep_{i}") for i in range(64)) + " FROM feat WHERE condition = 'gold' GROUP BY ALL")
+def p04_export_by_level(spark, sf_dir) -> DataFrame:
+    out = reshape.export_by_level(wide_features(spark, sf_dir), "case_id")
+    return out.where(F.coalesce(*[F.col(f"Deep_{i}") for i in range(64)]).isNotNull())  # a case may lack a level
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS case_id, s.segment, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS pfirrmann FROM orders, (VALUES ('L3-L4'), ('L4-L5'), ('L5-S1')) s(segment)")
@@ -90,7 +100,7 @@ def p11_segment_one_hot(spark, sf_dir) -> DataFrame:
     return reshape.one_hot(inputs.discs(spark, sf_dir), "segment", [0, 1, 2]).select("patient_id", "l_partkey", "segment", "seg_0", "seg_1", "seg_2")
 
 
-@query(f"WITH {STATISTICS} SELECT o_orderkey, " + ", ".join(f"CASE WHEN manufacturer = '{m}' THEN 1.0::DOUBLE ELSE 0.0 END AS manufacturer_{m}" for m in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM orders JOIN stats ON o_custkey = image_id")
+@query(f"WITH {STATISTICS} SELECT o_orderkey, " + ", ".join(f"CASE WHEN manufacturer = '{m}' THEN 1.0::DOUBLE ELSE 0.0 END AS manufacturer__{m}" for m in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM orders JOIN stats ON o_custkey = image_id")
 def p12_case_one_hot(spark, sf_dir) -> DataFrame:
     o = inputs.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("image_id"))
     return reshape.one_hot_cases(o, inputs.statistics(spark, sf_dir), "image_id", "manufacturer", drop_first=True).drop("image_id")

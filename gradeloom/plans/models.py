@@ -10,34 +10,33 @@ from ..operators import linear
 from . import inputs
 from .inputs import CLASSES, DISCS, PREDICTIONS
 from .registry import query, r6
+from .evaluation import _metric_sql
 from .selection import NAMES, _vectors
 
-TEN = sorted(NAMES, key=lambda n: int(n.split("_")[1]))[:10]
-
 
 def _rows(spark, sf_dir) -> DataFrame:
-    return _vectors(spark, sf_dir, TEN)
+    return _vectors(spark, sf_dir)
 
 
 @query()
 def m01_enet_path(spark, sf_dir) -> DataFrame:
-    p = len(TEN)
+    p = len(NAMES)
     cell = linear.group_moments(_rows(spark, sf_dir).withColumn("all", F.lit(0)), ["all"], p).first()
     gram, moment, _, _ = linear.centred(linear.Moments.unpacked(cell["moments"], p))
     penalties = linear.lambda_max(gram, moment, 0.5, np.ones(p)) * 0.01 ** (np.arange(10) / 9)
     path = linear.enet_path(gram, moment, 0.5, penalties)
-    rows = [(i, float(a), n, float(b)) for i, (a, bs) in enumerate(zip(penalties, path, strict=True)) for n, b in zip(sorted(TEN), bs, strict=True)]
+    rows = [(i, float(a), n, float(b)) for i, (a, bs) in enumerate(zip(penalties, path, strict=True)) for n, b in zip(NAMES, bs, strict=True)]
     return spark.createDataFrame(rows, "step int, penalty double, feature string, beta double")
 
 
 _V = "v AS (SELECT vec_id, CAST(1 + label % 5 AS DOUBLE) AS y, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"
 
 
-@query(f"WITH {_V}, t AS (SELECT vec_id, y, pos, CASE WHEN pos < 8 THEN x + CAST(0.05 AS DOUBLE) * y ELSE x END AS x FROM v WHERE pos < 10) SELECT a.pos AS i, b.pos AS j, {r6('sum(a.x * b.x)', 'xx')}, {r6('sum(a.x * a.y)', 'xy')} FROM t a JOIN t b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos")
+@query(f"WITH {_V}, t AS (SELECT vec_id, y, pos, CASE WHEN pos < 8 THEN x + CAST(0.05 AS DOUBLE) * y ELSE x END AS x FROM v) SELECT a.pos AS i, b.pos AS j, {r6('sum(a.x * b.x)', 'xx')}, {r6('sum(a.x * a.y)', 'xy')} FROM t a JOIN t b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos")
 def m01_gram(spark, sf_dir) -> DataFrame:
     """The moments all fits work on, unweighted."""
-    p = len(TEN)
-    order = [int(n.split("_")[1]) for n in sorted(TEN)]
+    p = len(NAMES)
+    order = [int(n.split("_")[1]) for n in NAMES]
     cell = linear.group_moments(_rows(spark, sf_dir).withColumn("w", F.lit(1.0)).withColumn("all", F.lit(0)), ["all"], p).first()
     m = linear.Moments.unpacked(cell["moments"], p)
     return spark.createDataFrame([(order[i], order[j], float(m.xx[i, j]), float(m.xy[i])) for i in range(p) for j in range(p)], "i long, j long, xx double, xy double")
@@ -45,15 +44,15 @@ def m01_gram(spark, sf_dir) -> DataFrame:
 
 @query()
 def m02_grid_search(spark, sf_dir) -> DataFrame:
-    return linear.grid_search(_rows(spark, sf_dir).withColumn("w", F.lit(1.0)), "fold", len(TEN), CLASSES, [0.2, 0.5, 0.9])
+    return linear.grid_search(_rows(spark, sf_dir).withColumn("w", F.lit(1.0)), "fold", len(NAMES), CLASSES, [0.2, 0.5, 0.9])
 
 
 @query()
 def p28_design_path(spark, sf_dir) -> DataFrame:
     """Base features, segment dummies and interactions with their own penalty factors."""
     levels = ["L1-L2", "L2-L3", "L3-L4", "L4-L5", "L5-S1"]
-    p = 3
-    rows = _vectors(spark, sf_dir, TEN[:p]).withColumn("x", linear.design(F.col("x"), F.col("segment"), levels, "L3-L4")).withColumn("w", F.lit(1.0))
+    p = len(NAMES)
+    rows = _rows(spark, sf_dir).withColumn("x", linear.design(F.col("x"), F.col("segment"), levels, "L3-L4")).withColumn("w", F.lit(1.0))
     factors = linear.penalty_factors(p, len(levels))
     return linear.grid_search(rows, "fold", len(factors), CLASSES, [0.5], n=10, factors=factors)
 
@@ -86,6 +85,31 @@ def m04_pls_scores(spark, sf_dir) -> DataFrame:
     return scored.select("case_id", "segment", F.col("t")[0].alias("t1"), F.col("t")[1].alias("t2"), "y_pred", "y_cont")
 
 
+def _given(spark, sf_dir) -> DataFrame:
+    """Predictions as samples with two given component scores."""
+    rows = inputs.predictions(spark, sf_dir)
+    return rows.select("orig_index", "task", F.col("y_true").cast("double").alias("y"), F.array(F.col("s"), F.col("y_cont") / 2).alias("t"))
+
+
+_GIVEN = f"{PREDICTIONS}, g AS (SELECT orig_index, task, CAST(y_true AS DOUBLE) AS y, s AS t1, y_cont / 2 AS t2 FROM pred), c AS (SELECT y, avg(t1) AS c1, avg(t2) AS c2 FROM g GROUP BY y)"
+
+
+@query(f"WITH {_GIVEN}, k AS (SELECT task, y, count(*) AS n, avg(t1) AS k1, avg(t2) AS k2 FROM g GROUP BY ALL) SELECT task, y, n, {r6('n / (n + 10.0) * k1 + (1 - n / (n + 10.0)) * c1', 'c1')}, {r6('n / (n + 10.0) * k2 + (1 - n / (n + 10.0)) * c2', 'c2')} FROM k JOIN c USING (y)")
+def m05_mixed_centroids_given(spark, sf_dir) -> DataFrame:
+    rows = _given(spark, sf_dir)
+    mixed = linear.mixed_centroids(linear.centroids(rows, 2, []), linear.centroids(rows, 2, ["task"]))
+    return mixed.select("task", "y", "n", F.col("c")[0].alias("c1"), F.col("c")[1].alias("c2"))
+
+
+@query(f"""WITH {_GIVEN}, d AS (SELECT orig_index, y, sqrt(power(t1 - c1, 2) + power(t2 - c2, 2)) AS d FROM (SELECT orig_index, t1, t2 FROM g) g JOIN c ON TRUE),
+e AS (SELECT orig_index, min_by(y, (d, y)) AS near, sum(exp(m - d) * y) / sum(exp(m - d)) AS cont FROM (SELECT *, min(d) OVER (PARTITION BY orig_index) AS m FROM d) GROUP BY orig_index)
+SELECT orig_index, {r6('near', 'y_near')}, {r6('cont', 'y_near_cont')} FROM e""")
+def m06_nearest_centroid_given(spark, sf_dir) -> DataFrame:
+    rows = _given(spark, sf_dir)
+    near = linear.nearest_centroid(rows, linear.centroids(rows, 2, []), [float(c) for c in range(1, CLASSES + 1)])
+    return near.select("orig_index", "y_near", "y_near_cont")
+
+
 @query()
 def m05_mixed_centroids(spark, sf_dir) -> DataFrame:
     _, _, scored = _pls(spark, sf_dir)
@@ -103,7 +127,10 @@ def m06_nearest_centroid(spark, sf_dir) -> DataFrame:
     return plain.join(scaled, ["case_id", "segment"])
 
 
-@query()
+_TWO = ", two AS (SELECT *, 1 AS candidate FROM pred UNION ALL SELECT * REPLACE (3 AS y_pred), 2 AS candidate FROM pred)"
+
+
+@query(f"WITH j AS (SELECT candidate, sum((-mae + 0.1 * (kappa_quadratic + spearman + acc_pm1)) * n) / sum(n) AS score FROM ({_metric_sql(['candidate', 'fold'], 'two', _TWO, exact=True)}) GROUP BY candidate) SELECT candidate, {r6('score', 'score')}, row_number() OVER (ORDER BY score DESC, candidate) = 1 AS best FROM j")
 def m07_tuning_score(spark, sf_dir) -> DataFrame:
     rows = inputs.predictions(spark, sf_dir)
     two = rows.withColumn("candidate", F.lit(1)).unionByName(rows.withColumn("candidate", F.lit(2)).withColumn("y_pred", F.lit(3)))
@@ -123,17 +150,55 @@ _LOSS = "(" + " + ".join(f"CASE WHEN y_true > {k} THEN -ln(p{k}) ELSE -ln(1 - p{
 def m10_coral_loss(spark, sf_dir) -> DataFrame:
     from ..functions import coral
 
-    return inputs.predictions(spark, sf_dir).groupBy("fold", "task").agg(F.avg(coral.loss(F.col("y_true"), F.col("p_gt"))).alias("loss"))
+    return inputs.predictions(spark, sf_dir).groupBy("fold", "task").agg(F.avg(coral.loss(F.col("y_true"), coral.logits(F.col("s"), inputs.THETA))).alias("loss"))
 
 
 @query(f"WITH {PREDICTIONS}, i AS (SELECT fold, task AS iteration, avg(abs(y_true - y_pred)) AS mae, avg({_LOSS}) AS loss FROM pred GROUP BY ALL) SELECT fold, iteration, {r6('mae', 'mae')}, {r6('loss', 'loss')}, row_number() OVER (PARTITION BY fold ORDER BY round(mae, 12), round(loss, 12), iteration) AS rank FROM i QUALIFY rank <= 2")
 def m11_choose_iteration(spark, sf_dir) -> DataFrame:
     from ..functions import coral
 
-    rows = inputs.predictions(spark, sf_dir).select("fold", F.col("task").alias("iteration"), "y_true", "y_pred", coral.loss(F.col("y_true"), F.col("p_gt")).alias("loss"))
+    rows = inputs.predictions(spark, sf_dir).select("fold", F.col("task").alias("iteration"), "y_true", "y_pred", coral.loss(F.col("y_true"), coral.logits(F.col("s"), inputs.THETA)).alias("loss"))
     return linear.choose_iteration(rows, CLASSES, 2)
 
 
+_HISTORY = f"{PREDICTIONS}, h AS (SELECT fold, CAST(orig_index % 20 AS INTEGER) AS iteration, avg(abs(y_true - y_pred)) AS value FROM pred GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(value, 12), iteration) AS place FROM h)"
+
+
+def _history(spark, sf_dir) -> DataFrame:
+    rows = inputs.predictions(spark, sf_dir)
+    return rows.groupBy("fold", (F.col("orig_index") % 20).cast("int").alias("iteration")).agg(F.round(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))), 12).alias("value"))
+
+
+@query(f"WITH {_HISTORY} SELECT h.fold, h.iteration FROM h JOIN b ON b.fold = h.fold AND b.place = 1 AND abs(h.iteration - b.iteration) <= 3")
+def m11_window_candidates(spark, sf_dir) -> DataFrame:
+    return linear.iteration_candidates(_history(spark, sf_dir), "window", window=3)
+
+
+@query(f"WITH {_HISTORY} SELECT fold, iteration FROM b WHERE place <= 4")
+def m11_top_candidates(spark, sf_dir) -> DataFrame:
+    return linear.iteration_candidates(_history(spark, sf_dir), "topk_reg", top=4)
+
+
+@query(f"WITH {_HISTORY} SELECT fold, iteration FROM h")
+def m11_all_candidates(spark, sf_dir) -> DataFrame:
+    return linear.iteration_candidates(_history(spark, sf_dir), "all")
+
+
+@query(f"WITH {PREDICTIONS} SELECT task, {r6(f'sum({_LOSS} * (1 + orig_index % 3)) / sum(1 + orig_index % 3)', 'loss')} FROM pred GROUP BY task")
+def m10_weighted_coral_loss(spark, sf_dir) -> DataFrame:
+    from ..functions import coral
+
+    loss = coral.loss(F.col("y_true"), coral.logits(F.col("s"), inputs.THETA))
+    return inputs.predictions(spark, sf_dir).groupBy("task").agg(coral.mean_loss(loss, (1 + F.col("orig_index") % 3).cast("double")).alias("loss"))
+
+
+@query()
+def m12_logistic_grid(spark, sf_dir) -> DataFrame:
+    """C and class weights of the logistic step, each by predictions of held-out folds."""
+    _, _, scored = _pls(spark, sf_dir)
+    return linear.logistic_grid(scored.select("fold", "t", "y"), "fold", CLASSES)
+
+
 @query()
 def m12_logistic_postprocess(spark, sf_dir) -> DataFrame:
     _, _, scored = _pls(spark, sf_dir)

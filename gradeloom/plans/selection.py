@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, harmonize, linear, selection
 from ..operators.lineage import settled
 from . import inputs
-from .inputs import FEATURES, PLANTED
+from .inputs import _BASE, FEATURES, PLANTED
 from .registry import query, r6
 
+#: The features' table behind the one of the embeddings, which the planted ones have too.
+_FEAT = FEATURES[len(_BASE) + 2 :]
+
 _ICC = """cells AS (SELECT *, value - avg(value) OVER (PARTITION BY feature) AS v FROM feat),
 byrow AS (SELECT feature, count(*) AS n, sum(m * m) AS rr, sum(ss) AS total FROM (SELECT feature, case_id, segment, avg(v) AS m, sum(v * v) AS ss FROM cells GROUP BY ALL) GROUP BY feature),
 bycol AS (SELECT feature, count(*) AS k, sum(m * m) AS cc FROM (SELECT feature, condition, avg(v) AS m FROM cells GROUP BY ALL) GROUP BY feature),
@@ -47,12 +50,20 @@ def _tests(spark, sf_dir) -> DataFrame:
     return selection.benjamini_hochberg(t.withColumn("p", selection.p_value(F.col("rho"), F.col("n"))))
 
 
-@query()
+# Student's t by its integral over the angle: A(t) is that of cos^(n-3) from 0 to atan(t / sqrt(n - 2)), as a share of that to a right angle
+_P = """grid AS (SELECT unnest(range(0, 4001)) AS i), weighted AS (SELECT i, CASE WHEN i = 0 OR i = 4000 THEN 1.0::DOUBLE WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END AS w FROM grid),
+angles AS (SELECT feature, n, rho, asin(least(1, abs(rho))) AS theta FROM rho),
+tests0 AS (SELECT feature, n, rho, greatest(0, 1 - theta * sum(w * power(cos(theta * i / 4000), n - 3)) / (pi() / 2 * sum(w * power(greatest(0, cos(pi() / 2 * i / 4000)), n - 3)))) AS p FROM angles, weighted GROUP BY feature, n, rho, theta),
+tests1 AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS r, count(*) OVER () AS m FROM tests0),
+tests AS (SELECT feature, n, rho, p, least(1, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM tests1)"""
+
+
+@query(f"WITH {PLANTED}, {_RHO}, {_P} SELECT feature, n, {r6('rho', 'rho')}, {r6('p', 'p')}, {r6('q', 'q')} FROM tests")
 def f03_spearman_p_values(spark, sf_dir) -> DataFrame:
     return _tests(spark, sf_dir)
 
 
-@query()
+@query(f"WITH {PLANTED}, {_FEAT}, {_RHO}, {_P}, {_ICC} SELECT feature, n, {r6('rho', 'rho')}, {r6('p', 'p')}, {r6('q', 'q')}, {r6('icc', 'icc')}, {r6('abs(rho) * icc', 'score')} FROM (SELECT tests.*, icc.icc FROM tests JOIN icc USING (feature)) WHERE q < 0.05 AND abs(rho) >= 0.1 AND icc >= 0.75")
 def f05_relevant_features(spark, sf_dir) -> DataFrame:
     return selection.relevant(_tests(spark, sf_dir), selection.icc21(inputs.features(spark, sf_dir), 0.75))
 
@@ -76,7 +87,19 @@ def f07_pairwise_spearman(spark, sf_dir) -> DataFrame:
     return selection.pairwise_spearman(_few(spark, sf_dir))
 
 
-@query()
+_DEDUP = f"""{_FEW}, pr AS (SELECT a.feature AS f1, b.feature AS f2, corr(a.r, b.r) AS rho FROM fr a JOIN fr b ON a.case_id = b.case_id AND a.segment = b.segment AND a.feature < b.feature GROUP BY ALL),
+gr AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY pfirrmann) + (count(*) OVER (PARTITION BY feature, pfirrmann) - 1) / 2.0 AS g FROM fr),
+sc AS (SELECT feature, abs(corr(r, g)) AS score FROM gr GROUP BY feature),
+ov AS (SELECT f1, f2, rho, row_number() OVER (ORDER BY round(abs(rho), 9) DESC, f1, f2) AS i FROM pr WHERE abs(rho) > 0.95),
+step AS (SELECT i, rho, CASE WHEN round(a.score, 9) < round(b.score, 9) THEN f1 ELSE f2 END AS loser, CASE WHEN round(a.score, 9) < round(b.score, 9) THEN f2 ELSE f1 END AS winner FROM ov JOIN sc a ON a.feature = f1 JOIN sc b ON b.feature = f2),
+greedy AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS gone, ''::VARCHAR AS loser, ''::VARCHAR AS winner, 0.0::DOUBLE AS rho UNION ALL
+  SELECT s.i, CASE WHEN list_contains(g.gone, s.loser) OR list_contains(g.gone, s.winner) THEN g.gone ELSE list_append(g.gone, s.loser) END,
+    CASE WHEN list_contains(g.gone, s.loser) OR list_contains(g.gone, s.winner) THEN '' ELSE s.loser END, s.winner, s.rho FROM greedy g JOIN step s ON s.i = g.i + 1),
+removed AS (SELECT loser AS feature, winner AS removed_by, rho AS removed_rho, CAST(len(gone) AS INTEGER) AS removed_order FROM greedy WHERE loser <> ''),
+most AS (SELECT feature, max(abs(rho)) AS max_abs_rho, count(*) FILTER (abs(rho) > 0.95) AS n_over FROM (SELECT f1 AS feature, rho FROM pr UNION ALL SELECT f2, rho FROM pr) GROUP BY feature)"""
+
+
+@query(f"WITH RECURSIVE {_DEDUP} SELECT feature, {r6('score', 'score')}, removed_by IS NULL AS kept, removed_by, {r6('removed_rho', 'removed_rho')}, removed_order, {r6('coalesce(max_abs_rho, 0)', 'max_abs_rho')}, coalesce(n_over, 0) AS n_over FROM sc LEFT JOIN most USING (feature) LEFT JOIN removed USING (feature)")
 def f08_deduplicate(spark, sf_dir) -> DataFrame:
     rows = _few(spark, sf_dir)
     scores = selection.spearman_with(rows).select("feature", F.abs("rho").alias("score"))
@@ -104,11 +127,9 @@ def f18_histogram(spark, sf_dir) -> DataFrame:
     return selection.histogram(inputs.planted(spark, sf_dir), ["feature"], "value", 20)
 
 
-def _vectors(spark, sf_dir, names: list[str] | None = None) -> DataFrame:
+def _vectors(spark, sf_dir) -> DataFrame:
     """Vectors of samples with grade, patient weight and fold."""
     rows = inputs.planted(spark, sf_dir)
-    if names:
-        rows = rows.where(F.col("feature").isin(names))
     v = harmonize.feature_vectors(rows, ["case_id", "segment", "pfirrmann"])
     v = cleaning.patient_weights(v, "case_id")
     return v.select("case_id", "segment", (F.col("case_id").cast("long") % 5).cast("int").alias("fold"), "x", F.col("pfirrmann").cast("double").alias("y"), F.col("weight").alias("w"))
@@ -119,7 +140,7 @@ NAMES = sorted(f"Deep_{i}" for i in range(64))
 
 @query()
 def f12_lambda_choice(spark, sf_dir) -> DataFrame:
-    return linear.choose_lambda(_vectors(spark, sf_dir), "fold", "segment", len(NAMES), n=50)
+    return linear.choose_lambda(_vectors(spark, sf_dir), "fold", "segment", len(NAMES))
 
 
 @query()
@@ -129,7 +150,18 @@ def f13_stability_selection(spark, sf_dir) -> DataFrame:
 
 @query()
 def f13_tuned_stability(spark, sf_dir) -> DataFrame:
-    return linear.tuned_stability(_vectors(spark, sf_dir), "case_id", "segment", NAMES, linear.lambda_grid(np.array([0.4]), 0.5, 20), start=6, most=8, replicates=20)
+    return linear.tuned_stability(_vectors(spark, sf_dir), "case_id", "segment", NAMES, linear.lambda_grid(np.array([0.4]), 0.5), start=30, most=8)
+
+
+_SIX = ["Deep_63", "Deep_0"]
+
+
+@query(f"WITH {PLANTED}, {_RHO}, best AS (SELECT feature, CAST(row_number() OVER (ORDER BY round(abs(rho), 9) DESC, feature) AS INTEGER) AS position FROM rho QUALIFY position <= 6), more AS (SELECT f AS feature, i FROM (VALUES " + ", ".join(f"('{f}', {i})" for i, f in enumerate(_SIX)) + ") v(f, i) WHERE f NOT IN (SELECT feature FROM best)) SELECT * FROM best UNION ALL SELECT feature, CAST(6 + row_number() OVER (ORDER BY i) AS INTEGER) FROM more")
+def f15_final_features(spark, sf_dir) -> DataFrame:
+    """The best six by rank correlation, then the forced ones that are not among them."""
+    scores = selection.spearman_with(inputs.planted(spark, sf_dir)).select("feature", F.round(F.abs("rho"), 9).alias("score"))
+    ranked = selection.top_features(scores, 6).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "feature")))
+    return selection.final_features(ranked, 6, _SIX)
 
 
 @query()
@@ -141,7 +173,11 @@ def f15_model_input(spark, sf_dir) -> DataFrame:
     return selection.model_input(rows, names)
 
 
-@query()
+_ALONE = f"""fp AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r FROM planted),
+close AS (SELECT count(*) AS n FROM (SELECT corr(a.r, b.r) AS rho FROM fp a JOIN fp b ON a.case_id = b.case_id AND a.segment = b.segment AND a.feature < b.feature GROUP BY a.feature, b.feature) WHERE abs(rho) > 0.95)"""
+
+
+@query(f"WITH {PLANTED}, {_FEAT}, {_RHO}, {_P}, {_ICC}, {_ALONE} SELECT feature, {r6('icc', 'icc')}, icc >= 0.75 AS pass_icc, {r6('rho', 'rho')}, {r6('p', 'p')}, {r6('q', 'q')}, (SELECT n FROM close) = 0 AS pass_dedup, CAST(NULL AS VARCHAR) AS removed_by FROM icc JOIN tests USING (feature)")
 def f16_feature_audit(spark, sf_dir) -> DataFrame:
     rows = inputs.planted(spark, sf_dir)
     scores = selection.spearman_with(rows).select("feature", F.abs("rho").alias("score"))
@@ -149,16 +185,13 @@ def f16_feature_audit(spark, sf_dir) -> DataFrame:
     return selection.audit(rows.select("feature").distinct(), selection.icc21(inputs.features(spark, sf_dir)), _tests(spark, sf_dir), dedup)
 
 
-_EIGHT = [f"Deep_{i}" for i in range(8)]
-
-
-@query(f"""WITH {PLANTED}, v AS (SELECT case_id, segment, pfirrmann, feature, value FROM planted WHERE feature IN ({', '.join(f"'{n}'" for n in _EIGHT)})),
+@query(f"""WITH {PLANTED}, v AS (SELECT case_id, segment, pfirrmann, feature, value FROM planted),
 p AS (SELECT a.feature AS feature1, b.feature AS feature2, a.value * b.value AS product, CAST(a.pfirrmann AS DOUBLE) AS y FROM v a JOIN v b ON a.case_id = b.case_id AND a.segment = b.segment AND a.feature < b.feature),
 r AS (SELECT *, rank() OVER (PARTITION BY feature1, feature2 ORDER BY product) + (count(*) OVER (PARTITION BY feature1, feature2, product) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY feature1, feature2 ORDER BY y) + (count(*) OVER (PARTITION BY feature1, feature2, y) - 1) / 2.0 AS rb FROM p),
 c AS (SELECT feature1, feature2, corr(ra, rb) AS rho FROM r GROUP BY ALL)
-SELECT feature1, feature2, {r6('rho', 'rho')}, {r6('abs(rho)', 'abs_rho')} FROM c ORDER BY abs(rho) DESC, feature1, feature2 LIMIT 10""")
+SELECT feature1, feature2, {r6('rho', 'rho')}, {r6('abs(rho)', 'abs_rho')} FROM c ORDER BY round(abs(rho), 9) DESC, feature1, feature2 LIMIT 10""")
 def f19_interactions(spark, sf_dir) -> DataFrame:
-    return selection.interactions(_vectors(spark, sf_dir, _EIGHT), _EIGHT, "y", 10)
+    return selection.interactions(_vectors(spark, sf_dir), NAMES, "y", 10)
 
 
 @query()
@@ -179,5 +212,5 @@ def w1_robust_selection(spark, sf_dir) -> DataFrame:
         return spark.createDataFrame([], "feature string, pi double, mean_abs_beta double, score double, stable boolean, rank int")
     v = cleaning.patient_weights(harmonize.feature_vectors(kept.where(F.col("feature").isin(names)), ["case_id", "segment", "pfirrmann"]), "case_id")
     vectors = settled(v.select("case_id", "segment", (F.col("case_id").cast("long") % 5).cast("int").alias("fold"), "x", F.col("pfirrmann").cast("double").alias("y"), F.col("weight").alias("w")))
-    alpha = linear.choose_lambda(vectors, "fold", "segment", len(names), n=40, one_se=False).where("selected").first()["alpha"]
+    alpha = linear.choose_lambda(vectors, "fold", "segment", len(names), one_se=False).where("selected").first()["alpha"]
     return linear.stability(vectors, "case_id", "segment", names, alpha)

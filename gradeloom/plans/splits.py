@@ -50,7 +50,7 @@ def v03_stratified_group_kfold(spark, sf_dir) -> DataFrame:
 
 @query()
 def v04_balanced_split(spark, sf_dir) -> DataFrame:
-    return splits.balanced_split(_patients(spark, sf_dir), "patient_id", "y_true", "scanner", CLASSES, 5, trials=16)
+    return splits.balanced_split(_patients(spark, sf_dir), "patient_id", "y_true", "scanner", CLASSES, 5)
 
 
 @query(f"""WITH {PREDICTIONS}, f AS (SELECT DISTINCT fold FROM pred), v AS (SELECT y_true, count(*) AS a FROM pred GROUP BY 1), d AS (SELECT f.fold, v.y_true, v.a, count(p.fold) AS n_val FROM f CROSS JOIN v LEFT JOIN pred p ON p.fold = f.fold AND p.y_true = v.y_true GROUP BY ALL),
@@ -60,6 +60,19 @@ def v05_balance_report(spark, sf_dir) -> DataFrame:
     return splits.balance_report(inputs.predictions(spark, sf_dir), "y_true")
 
 
+_SCANNER = f"""{PREDICTIONS}, {inputs.STATISTICS}, pt AS (SELECT DISTINCT patient_id, fold, manufacturer AS scanner FROM pred JOIN stats ON patient_id = image_id),
+f AS (SELECT DISTINCT fold FROM pt), v AS (SELECT scanner, count(*) AS a FROM pt GROUP BY 1), d AS (SELECT f.fold, v.scanner, v.a, count(pt.fold) AS n_val FROM f JOIN v ON TRUE LEFT JOIN pt ON pt.fold = f.fold AND pt.scanner = v.scanner GROUP BY ALL),
+t AS (SELECT fold, scanner, n_val, a - n_val AS n_train, 100.0 * n_val / sum(n_val) OVER (PARTITION BY fold) AS pv, 100.0 * (a - n_val) / sum(a - n_val) OVER (PARTITION BY fold) AS pt FROM d)"""
+
+
+@query(f"WITH {_SCANNER} SELECT fold, scanner, n_val, n_train, {r6('pv', 'pct_val')}, {r6('pt', 'pct_train')}, {r6('pv - pt', 'pct_diff')}, {r6('max(abs(pv - pt)) OVER (PARTITION BY fold)', 'max_abs_diff')} FROM t")
+def v05_patient_report(spark, sf_dir) -> DataFrame:
+    """Balance of scanners over patients, each counted once."""
+    folds = inputs.predictions(spark, sf_dir).select("patient_id", "fold").distinct()
+    scanners = inputs.statistics(spark, sf_dir).select(F.col("image_id").alias("patient_id"), F.col("manufacturer").alias("scanner"))
+    return splits.balance_report(folds.join(scanners, "patient_id"), "scanner")
+
+
 @query()
 def v06_nested_split(spark, sf_dir) -> DataFrame:
     rows = inputs.predictions(spark, sf_dir)

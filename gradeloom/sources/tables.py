@@ -124,6 +124,12 @@ def write_summary(metrics: DataFrame, pooled: DataFrame, calibrated: DataFrame |
     return rows
 
 
+def write_json(tables: dict[str, DataFrame], path: str) -> None:
+    """A directory of JSON lines per table: summaries, thresholds, calibration reports. Arrays stay arrays, nulls are left out."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def pair_images(images: DataFrame, masks: DataFrame) -> DataFrame:
     """(key, image, mask) of paths (column `path`) whose folder and bare name agree; of several masks the last path."""
     m = masks.groupBy(keys.pair_key(F.col("path")).alias("key")).agg(F.max("path").alias("mask"))

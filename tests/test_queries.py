@@ -5,16 +5,12 @@ from compare import of_spark, of_sql
 
 from gradeloom import plans
 
-
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     assert of_spark(plans.QUERIES[name](spark, sf_dir)) == of_sql(sf_dir, plans.ORACLES[name])
 
 
-SLOW = {"w1_robust_selection", "v04_balanced_split", "e08_threshold_variants", "f16_feature_audit"}
-
-
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_query_has_rows(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).count() > 0
 
