@@ -21,13 +21,17 @@ MARGIN = 0.15
 BROADCAST_ROWS = 500_000
 
 
-def line_key(line: Column) -> Column:
-    """Two hashes, of 64 and of 32 bits, of the line without blanks around it, in lower case; null for a blank line, which is never boilerplate.
+#: A line's key: two hashes of the line without blanks around it, in lower case.
+KEY = ["hash", "hash2"]
 
-    Lines are told apart by these 96 bits: among 10^12 distinct lines two meet with a chance of about 10^-5.
+
+def keyed_lines(rows: DataFrame) -> DataFrame:
+    """`rows` with the key of their `line` in its place; blank lines, which are never boilerplate, go.
+
+    Lines are told apart by the key's 96 bits: among 10^12 distinct lines two meet with a chance of about 10^-5.
     """
-    bare = F.lower(F.trim(line))
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("long"), F.hash(bare).alias("short")))
+    bare = rows.withColumn("line", F.lower(F.trim("line"))).where("line <> ''")
+    return bare.withColumns({"hash": F.xxhash64("line"), "hash2": F.hash("line")}).drop("line")
 
 
 def _lines(text: Column) -> Column:
@@ -35,17 +39,17 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
-    """(hash, first_id): lines found on at least `sites` distinct sites, and the least id that has one. Null sites do not count."""
+    """(hash, hash2, first_id): keys of lines found on at least `sites` distinct sites, and the least id that has one. Null sites do not count."""
     lines = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.explode(_lines(F.col(text_col))).alias("line"))
-    lines = lines.select("id", "site", line_key(F.col("line")).alias("hash")).where(F.col("hash").isNotNull() & F.col("site").isNotNull())
+    lines = keyed_lines(lines.where(F.col("site").isNotNull()))
     # Each task sketches its own lines, so a hot line is one row per task in the shuffle.
-    some = lines.groupBy("hash").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("id").alias("first_id"))
-    some = some.select("hash", "first_id", F.hll_sketch_estimate("sketch").alias("estimate"))
+    some = lines.groupBy(*KEY).agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("id").alias("first_id"))
+    some = some.select(*KEY, "first_id", F.hll_sketch_estimate("sketch").alias("estimate"))
     some = saved(some.where(F.col("estimate") >= sites * (1 - margin)), "spread")
-    sure = some.where(F.col("estimate") > sites * (1 + margin)).select("hash", "first_id")
-    near = some.where(F.col("estimate") <= sites * (1 + margin)).select("hash")
-    exact = lines.join(_small(near), "hash", "left_semi").groupBy("hash").agg(F.count_distinct("site").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= sites)
-    return saved(sure.union(exact.select("hash", "first_id")), "boilerplate")
+    sure = some.where(F.col("estimate") > sites * (1 + margin)).select(*KEY, "first_id")
+    near = some.where(F.col("estimate") <= sites * (1 + margin)).select(*KEY)
+    exact = lines.join(_small(near), KEY, "left_semi").groupBy(*KEY).agg(F.count_distinct("site").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= sites)
+    return saved(sure.union(exact.select(*KEY, "first_id")), "boilerplate")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -83,8 +87,7 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, site_col: str, sites:
     keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__hash", F.xxhash64(text))
     found = boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, sites=sites)
     lines = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
-    lines = lines.select("__id", "__hash", "pos", line_key(F.col("line")).alias("hash")).where(F.col("hash").isNotNull())
-    hit = lines.join(_small(found), "hash")
+    hit = keyed_lines(lines).join(_small(found), KEY)
     if keep_first:
         hit = hit.where(~F.col("__id").eqNullSafe(F.col("first_id")))
     gone = hit.groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"__id": "__id2", "__hash": "__hash2"})
