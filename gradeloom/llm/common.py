@@ -43,6 +43,12 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one that nothing will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def masked(docs: DataFrame, *names: str) -> tuple:
     """`docs` with its columns named c0, c1, ..., so that no name in it meets one of an operator's, and the new names of `names`.
 

@@ -11,6 +11,7 @@ import json
 import math
 import uuid
 from dataclasses import asdict, dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,18 +104,22 @@ class ShardTable:
             raise
         return manifest
 
-    def _run(self, where: str) -> Run | None:
-        files = [(f"{where}/{s.getPath().getName()}", int(s.getLen())) for s in self._list(where) if s.getPath().getName().startswith("part-")]
-        if not files:
-            return None
-        size = sum(n for _, n in files)
-        names = sorted(f for f, _ in files)
-        rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in names]).count()
-        return Run(where, names, size, rows, tier_of(size, self.base, self.fanout))
+    def _runs(self, places: list[str]) -> list[Run]:
+        """The runs that lie in the given folders, without those that have no row; all are counted in one job."""
+        files = {p: sorted((f"{p}/{s.getPath().getName()}", int(s.getLen())) for s in self._list(p) if s.getPath().getName().startswith("part-")) for p in places}
+        paths = [f"{self.path}/{f}" for listed in files.values() for f, _ in listed]
+        if not paths:
+            return []
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+        counts = self.spark.read.schema("__none int").parquet(*paths).groupBy(folder.alias("folder")).count().collect()  # a row per run
+        rows = {unquote(r["folder"]): r["count"] for r in counts}
+        sizes = {p: sum(n for _, n in listed) for p, listed in files.items()}
+        return [Run(p, [f for f, _ in files[p]], sizes[p], rows[p.rsplit("/", 1)[-1]], tier_of(sizes[p], self.base, self.fanout)) for p in places if rows.get(p.rsplit("/", 1)[-1])]
 
     def append(self, rows: DataFrame, arrival: str | None = None) -> Manifest:
         """Write an arrival as a run and commit it. With `arrival`, a column, each of its values is an arrival and a commit of its own;
         all are written in one pass. Rows are stored as they are, nulls and repeats included; an arrival without rows commits nothing.
+        Where another writer takes the version, the run is committed as the next one.
         """
         where = f"runs/{uuid.uuid4().hex}"
         now = self.manifest()
@@ -126,13 +131,21 @@ class ShardTable:
         else:
             rows.write.parquet(f"{self.path}/{where}")
             places = [where]
-        for place in places:
-            if (run := self._run(place)) and run.rows:
-                now = self._commit(Manifest(now.version + 1, schema, [*now.runs, run]))
+        for run in self._runs(places):
+            now = self._rebased(now, lambda m, run=run: Manifest(m.version + 1, m.schema or schema, [*m.runs, run]))
         if not now.version:
-            now = self._commit(Manifest(1, schema, []))
+            now = self._rebased(now, lambda m: Manifest(m.version + 1, m.schema or schema, m.runs))
         return now
 
+    def _rebased(self, now: Manifest, change, tries: int = 20) -> Manifest:
+        """Commit `change` of the newest version; the work is not lost to a writer that was faster."""
+        for _ in range(tries):
+            try:
+                return self._commit(change(now))
+            except CommitConflict:
+                now = self.manifest()
+        raise CommitConflict(f"no version could be had in {tries} tries")
+
     def compact(self) -> Manifest:
         """Merge tiers with `fanout` runs or more, until none has; the merged files are of about `target_bytes`."""
         now = self.manifest()
@@ -150,12 +163,18 @@ class ShardTable:
             rows = self._open(now.schema, merged)
             # no shuffle: whole input splits are joined to files of the target size
             rows.coalesce(files).write.parquet(f"{self.path}/{where}")
-            run = self._run(where)
+            (run,) = self._runs([where])
             if run.rows != sum(r.rows for r in merged):
                 raise RuntimeError("a merge lost rows; nothing was committed")
             run.tier = max(run.tier, full[0] + 1)
             gone = {r.name for r in merged}
-            now = self._commit(Manifest(now.version + 1, now.schema, [*[r for r in now.runs if r.name not in gone], run]))
+
+            def merge(m: Manifest, run=run, gone=gone) -> Manifest:
+                if not gone <= {r.name for r in m.runs}:
+                    raise RuntimeError("another writer merged the same runs; nothing was committed")
+                return Manifest(m.version + 1, m.schema, [*[r for r in m.runs if r.name not in gone], run])
+
+            now = self._rebased(now, merge)
 
     def _open(self, schema: str, runs: list[Run]) -> DataFrame:
         kind = T.StructType.fromJson(json.loads(schema))

@@ -77,6 +77,33 @@ def test_bloom_has_no_false_negative():
     assert (hit == 2).all()
 
 
+def test_langid_against_exact_sets(spark, docs):
+    """With sets of trigrams in place of the filters: the same languages, and scores that false positives alone can move."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.fit(docs.where(~held))
+    counts: dict[str, Counter] = {}
+    for r in docs.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect():
+        counts.setdefault(r["lang"], Counter()).update(langid.trigrams([r["text"]])[0].tolist())
+    share = {lang: {g: n / c.total() for g, n in c.items() if n >= 2} for lang, c in counts.items()}
+    most = Counter()
+    for by in share.values():
+        for g, v in by.items():
+            most[g] = max(most[g], v)
+    own = {lang: {g for g, v in by.items() if v >= 0.3 * most[g]} for lang, by in share.items()}
+    assert sorted(own) == model.languages
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    same = 0
+    for r in docs.collect():
+        grams = langid.trigrams([r["text"] or ""])[0].tolist()
+        if not grams:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        hits = {lang: sum(g in s for g in grams) / len(grams) for lang, s in own.items()}
+        same += got[r["doc_id"]][0] == max(sorted(hits), key=hits.get)
+        assert abs(got[r["doc_id"]][1] - max(hits.values())) < 0.03
+    assert same >= 0.99 * len(got)
+
+
 # fingerprints
 
 
@@ -194,8 +221,14 @@ def test_shards_round_trip_and_versions(spark, tmp_path):
     with pytest.raises(sharding.CommitConflict):
         table._commit(sharding.Manifest(6, after.schema, []))
     assert table.manifest().runs == after.runs
+    # an append that starts from an old version is committed behind the newest
+    stale, real = table.manifest(3), table.manifest
+    table.manifest = lambda version=None, calls=[]: (calls.append(1), stale if len(calls) == 1 else real(version))[1]  # noqa: B006
+    assert table.append(docs).version == 7 and table.read().count() == 6 * len(EDGE)
+    table.manifest = real
+    table._commit(sharding.Manifest(8, after.schema, after.runs))
     assert table.vacuum() >= 5 and table.read().count() == 5 * len(EDGE)
-    assert sharding.ShardTable(spark, str(tmp_path / "t")).manifest().version == 6
+    assert sharding.ShardTable(spark, str(tmp_path / "t")).manifest().version == 8
     empty = sharding.ShardTable(spark, str(tmp_path / "e"))
     with pytest.raises(FileNotFoundError):
         empty.read()
@@ -311,6 +344,50 @@ def test_toxicity_edges(spark):
     assert toxicity._plain("aw.fu1") == "awful" and toxicity._plain("aaawful") == "awful"
 
 
+def _walk(lines, x):
+    """Value of a tree in its printed form."""
+    i = 0
+    while True:
+        line = lines[i].strip()
+        if m := re.match(r"Predict: (\S+)", line):
+            return float(m[1])
+        m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
+        depth = len(lines[i]) - len(lines[i].lstrip())
+        if x[int(m[1])] <= float(m[2]):
+            i += 1
+        else:
+            i = next(k for k in range(i + 1, len(lines)) if lines[k].strip().startswith("Else") and len(lines[k]) - len(lines[k].lstrip()) == depth) + 1
+
+
+def test_toxicity_scores_against_a_walk_of_its_trees(spark):
+    rng = random.Random(2)
+    words = "good fine calm tree leaf root bark wood path hill rain snow wind moon star lake".split()
+    texts = [" ".join(rng.choice(words) for _ in range(12)) + (" you awful !!" if i % 3 == 0 else " THE END.") for i in range(300)]
+    model = toxicity.fit(frame(spark, texts), spark.createDataFrame([(i, int(i % 3 == 0 or i % 17 == 0)) for i in range(300)], "doc_id long, toxic int"), trees=6)
+    strong = frozenset(w for w, v in model.lexicon.items() if v >= 1.0)
+    trees = [[line for line in t.toDebugString.split("\n")[1:] if line.strip()] for t in model.trees.trees]
+    steps, values = model.steps.boundaries.toArray(), model.steps.predictions.toArray()
+    probe = [*EDGE, *texts[:30], "You are aw.ful and AWFUL, awfuuul a w f u l"]
+    got = {r["doc_id"]: r["s"] for r in toxicity.score(frame(spark, probe), model, as_col="s").collect()}
+    for i, text in enumerate(probe):
+        x = toxicity.features(text, model.lexicon, strong)
+        margin = sum(w * _walk(t, x) for w, t in zip(model.trees.treeWeights, trees, strict=True))
+        p = 1 / (1 + math.exp(-2 * margin))
+        assert abs(got[i] - float(np.clip(np.interp(p, steps, values), 0, 1))) < 1e-9
+
+
+def test_toxicity_features_by_hand():
+    lexicon, strong = {"awful": 2.0, "bad": 0.8}, frozenset(["awful"])
+    text = "You AWFUL man, aw.fu1 and bad! go"
+    x = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon, strong), strict=True))
+    assert x["log_words"] == math.log(8) and x["strong_count"] == 1 and x["strong_kinds"] == 1 and x["hidden_count"] == 1
+    assert x["weight_top"] == 2.0 and abs(x["weight_rate"] - 2.8 / 7) < 1e-12 and x["near_you_count"] == 2 and abs(x["you_rate"] - 1 / 7) < 1e-12
+    assert abs(x["capital_rate"] - 6 / len(text)) < 1e-12 and abs(x["shout_rate"] - 1 / 7) < 1e-12 and abs(x["punctuation_rate"] - 3 / len(text)) < 1e-12
+    assert abs(x["exclaim_rate"] - 1 / len(text)) < 1e-12 and abs(x["digit_rate"] - 1 / len(text)) < 1e-12 and x["stretch_rate"] == x["spaced_rate"] == 0
+    spaced = dict(zip(toxicity.FEATURES, toxicity.features("a w f u l sooo", lexicon, strong), strict=True))
+    assert spaced["spaced_rate"] == 1 / 6 and spaced["stretch_rate"] == 1 / 6
+
+
 # language model
 
 
@@ -446,6 +523,32 @@ def test_lm_beats_its_base_and_its_ablation(spark, monkeypatch):
     assert score > base + 0.1 and score > no_score + 0.08 and alone > no_alone + 0.15
 
 
+def test_lm_scores_word_by_word(spark, monkeypatch, docs):
+    """Every word's probability from the subwords' and the counts, frequent words and joined ones alike."""
+    seen = {}
+    units, train = lm.learn_units, lm.train
+    monkeypatch.setattr(lm, "learn_units", lambda *a: seen.setdefault("units", units(*a)))
+    monkeypatch.setattr(lm, "train", lambda *a: seen.setdefault("net", train(*a)))
+    rows = docs.limit(60).union(frame(spark, EDGE, ids=[-i - 1 for i in range(len(EDGE))]).select(docs.columns))
+    got = {r["doc_id"]: r for r in lm.fit_and_score(rows, frequent=40).collect()}
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    begins, cutter, texts = lm.starts(path), lm.Cutter(path), [(r["doc_id"], lm.words_of(r["text"])) for r in rows.collect()]
+    c = Counter(w for k, ws in texts if not got[k]["held_out"] for w in [*ws, b" "])
+    whole = sum(c.values()) + len(c) + 1
+    for k, ws in texts:
+        tokens = [*ws, b" "]
+        ids, sizes = cutter.ids(cutter.numbers(tokens))
+        logp, begin = lm.log_probabilities(seen["net"], seen["units"], ids.astype(np.int64), np.array([len(ids)]))
+        at, score, alone = 0, 0.0, 0.0
+        for w, n in zip(tokens, sizes.tolist(), strict=True):
+            one = logp[at : at + n].sum() - begin[at] + (begin[at + n] if at + n < len(ids) else 0)
+            assert begins[ids[at]] and not begins[ids[at + 1 : at + n]].any()
+            score += math.log10(lm.MIX * 10**one + (1 - lm.MIX) * (c[w] + 1) / whole)
+            alone += one
+            at += n
+        assert abs(got[k]["score"] - score) < 1e-4 * len(tokens) and abs(got[k]["attention_score"] - alone) < 1e-4 * len(tokens)
+
+
 def test_lm_edges(spark):
     out = lm.fit_and_score(frame(spark, EDGE).union(frame(spark, ["null id"], ids=[None]))).collect()
     assert len(out) == len(EDGE) + 1 and {r["doc_id"]: r["n_tokens"] for r in out}[0] == 1
@@ -507,6 +610,11 @@ def test_salvage_goes_on_behind_damage(pack):
     ids = [x[3]["warc-record-id"] for x in found if x[0] == "record"]
     assert ids == [f"<urn:page:{i}>" for i in (0, 1, 3, 5)]
     covered = sorted((x[1], x[1] + x[2]) for x in found)
+    lone = gzip.compress(_record(0) + b"junk" + _record(1) + _record(2)[:-9])
+    inside = list(warc.salvage(parts[0] + lone)) if pack is not bytes else None
+    if inside:
+        assert [x[3]["warc-record-id"] for x in inside if x[0] == "record"] == [f"<urn:page:{i}>" for i in (0, 0, 1)]
+        assert [x[1:3] for x in inside[1:]] == [(len(parts[0]), len(lone))] * 4 and [x[0] for x in inside[1:]] == ["record", "gap", "record", "gap"]
     assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False))
 
 
