@@ -5,6 +5,7 @@ from compare import of_spark, of_sql
 
 from gradeloom import plans
 
+
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     assert of_spark(plans.QUERIES[name](spark, sf_dir)) == of_sql(sf_dir, plans.ORACLES[name])
