@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import masked, rows_in, saved, unmasked
 
 WINDOW = 10
-#: Windows in one broadcast table (some 100 bytes each). More are looked up in blocks, one pass each.
+#: Windows that are broadcast whole (some 100 bytes each). Of more, a bit table is.
 BLOCK_WINDOWS = 500_000
+#: Documents with hits whose spans may be broadcast; more are joined by a shuffle.
+HIT_ROWS = 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -161,41 +163,84 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     """`docs` with a column of structs: n_words, merged spans of hit words [from, to), item ids met, and the spans in bytes of the UTF-8 text.
 
     Null and wordless texts have no words and no hits. An empty benchmark hits nothing; items with null id or text are none.
-    Windows beyond `block_windows` are looked up in further passes over the documents, each with its own bounded broadcast,
-    so the benchmark may grow. All columns of `docs` stay; repeated rows are scanned alike.
+    Up to `block_windows` windows are broadcast whole. Of more, a bit table of bounded size is: the document windows that pass it
+    meet the benchmark's in a join, so the documents are read once however long the benchmark. All columns of `docs` stay, but one
+    named `as_col` gives way; repeated rows are scanned alike.
     """
     spark = docs.sparkSession
     windows = saved(item_windows(benchmark, item_col, item_text_col, n), "windows")
-    blocks = max(1, -(-windows.count() // block_windows))
-    out = docs
-    for b in range(blocks):
-        part = windows.where(F.pmod("hash", F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(_Block.of(part.toPandas()))
-
-        hit = _lookup(shared).asNondeterministic()(F.col(text_col))  # run once, wherever its fields are used
-        if b == 0:
-            out = docs.withColumn(as_col, hit)
-            continue
-        out = saved(out, "block")
-        more = out.withColumn("__more", hit)
-        out = more.withColumn(
-            as_col,
-            F.struct(
-                F.col(f"{as_col}.n_words").alias("n_words"),
-                _union(F.concat(f"{as_col}.spans", "__more.spans")).alias("spans"),
-                F.sort_array(F.array_union(f"{as_col}.items", "__more.items")).alias("items"),
-                _union(F.concat(f"{as_col}.bytes", "__more.bytes")).alias("bytes"),
-            ),
-        ).drop("__more")
-    return out
+    plain, t = masked(docs, text_col)
+    if windows.count() <= block_windows:
+        shared = spark.sparkContext.broadcast(_Block.of(windows.toPandas()))
+        found = plain.withColumn(as_col, _lookup(shared).asNondeterministic()(F.col(t)))  # run once, wherever its fields are used
+    else:
+        found = _scan_by_join(plain, t, windows, as_col)
+    return unmasked(found, docs.columns, as_col)
+
+
+#: Bits of the table that windows of a long benchmark leave: 32 MB.
+TABLE_BITS = 28
+_WORD_BITS = 18  # bits of the table in one row of its making
+
+
+def _bit_table(windows: DataFrame) -> np.ndarray:
+    """One bit for each value of the windows' first TABLE_BITS hash bits. It is made by parts of a bounded size."""
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << _WORD_BITS, np.uint8)
+        bits[frame["slot"].to_numpy() & ((1 << _WORD_BITS) - 1)] = 1
+        return pd.DataFrame({"part": [int(frame["slot"].iloc[0]) >> _WORD_BITS], "bits": [np.packbits(bits).tobytes()]})
 
+    slots = windows.select(F.shiftrightunsigned("hash", 64 - TABLE_BITS).alias("slot")).distinct()
+    parts = slots.groupBy(F.shiftright("slot", _WORD_BITS)).applyInPandas(fill, "part int, bits binary").toArrow()
+    out = np.zeros((1 << (TABLE_BITS - _WORD_BITS), 1 << (_WORD_BITS - 3)), np.uint8)
+    for part, bits in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _scan_by_join(docs: DataFrame, text_col: str, windows: DataFrame, as_col: str) -> DataFrame:
+    lengths = [r["length"] for r in windows.select("length").distinct().collect()]  # as many as a window has words
+    shared = docs.sparkSession.sparkContext.broadcast((_bit_table(windows), lengths))
+
+    @F.pandas_udf("n_words long, hits array<struct<length int, at int, hash long, words binary>>")
+    def maybe(text: pd.Series) -> pd.DataFrame:
+        bits, lengths = shared.value
+        rows = []
+        for t in text:
+            words = _Words((t or "").encode("utf-8", "surrogatepass"))
+            hits = []
+            for length in lengths:
+                got = words.windows(length)
+                slot = (got >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                passed = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                hits += [(length, int(i), int(got[i].view(np.int64)), words.run(int(i), length)) for i in passed]
+            rows.append((len(words.start), hits))
+        return pd.DataFrame(rows, columns=["n_words", "hits"])
 
-def _union(spans):
     @F.pandas_udf("array<array<int>>")
-    def merge(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: [list(s) for s in merge_spans([tuple(s) for s in x])])
+    def merge(spans: pd.Series) -> pd.Series:
+        return spans.map(lambda x: [list(s) for s in merge_spans([tuple(s) for s in x])] if x is not None else None)
 
-    return merge.asNondeterministic()(spans)
+    @F.pandas_udf("array<array<int>>")
+    def in_bytes(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, listed in zip(text, spans, strict=True):
+            words = _Words(t.encode("utf-8", "surrogatepass")) if listed is not None and len(listed) else None
+            out.append([[int(words.start[a]), int(words.end[b - 1])] for a, b in listed] if words else [])
+        return pd.Series(out, index=text.index, dtype=object)
+
+    # rows are numbered before they are written, so that a number stays its row's
+    rows = saved(docs.withColumns({"__row": F.monotonically_increasing_id(), "__maybe": maybe.asNondeterministic()(F.col(text_col))}), "scanned")
+    hits = rows.select("__row", F.explode("__maybe.hits").alias("h")).select("__row", "h.*").join(windows, ["length", "hash", "words"])
+    met = hits.groupBy("__row").agg(F.collect_set(F.array("at", F.col("at") + F.col("length"))).alias("__spans"), F.sort_array(F.collect_set("item")).alias("__items"))
+    met = saved(met.withColumn("__spans", merge("__spans")).withColumnRenamed("__row", "__of"), "met")
+    few = met.count() <= HIT_ROWS
+    out = rows.join(F.broadcast(met) if few else met, F.col("__row") == F.col("__of"), "left")
+    none = F.array().cast("array<array<int>>")
+    spans = F.coalesce("__spans", none)
+    found = F.struct(F.col("__maybe.n_words").alias("n_words"), spans.alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"), F.when(F.size(spans) > 0, in_bytes(F.col(text_col), spans)).otherwise(none).alias("bytes"))
+    return out.select(*docs.columns, found.alias(as_col))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW) -> DataFrame:
