@@ -464,6 +464,7 @@ def logistic_grid(rows: DataFrame, fold: str, classes: int, cs: tuple[float, ...
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    from .lineage import settled
     from .metrics import ordinal_metrics
 
     data = rows.select(fold, F.col(y).cast("int").alias("y_true"), array_to_vector(F.col(features)).alias("__v"), F.col(y).cast("double").alias("__y")).persist()
@@ -478,7 +479,7 @@ def logistic_grid(rows: DataFrame, fold: str, classes: int, cs: tuple[float, ...
                 part = model.transform(held).select(F.lit(c).alias("inverse_penalty"), F.lit(weight).alias("class_weight"), "y_true", F.col("__q").cast("int").alias("y_pred"), expect.alias("y_cont"))
                 out = part if out is None else out.unionByName(part)
         train.unpersist()
-    return ordinal_metrics(out, ["inverse_penalty", "class_weight"], classes)
+    return ordinal_metrics(settled(out), ["inverse_penalty", "class_weight"], classes)
 
 
 def logistic_postprocess(rows: DataFrame, features: str = "t", y: str = "y", c: float = 1.0, weight: str | None = None) -> DataFrame:
