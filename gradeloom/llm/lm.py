@@ -22,6 +22,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -79,6 +81,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII blanks only
 
 
+def words_in(texts) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of texts as numbers into a list of the distinct ones, that list, and how many words each text has: what `words_of`
+    gives, without an object for each word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    values, offsets = lists.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+    full = pc.not_equal(values, "")  # blanks at a text's ends leave empty parts
+    upto = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    listed = values.filter(full).dictionary_encode()
+    return listed.indices.to_numpy().astype(np.int64), listed.dictionary.cast(pa.large_binary()).to_pylist(), np.diff(upto[offsets.astype(np.int64)])
+
+
 class Cutter:
     """Numbers of words, in the order they are met, and the subword ids of each (with a blank before it). Number 0 is the end."""
 
@@ -104,8 +117,8 @@ class Cutter:
         self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        if new := set(words).difference(self.number):
-            self.learn(list(new))
+        if new := [w for w in words if w not in self.number]:
+            self.learn(list(dict.fromkeys(new)))
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,13 +148,10 @@ def cut_texts(rows: DataFrame, path: str) -> DataFrame:
             return pd.DataFrame({"kind": 1, "id": None, "held": False, "data": words, "n": count[full]})
 
         for frame in rows_in(frames, size=4_000_000):
-            flat, n = [], []
-            for text in frame["text"]:
-                words = words_of(text)
-                flat += words
-                flat.append(b" ")
-                n.append(len(words) + 1)
-            numbers, n = cutter.numbers(flat), np.array(n)
+            at, words, n = words_in(frame["text"])
+            numbers = np.zeros(len(at) + len(n), np.int64)  # each text closes with number 0
+            numbers[np.arange(len(at)) + np.repeat(np.arange(len(n)), n)] = cutter.numbers(words)[at]
+            n = n + 1
             held = frame["held"].to_numpy(bool)
             count = np.concatenate([count, np.zeros(len(cutter.sizes) - len(count), np.int64)])
             count += np.bincount(numbers[~np.repeat(held, n)], minlength=len(count))
@@ -422,11 +432,11 @@ def gradients(net: Attention, units: Units, inputs: np.ndarray, targets: np.ndar
     out[rows, wanted[rows]] -= each
     g = {"head": seen.T @ out}
     d_seen = out @ np.ascontiguousarray(w["head"].T)
-    d_score = np.matmul(d_seen.reshape(n, STRIDE, width), keys)
-    d_score -= np.einsum("ij,ij->i", d_seen, seen).reshape(n, STRIDE, 1)
-    weight *= whole
+    # of all places the mean goes: their first coordinate is 1, and 0 before the text, where nothing is left
+    d_seen[:, 0] -= np.einsum("ij,ij->i", d_seen, seen)
+    d_score = np.matmul(d_seen.reshape(n, STRIDE, width) * whole, keys)
     d_score *= weight
-    by_place = np.einsum("nsc,nc->sc", d_score, values[:, :, 0])  # nothing at places before the text
+    by_place = d_score.sum(axis=0)
     g["distance"] = np.bincount(_BACK[_SEEN], weights=by_place[_SEEN], minlength=CONTEXT).astype(out.dtype)
     g["score"] = units.vectors.take(last, axis=0).T @ np.matmul(d_score, values).reshape(-1, width)
     return loss, g

@@ -500,6 +500,13 @@ def test_lm_cuts_as_the_coder_does(docs):
         assert lm.starts(path)[ids].sum() == len(words)
 
 
+def test_lm_words_in_arrow(docs):
+    texts = [t or "" for t in EDGE] + ["a\x0bb\x0cc\x1cd\x1fe\u00a0f\u2028g", " ", "\n\n x", "ÀB İ"] + [r["text"] or "" for r in docs.limit(60).collect()]
+    at, words, n = lm.words_in(texts)
+    assert [words[i] for i in at] == [w for t in texts for w in lm.words_of(t)] and n.tolist() == [len(lm.words_of(t)) for t in texts]
+    assert [len(x) for x in lm.words_in([])] == [0, 0, 0] and [len(x) for x in lm.words_in([""])] == [0, 0, 1]
+
+
 def test_lm_word_keys_are_exact():
     rng = np.random.default_rng(2)
     words = list({tuple(rng.integers(0, 50257, rng.integers(1, 7)).tolist()) for _ in range(3000)} | {(0,), (0, 0), (0, 0, 0), (0, 0, 0, 0), (50256,)})
