@@ -273,7 +273,7 @@ def learn_units(texts: DataFrame, counts: DataFrame, path: str) -> Units:
         enter, column = place.value
         to = np.where(column >= 0, column, PAIRED)
         pairs, company = np.zeros(n_in * (PAIRED + 1), np.int64), np.zeros((n_in, n_in), np.float64)
-        for frame in _parts(frames, 4_000_000):
+        for frame in _parts(frames, 2_000_000):
             ids, sizes = _joined(frame["data"])
             units = enter.take(ids)
             before = np.concatenate(([enter[END]], units[:-1]))  # a text closes with END, so each begins behind one
@@ -470,7 +470,7 @@ def train(texts: DataFrame, units: Units, batch: int = BATCH) -> Attention:
             start, units = shared.value
             mine, adam = Attention(dict(start.weights)), Adam()
             rng, seen = np.random.default_rng(5), 0
-            for frame in _parts(frames, 4_000_000):
+            for frame in _parts(frames, 2_000_000):
                 x, y, _ = windows(units, *_joined(frame["data"]))
                 mixed = rng.permutation(len(x))
                 for i in range(0, len(x), batch):
