@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, linededup, lm, packing, sharding, simhash, toxicity, warc
+from . import decontam, filteraudit, fingerprint, langid, linededup, lm, packing, sharding, simhash, toxicity, warc
 from .common import fold
 
 
@@ -72,13 +72,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(filteraudit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_benchmark_decontamination, op4_shard_compaction, op5_simhash_near_dedup, op6_toxicity, op7_lm_scoring, op8_line_dedup, op9_warc_round_trip, op10_best_fit_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_benchmark_decontamination, op4_shard_compaction, op5_simhash_near_dedup, op6_toxicity, op7_lm_scoring, op8_line_dedup, op9_warc_round_trip, op10_best_fit_packing, op13_filter_interactions, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -101,6 +105,35 @@ met AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words USING (r) LEFT JOIN met USING (r)""",
+    "op13_filter_interactions": r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flags AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+marked AS (
+  SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+    + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+  FROM docs
+),
+tally AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM marked LEFT JOIN flags USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INT) AS prior
+  FROM orders, (SELECT unnest(generate_series(1, 5)) AS step)
+),
+counted AS (
+  SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (prior + bit) = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & prior = 0) AS removed,
+    sum(n) FILTER (mask & bit > 0 AND mask & prior > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(n * good) FILTER (mask & bit > 0 AND mask & prior = 0) AS good_lost, sum(n * toxic) FILTER (mask & bit > 0 AND mask & prior = 0) AS toxic_lost
+  FROM tally, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted""",
     "op4_shard_compaction": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
     "op8_line_dedup": r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
