@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, filteraudit, fingerprint, langid, linededup, lm, packing, sharding, simhash, toxicity, warc
+from . import decontam, divergence, filteraudit, fingerprint, langid, linededup, lm, packing, sharding, simhash, toxicity, warc
 from .common import fold
 
 
@@ -72,6 +72,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(filteraudit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_benchmark_decontamination, op4_shard_compaction, op5_simhash_near_dedup, op6_toxicity, op7_lm_scoring, op8_line_dedup, op9_warc_round_trip, op10_best_fit_packing, op13_filter_interactions, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_benchmark_decontamination, op4_shard_compaction, op5_simhash_near_dedup, op6_toxicity, op7_lm_scoring, op8_line_dedup, op9_warc_round_trip, op10_best_fit_packing, op12_source_divergence, op13_filter_interactions, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -105,6 +109,36 @@ met AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words USING (r) LEFT JOIN met USING (r)""",
+    "op12_source_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+words AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS df FROM (SELECT r, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM words GROUP BY ALL HAVING sum(df) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+used AS (SELECT words.lang, source, term, words.n FROM words JOIN kept USING (lang, term)),
+totals AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total, coalesce(s.v, 0) AS v, s.total AS all_total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source LEFT JOIN sizes s ON s.lang = g.lang
+),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(u.n, 0) + 5)) // (g.total + 5 * g.v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (k.n + 5)) // (g.all_total + 5 * g.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term
+),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
     "op13_filter_interactions": r"""
 WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 flags AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
