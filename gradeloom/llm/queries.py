@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, filteraudit, fingerprint, langid, linededup, lm, packing, sharding, simhash, toxicity, warc
+from . import decontam, divergence, filteraudit, fingerprint, langid, linededup, lm, packing, sharding, simhash, toxicity, urlfilter, warc
 from .common import fold
 
 
@@ -72,6 +72,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: The rules that op11 is asked for.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -86,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_benchmark_decontamination, op4_shard_compaction, op5_simhash_near_dedup, op6_toxicity, op7_lm_scoring, op8_line_dedup, op9_warc_round_trip, op10_best_fit_packing, op12_source_divergence, op13_filter_interactions, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_benchmark_decontamination, op4_shard_compaction, op5_simhash_near_dedup, op6_toxicity, op7_lm_scoring, op8_line_dedup, op9_warc_round_trip, op10_best_fit_packing, op11_url_filter, op12_source_divergence, op13_filter_interactions, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
