@@ -22,7 +22,7 @@ LEAST_DOCS = 30
 #: Added to each count, and what shares are parts of.
 PRIOR, UNIT = 5, 1_000_000_000
 #: Bytes of text whose pointers are sorted at once; one longer text is a slice of its own.
-SLICE_BYTES = 32_000_000
+SLICE_BYTES = 8_000_000
 #: A cell of the pairs of sources: words (about) by sources of one tile, at most.
 CELL_WORDS, TILE = 1024, 256
 #: Groups, or languages, whose table may be broadcast; more are joined by a shuffle.
@@ -53,8 +53,8 @@ def word_pointers(letters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     cut = at[(at > 0) & (at < len(letters))]
     first[cut] |= inside[cut]
     last[cut - 1] |= inside[cut - 1]
-    start = np.flatnonzero(first)
-    return start, np.flatnonzero(last) + 1 - start, np.searchsorted(at, start, side="right") - 1
+    start, row = np.flatnonzero(first), np.searchsorted(at, np.flatnonzero(first), side="right") - 1
+    return start.astype(np.int32), (np.flatnonzero(last) + 1 - start).astype(np.int32), row.astype(np.int32)
 
 
 def _quicksorted(key: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -69,9 +69,9 @@ def equal_runs(letters: np.ndarray, start: np.ndarray, length: np.ndarray, group
     """(order, first): pointers sorted by group and word, and the places where a run of equal ones begins."""
     padded = np.concatenate([letters, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(letters) + 1, ">u8", padded, strides=(1,))  # the eight bytes from each place on
-    order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")
+    order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable").astype(np.int32)
     fresh = np.zeros(len(order), bool)
-    place, run, depth = np.arange(len(order)), group[order].astype(np.int64), 0
+    place, run, depth = np.arange(len(order), dtype=np.int32), group[order], 0
     while len(place):
         at = order[place]
         key = eight[start[at] + depth].astype(np.uint64) & _FIRST[np.clip(length[at] - depth, 0, 8)]
@@ -79,7 +79,7 @@ def equal_runs(letters: np.ndarray, start: np.ndarray, length: np.ndarray, group
         order[place], key = at[by], key[by]
         new = (np.diff(run, prepend=-1) != 0) | (np.diff(key, prepend=np.uint64(0)) != 0)
         fresh[place] |= new
-        run = np.cumsum(new)
+        run = np.cumsum(new, dtype=np.int32)
         # a word of more bytes than were seen has no zero in its key; runs of one are settled
         more = (key & np.uint64(255) != 0) & (np.bincount(run)[run] > 1)
         place, run, depth = place[more], run[more], depth + 8
@@ -88,7 +88,7 @@ def equal_runs(letters: np.ndarray, start: np.ndarray, length: np.ndarray, group
 
 def _words(letters: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
     """The bytes under the pointers, as a string column."""
-    ends = np.cumsum(length)
+    ends = np.cumsum(length, dtype=np.int64)
     at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
     offsets = np.concatenate([np.zeros(1, np.int64), ends]).astype(np.int32)
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(letters[at]))
@@ -114,7 +114,7 @@ def term_runs(batch: pa.RecordBatch):
         if not len(start):
             continue
         groups, group = np.unique(codes[a:b], return_inverse=True)
-        group = group[row]
+        group = group.astype(np.int32)[row]
         order, first = equal_runs(letters, start, length, group)
         n = np.diff(np.append(first, len(order)))
         touched = np.sort(np.repeat(np.arange(len(first)), n) * (b - a) + row[order])  # run and row in one number
