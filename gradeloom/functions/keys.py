@@ -69,9 +69,10 @@ def family_of(feature: Column) -> Column:
 
 
 def forced_names(names: list[str], segments: list[str] = SEGMENTS) -> list[str]:
-    """Feature names without their segment part, each once, in the given order."""
-    part = re.compile("_(" + "|".join(map(re.escape, segments)) + ")_")
-    return [n for n in dict.fromkeys(part.sub("_", name.strip()) for name in names) if n]
+    """Trimmed feature names without their segment part, each once, in the given order; of several parts, that of the list's first segment goes, once."""
+    bare = [(name or "").strip() for name in names]
+    parts = [next((part for s in segments if (part := f"_{s}_") in name), "_") for name in bare]
+    return [n for n in dict.fromkeys(name.replace(part, "_", 1) for name, part in zip(bare, parts, strict=True)) if n]
 
 
 #: How signs of comparison are spelled in a name.

@@ -5,15 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SAMPLE = ["case_id", "segment"]
+
 
 def attach_grade(rows: DataFrame, grades: DataFrame, missing: str = "error") -> DataFrame:
-    """Rows with the grade of their (case_id, segment). Without one: ValueError, or with missing="drop" the row goes."""
-    if missing == "drop":
-        return rows.join(grades, ["case_id", "segment"])
-    lost = rows.join(grades.where(F.col("pfirrmann").isNotNull()), ["case_id", "segment"], "left_anti").select("case_id", "segment").limit(10).collect()
+    """Rows with the grade of their (case_id, segment). Without one, or with a null one: ValueError, or with missing="drop" the row goes."""
+    known = grades.where(F.col("pfirrmann").isNotNull())
+    if missing != "drop":
+        lost = rows.join(known, SAMPLE, "left_anti").select(*SAMPLE).limit(10).collect()
+        if lost:
+            raise ValueError(f"no grade for {[tuple(r) for r in lost]}")
+    return rows.join(known, SAMPLE)
+
+
+def grade_series(index: DataFrame, grades: DataFrame) -> DataFrame:
+    """(case_id, segment, pfirrmann double) for every row of `index`, whatever its other columns.
+
+    ValueError with their number if samples have no grade or a null one, and with some of them if a sample has several.
+    """
+    known = grades.where(F.col("pfirrmann").isNotNull()).select(*SAMPLE, F.col("pfirrmann").cast("double").alias("pfirrmann"))
+    wanted = index.select(*SAMPLE)
+    again = known.groupBy(*SAMPLE).count().where("count > 1").join(wanted, SAMPLE, "left_semi").limit(10).collect()
+    if again:
+        raise ValueError(f"several grades for {[tuple(r[c] for c in SAMPLE) for r in again]}")
+    series = wanted.join(known, SAMPLE, "left")
+    lost = series.where(F.col("pfirrmann").isNull()).count()
     if lost:
-        raise ValueError(f"no grade for {[tuple(r) for r in lost]}")
-    return rows.join(grades, ["case_id", "segment"], "left")
+        raise ValueError(f"{lost} samples have no grade")
+    return series
 
 
 def attach_case(rows: DataFrame, cases: DataFrame, key: str = "case_id") -> DataFrame:

@@ -17,6 +17,8 @@ from .lineage import settled
 RANGES = 128
 #: Distinct values, of all keys together, that one task may sort.
 FEW = 500_000
+#: A key with more than one in HOT of all rows is frequent: there are fewer than HOT of them.
+HOT = 2000
 
 
 def _place(value: Column, bounds: Column) -> Column:
@@ -56,6 +58,26 @@ def average_rank(rows: DataFrame, keys: list[str], value: str, count: str = "n",
     return cells.select(*keys, value, (F.col("before") + (F.col(count) + 1) / 2).alias("rank"))
 
 
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """`rows` with the columns of `table`, which has a row for each `keys` and in `count` how many rows have them; rows without one go.
+
+    Frequent keys are broadcast, so that their rows stay where they are; the others meet in a join, where none has more than one in HOT of
+    all rows. `rows` are read twice, so they should be settled.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * HOT > F.lit(total)
+    hot, rest = F.broadcast(table.where(often).drop(count)), table.where(~often).drop(count)
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(rest, keys))
+
+
+def with_rank(rows: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
+    """`rows` with the average rank of `value` within `keys`; rows where either is null or NaN go. Equal values may be any number of rows."""
+    rows = settled(rows.dropna(subset=[*keys, value]))
+    run = running_counts(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), keys, value, "__n")
+    table = settled(run.select(*keys, value, "__n", (F.col("before") + (F.col("__n") + 1) / 2).alias(name)))
+    return attached(rows, table, [*keys, value], "__n")
+
+
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], name: str = "q") -> DataFrame:
     """(keys, name): array of exact percentiles, between neighbours by linear interpolation; nulls do not count."""
     if not keys:

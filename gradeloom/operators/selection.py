@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pool_adjacent, t_two_sided
 from .lineage import settled
-from .metrics import spearman, weighted_correlation
+from .metrics import weighted_correlation
 from .ranks import average_rank, median
 
 SAMPLE = ["case_id", "segment"]
@@ -205,17 +205,3 @@ def audit(features: DataFrame, icc: DataFrame, tests: DataFrame, dedup: DataFram
     if stability is not None:
         out = out.join(stability.select("feature", "pi", "mean_abs_beta"), "feature", "left")
     return out
-
-
-def interactions(vectors: DataFrame, names: list[str], residual: str, top: int = 20) -> DataFrame:
-    """(feature1, feature2, rho, abs_rho): pairs whose product's ranks go with those of the residual, the strongest `top`.
-
-    vectors: (x array in the order of names, residual). Every sample gives a row per pair and all pairs are ranked at once, so the
-    rows are samples times pairs: select the features first.
-    """
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    rows = vectors.select("x", residual, F.explode(listed).alias("p")).select("p.i", "p.j", residual, (F.col("x")[F.col("p.i")] * F.col("x")[F.col("p.j")]).alias("product"))
-    cells = spearman(rows, ["i", "j"], "product", residual)
-    at = F.lit(names)
-    return cells.select(at[F.col("i")].alias("feature1"), at[F.col("j")].alias("feature2"), F.col("spearman").alias("rho"), F.abs("spearman").alias("abs_rho")).orderBy(F.desc(F.round("abs_rho", 9)), "feature1", "feature2").limit(top)

@@ -106,12 +106,27 @@ def p12_case_one_hot(spark, sf_dir) -> DataFrame:
     return reshape.one_hot_cases(o, inputs.statistics(spark, sf_dir), "image_id", "manufacturer", drop_first=True).drop("image_id")
 
 
-@query(f"WITH {FEATURES} SELECT case_id, segment, count(*) AS n, CAST(sum(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS BIGINT) AS total FROM feat JOIN orders ON CAST(o_orderkey AS VARCHAR) = case_id WHERE condition = 'gold' GROUP BY ALL")
+_GRADES = "grades AS (SELECT CAST(o_orderkey AS VARCHAR) AS case_id, unnest(['" + "','".join(keys.SEGMENTS) + "']) AS segment, nullif(CAST(substr(o_orderpriority, 1, 1) AS INTEGER), 2) AS pfirrmann FROM orders)"
+
+
+def _grades(spark, sf_dir) -> DataFrame:
+    """A grade for every segment of an order; grade 2 is missing."""
+    y = F.nullif(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(2))
+    return inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.explode(F.lit(keys.SEGMENTS)).alias("segment"), y.alias("pfirrmann"))
+
+
+@query(f"WITH {FEATURES}, {_GRADES} SELECT case_id, segment, count(*) AS n, CAST(sum(g.pfirrmann) AS BIGINT) AS total FROM feat JOIN grades g USING (case_id, segment) WHERE condition = 'gold' AND g.pfirrmann IS NOT NULL GROUP BY ALL")
 def j01_attach_grade(spark, sf_dir) -> DataFrame:
     rows = inputs.features(spark, sf_dir, ["gold"]).drop("pfirrmann")
-    y = F.substring("o_orderpriority", 1, 1).cast("int")
-    grades = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.explode(F.lit(keys.SEGMENTS)).alias("segment"), y.alias("pfirrmann"))
-    return joins.attach_grade(rows, grades, missing="drop").groupBy("case_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.sum("pfirrmann").alias("total"))
+    return joins.attach_grade(rows, _grades(spark, sf_dir), missing="drop").groupBy("case_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.sum("pfirrmann").alias("total"))
+
+
+@query(f"WITH {FEATURES}, {_GRADES} SELECT case_id, segment, CAST(g.pfirrmann AS DOUBLE) AS pfirrmann FROM (SELECT DISTINCT case_id, segment FROM feat) JOIN grades g USING (case_id, segment) WHERE g.pfirrmann IS NOT NULL")
+def j02_grade_series(spark, sf_dir) -> DataFrame:
+    """Of the samples that have a grade, since the series of the others is an error."""
+    grades = _grades(spark, sf_dir)
+    index = inputs.features(spark, sf_dir).select("case_id", "segment").distinct()
+    return joins.grade_series(joins.attach_grade(index, grades, missing="drop").drop("pfirrmann"), grades)
 
 
 @query(f"WITH {STATISTICS} SELECT manufacturer, field_strength, count(*) AS n FROM orders LEFT JOIN stats ON o_custkey = image_id GROUP BY ALL")

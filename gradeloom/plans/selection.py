@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, harmonize, linear, selection
+from ..operators import cleaning, harmonize, interactions, linear, selection
 from ..operators.lineage import settled
 from . import inputs
 from .inputs import _BASE, FEATURES, PLANTED
@@ -191,7 +191,7 @@ r AS (SELECT *, rank() OVER (PARTITION BY feature1, feature2 ORDER BY product) +
 c AS (SELECT feature1, feature2, corr(ra, rb) AS rho FROM r GROUP BY ALL)
 SELECT feature1, feature2, {r6('rho', 'rho')}, {r6('abs(rho)', 'abs_rho')} FROM c ORDER BY round(abs(rho), 9) DESC, feature1, feature2 LIMIT 10""")
 def f19_interactions(spark, sf_dir) -> DataFrame:
-    return selection.interactions(_vectors(spark, sf_dir), NAMES, "y", 10)
+    return interactions.interactions(_vectors(spark, sf_dir), NAMES, "y", 10)
 
 
 @query()
