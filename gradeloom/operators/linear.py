@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import elastic_net
-from .bootstrap import weights as replicate_weights
+from .bootstrap import draw_matrix, with_draws
 from .sums import added
 
 
@@ -85,33 +85,33 @@ HELD_BYTES = 64 << 20
 
 
 def replicate_moments(vectors: DataFrame, cluster: str, segment: str, p: int, replicates: int, seed: int) -> DataFrame:
-    """(replicate, segment, moments) with clusters drawn Poisson(1) times in each replicate, in one pass over the rows for as many
-    replicates as HELD_BYTES hold."""
+    """(replicate, segment, moments) with clusters drawn with replacement, as many as there are, in one pass over the rows for as many
+    replicates as HELD_BYTES hold. Rows without a cluster are left out."""
     each = max(1, HELD_BYTES // (16 * p * p))
+    rows = with_draws(vectors.select(F.col(cluster).alias("cluster"), segment, "x", "y", "w"), replicates, seed, "draws")
     out = None
     for first in range(0, replicates, each):
-        part = _some_replicates(vectors, cluster, segment, p, first, min(replicates, first + each), seed)
+        part = _some_replicates(rows, segment, p, replicates, first, min(replicates, first + each))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _some_replicates(vectors: DataFrame, cluster: str, segment: str, p: int, first: int, last: int, seed: int) -> DataFrame:
-    kind = dict(vectors.dtypes)[segment]
+def _some_replicates(rows: DataFrame, segment: str, p: int, replicates: int, first: int, last: int) -> DataFrame:
+    kind = dict(rows.dtypes)[segment]
     schema = f"replicate int, {segment} {kind}, moments binary, part long"
 
     def partial(frames):
         held: dict[tuple, Moments] = {}
         for frame in frames:
-            drawn = replicate_weights(frame["key"].to_numpy(), first, last, seed)
-            for s, rows in frame.groupby(segment).indices.items():
-                x, y, w = np.stack(frame["x"].to_numpy()[rows]), frame["y"].to_numpy(float)[rows], frame["w"].to_numpy(float)[rows]
+            drawn = draw_matrix(frame["draws"], replicates + 1)[:, 1 + first : 1 + last].astype(float)
+            for s, at in frame.groupby(segment).indices.items():
+                x, y, w = np.stack(frame["x"].to_numpy()[at]), frame["y"].to_numpy(float)[at], frame["w"].to_numpy(float)[at]
                 for b in range(first, last):
-                    held[b, s] = held.get((b, s), Moments.zero(p)) + Moments.of(x, y, w, drawn[rows, b - first])
+                    held[b, s] = held.get((b, s), Moments.zero(p)) + Moments.of(x, y, w, drawn[at, b - first])
         if held:
             yield pd.DataFrame([(b, s, m.packed(), TaskContext.get().partitionId()) for (b, s), m in held.items()], columns=["replicate", segment, "moments", "part"])
 
-    rows = vectors.select(F.xxhash64(cluster).alias("key"), segment, "x", "y", "w").mapInPandas(partial, schema)
-    return added(rows, ["replicate", segment], "moments")
+    return added(rows.select("draws", segment, "x", "y", "w").mapInPandas(partial, schema), ["replicate", segment], "moments")
 
 
 def standardized(by_segment: list[Moments], fit: list[Moments] | None = None):

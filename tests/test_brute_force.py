@@ -5,10 +5,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from bootstrap_draws import draws_by_cluster
 from pyspark.sql import functions as F
 
 from gradeloom.functions import coral, keys, numeric
-from gradeloom.operators import bootstrap, explanation, harmonize, linear, metrics, ranks, reshape, selection, splits, thresholds, voxels
+from gradeloom.operators import explanation, harmonize, linear, metrics, ranks, reshape, selection, splits, thresholds, voxels
 from gradeloom.sources import tables
 
 CLASSES = 4
@@ -105,34 +106,6 @@ def test_threshold_variants_and_nested(spark, monkeypatch, rows_at_once):
     assert all(np.allclose(offsets[t], _descent(over[task == t], y[task == t], ["acc", "qwk", "-mae"])) for t in range(3))
 
 
-def test_bootstrap_intervals(spark):
-    frame, rows = _rows(spark)
-    hashes = {r["patient_id"]: r["h"] for r in rows.select("patient_id", F.xxhash64("patient_id").alias("h")).distinct().collect()}
-    got = {r["metric"]: r for r in bootstrap.intervals(rows, "patient_id", CLASSES, resamples=120).collect()}
-    rounded = frame.assign(y_cont=(np.floor((frame["y_cont"] - 1) * bootstrap.STEPS + 0.5) / bootstrap.STEPS + 1))
-    names = sorted(hashes)
-    w = bootstrap.weights(np.array([hashes[k] for k in names]), 0, 120, 0)
-    at = frame["patient_id"].map({k: i for i, k in enumerate(names)}).to_numpy()
-    y, pred = frame["y_true"].to_numpy(), frame["y_pred"].to_numpy()
-
-    def measured(weight):
-        cm = np.zeros((CLASSES, CLASSES))
-        np.add.at(cm, (y - 1, pred - 1), weight)
-        m = thresholds.scores_of(cm)
-        again = np.repeat(np.arange(len(y)), weight.astype(int))
-        m["spearman"] = pd.Series(y[again]).rank().corr(rounded["y_cont"].iloc[again].reset_index(drop=True).rank())
-        return m
-
-    one = measured(np.ones(len(y)))
-    many = [measured(w[at, b]) for b in range(120)]
-    for name, key in (("mae", "mae"), ("acc", "acc"), ("kappa_quadratic", "qwk"), ("spearman", "spearman"), ("macro_f1", "macro_f1")):
-        assert abs(got[name]["estimate"] - one[key]) < 1e-9, name
-        assert np.allclose([got[name]["low"], got[name]["high"]], np.percentile([m[key] for m in many], [2.5, 97.5]), atol=1e-9), name
-        assert got[name]["n_resamples"] == 120 and got[name]["low"] <= got[name]["estimate"] <= got[name]["high"]
-    lone = bootstrap.intervals(rows.where("patient_id = 3"), "patient_id", CLASSES, resamples=20).collect()
-    assert lone and all(r["low"] is None and r["high"] is None and r["estimate"] is not None for r in lone)
-
-
 def test_metrics_by_sets_equal_each_alone(spark):
     _, rows = _rows(spark)
     rows = rows.withColumn("fold", F.when(F.col("fold") < 4, F.col("fold")))  # a null key is a group of its set
@@ -212,8 +185,8 @@ def test_stability(spark, monkeypatch, held_bytes):
     x, y, w, seg, _, case, rows = _vectors(spark)
     names, b = list("abcd"), 6
     got = linear.stability(rows, "case_id", "segment", names, 0.05, replicates=b).toPandas().set_index("feature")
-    hashes = {r["case_id"]: r["h"] for r in rows.select("case_id", F.xxhash64("case_id").alias("h")).distinct().collect()}
-    drawn = bootstrap.weights(np.array([hashes[str(c)] for c in case]), 0, b, 0)
+    drawn = draws_by_cluster(rows, "case_id", b)
+    drawn = np.array([drawn[str(c)] for c in case])
     betas = []
     for r in range(b):
         at = np.repeat(np.arange(len(y)), drawn[:, r].astype(int))

@@ -5,10 +5,10 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from bootstrap_draws import draws_by_cluster
 
 from gradeloom.functions import keys
-from gradeloom.operators import interactions, joins, ranks
+from gradeloom.operators import bootstrap, interactions, joins, metrics, ranks, thresholds
 
 
 def test_null_grades_and_series(spark):
@@ -96,3 +96,73 @@ def test_bounds_hold_and_drop_pairs():
         low, high = interactions.rho_bounds(sums)
         assert (low <= want + 1e-12).all() and (want <= high + 1e-12).all()
     assert (high >= np.sort(low)[-2]).sum() == 2
+
+
+# bootstrap
+
+
+def test_draws_are_as_many_as_clusters():
+    rng = np.random.default_rng(0)
+    counts = np.array([3, 0, 500, 41, 0, 0, 7, 449])
+    drawn = np.concatenate([bootstrap.cluster_draws(counts, k, 4000, 5) for k in range(8)], axis=1)
+    assert drawn.shape == (4000, 1000) and (drawn.sum(axis=1) == 1000).all()
+    assert abs(drawn.mean(axis=0) - 1).max() < 0.1  # a standard error of 0.016
+    assert abs(drawn.var() - 0.999) < 0.01
+    together = np.corrcoef(drawn[:, rng.permutation(1000)[:300]].T)
+    assert abs(together[np.triu_indices(300, 1)].mean() + 1 / 999) < 0.001
+    assert not (bootstrap.cluster_draws(counts, 2, 50, 6) == bootstrap.cluster_draws(counts, 2, 50, 5)).all()
+    assert (bootstrap.cluster_draws(np.array([1]), 0, 9, 0) == 1).all()
+
+
+def _predictions(spark, n=900, hot=False):
+    rng = np.random.default_rng(8)
+    y = rng.integers(1, 5, n)
+    c = np.round(np.clip(y + rng.normal(size=n), 1, 4), 2)
+    frame = pd.DataFrame({"patient": np.where(rng.random(n) < 0.6, 0, rng.integers(0, 150, n)) if hot else rng.integers(0, 150, n), "y_true": y, "y_pred": np.clip(np.round(c), 1, 4).astype(int), "y_cont": c})
+    more = pd.DataFrame({"patient": [None, 3, 3, 3], "y_true": [1, 9, 2, None], "y_pred": [1, 1, 1, 1], "y_cont": [1.0, 1.0, float("nan"), 1.0]})
+    rows = [tuple(None if pd.isna(v) and k != "y_cont" else v for k, v in r.items()) for r in pd.concat([frame.astype(object), more.astype(object)]).to_dict("records")]
+    return frame, spark.createDataFrame([(None if a is None else int(a), None if b is None else int(b), int(c), float(d)) for a, b, c, d in rows], "patient int, y_true int, y_pred int, y_cont double")
+
+
+def _measured(frame, weight):
+    y, pred, c = (frame[k].to_numpy() for k in ("y_true", "y_pred", "y_cont"))
+    again = np.repeat(np.arange(len(y)), weight)
+    cm = np.zeros((4, 4))
+    np.add.at(cm, (y[again] - 1, pred[again] - 1), 1)
+    m = thresholds.scores_of(cm)
+    m["kappa_quadratic"] = m.pop("qwk")
+    u, v = pd.Series(y[again]), pd.Series(c[again])
+    m["spearman"] = u.rank().corr(v.rank()) if u.nunique() > 1 and v.nunique() > 1 else 0.0
+    m["ccc"] = 2 * np.cov(u, v, ddof=0)[0, 1] / (u.var(ddof=0) + v.var(ddof=0) + (u.mean() - v.mean()) ** 2)
+    return m
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_bootstrap_by_hand(spark, monkeypatch, hot):
+    """A tree of several leaves, ranges of few values, packs of few rows, a cluster of most rows: as resampled row by row."""
+    for name, value in {"LEAF": 20, "RANGE_ROWS": 40, "SORTED": 100, "ROWS": 70, "BLOCK": 16}.items():
+        monkeypatch.setattr(bootstrap, name, value)
+    monkeypatch.setattr(ranks, "HOT", 4)
+    frame, rows = _predictions(spark, hot=hot)
+    got = {r["metric"]: r for r in bootstrap.intervals(rows.repartition(5), "patient", 4, resamples=60).collect()}
+    drawn = draws_by_cluster(rows.where("y_true BETWEEN 1 AND 4 AND NOT isnan(y_cont)"), "patient", 60)
+    w = np.array([drawn[p] for p in frame["patient"]])
+    one, many = _measured(frame, np.ones(len(frame), int)), [_measured(frame, w[:, b]) for b in range(60)]
+    assert set(got) == set(one) and len(one) == 9
+    for name in one:
+        assert abs(got[name]["estimate"] - one[name]) < 1e-9, name
+        assert np.allclose([got[name]["low"], got[name]["high"]], np.percentile([m[name] for m in many], [2.5, 97.5]), atol=1e-9), name
+        assert got[name]["n_resamples"] == 60
+    again = {r["metric"]: tuple(r) for r in bootstrap.intervals(rows.coalesce(1), "patient", 4, resamples=60).collect()}
+    assert all(np.allclose(again[name][1:], tuple(got[name])[1:], atol=1e-12) for name in got)  # the same in any partitioning
+
+
+def test_bootstrap_estimate_is_that_of_the_metrics(spark):
+    _, rows = _predictions(spark)
+    rows = rows.where("patient IS NOT NULL AND y_true BETWEEN 1 AND 4 AND NOT isnan(y_cont)")
+    got = {r["metric"]: r["estimate"] for r in bootstrap.intervals(rows, "patient", 4, resamples=5).collect()}
+    want = metrics.ordinal_metrics(rows, [], 4).first()
+    assert all(abs(v - want[name]) < 1e-9 for name, v in got.items())
+    lone = bootstrap.intervals(rows.where("patient = 3"), "patient", 4, resamples=5).collect()
+    assert len(lone) == 9 and all(r["low"] is None and r["high"] is None and r["estimate"] is not None for r in lone)
+    assert bootstrap.intervals(rows.limit(0), "patient", 4, resamples=5).count() == 0
