@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import norm_ppf
+from . import gram
 from .lineage import settled
-from .ranks import running_counts
+from .ranks import attached, running_counts
 
 
 def zscore_fit(long: DataFrame) -> DataFrame:
@@ -23,27 +24,31 @@ def zscore_apply(long: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def _shares(train: DataFrame, rows: DataFrame) -> DataFrame:
-    """(feature, value, c, u) for the distinct values of both: how often training has it, and its rank share."""
-    some = lambda df, c: df.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(c.alias("c"))
-    cells = some(train, F.count(F.lit(1))).unionByName(some(rows, F.lit(0).cast("long"))).groupBy("feature", "value").agg(F.sum("c").alias("c"))
+    """(feature, value, c, r, u) for the distinct values of both: how often training and the rows have it, and its rank share."""
+    none = F.lit(0).cast("long")
+    some = lambda df, c, r: df.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(c.alias("c"), r.alias("r"))
+    each = some(train, F.count(F.lit(1)), none).unionByName(some(rows, none, F.count(F.lit(1))))
+    cells = each.groupBy("feature", "value").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
     total = train.groupBy("feature").agg(F.count("value").alias("n")).where("n > 0")
     run = running_counts(cells, ["feature"], "value", "c").join(total, "feature")
-    return run.select("feature", "value", "c", ((F.greatest(F.lit(1), F.col("before") + F.col("c")) - 0.5) / F.col("n")).alias("u"))
+    return run.select("feature", "value", "c", "r", ((F.greatest(F.lit(1), F.col("before") + F.col("c")) - 0.5) / F.col("n")).alias("u"))
 
 
 def rank_share(train: DataFrame, rows: DataFrame) -> DataFrame:
     """rows with `u`: (number of training values <= x, at least 1, less a half) over their number, per feature.
 
-    Only distinct values with counts are ranked, in ranges; rows meet them in a join by value. Rows of features that training lacks go.
+    Only distinct values with counts are ranked, in ranges; rows meet them in a join by value, frequent values (of a feature that mostly
+    is 0) by a broadcast. Rows of features that training lacks go.
     """
-    return _with_shares(rows, _shares(train, rows), F.col("u"), "u")
+    rows = settled(rows)
+    return _with_shares(rows, settled(_shares(train, rows)), F.col("u"), "u")
 
 
 def _with_shares(rows: DataFrame, table: DataFrame, what: Column, name: str) -> DataFrame:
-    of = table.select(F.col("feature").alias("__f"), F.col("value").alias("__v"), what.alias(name))
     known = table.select("feature").distinct()
-    found = rows.where(F.col("value").isNotNull()).join(of, (F.col("feature") == F.col("__f")) & (F.col("value") == F.col("__v"))).select(*rows.columns, name)
-    return found.unionByName(rows.where(F.col("value").isNull()).join(known, "feature", "left_semi").withColumn(name, F.lit(None).cast("double")))
+    found = attached(rows.where(F.col("value").isNotNull()), table.select("feature", "value", "r", what.alias(name)).where("r > 0"), ["feature", "value"], "r")
+    lost = rows.where(F.col("value").isNull()).join(known, "feature", "left_semi").withColumn(name, F.lit(None).cast("double"))
+    return found.select(*rows.columns, name).unionByName(lost)
 
 
 def normal_quantile(u: Column) -> Column:
@@ -59,12 +64,13 @@ def rank_gauss(train: DataFrame, rows: DataFrame, gauss: bool = True) -> DataFra
 
     Both follow from the table of distinct values, so the rows are joined once.
     """
+    rows = settled(rows)
     table = settled(_shares(train, rows)).withColumn("g", normal_quantile(F.col("u")) if gauss else F.col("u"))
     c, g = F.col("c"), F.col("g")
     moments = table.groupBy("feature").agg((F.sum(c * g) / F.sum(c)).alias("mean"), (F.sum(c * g * g) / F.sum(c)).alias("square"))
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))
     fitted = moments.select("feature", "mean", F.when(sd > 1e-12, sd).otherwise(1.0).alias("sd"))
-    shared = table.join(fitted, "feature").select("feature", "value", ((g - F.col("mean")) / F.col("sd")).alias("g"))
+    shared = table.join(fitted, "feature").select("feature", "value", "r", ((g - F.col("mean")) / F.col("sd")).alias("g"))
     return _with_shares(rows, shared, F.col("g"), "g").drop("value").withColumnRenamed("g", "value")
 
 
@@ -194,32 +200,20 @@ def feature_vectors(long: DataFrame, keys: list[str]) -> DataFrame:
 def pca_fit(long: DataFrame, keys: list[str], eta: float = 0.95, most: int = 50):
     """Loadings of the fewest components with a share `eta` of the variance (1 to `most`), on standardised values.
 
-    Returns (loadings: feature, component, weight; variance: component, share, cumulative). A Gram matrix per partition is summed by
-    cells; a component's largest weight is positive.
+    Returns (loadings: feature, component, weight; variance: component, share, cumulative). The Gram matrix is summed by tiles, and of many
+    features it never is in one place (`gram.leading`); a component's largest weight is positive.
     """
     spark = long.sparkSession
     names = sorted(r["feature"] for r in long.select("feature").distinct().collect())
-    vectors = feature_vectors(zscore_apply(long, zscore_fit(long)), keys).select("x")
-
-    def gram(frames):
-        total, n = np.zeros((len(names), len(names))), 0
-        for frame in frames:
-            if len(frame):
-                x = np.stack(frame["x"].to_numpy())
-                total, n = total + x.T @ x, n + len(x)
-        if n:
-            i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "x": total.ravel()})
-
-    cells = vectors.mapInPandas(gram, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()  # features squared
-    g = np.zeros((len(names), len(names)))
-    g[cells["i"], cells["j"]] = cells["x"]
-    values, basis = np.linalg.eigh((g + g.T) / 2)
-    order = np.argsort(values)[::-1]
-    values, basis = np.clip(values[order], 0, None), basis[:, order]
-    share = values / values.sum() if values.sum() > 0 else values
-    k = int(min(max(1, np.searchsorted(np.cumsum(share), eta - 1e-12) + 1), most, len(names)))
-    basis = basis * np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(len(names))])
+    if not names:
+        return spark.createDataFrame([], "feature string, component int, weight double"), spark.createDataFrame([], "component int, share double, cumulative double")
+    vectors = feature_vectors(zscore_apply(long, zscore_fit(long)), keys)
+    matrix = gram.gram(vectors, len(names))
+    values, basis = gram.leading(matrix, len(names), most)
+    total = gram.trace(matrix, len(names))
+    share = np.clip(values, 0, None) / total if total > 0 else np.zeros(len(values))
+    k = int(min(max(1, np.searchsorted(np.cumsum(share), eta - 1e-12) + 1), len(values)))
+    basis = basis * np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])
     loadings = spark.createDataFrame([(f, c, float(basis[i, c])) for i, f in enumerate(names) for c in range(k)], "feature string, component int, weight double")
     variance = spark.createDataFrame([(c, float(share[c]), float(share[: c + 1].sum())) for c in range(k)], "component int, share double, cumulative double")
     return loadings, variance

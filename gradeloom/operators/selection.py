@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pool_adjacent, t_two_sided
+from . import gram
 from .lineage import settled
 from .metrics import weighted_correlation
-from .ranks import average_rank, median
+from .ranks import average_rank, median, with_rank
 
 SAMPLE = ["case_id", "segment"]
 
@@ -87,33 +88,20 @@ def relevant(tests: DataFrame, icc: DataFrame, alpha: float = 0.05, least_rho: f
 
 def rank_vectors(long: DataFrame) -> DataFrame:
     """(case_id, segment, r): average ranks of all features, in the order of their names, centred and scaled to unit length per feature."""
-    long = settled(long)
-    n = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = average_rank(n, ["feature"], "value")
-    joined = long.join(ranks, ["feature", "value"])
+    joined = settled(with_rank(long.select(*SAMPLE, "feature", "value"), ["feature"], "value"))
     m = joined.groupBy("feature").agg(F.avg("rank").alias("m"), F.stddev_pop("rank").alias("s"), F.count(F.lit(1)).alias("c"))
     z = joined.join(m, "feature").select(*SAMPLE, "feature", F.coalesce(F.try_divide(F.col("rank") - F.col("m"), F.col("s") * F.sqrt("c")), F.lit(0.0)).alias("z"))
     return z.groupBy(*SAMPLE).agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "z"))), lambda x: x["z"]).alias("r"))
 
 
 def pairwise_spearman(long: DataFrame) -> DataFrame:
-    """(feature1, feature2, rho) for feature1 < feature2 of an aligned table: one Gram matrix per partition, summed by cells."""
+    """(feature1, feature2, rho) for feature1 < feature2 of an aligned table: a Gram matrix of rank vectors, summed by tiles."""
     names = sorted(r["feature"] for r in long.select("feature").distinct().collect())
-
-    def gram(frames):
-        total, some = np.zeros((len(names), len(names))), False
-        for frame in frames:
-            if len(frame):
-                some = True
-                x = np.stack(frame["r"].to_numpy())
-                total += x.T @ x
-        if some:
-            i, j = np.triu_indices(len(names), 1)
-            yield pd.DataFrame({"i": i, "j": j, "x": total[i, j]})
-
-    cells = rank_vectors(long).select("r").mapInPandas(gram, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("rho"))
+    if not names:
+        return long.sparkSession.createDataFrame([], "feature1 string, feature2 string, rho double")
+    cells = gram.cells(gram.gram(rank_vectors(long), len(names), "r"), len(names))
     at = F.lit(names)
-    return cells.select(at[F.col("i")].alias("feature1"), at[F.col("j")].alias("feature2"), "rho")
+    return cells.select(at[F.col("i")].alias("feature1"), at[F.col("j")].alias("feature2"), F.col("x").alias("rho"))
 
 
 def deduplicate(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95) -> DataFrame:

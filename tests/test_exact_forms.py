@@ -8,7 +8,7 @@ import pytest
 from bootstrap_draws import draws_by_cluster
 
 from gradeloom.functions import keys
-from gradeloom.operators import bootstrap, interactions, joins, metrics, ranks, thresholds
+from gradeloom.operators import bootstrap, gram, harmonize, interactions, joins, metrics, ranks, selection, thresholds
 
 
 def test_null_grades_and_series(spark):
@@ -166,3 +166,84 @@ def test_bootstrap_estimate_is_that_of_the_metrics(spark):
     lone = bootstrap.intervals(rows.where("patient = 3"), "patient", 4, resamples=5).collect()
     assert len(lone) == 9 and all(r["low"] is None and r["high"] is None and r["estimate"] is not None for r in lone)
     assert bootstrap.intervals(rows.limit(0), "patient", 4, resamples=5).count() == 0
+
+
+# wide matrices
+
+
+@pytest.mark.parametrize("held", [1, 1 << 28])
+def test_gram_by_tiles(spark, monkeypatch, held):
+    """Tiles of uneven sizes, in one pass or in one for each tile; a matrix of fewer rows than columns."""
+    monkeypatch.setattr(gram, "HELD_BYTES", held)
+    x = np.random.default_rng(3).normal(size=(40, 53))
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    tile = 20
+    matrix = gram.gram(rows, 53, tile=tile)
+    g = x.T @ x
+    assert matrix.count() == 6 and np.allclose(gram.dense(matrix, 53, tile), g) and np.isclose(gram.trace(matrix, 53, tile), np.trace(g))
+    cells = gram.cells(matrix, 53, tile).toPandas()
+    assert len(cells) == 53 * 52 // 2 and np.allclose(cells["x"], g[cells["i"], cells["j"]]) and (cells["i"] < cells["j"]).all()
+    q = np.random.default_rng(4).normal(size=(53, 4))
+    assert np.allclose(gram.times(matrix, q, tile), g @ q)
+    assert gram.gram(rows.limit(0), 53).count() == 0
+
+
+@pytest.mark.parametrize("rank", [5, 150])
+def test_leading_vectors_of_many_features(spark, monkeypatch, rank):
+    """The block iteration finds the same values and spaces as the whole matrix, of low rank and of a slowly falling spectrum."""
+    rng = np.random.default_rng(rank)
+    p, k = 150, 8
+    x = rng.normal(size=(400, rank)) * np.linspace(2, 0.5, rank) @ rng.normal(size=(rank, p))
+    matrix = gram.gram(spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>"), p, tile=64)
+    for name, value in {"DENSE": 10, "SPARE": 4, "PRODUCTS": 4}.items():
+        monkeypatch.setattr(gram, name, value)
+    values, vectors = gram.leading(matrix, p, k, tile=64)
+    want, basis = np.linalg.eigh(x.T @ x)
+    assert np.allclose(values, want[::-1][:k], rtol=1e-8, atol=1e-6 * want[-1])
+    few = min(k, rank)
+    assert np.allclose(np.abs((vectors[:, :few] * basis[:, ::-1][:, :few]).sum(axis=0)), 1, atol=1e-6)
+
+
+def test_wide_components_equal_the_whole_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 4)) @ rng.normal(size=(4, 70)) + 0.05 * rng.normal(size=(60, 70))
+    long = spark.createDataFrame([(str(i), "s", f"f{j:02}", float(x[i, j])) for i in range(60) for j in range(70)], "case_id string, segment string, feature string, value double")
+    whole = [t.toPandas() for t in harmonize.pca_fit(long, ["case_id", "segment"])]
+    for name, value in {"DENSE": 10, "TILE": 32}.items():
+        monkeypatch.setattr(gram, name, value)
+    wide = [t.toPandas() for t in harmonize.pca_fit(long, ["case_id", "segment"])]
+    for a, b, value in zip(whole, wide, ("weight", "cumulative"), strict=True):
+        assert len(a) == len(b) and np.allclose(a[value], b[value], atol=1e-7)
+    assert all(t.count() == 0 for t in harmonize.pca_fit(long.limit(0), ["case_id", "segment"]))
+
+
+def test_pairwise_spearman_of_tied_values(spark, monkeypatch):
+    """Features that mostly are 0: their rows meet the rank of 0 by a broadcast."""
+    monkeypatch.setattr(ranks, "HOT", 20)
+    monkeypatch.setattr(gram, "TILE", 3)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, (120, 7)) * (rng.random((120, 7)) < 0.3) + 0.0
+    x[:, 2] = 4.0
+    long = spark.createDataFrame([(str(i), "s", f"f{j}", float(x[i, j])) for i in range(120) for j in range(7)], "case_id string, segment string, feature string, value double")
+    rank = pd.DataFrame(x).rank()
+    got = selection.pairwise_spearman(long).collect()
+    assert len(got) == 21
+    for r in got:
+        a, b = rank[int(r["feature1"][1:])], rank[int(r["feature2"][1:])]
+        assert np.isclose(r["rho"], a.corr(b) if a.nunique() > 1 and b.nunique() > 1 else 0.0)
+
+
+def test_rank_shares_of_hot_values(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "HOT", 4)
+    rng = random.Random(5)
+    train = [("f", 0.0 if i % 10 else rng.random()) for i in range(500)] + [("g", 1.0)]
+    new = [("f", v) for v in (-1.0, 0.0, 0.5, 2.0, None)] + [("f", 0.0)] * 60 + [("g", 1.0), ("h", 1.0)]
+    out = harmonize.rank_share(spark.createDataFrame(train, "feature string, value double"), spark.createDataFrame(new, "feature string, value double")).collect()
+    values = np.sort([v for f, v in train if f == "f"])
+    assert len(out) == len(new) - 1
+    for r in out:
+        if r["feature"] == "f":
+            want = None if r["value"] is None else (max(1, np.searchsorted(values, r["value"], side="right")) - 0.5) / len(values)
+            assert r["u"] is None if want is None else np.isclose(r["u"], want)
+        else:
+            assert r["u"] == 0.5
