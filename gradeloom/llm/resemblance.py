@@ -1,8 +1,10 @@
-"""Pairs of texts whose five-word shingle sets reach a resemblance, by banded MinHash and exact verification.
+"""Links between texts whose five-word shingle sets reach a resemblance, by banded MinHash and exact verification.
 
 Texts of resemblance r share a given band of ROWS minima with probability r^ROWS; at 0.8 all BANDS are missed once in 38,000 pairs.
-Candidates are verified on their whole shingle sets. Keys of more than CROWD texts list two representatives, drawn
-anew for each key, in place of all pairs, so that rows stay in proportion to texts.
+Candidates are verified on their whole shingle sets. Within a band key of more than CROWD texts all are compared with two of them first,
+which links whole groups of copies. Where that leaves a key's texts in several components, their pairs across components are found
+by common rare shingles: every shingle has a place in one order, rare ones first, and two texts of the resemblance share one among the
+first of both. That is exact, so a crowded key loses no link, and no list of all its pairs is made.
 """
 
 from __future__ import annotations
@@ -12,15 +14,23 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_in, saved
+from .common import BLOCKS, blocks, rows_in, saved, tree_sum
+from .components import components
 
 SHINGLE = 5
 RESEMBLANCE = 0.8
 BANDS, ROWS = 20, 4
-CROWD = 32
+#: Texts of a key whose pairs are listed; and of a shingle whose pairs are compared in one task.
+CROWD, TILE = 32, 2048
+#: Buckets of the shingles' counts, which make the order.
+BUCKETS = 1 << 21
+#: Candidates of one text that are verified together.
+PART = 1000
+#: Slack of sizes against rounding.
+SLACK = 1e-6
 
 _MIX = np.random.default_rng(5).integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64)
 _MIX[:, 0] |= np.uint64(1)
@@ -50,8 +60,8 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: nodes of `docs` (node, text) that share a band."""
+def band_table(docs: DataFrame) -> DataFrame:
+    """Distinct (node, key) of the nodes of `docs` (node, text) that have words."""
 
     def keyed(frames):
         for frame in rows_in(frames, size=2_000_000):
@@ -61,29 +71,31 @@ def candidates(docs: DataFrame) -> DataFrame:
                 keys = band_keys([sets[k] for k in full])
                 yield pd.DataFrame({"node": np.repeat(frame["node"].to_numpy()[full], BANDS), "key": keys.view(np.int64).ravel()})
 
-    bands = saved(docs.select("node", "text").mapInPandas(keyed, "node long, key long").distinct(), "bands")
-    salt = F.xxhash64("key")
-    mixed = F.col("node").bitwiseXOR(salt)
-    busy = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("n > 1")
-    busy = saved(busy.select("key", "n", F.array(F.col("low").bitwiseXOR(salt), F.col("high").bitwiseXOR(salt)).alias("heads")), "busy")
+    return docs.select("node", "text").mapInPandas(keyed, "node long, key long").distinct()
+
+
+def _ordered(pairs: DataFrame, *more: str) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more)
+
+
+def first_candidates(bands: DataFrame, busy: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: all pairs of keys of at most CROWD nodes, and of larger ones those with either of two nodes, drawn anew for each key."""
     calm = bands.join(busy.where(F.col("n") <= CROWD).select("key"), "key")
     few = calm.select("key", F.col("node").alias("a")).join(calm.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    many = bands.join(busy.where(F.col("n") > CROWD).select("key", "heads"), "key").select("node", F.explode("heads").alias("head")).where("node != head")
-    return few.union(many.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))).distinct()
+    many = bands.join(busy.where(F.col("n") > CROWD).select("key", "heads"), "key").select(F.col("node").alias("a"), F.explode("heads").alias("b")).where("a != b")
+    return few.union(_ordered(many)).distinct()
 
 
-def pairs(docs: DataFrame, firsts: DataFrame, *, least: float = RESEMBLANCE) -> DataFrame:
-    """(a, b) of nodes of `docs` (id, node, text) that resemble each other by `least` or more; `firsts` has one (id, node) of each node."""
-    found = saved(candidates(docs), "candidates")
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = firsts.join(ends, "node", "left_semi").select(F.col("id").alias("__id"), F.col("node").alias("__node"))
-
-    def cut(frames):
-        for frame in rows_in(frames, size=2_000_000):
-            yield pd.DataFrame({"node": frame["node"], "set": [shingle_set(t).tobytes() for t in frame["text"]]})
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows of `pairs` (a, b) whose sets resemble each other by `least` or more. A text of many candidates meets them in parts of PART."""
 
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["__id"]) & (docs["node"] == wanted["__node"]), "left_semi").select("node", "text")
-    sets = saved(texts.mapInPandas(cut, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    def with_set(rows: DataFrame, end: str, name: str) -> DataFrame:
+        parts = rows.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+        many = saved(parts.where("parts > 1"), "hot-ends")  # fewer than one in PART of the rows
+        other = "b" if end == "a" else "a"
+        rows = rows.join(many.withColumnRenamed("node", end), end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
+        held = sets.join(many, "node", "left").select(F.col("node").alias(end), F.col("set").alias(name), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
+        return rows.join(held, [end, "part"]).drop("part")
 
     def verify(frames):
         for frame in frames:
@@ -94,5 +106,110 @@ def pairs(docs: DataFrame, firsts: DataFrame, *, least: float = RESEMBLANCE) ->
                 near.append(both >= least * (len(x) + len(y) - both))
             yield frame.loc[near, ["a", "b"]]
 
-    with_x = found.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return with_x.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
+    return with_set(with_set(pairs, "a", "x"), "b", "y").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
+
+
+def unresolved(bands: DataFrame, busy: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of nodes in a key of more than CROWD whose nodes `links` leave in several components."""
+    roots = components(links).withColumnRenamed("node", "__node")
+    members = bands.join(busy.where(F.col("n") > CROWD).select("key"), "key")
+    members = saved(members.join(roots, F.col("node") == F.col("__node"), "left").select("key", "node", F.coalesce("root", "node").alias("root")), "crowds")
+    split = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return members.join(split, "key", "left_semi").select("node", "root").distinct()
+
+
+def rare_first(sets: DataFrame, least: float) -> DataFrame:
+    """(shingle, node, root, size, pos): of each set (node, root, set) the shingles that come first, as many as must hold one that any set of the resemblance shares.
+
+    The order is by counts of hash buckets over all these sets, rare ones first, then by the shingle itself; any one order gives right results.
+    """
+
+    def count(frames):
+        total = np.zeros(BUCKETS)
+        for frame in frames:
+            flat = np.frombuffer(b"".join(frame["set"]), np.uint64)
+            total += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        yield from blocks(0, total)
+
+    (counts,) = tree_sum(sets.mapInPandas(count, BLOCKS), [BUCKETS])
+    shared = sets.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+
+    def first(frames):
+        for frame in frames:
+            cut, sizes = [], []
+            for packed in frame["set"]:
+                x = np.frombuffer(packed, np.uint64)
+                order = np.lexsort((x, shared.value[(x % np.uint64(BUCKETS)).astype(np.int64)]))
+                cut.append(x[order[: len(x) - int(np.ceil(least * len(x) - SLACK)) + 1]])
+                sizes.append(len(x))
+            n = np.array([len(c) for c in cut])
+            if len(n):
+                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({"shingle": np.concatenate(cut).view(np.int64), "node": np.repeat(frame["node"].to_numpy(), n), "root": np.repeat(frame["root"].to_numpy(), n), "size": np.repeat(sizes, n), "pos": pos})
+
+    return sets.mapInPandas(first, "shingle long, node long, root long, size int, pos int")
+
+
+def _may_reach(a: Column, b: Column, least: float) -> Column:
+    """May two sets that first meet at this shingle share enough: no more of them is common than what follows it in both."""
+    rest = F.least(a["size"] - a["pos"], b["size"] - b["pos"])
+    enough = (a["size"] + b["size"]) * (least / (1 + least)) - SLACK
+    return (a["root"] != b["root"]) & (F.least(a["size"], b["size"]) >= least * F.greatest(a["size"], b["size"]) - SLACK) & (rest >= enough)
+
+
+def pairs_across(rows: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b), a < b, of different roots that may reach `least`; rows: shingle, node, root, size, pos (of `rare_first`)."""
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle", "n")
+    held = saved(held, "shingles")
+    one = F.struct("node", "root", "size", "pos")
+    few = rows.join(held.where(F.col("n") <= CROWD).select("shingle"), "shingle").select("shingle", one.alias("a"))
+    few = few.join(few.select("shingle", F.col("a").alias("b")), "shingle").where((F.col("a.node") < F.col("b.node")) & _may_reach(F.col("a"), F.col("b"), least))
+    # a longer list goes in pairs of tiles of about TILE
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    many = rows.join(held.where(F.col("n") > CROWD).select("shingle", tiles.alias("tiles")), "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    many = many.select("shingle", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "node", "root", "size", "pos")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = (frame[frame["tile"] == frame[t].iloc[0]] for t in ("one", "two"))
+        node, root, size, pos = (right[c].to_numpy() for c in ("node", "root", "size", "pos"))
+        a, b = [], []
+        for n, r, s, p in zip(left["node"], left["root"], left["size"], left["pos"], strict=True):
+            near = (root != r) & (np.minimum(size - pos, s - p) >= (size + s) * (least / (1 + least)) - SLACK) & (np.minimum(size, s) >= least * np.maximum(size, s) - SLACK)
+            found = node[near]
+            a.append(np.full(len(found), n))
+            b.append(found)
+        a, b = np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    found = many.groupBy("shingle", "one", "two").applyInPandas(compare, "a long, b long")
+    return few.select("a.node", "b.node").toDF("a", "b").union(found).distinct()
+
+
+def pairs(docs: DataFrame, firsts: DataFrame, *, least: float = RESEMBLANCE) -> DataFrame:
+    """(a, b) of nodes of `docs` (id, node, text) that resemble each other by `least` or more, enough to connect all that do and share a band; `firsts` has one (id, node) of each node.
+
+    Nodes without words have no pairs; repeated rows and nulls in other columns change nothing; no rows give no pairs.
+    """
+    bands = saved(band_table(docs), "bands")
+    salt = F.xxhash64("key")
+    mixed = F.col("node").bitwiseXOR(salt)
+    busy = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("n > 1")
+    busy = saved(busy.select("key", "n", F.array(F.col("low").bitwiseXOR(salt), F.col("high").bitwiseXOR(salt)).alias("heads")), "busy")
+    found = saved(first_candidates(bands, busy), "candidates")
+    wanted = firsts.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select(F.col("id").alias("__id"), F.col("node").alias("__node"))
+
+    def cut(frames):
+        for frame in rows_in(frames, size=2_000_000):
+            yield pd.DataFrame({"node": frame["node"], "set": [shingle_set(t).tobytes() for t in frame["text"]]})
+
+    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["__id"]) & (docs["node"] == wanted["__node"]), "left_semi").select("node", "text")
+    sets = saved(texts.mapInPandas(cut, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    links = saved(verified(found, sets, least), "links")
+    if busy.where(F.col("n") > CROWD).isEmpty():
+        return links
+    open_nodes = saved(unresolved(bands, busy, links), "unresolved")
+    if open_nodes.isEmpty():
+        return links
+    rows = saved(rare_first(sets.join(open_nodes, "node"), least), "rare-shingles")
+    return links.union(verified(saved(pairs_across(rows, least), "across"), sets, least))

@@ -749,6 +749,71 @@ def test_near_dedup_stage_catches_resemblance(spark, monkeypatch, crowd):
     assert kept == {i for i in range(80) if i % 4 != 3}
 
 
+def _heads(seed, n, head, tail, edited):
+    """Pairs of texts of one long common head and own tails: within a pair the tails differ in `edited` words."""
+    rng = random.Random(seed)
+    common = [f"h{rng.randrange(10**6)}" for _ in range(head)]
+    texts = []
+    for _ in range(n):
+        own = [f"t{rng.randrange(10**9)}" for _ in range(tail)]
+        near = own[: tail - edited] + [f"u{rng.randrange(10**9)}" for _ in range(edited)]
+        texts += [" ".join(common + own), " ".join(common + near)]
+    return texts
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_near_dedup_of_texts_with_a_common_head(spark, monkeypatch, tile):
+    """60 pairs at 0.81 of one head, 0.78 across pairs: every band key is crowded, and of each pair one text stays."""
+    monkeypatch.setattr(resemblance, "TILE", tile)
+    texts = _heads(3, 60, 240, 34, 28)
+    at = [_resemblance(texts[i], texts[i + 1]) for i in range(0, 120, 2)]
+    over = [_resemblance(texts[i], texts[j]) for i in range(0, 120, 7) for j in range(120) if i // 2 != j // 2]
+    assert min(at) >= 0.8 > max(over) > 0.75
+    rows = frame(spark, texts).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), "text")
+    node = {r["id"]: r["node"] for r in rows.collect()}
+    got = {tuple(r) for r in resemblance.pairs(rows, rows.select("id", "node")).collect()}
+    assert got == {tuple(sorted((node[i], node[i + 1]))) for i in range(0, 120, 2)}
+    kept = {r["doc_id"] for r in simhash.keep_first(frame(spark, texts), least=0.8).collect()}
+    assert all(i % 2 == 0 for i in kept) and len(kept) > 55  # a few pairs are within two bits of others
+
+
+def test_resemblance_links_equal_all_pairs(spark, monkeypatch):
+    """Crowds of several families, lengths and texts between them: the components of all pairs at 0.8 or more."""
+    monkeypatch.setattr(resemblance, "CROWD", 3)
+    monkeypatch.setattr(resemblance, "TILE", 16)
+    monkeypatch.setattr(resemblance, "PART", 5)
+    rng = random.Random(12)
+    texts = _heads(4, 12, 120, 20, 14)
+    for _ in range(4):
+        words = [f"f{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(14):
+            near = list(words)
+            k, n = rng.randrange(100), rng.randrange(1, 40)
+            near[k : k + n] = [f"g{rng.randrange(10**6)}" for _ in range(n)]
+            texts.append(" ".join(near[: rng.randrange(120, 151)]))
+    texts += ["", "   ", "one two", "one two", None]
+    rows = frame(spark, texts).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), "text")
+    firsts = rows.groupBy("node").agg(F.min("id").alias("id"))
+    node = {r["id"]: r["node"] for r in rows.collect()}
+    sets = {node[i]: set(resemblance.shingle_set(t).tolist()) for i, t in enumerate(texts)}
+
+    def classes(edges):
+        root = {n: n for n in sets}
+
+        def find(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return {frozenset(n for n in sets if find(n) == r) for r in {find(n) for n in sets}}
+
+    near = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and len(x & y) >= 0.8 * len(x | y)}
+    got = {tuple(r) for r in resemblance.pairs(rows, firsts).collect()}
+    assert got <= near and classes(got) == classes(near)
+
+
 def test_lm_counts_pairs_across_words(spark):
     """Every text alternates two words: what follows each is certain, though both are as frequent."""
     _, _, units = _learned(frame(spark, ["cat dog " * 50] * 4))
