@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences into fixed-size training sequences.
 
-Documents are tokenized and cut; short pieces are dealt to packers, longest first. A packer keeps a bounded number of open
+Documents are tokenized and cut; short pieces are dealt evenly to packers, in hashed order. A packer keeps a bounded number of open
 bins, found through a bitset keyed by free space: a piece goes to the fullest bin that still holds it, and when a bin must
-close to make room, it is the fullest. Every piece over half a sequence opens a bin before the short ones come, so the bound
-is over the pieces of a packer, and no bin closes that a later piece could fill.
+close to make room, it is the fullest. Pieces come in rounds, the longest of a round first, so that short ones meet bins that lack
+little; bins stay open from round to round.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from tokenizers import Tokenizer
 from .common import rows_in, saved
 
 LENGTH = 2048
-OPEN_BINS = 131_072
+#: Open bins of a packer, at least as many as the pieces of a round, which may all be over half a sequence.
+OPEN_BINS, ROUND = 4096, 4000
 #: Pieces that one packer gets, about.
 PACKER_ROWS = 100_000
 CACHE = 400_000
@@ -156,6 +157,19 @@ class OpenBins:
         self.open -= 1
 
 
+def rounds(frames, size: int):
+    """The rows of `frames`, `size` at a time (the last time fewer), the longest first."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        while sum(map(len, held)) >= size:
+            whole = pd.concat(held)
+            yield whole.iloc[:size].sort_values("length", ascending=False, kind="stable")
+            held = [whole.iloc[size:]]
+    if sum(map(len, held)):
+        yield pd.concat(held).sort_values("length", ascending=False, kind="stable")
+
+
 def pack(
     docs: DataFrame,
     *,
@@ -170,8 +184,9 @@ def pack(
 ) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A full piece is a sequence of its own. The others are dealt by a hash to packers of about `packer_rows`, which take them
-    longest first. Null and empty texts have the end id alone; null ids stay null; repeated rows are packed each; no rows, no pieces.
+    A full piece is a sequence of its own. The others are dealt in turn to packers of about `packer_rows`, equal rows too. Null and empty
+    texts have the end id alone; null ids stay null; repeated rows are packed each, pieces of equal length in any order; other columns
+    are not read; no rows, no pieces.
     """
     cut = saved(pieces(docs, id_col=id_col, text_col=text_col, tokenizer_path=tokenizer_path, ranks_path=ranks_path, end_id=end_id, length=length), "pieces")
     short = cut.where(F.col("length") < length)
@@ -186,12 +201,12 @@ def pack(
 
     def fit(frames):
         bins, base = OpenBins(length, open_bins), TaskContext.get().partitionId() << 40
-        for frame in frames:
+        for frame in rounds(frames, ROUND):
             put = [bins.put(int(n)) for n in frame["length"]]
             yield frame.assign(sequence_id=[base + which for which, _ in put], offset=[at for _, at in put])
 
     schema = PIECES + ", sequence_id long, offset long"
-    # dealt by all columns: a group of equal ids or lengths spreads too, and a rerun task sees the same rows in the same order
-    dealt = short.repartition(packers, F.xxhash64("id", "piece", "length", "ids_crc32")).sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32")
+    # in turn: a group of equal rows spreads too; sorted, so that a rerun task sees the same rows in the same order
+    dealt = short.repartition(packers).sortWithinPartitions(F.xxhash64("id", "piece", "length", "ids_crc32"), "id", "piece", "length", "ids_crc32")
     packed = dealt.mapInPandas(fit, schema).unionByName(full.mapInPandas(number, schema))
     return packed.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
