@@ -117,8 +117,9 @@ def _listed(keys: DataFrame, bounds: list) -> Column:
 
 
 def _place(key: Column, bounds: Column) -> Column:
-    """How many bounds are not over the key."""
-    return F.size(F.filter(bounds, lambda b: b <= key))
+    """How many of the ascending bounds, 2 * FANOUT - 1 at most, are not over the key, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(FANOUT.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.try_element_at(bounds, at + step) <= key, at + step).otherwise(at))
 
 
 def with_next(docs: DataFrame, id_col: str, carried: list[str], prefix: str, tie_col: str = "text") -> DataFrame:
