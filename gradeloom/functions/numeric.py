@@ -139,30 +139,3 @@ def two_gaussians(x: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndar
             break
     order = np.argsort(mean)
     return mean[order], sd[order], share[order]
-
-
-def ordered_logit(s: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, slope: bool = False, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """Ordered cut points t_k (and slope a > 0) of P(y > k) = sigmoid(a (s - t_k)), by weighted logistic fits.
-
-    The loss is a sum over the bounds; for a fixed slope each bound is a convex problem of its own, and the fits of nested
-    targets are ordered. With `slope`, Newton steps on the common slope alternate with those on the bounds.
-    """
-    over = (y[:, None] > np.arange(1, classes)).astype(float)
-    mean = np.clip((w[:, None] * over).sum(axis=0) / w.sum(), 1e-6, 1 - 1e-6)
-    a, c = 1.0, np.log(mean / (1 - mean)) - float((w * s).sum() / w.sum())
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * s[:, None] + c, -500, 500)))
-        h = w[:, None] * p * (1 - p)
-        g = (w[:, None] * (over - p)).sum(axis=0)
-        step = g / np.maximum(h.sum(axis=0), 1e-9)
-        c = c + np.clip(step, -2, 2)
-        move = np.abs(step).max()
-        if slope:
-            p = 1 / (1 + np.exp(-np.clip(a * s[:, None] + c, -500, 500)))
-            h = w[:, None] * p * (1 - p)
-            d = float((w[:, None] * (over - p) * s[:, None]).sum() / max((h * s[:, None] ** 2).sum(), 1e-9))
-            a = max(a + min(max(d, -0.5), 0.5), 1e-3)
-            move = max(move, abs(d))
-        if move < 1e-10:
-            break
-    return np.maximum.accumulate(-c / a), a

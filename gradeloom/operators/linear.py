@@ -408,20 +408,6 @@ def tuning_score(rows: DataFrame, candidate: str, fold: str, classes: int, eta:
     return mean.withColumn("best", F.row_number().over(Window.orderBy(F.desc("score"), candidate)) == 1)
 
 
-def fit_thresholds(rows: DataFrame, keys: list[str], classes: int, slope: bool = False) -> DataFrame:
-    """(keys, theta, slope): ordered cut points of a score by weighted logistic fits on its values rounded to 1/1000, in one small group per key."""
-    from ..functions.numeric import ordered_logit
-
-    cells = rows.groupBy(*keys, F.round("s", 3).alias("s"), F.col("y_true").cast("int").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    kinds = dict(rows.dtypes)
-
-    def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
-        theta, a = ordered_logit(frame["s"].to_numpy(), frame["y"].to_numpy(), frame["w"].to_numpy(), classes, slope)
-        return pd.DataFrame([(*key, [float(t) for t in theta], float(a))], columns=[*keys, "theta", "slope"])
-
-    return cells.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", theta array<double>, slope double")
-
-
 def choose_iteration(rows: DataFrame, classes: int, keep: int = 5) -> DataFrame:
     """(fold, iteration, mae, loss, rank): the candidates of each fold by (MAE, loss, iteration); rows have fold, iteration, y_true, y_pred, loss."""
     from pyspark.sql import Window

@@ -29,8 +29,16 @@ def group_counts(rows: DataFrame, group: str, y: str, classes: int, scanner: str
 
 def _numbered(groups: DataFrame, group: str, by: list[str], seed: int) -> DataFrame:
     """Groups with their number within their class, in the order of a seeded hash."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)
-    return groups.withColumn("__i", F.row_number().over(order) - 1)
+    # a class may hold most groups: it is numbered in 1,024 ranges of the hash, each from the count of those before it
+    rows = groups.withColumn("__h", F.xxhash64(F.col(group), F.lit(seed))).withColumn("__b", F.shiftright("__h", 54))
+    counts = rows.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__b").alias("__range"), F.coalesce(before, F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", group)) - 1
+    here = F.col("__b") == F.col("__range")
+    for c in by:
+        here = here & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.withColumn("__inside", inside).join(starts, here).select(*groups.columns, (F.col("__start") + F.col("__inside")).alias("__i"))
 
 
 def _assign(groups: DataFrame, group: str, by: list[str], table: pd.DataFrame, seed: int) -> DataFrame:
@@ -39,7 +47,11 @@ def _assign(groups: DataFrame, group: str, by: list[str], table: pd.DataFrame, s
     schema = groups.select(*by).schema.add("first", T.LongType()).add("last", T.LongType()).add("fold", T.IntegerType())
     t = spark.createDataFrame([tuple(list(v) if isinstance(v, tuple | np.ndarray) else v for v in r) for r in table.itertuples(index=False)], schema)
     numbered = _numbered(groups, group, by, seed)
-    return numbered.join(t, by).where((F.col("__i") >= F.col("first")) & (F.col("__i") < F.col("last"))).select(group, "fold")
+    t = t.withColumnsRenamed({c: f"__{c}" for c in by})
+    here = (F.col("__i") >= F.col("first")) & (F.col("__i") < F.col("last"))
+    for c in by:
+        here = here & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return numbered.join(t, here).select(group, "fold")
 
 
 def group_kfold(rows: DataFrame, group: str, folds: int, seed: int = 0) -> DataFrame:
@@ -73,10 +85,14 @@ def group_kfold(rows: DataFrame, group: str, folds: int, seed: int = 0) -> DataF
     return _assign(groups, group, ["n"], pd.DataFrame(out, columns=["n", "first", "last", "fold"]), seed)
 
 
-def _greedy(vectors: np.ndarray, counts: np.ndarray, folds: int, cost, order: np.ndarray) -> np.ndarray:
-    """Groups of each class per fold, and the total cost: whole rounds to all folds, then each group that is left goes where the total
-    cost grows least, ties to the fold with fewer rows."""
-    rounds = counts // folds
+#: Groups up to which a split is also tried group by group, and classes of a fold whose swaps are all tried.
+GREEDY, SWAPPED = 20_000, 128
+
+
+def _greedy(vectors: np.ndarray, counts: np.ndarray, folds: int, cost, order: np.ndarray, whole: bool = True) -> tuple[np.ndarray, float]:
+    """Groups of each class per fold, and the total cost: whole rounds to all folds, if wanted, then each group that is left goes where the
+    total cost grows least, ties to the fold with fewer rows."""
+    rounds = counts // folds if whole else np.zeros_like(counts)
     given = np.repeat(rounds[:, None], folds, axis=1)
     state = np.repeat((rounds @ vectors)[None, :].astype(float), folds, axis=0)
     costs = cost(state)
@@ -92,10 +108,50 @@ def _greedy(vectors: np.ndarray, counts: np.ndarray, folds: int, cost, order: np
     return given, float(costs.sum())
 
 
+def _polished(vectors: np.ndarray, given: np.ndarray, cost, steps: int = 10_000) -> tuple[np.ndarray, float]:
+    """A split, and its cost, from which no move of one group to another fold, and no swap of two groups, lowers the total cost.
+
+    Each step takes the move or swap that lowers it most. Of classes beyond SWAPPED in a fold, those that it does best without are swapped.
+    """
+    given = given.copy()
+    state = given.T @ vectors
+    folds = len(state)
+    of = lambda states: cost(states.reshape(-1, states.shape[-1])).reshape(states.shape[:-1])
+    for _ in range(steps):
+        costs = cost(state)
+        out = of(state[:, None] - vectors[None]) - costs[:, None]  # fold x class: without one group, with one more
+        more = of(state[:, None] + vectors[None]) - costs[:, None]
+        out[given.T == 0] = np.inf
+        move = out[:, None] + more[None]
+        move[np.arange(folds), np.arange(folds)] = np.inf
+        at = np.unravel_index(np.argmin(move), move.shape)
+        best, change = move[at], [(at[2], at[0], -1), (at[2], at[1], 1)]
+        near = [np.argsort(out[f], kind="stable")[: min(SWAPPED, int((given[:, f] > 0).sum()))] for f in range(folds)]
+        for f in range(folds):
+            for g in range(f):
+                turn = vectors[near[g]][None] - vectors[near[f]][:, None]
+                gain = of(state[f] + turn) + of(state[g] - turn) - costs[f] - costs[g]
+                if gain.size and gain.min() < best:
+                    i, j = np.unravel_index(np.argmin(gain), gain.shape)
+                    best, change = gain[i, j], [(near[f][i], f, -1), (near[f][i], g, 1), (near[g][j], g, -1), (near[g][j], f, 1)]
+        if not best < -1e-12:
+            break
+        for i, f, n in change:
+            given[i, f] += n
+            state[f] = state[f] + n * vectors[i]
+    return given, float(cost(state).sum())
+
+
 def stratified_group_kfold(rows: DataFrame, group: str, y: str, classes: int, folds: int, seed: int = 0) -> DataFrame:
-    """(group, fold): grade counts as even as a greedy pass makes them, groups of uneven counts first."""
+    """(group, fold): grade counts so even that no move of a group and no swap of two makes them more even.
+
+    The start is the better of two greedy passes, groups of uneven counts first: one that deals whole rounds of equal groups, and,
+    up to GREEDY groups, one of group by group; so the split is never less even than either. No groups give no rows.
+    """
     groups = group_counts(rows, group, y, classes)
-    table = groups.groupBy("n", "c").agg(F.count(F.lit(1)).alias("k")).toPandas()
+    table = groups.groupBy("n", "c").agg(F.count(F.lit(1)).alias("k")).orderBy("n", "c").toPandas()
+    if not len(table):
+        return groups.select(group, F.lit(0).alias("fold"))
     c = np.stack(table["c"].to_numpy()).astype(float)
     total = np.maximum((c * table["k"].to_numpy()[:, None]).sum(axis=0), 1)
     vectors = np.hstack([table[["n"]].to_numpy(float), c])
@@ -105,7 +161,9 @@ def stratified_group_kfold(rows: DataFrame, group: str, y: str, classes: int, fo
         return ((share - 1 / folds) ** 2).sum(axis=1)
 
     draw = np.random.default_rng(seed).random(len(table))
-    given, _ = _greedy(vectors, table["k"].to_numpy(), folds, cost, np.lexsort((draw, -c.std(axis=1))))
+    k, order = table["k"].to_numpy(), np.lexsort((draw, -c.std(axis=1)))
+    starts = [_greedy(vectors, k, folds, cost, order, whole) for whole in ([True, False] if k.sum() <= GREEDY else [True])]
+    given, _ = _polished(vectors, min(starts, key=lambda s: s[1])[0], cost)
     return _assign(groups, group, ["n", "c"], _spread(table[["n", "c"]], given), seed)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import linear
+from ..operators import cutpoints, linear
 from . import inputs
 from .inputs import CLASSES, DISCS, PREDICTIONS
 from .registry import query, r6
@@ -139,7 +139,7 @@ def m07_tuning_score(spark, sf_dir) -> DataFrame:
 
 @query()
 def m09_fit_thresholds(spark, sf_dir) -> DataFrame:
-    t = linear.fit_thresholds(inputs.predictions(spark, sf_dir), ["fold"], CLASSES, slope=True)
+    t = cutpoints.fit_thresholds(inputs.predictions(spark, sf_dir), ["fold"], CLASSES, slope=True, held_out=0.2, by="orig_index")
     return t.select("fold", *[F.col("theta")[k].alias(f"theta{k + 1}") for k in range(CLASSES - 1)], "slope")
 
 

@@ -8,7 +8,7 @@ import pytest
 from bootstrap_draws import draws_by_cluster
 
 from gradeloom.functions import keys
-from gradeloom.operators import bootstrap, gram, harmonize, interactions, joins, metrics, ranks, selection, thresholds
+from gradeloom.operators import bootstrap, cutpoints, gram, harmonize, interactions, joins, metrics, ranks, selection, splits, thresholds
 
 
 def test_null_grades_and_series(spark):
@@ -247,3 +247,153 @@ def test_rank_shares_of_hot_values(spark, monkeypatch):
             assert r["u"] is None if want is None else np.isclose(r["u"], want)
         else:
             assert r["u"] == 0.5
+
+
+# cut points
+
+
+def _dense_fit(s, y, w, classes, slope):
+    """Newton on the whole columns, with halved steps."""
+    over = (y[:, None] > np.arange(1, classes)).astype(float)
+    x = np.zeros(classes)
+    x[0] = 1.0
+    free = np.concatenate([[slope], np.ones(classes - 1, bool)])
+
+    def loss(x):
+        z = x[0] * s[:, None] + x[1:]
+        return (w[:, None] * (np.logaddexp(0, z) - over * z)).sum()
+
+    for _ in range(200):
+        z = x[0] * s[:, None] + x[1:]
+        p = 1 / (1 + np.exp(-z))
+        miss, h = w[:, None] * (p - over), w[:, None] * p * (1 - p)
+        g = np.concatenate([[(miss * s[:, None]).sum()], miss.sum(axis=0)])
+        hess = np.diag(np.concatenate([[(h * s[:, None] ** 2).sum()], h.sum(axis=0)]))
+        hess[0, 1:] = hess[1:, 0] = (h * s[:, None]).sum(axis=0)
+        step = np.zeros(classes)
+        step[free] = np.linalg.solve(hess[np.ix_(free, free)], -g[free])
+        while loss(x + step) > loss(x) + 1e-9 and np.abs(step).max() > 1e-13:
+            step /= 2
+        x = x + step
+        if np.abs(step).max() < 1e-13:
+            break
+    return -x[1:] / x[0], x[0]
+
+
+def _scores(n, seed=2):
+    rng = np.random.default_rng(seed)
+    s = rng.normal(0, 2, n)
+    y = 1 + (1.7 * s[:, None] + rng.logistic(size=(n, 1)) > 1.7 * np.array([-2.0, 0.0, 1.5])).sum(axis=1)
+    return pd.DataFrame({"id": np.arange(n), "fold": rng.integers(0, 3, n), "s": s, "y_true": y, "w": rng.uniform(0.2, 3, n)})
+
+
+@pytest.mark.parametrize(("slope", "weight"), [(False, None), (True, None), (True, "w")])
+def test_cut_points_equal_a_dense_solver(spark, slope, weight):
+    frame = _scores(900)
+    rows = spark.createDataFrame(frame).repartition(4)
+    out = cutpoints.fit_thresholds(rows, ["fold"], 4, slope=slope, weight=weight).collect()
+    assert len(out) == 3
+    for r in out:
+        part = frame[frame["fold"] == r["fold"]]
+        theta, a = _dense_fit(part["s"].to_numpy(), part["y_true"].to_numpy(), part["w"].to_numpy() if weight else np.ones(len(part)), 4, slope)
+        assert np.allclose(r["theta"], theta, atol=1e-8) and abs(r["slope"] - a) < 1e-8
+        assert r["theta"] == sorted(r["theta"]) and r["n_rounds"] < 15
+        if slope:
+            assert np.allclose(theta, [-2, 0, 1.5], atol=0.6) and abs(a - 1.7) < 0.5
+
+
+def test_cut_points_stop_by_the_held_out_rows(spark):
+    frame = _scores(3000)
+    rows = spark.createDataFrame(frame)
+    (got,) = cutpoints.fit_thresholds(rows, [], 4, slope=True, held_out=0.2, by="id").collect()
+    from pyspark.sql import functions as F
+
+    kept = rows.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(41)), 11) >= int(0.2 * (1 << 53))).toPandas()
+    assert 0.17 < 1 - len(kept) / len(frame) < 0.23
+    theta, a = _dense_fit(kept["s"].to_numpy(), kept["y_true"].to_numpy(), np.ones(len(kept)), 4, True)
+    held = frame[~frame["id"].isin(kept["id"])]
+
+    def loss(theta, a):
+        z = a * (held["s"].to_numpy()[:, None] - np.array(theta))
+        return (np.logaddexp(0, z) - (held["y_true"].to_numpy()[:, None] > np.arange(1, 4)) * z).sum()
+
+    assert loss(got["theta"], got["slope"]) <= loss(theta, a) + 1e-9  # of the steps' parameters the best on held-out rows, so no worse than the last
+    assert np.allclose(got["theta"], theta, atol=0.2) and abs(got["slope"] - a) < 0.3
+
+
+def test_cut_points_of_odd_tables(spark):
+    rows = spark.createDataFrame([("a", 0.0, 1), ("a", 1.0, 1), ("b", float("nan"), 2), ("b", None, 2), ("c", 1.0, 1), ("c", 2.0, 3), ("c", 1.5, 3), ("c", 0.5, 1), ("c", 3.0, 1), (None, 1.0, 1), ("c", 1.0, 9)], "k string, s double, y_true int")
+    out = {r["k"]: r for r in cutpoints.fit_thresholds(rows, ["k"], 3, slope=True).collect()}
+    assert set(out) == {"a", "c"}
+    assert np.allclose(out["a"]["theta"], [0.5 + cutpoints.FAR] * 2) and out["a"]["slope"] == 1.0
+    assert np.isclose(out["c"]["theta"][0], out["c"]["theta"][1], atol=1e-6)  # no row of class 2: the two bounds are one
+    reverse = spark.createDataFrame([("r", -float(k), 1 + k // 10) for k in range(40)] + [("r", 5.0, 3), ("r", -39.0, 1)], "k string, s double, y_true int")
+    assert cutpoints.fit_thresholds(reverse, ["k"], 4, slope=True).first()["slope"] < cutpoints.LEAST_SLOPE + 1e-6  # scores that go the wrong way
+    assert cutpoints.fit_thresholds(rows.limit(0), ["k"], 3).count() == 0
+
+
+# splits
+
+
+def _uneven_groups(seed, groups=150):
+    rng = np.random.default_rng(seed)
+    sizes = rng.choice([1, 2, 3, 5, 9], groups, p=[0.3, 0.3, 0.2, 0.15, 0.05])
+    taste = rng.dirichlet(np.ones(4), groups)
+    return [(f"g{g}", int(y)) for g, n in enumerate(sizes) for y in rng.choice(4, n, p=taste[g]) + 1]
+
+
+def test_stratified_split_is_no_worse_than_greedy(spark):
+    """Ten seeded tables: the cost against a pass group by group, the most uneven first, written out here."""
+    ratios = []
+    for seed in range(10):
+        rows = _uneven_groups(seed)
+        found = {r["g"]: r["fold"] for r in splits.stratified_group_kfold(spark.createDataFrame(rows, "g string, y int"), "g", "y", 4, 5, seed).collect()}
+        table = pd.DataFrame(rows, columns=["g", "y"]).groupby(["g", "y"]).size().unstack(fill_value=0)
+        total = table.to_numpy().sum(axis=0)
+        assert set(found) == set(table.index) and set(found.values()) == set(range(5))
+        cost = lambda state: ((state / total - 0.2) ** 2).sum()  # noqa: B023, E731
+        mine = cost(np.stack([table[[found[g] == f for g in table.index]].to_numpy().sum(axis=0) for f in range(5)]))
+        state = np.zeros((5, 4))
+        for row in sorted(table.to_numpy().tolist(), key=lambda r: -np.std(r)):
+            grown = [cost(np.where(np.arange(5)[:, None] == f, state + row, state)) for f in range(5)]
+            state[int(np.argmin(grown))] += row
+        ratios.append(mine / cost(state))
+    assert max(ratios) <= 1 + 1e-9, ratios
+
+
+def test_polished_split_has_no_better_neighbour():
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(0, 6, (12, 3)).astype(float)
+    counts = rng.integers(1, 9, 12)
+    total = (vectors * counts[:, None]).sum(axis=0)
+    cost = lambda state: ((state / total - 1 / 3) ** 2).sum(axis=1)
+    start, first = splits._greedy(vectors, counts, 3, cost, np.arange(12))
+    given, last = splits._polished(vectors, start, cost)
+    assert (given.sum(axis=1) == counts).all() and (given >= 0).all() and last <= first
+    for i in range(12):
+        for f in range(3):
+            for g in range(3):
+                if given[i, f]:
+                    moved = given.copy()
+                    moved[i, f] -= 1
+                    moved[i, g] += 1
+                    assert cost(moved.T @ vectors).sum() >= last - 1e-12
+                    for j in range(12):
+                        if moved[j, g] and j != i:
+                            turned = moved.copy()
+                            turned[j, g] -= 1
+                            turned[j, f] += 1
+                            assert cost(turned.T @ vectors).sum() >= last - 1e-12
+
+
+def test_groups_are_numbered_across_hash_ranges(spark):
+    rows = spark.createDataFrame([(f"p{k}", "m" if k % 7 else None) for k in range(3000)], "p string, scanner string")
+    out = splits._numbered(rows, "p", ["scanner"], 5).toPandas()
+    for _, part in out.groupby("scanner", dropna=False):
+        assert sorted(part["__i"]) == list(range(len(part)))
+
+
+def test_groups_without_scanner_get_a_fold(spark):
+    rows = spark.createDataFrame([(f"g{k // 2}", 1 + k % 4, "m" if k % 6 < 4 else None) for k in range(60)], "g string, y int, scanner string")
+    assert splits.balanced_split(rows, "g", "y", "scanner", 4, 3, trials=4).count() == 30
+    assert splits.stratified_group_kfold(rows.limit(0), "g", "y", 4, 3).count() == 0

@@ -48,15 +48,6 @@ def test_two_gaussians_finds_its_peaks():
     assert np.allclose(mean, [0, 8], atol=0.3) and np.allclose(share, 0.5, atol=0.05)
 
 
-def test_ordered_logit_recovers_cuts():
-    rng = np.random.default_rng(2)
-    s = rng.normal(0, 2, 20000)
-    theta = np.array([-2.0, 0.0, 1.5])
-    y = 1 + (s[:, None] + rng.logistic(size=(20000, 1)) > theta).sum(axis=1)
-    found, a = numeric.ordered_logit(s, y, np.ones(20000), 4, slope=True)
-    assert np.allclose(found, theta, atol=0.12) and abs(a - 1) < 0.08
-
-
 def test_ids_and_grades(spark):
     rows = spark.createDataFrame([("12.0",), (" 012 ",), ("7",), (None,)], "id string")
     assert [r[0] for r in rows.select(keys.norm_id(F.col("id"))).collect()] == ["12", "012", "7", None]
