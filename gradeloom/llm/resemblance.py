@@ -4,7 +4,9 @@ Texts of resemblance r share a given band of ROWS minima with probability r^ROWS
 Candidates are verified on their whole shingle sets. Within a band key of more than CROWD texts all are compared with two of them first,
 which links whole groups of copies. Where that leaves a key's texts in several components, their pairs across components are found
 by common rare shingles: every shingle has a place in one order, rare ones first, and two texts of the resemblance share one among the
-first of both. That is exact, so a crowded key loses no link, and no list of all its pairs is made.
+first of both. That is exact, so a crowded key loses no link. Pairs that cannot reach the resemblance by their sizes, by what follows
+the shingle or by the bits of both sets are left out where they meet; and of a text's pairs with one component the best is
+verified first, so that the rest is asked only of components that are still apart.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCKS, blocks, rows_in, saved, tree_sum
@@ -23,8 +25,10 @@ from .components import components
 SHINGLE = 5
 RESEMBLANCE = 0.8
 BANDS, ROWS = 20, 4
-#: Texts of a key whose pairs are listed; and of a shingle whose pairs are compared in one task.
-CROWD, TILE = 32, 2048
+#: Texts of a key whose pairs are listed; those of a shingle that are compared with as many others at once; and rows of such tiles in a task.
+CROWD, TILE, TASK_ROWS = 32, 2048, 40_000
+#: Words of 64 bits in which a set's shingles are marked.
+MARKS = 64
 #: Buckets of the shingles' counts, which make the order.
 BUCKETS = 1 << 21
 #: Candidates of one text that are verified together.
@@ -109,17 +113,29 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return with_set(with_set(pairs, "a", "x"), "b", "y").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
 
 
+def rooted(rows: DataFrame, links: DataFrame, *more: str) -> DataFrame:
+    """(more, node, root): `rows` with the component of their node by `links`."""
+    roots = components(links).withColumnRenamed("node", "__node")
+    return rows.join(roots, F.col("node") == F.col("__node"), "left").select(*more, "node", F.coalesce("root", "node").alias("root"))
+
+
 def unresolved(bands: DataFrame, busy: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) of nodes in a key of more than CROWD whose nodes `links` leave in several components."""
-    roots = components(links).withColumnRenamed("node", "__node")
     members = bands.join(busy.where(F.col("n") > CROWD).select("key"), "key")
-    members = saved(members.join(roots, F.col("node") == F.col("__node"), "left").select("key", "node", F.coalesce("root", "node").alias("root")), "crowds")
+    members = saved(rooted(members, links, "key"), "crowds")
     split = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     return members.join(split, "key", "left_semi").select("node", "root").distinct()
 
 
+def _marked(x: np.ndarray) -> bytes:
+    """Bits of a set, one for each hash value of its shingles that occurs."""
+    bits = np.zeros(64 * MARKS, bool)
+    bits[((x >> np.uint64(32)) % np.uint64(64 * MARKS)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def rare_first(sets: DataFrame, least: float) -> DataFrame:
-    """(shingle, node, root, size, pos): of each set (node, root, set) the shingles that come first, as many as must hold one that any set of the resemblance shares.
+    """(shingle, node, size, pos, marks): of each set (node, set) the shingles that come first, as many as must hold one that any set of the resemblance shares.
 
     The order is by counts of hash buckets over all these sets, rare ones first, then by the shingle itself; any one order gives right results.
     """
@@ -136,54 +152,60 @@ def rare_first(sets: DataFrame, least: float) -> DataFrame:
 
     def first(frames):
         for frame in frames:
-            cut, sizes = [], []
-            for packed in frame["set"]:
-                x = np.frombuffer(packed, np.uint64)
-                order = np.lexsort((x, shared.value[(x % np.uint64(BUCKETS)).astype(np.int64)]))
-                cut.append(x[order[: len(x) - int(np.ceil(least * len(x) - SLACK)) + 1]])
-                sizes.append(len(x))
-            n = np.array([len(c) for c in cut])
-            if len(n):
+            for a in range(0, len(frame), 500):
+                node, packed = frame["node"].to_numpy()[a : a + 500], [np.frombuffer(x, np.uint64) for x in frame["set"].iloc[a : a + 500]]
+                cut = [x[np.lexsort((x, shared.value[(x % np.uint64(BUCKETS)).astype(np.int64)]))[: len(x) - int(np.ceil(least * len(x) - SLACK)) + 1]] for x in packed]
+                n = np.array([len(c) for c in cut])
+                of = np.repeat(np.arange(len(n)), n)
+                marks = np.array([_marked(x) for x in packed], object)
                 pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"shingle": np.concatenate(cut).view(np.int64), "node": np.repeat(frame["node"].to_numpy(), n), "root": np.repeat(frame["root"].to_numpy(), n), "size": np.repeat(sizes, n), "pos": pos})
+                yield pd.DataFrame({"shingle": np.concatenate(cut).view(np.int64), "node": node[of], "size": np.array([len(x) for x in packed])[of], "pos": pos, "marks": marks[of]})
 
-    return sets.mapInPandas(first, "shingle long, node long, root long, size int, pos int")
+    return sets.mapInPandas(first, "shingle long, node long, size int, pos int, marks binary")
 
 
-def _may_reach(a: Column, b: Column, least: float) -> Column:
-    """May two sets that first meet at this shingle share enough: no more of them is common than what follows it in both."""
-    rest = F.least(a["size"] - a["pos"], b["size"] - b["pos"])
-    enough = (a["size"] + b["size"]) * (least / (1 + least)) - SLACK
-    return (a["root"] != b["root"]) & (F.least(a["size"], b["size"]) >= least * F.greatest(a["size"], b["size"]) - SLACK) & (rest >= enough)
+def _meet(left: pd.DataFrame, right: pd.DataFrame, least: float, best: bool):
+    """Pairs (a, b) of rows of one shingle and different roots that may reach `least`; if `best`, of each left node and right root the likeliest.
 
-
-def pairs_across(rows: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b), a < b, of different roots that may reach `least`; rows: shingle, node, root, size, pos (of `rare_first`)."""
-    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle", "n")
-    held = saved(held, "shingles")
-    one = F.struct("node", "root", "size", "pos")
-    few = rows.join(held.where(F.col("n") <= CROWD).select("shingle"), "shingle").select("shingle", one.alias("a"))
-    few = few.join(few.select("shingle", F.col("a").alias("b")), "shingle").where((F.col("a.node") < F.col("b.node")) & _may_reach(F.col("a"), F.col("b"), least))
-    # a longer list goes in pairs of tiles of about TILE
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    many = rows.join(held.where(F.col("n") > CROWD).select("shingle", tiles.alias("tiles")), "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    many = many.select("shingle", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "node", "root", "size", "pos")
+    No more is common than what follows the shingle in both, nor than what either set has whose bit the other has too.
+    """
+    node, root, size, pos = (right[c].to_numpy() for c in ("node", "root", "size", "pos"))
+    marks = np.frombuffer(b"".join(right["marks"]), np.uint64).reshape(-1, MARKS)
+    for n, r, s, p, m in zip(left["node"], left["root"], left["size"], left["pos"], left["marks"], strict=True):
+        need = (size + s) * (least / (1 + least)) - SLACK
+        at = np.flatnonzero((root != r) & (np.minimum(size, s) >= least * np.maximum(size, s) - SLACK) & (np.minimum(size - pos, s - p) >= need))
+        if not len(at):
+            continue
+        mine, other = np.frombuffer(m, np.uint64), marks[at]
+        most = np.minimum(s - np.bitwise_count(mine & ~other).sum(axis=1, dtype=np.int64), size[at] - np.bitwise_count(other & ~mine).sum(axis=1, dtype=np.int64))
+        may = most >= need[at]
+        at, over = at[may], (most - need[at])[may]
+        if best and len(at):
+            order = np.lexsort((node[at], -over, root[at]))
+            at = at[order][np.flatnonzero(np.diff(root[at][order], prepend=root[at][order][0] - 1))]
+        for k in at:
+            yield (n, node[k]) if n < node[k] else (node[k], n)
+
+
+def pairs_across(rows: DataFrame, roots: DataFrame, least: float, best: bool) -> DataFrame:
+    """Distinct (a, b), a < b, of different roots that may reach `least`; rows: of `rare_first`; roots: (node, root)."""
+    rows = saved(rows.join(roots, "node"), "rooted")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    held = saved(held.select("shingle", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), "n"), "shingles")
+    total = held.agg(F.sum(F.col("n") * F.col("tiles"))).first()[0] or 0
+    # a list longer than TILE goes in pairs of tiles; short ones share a task
+    met = rows.join(held.drop("n"), "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    group = F.pmod(F.xxhash64("shingle"), F.lit(total // TASK_ROWS + 1)).alias("group")
+    met = met.select(group, "shingle", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "node", "root", "size", "pos", "marks")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = (frame[frame["tile"] == frame[t].iloc[0]] for t in ("one", "two"))
-        node, root, size, pos = (right[c].to_numpy() for c in ("node", "root", "size", "pos"))
-        a, b = [], []
-        for n, r, s, p in zip(left["node"], left["root"], left["size"], left["pos"], strict=True):
-            near = (root != r) & (np.minimum(size - pos, s - p) >= (size + s) * (least / (1 + least)) - SLACK) & (np.minimum(size, s) >= least * np.maximum(size, s) - SLACK)
-            found = node[near]
-            a.append(np.full(len(found), n))
-            b.append(found)
-        a, b = np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        found = set()
+        for _, part in frame.groupby("shingle"):
+            found.update(_meet(part[part["tile"] == part["one"].iloc[0]], part[part["tile"] == part["two"].iloc[0]], least, best))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    found = many.groupBy("shingle", "one", "two").applyInPandas(compare, "a long, b long")
-    return few.select("a.node", "b.node").toDF("a", "b").union(found).distinct()
+    return met.groupBy("group", "one", "two").applyInPandas(compare, "a long, b long").distinct()
 
 
 def pairs(docs: DataFrame, firsts: DataFrame, *, least: float = RESEMBLANCE) -> DataFrame:
@@ -211,5 +233,9 @@ def pairs(docs: DataFrame, firsts: DataFrame, *, least: float = RESEMBLANCE) ->
     open_nodes = saved(unresolved(bands, busy, links), "unresolved")
     if open_nodes.isEmpty():
         return links
-    rows = saved(rare_first(sets.join(open_nodes, "node"), least), "rare-shingles")
-    return links.union(verified(saved(pairs_across(rows, least), "across"), sets, least))
+    rows = saved(rare_first(sets.join(open_nodes.select("node"), "node"), least), "rare-shingles")
+    near = saved(verified(saved(pairs_across(rows, open_nodes, least, True), "across"), sets, least), "links")
+    links = links.union(near)
+    if not near.isEmpty():  # else the roots are those of the first time
+        open_nodes = saved(rooted(open_nodes.select("node"), links), "unresolved")
+    return links.union(verified(saved(pairs_across(rows, open_nodes, least, False), "across"), sets, least))
