@@ -8,8 +8,9 @@ attention's own weights (which subwords to look at, by content and by distance,
 window of every training text. Windows overlap, and each subword is scored in one window only.
 
 Beside it goes a base: add-one shares of the training words, where all unknown words are one kind more. The score's word
-probability is MIX times the attention's and the rest the base's; over the known words and that one kind it sums to no more than 1,
-as an unknown word's spelling is no likelier than its kind. All counts and coordinates cover all training texts.
+probability is MIX times the attention's and the rest the base's, which gives an unknown word its kind's share times the spelling's
+probability, as the attention spells it; so over all words the probabilities sum to no more than 1. All counts and coordinates cover
+all training texts. Training goes by blocks of texts that follow from the texts alone, so the model doesn't depend on partitions.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ WIDTH = 16
 CONTEXT, STRIDE = 32, 24
 #: One part in FIRST_ROUND of the training texts is the first round's, the others the second's. After a round, weights are averaged.
 FIRST_ROUND = 4
+#: Subwords (about) of a block of training texts, which one task learns from in one go.
+BLOCK_IDS = 4_000_000
 BATCH = 128
 #: Share of the attention in a word's probability; the rest goes to the word's own count.
 MIX = 0.7
@@ -418,18 +421,19 @@ def log_probabilities(net: Attention, units: Units, ids: np.ndarray, sizes: np.n
     return np.log10(np.maximum(chosen.take(place), 1e-37)).astype(np.float64) + inner, np.log10(np.maximum(beginning.take(place), 1e-37))
 
 
-def gradients(net: Attention, units: Units, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the scored places of the windows, and its gradient."""
+def gradients(net: Attention, units: Units, inputs: np.ndarray, targets: np.ndarray, times: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the scored places of the windows, each window counted `times`, and its gradient."""
     w, n = net.weights, len(inputs)
     out, (values, keys, last, weight, whole, seen) = _forward(net, units, inputs)
     width = seen.shape[1]
     wanted = targets.ravel()
     rows = np.flatnonzero(wanted >= 0)
     total = out @ np.ones(out.shape[1], out.dtype)
-    loss = -float(np.log(out[rows, wanted[rows]] / total[rows]).mean()) if len(rows) else 0.0
-    each = 1 / max(1, len(rows))
-    out *= ((wanted >= 0) * each / total).astype(out.dtype)[:, None]
-    out[rows, wanted[rows]] -= each
+    each = (wanted >= 0) * (1.0 if times is None else np.repeat(times, STRIDE))
+    each = each / max(1.0, each.sum())
+    loss = -float((each[rows] * np.log(out[rows, wanted[rows]] / total[rows])).sum())
+    out *= (each / total).astype(out.dtype)[:, None]
+    out[rows, wanted[rows]] -= each[rows].astype(out.dtype)
     g = {"head": seen.T @ out}
     d_seen = out @ np.ascontiguousarray(w["head"].T)
     # of all places the mean goes: their first coordinate is 1, and 0 before the text, where nothing is left
@@ -457,35 +461,48 @@ class Adam:
 
 
 def train(texts: DataFrame, units: Units, batch: int = BATCH) -> Attention:
-    """Attention weights from the ids (data) of all training texts. Each of two rounds takes its part of the texts; every partition
-    makes one pass over all windows of its own, mixed within some thousands, and the weights are averaged by windows."""
+    """Attention weights from the ids (data) of all training texts. Each of two rounds takes its part of the texts.
+
+    Equal texts are one with their number. A text's hash deals it to a block of about BLOCK_IDS subwords; a block is one pass over all its
+    windows, mixed within some thousands, and the blocks' weights are averaged by windows. So the result is that of any partitioning.
+    """
     spark = texts.sparkSession
     net = Attention.new(units.count)
     size = len(net.flat()) + 1
     part = F.pmod(F.xxhash64("data", F.lit(31)), F.lit(FIRST_ROUND))
+    alike = saved(texts.groupBy("data").agg(F.count(F.lit(1)).alias("n")), "training-texts")
     for chosen in (part == 0, part != 0):
-        shared = spark.sparkContext.broadcast((net, units))
-
-        def learn(frames, shared=shared):
-            start, units = shared.value
-            mine, adam = Attention(dict(start.weights)), Adam()
-            rng, seen = np.random.default_rng(5), 0
-            for frame in _parts(frames, 2_000_000):
-                x, y, _ = windows(units, *_joined(frame["data"]))
-                mixed = rng.permutation(len(x))
-                for i in range(0, len(x), batch):
-                    some = mixed[i : i + batch]
-                    adam.update(mine, gradients(mine, units, x[some], y[some])[1])
-                seen += len(x)
-            if seen:
-                yield from blocks(0, np.concatenate(([seen], mine.flat().astype(np.float64) * seen)))
-
-        (flat,) = tree_sum(texts.where(chosen).select("data").mapInPandas(learn, BLOCKS), [size])
+        mine = alike.where(chosen)
+        many = (mine.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // 2 // BLOCK_IDS + 1
+        learn = _learner(spark.sparkContext.broadcast((net, units)), batch)
+        dealt = mine.groupBy(F.pmod(F.xxhash64("data", F.lit(37)), F.lit(many)).alias("block"))
+        (flat,) = tree_sum(dealt.applyInPandas(learn, BLOCKS), [size])
         if flat[0]:
             net = net.filled(flat[1:] / flat[0])
     return net
 
 
+def _learner(shared, batch: int):
+    """What a task makes of a block of texts (data, n): its weights times its number of windows, as rows of BLOCKS."""
+
+    def learn(block: pd.DataFrame) -> pd.DataFrame:
+        start, units = shared.value
+        mine, adam = Attention(dict(start.weights)), Adam()
+        rng, seen = np.random.default_rng(5), 0.0
+        for frame in _parts([block.sort_values("data")], 2_000_000):
+            ids, sizes = _joined(frame["data"])
+            x, y, _ = windows(units, ids, sizes)
+            times = np.repeat(frame["n"].to_numpy(float), -(-sizes // STRIDE))
+            mixed = rng.permutation(len(x))
+            for i in range(0, len(x), batch):
+                some = mixed[i : i + batch]
+                adam.update(mine, gradients(mine, units, x[some], y[some], times[some])[1])
+            seen += times.sum()
+        return pd.concat(blocks(0, np.concatenate(([seen], mine.flat().astype(np.float64) * seen))))
+
+    return learn
+
+
 def word_keys(ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Words of at most four subwords as one number each, no two alike; 0 for longer ones."""
     out = np.zeros(len(begin), np.uint64)
@@ -596,8 +613,9 @@ def fit_and_score(
     schema = "key long, word binary, id string, held boolean, n_tokens long, n_known long, part double, score double, alone double"
     scored = texts.mapInPandas(score, schema)
     joined = scored.join(counts.withColumnRenamed("data", "word"), "word", "left")
-    # a text's own row holds its sum; a rare word's row the log probability that the attention gives it
-    rare = F.log10(F.lit(mix) * F.pow(F.lit(10.0), "score") + F.lit((1 - mix) / whole) * (F.coalesce("n", F.lit(0)) + 1))
+    # a text's own row holds its sum; a rare word's row the log probability that the attention gives it, which spells an unknown word too
+    spelled = F.pow(F.lit(10.0), "score")
+    rare = F.log10(F.lit(mix) * spelled + F.lit((1 - mix) / whole) * F.coalesce(F.col("n") + 1, spelled))
     summed = joined.groupBy("key").agg(
         F.max("id").alias("id"),
         F.max("held").alias("held_out"),

@@ -518,14 +518,15 @@ def test_lm_word_keys_are_exact():
 
 
 def test_lm_beats_its_base_and_its_ablation(spark, monkeypatch):
-    """Held-out log10 scores a token: over the unigram base, and over the same model with the attention untrained."""
+    """Held-out log10 scores a token: over the word counts alone, once these spell unknown words too, and over the same model with the attention untrained."""
     sf = "/root/testdata/sf0.01"
 
     def held(out):
         sums = out.where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score"), F.sum("attention_score")).first()
         return [sums[i] / sums[0] for i in (1, 2, 3)]
 
-    base, score, alone = held(QUERIES["op7_lm_scoring"](spark, sf))
+    _, score, alone = held(QUERIES["op7_lm_scoring"](spark, sf))
+    _, base, _ = held(lm.fit_and_score(spark.read.parquet(f"{sf}/documents.parquet"), mix=0.0))
     monkeypatch.setattr(lm, "train", lambda texts, units: lm.Attention.new(units.count))
     _, no_score, no_alone = held(QUERIES["op7_lm_scoring"](spark, sf))
     assert score > base + 0.1 and score > no_score + 0.08 and alone > no_alone + 0.15
@@ -551,7 +552,7 @@ def test_lm_scores_word_by_word(spark, monkeypatch, docs):
         for w, n in zip(tokens, sizes.tolist(), strict=True):
             one = logp[at : at + n].sum() - begin[at] + (begin[at + n] if at + n < len(ids) else 0)
             assert begins[ids[at]] and not begins[ids[at + 1 : at + n]].any()
-            score += math.log10(lm.MIX * 10**one + (1 - lm.MIX) * (c[w] + 1) / whole)
+            score += math.log10(lm.MIX * 10**one + (1 - lm.MIX) * (c[w] + 1 if c[w] else 10**one) / whole)
             alone += one
             at += n
         assert abs(got[k]["score"] - score) < 1e-4 * len(tokens) and abs(got[k]["attention_score"] - alone) < 1e-4 * len(tokens)
@@ -842,6 +843,26 @@ def test_resemblance_links_equal_all_pairs(spark, monkeypatch):
     assert got <= near and classes(got) == classes(near)
 
 
+def test_lm_unknown_words_share_their_kind(spark):
+    """The probabilities of many one-word texts of unknown words, and of the known ones, sum to no more than 1."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2][:400]
+    known = "some words of a text that is learned from"
+    rows = frame(spark, [known] * 3 + [f"x{i}q" for i in ids] + known.split(), ids=[1, 3, 4, *ids, *range(10_000, 10_000 + 9)])
+    out = lm.fit_and_score(rows.where("doc_id < 10000 OR crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2")).where("held_out AND n_tokens = 2").collect()
+    assert len(out) > 350 and all(r["n_known"] in (1, 2) for r in out)
+    assert sum(10 ** r["score"] for r in out) <= 1 and sum(10 ** r["attention_score"] for r in out) <= 1
+    assert sum(10 ** r["base_score"] for r in out) > 1  # the base gives the kind's share to each
+
+
+def test_lm_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_IDS", 2000)  # several blocks
+    some = docs.limit(80).union(docs.limit(10))
+    one, many = ({(r["doc_id"], r["n_tokens"]): r for r in lm.fit_and_score(some.repartition(n)).collect()} for n in (1, 9))
+    assert one.keys() == many.keys()
+    for key, r in one.items():
+        assert abs(r["score"] - many[key]["score"]) < 1e-6 * r["n_tokens"] and abs(r["attention_score"] - many[key]["attention_score"]) < 1e-6 * r["n_tokens"]
+
+
 def test_lm_counts_pairs_across_words(spark):
     """Every text alternates two words: what follows each is certain, though both are as frequent."""
     _, _, units = _learned(frame(spark, ["cat dog " * 50] * 4))
