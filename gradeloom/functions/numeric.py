@@ -120,21 +120,31 @@ def elastic_net(gram: np.ndarray, moment: np.ndarray, penalty: float, l1_ratio:
     return b
 
 
-def two_gaussians(x: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, standard deviations and shares of a two-component mixture, lower mean first; EM from the quartiles."""
+def two_gaussians(x: np.ndarray, n: np.ndarray | None = None, inner: np.ndarray | None = None, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, standard deviations and shares of a two-component mixture, lower mean first; EM from the quartiles.
+
+    x: ascending if they are means of bins with `n` values each and a variance `inner` inside.
+    """
     x = np.asarray(x, float)
-    mean = np.percentile(x, [25, 75])
+    if n is None:
+        x, n = np.sort(x), np.ones(len(x))
+    inner = np.zeros(len(x)) if inner is None else inner
+    upto, total = np.cumsum(n), n.sum()
+    place = np.array([0.25, 0.75]) * (total - 1)
+    at = lambda i: x[np.searchsorted(upto, i, side="right")]
+    mean = at(np.floor(place)) + (place - np.floor(place)) * (at(np.ceil(place)) - at(np.floor(place)))
     if mean[0] == mean[1]:
         mean = mean + np.array([-1e-3, 1e-3])
-    sd, share = np.full(2, max(float(x.std()), 1e-3)), np.full(2, 0.5)
+    middle = (n * x).sum() / total
+    sd, share = np.full(2, max(float(np.sqrt((n * ((x - middle) ** 2 + inner)).sum() / total)), 1e-3)), np.full(2, 0.5)
     for _ in range(rounds):
         log = np.log(share) - np.log(sd) - (x[:, None] - mean) ** 2 / (2 * sd**2)
         r = np.exp(log - log.max(axis=1, keepdims=True))
-        r /= r.sum(axis=1, keepdims=True)
-        n = r.sum(axis=0) + 1e-12
-        new = (r * x[:, None]).sum(axis=0) / n
-        sd = np.sqrt((r * (x[:, None] - new) ** 2).sum(axis=0) / n + 1e-6)
-        share, moved, mean = n / n.sum(), np.abs(new - mean).max(), new
+        r *= (n / r.sum(axis=1))[:, None]
+        each = r.sum(axis=0) + 1e-12
+        new = (r * x[:, None]).sum(axis=0) / each
+        sd = np.sqrt((r * ((x[:, None] - new) ** 2 + inner[:, None])).sum(axis=0) / each + 1e-6)
+        share, moved, mean = each / each.sum(), np.abs(new - mean).max(), new
         if moved < 1e-10:
             break
     order = np.argsort(mean)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
 from .ranks import median, percentiles
 
 
@@ -119,12 +120,19 @@ def cut_points(rows: DataFrame, keys: list[str], x: str, g: str, quantiles: list
 
 
 def partial_dependence(rows: DataFrame, feature: int, weights: list[float], intercept: float, by: str, most: int = 200) -> DataFrame:
-    """(by, x, effect): the linear prediction with one feature over its distinct (or `most` quantile) values and the others at their medians, less that with all at the medians."""
-    p = len(weights)
-    table = rows.groupBy(by).agg(F.array(*[F.median(F.col("x")[i]) for i in range(p)]).alias("m"), F.percentile(F.col("x")[feature], F.lit([i / (most - 1) for i in range(most)])).alias("q"), F.count_distinct(F.col("x")[feature]).alias("d"))
-    few = rows.select(by, F.col("x")[feature].alias("v")).groupBy(by).agg(F.count_distinct("v").alias("d")).where(F.col("d") <= most).select(by)
-    distinct = rows.join(few, by, "left_semi").groupBy(by).agg(F.collect_set(F.col("x")[feature]).alias("v"))
-    grid = table.join(distinct, by, "left").select(by, "m", F.explode(F.array_sort(F.coalesce("v", F.array_distinct("q")))).alias("x"))
+    """(by, x, effect): the linear prediction with one feature over its distinct (or `most` quantile) values and the others at their medians, less that with all at the medians.
+
+    rows: by, x array. Medians and quantiles come from counts of distinct values in ranges; null values do not count.
+    """
+    value = F.col("x")[feature].cast("double")
+    each = rows.select(by, F.posexplode("x").alias("i", "v"))
+    medians = median(each, [by, "i"], "v").groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "median"))), lambda c: c["median"]).alias("m"))
+    varied = settled(rows.select(by, value.alias("v")).where(F.col("v").isNotNull()))
+    seen = varied.distinct()
+    few = seen.groupBy(by).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= most).select(by)  # these have `most` values at most
+    listed = seen.join(few, by, "left_semi").select(by, F.col("v").alias("x"))
+    many = percentiles(varied.join(few, by, "left_anti"), [by], "v", [i / (most - 1) for i in range(most)])
+    grid = listed.union(many.select(by, F.explode(F.array_distinct("q")).alias("x"))).join(medians, by)
     predict = lambda at: sum((F.col("m")[i] * float(w) for i, w in enumerate(weights) if i != feature), F.lit(float(intercept))) + at * float(weights[feature])
     return grid.select(by, "x", (predict(F.col("x")) - predict(F.col("m")[feature])).alias("effect"))
 

@@ -66,8 +66,8 @@ _PDP = "v AS (SELECT vec_id, label % 3 AS task, embedding[1]::DOUBLE AS a, embed
 @query(f"WITH {_PDP}, m AS (SELECT task, median(a) AS ma, unnest(list_distinct(quantile_cont(a, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS x FROM v GROUP BY task) SELECT CAST(task AS INTEGER) AS task, {r6('x', 'x')}, {r6('2.0 * (x - ma)', 'effect')} FROM m")
 def x07_partial_dependence(spark, sf_dir) -> DataFrame:
     e = inputs.table(spark, sf_dir, "embeddings")
-    rows = e.select((F.col("label") % 3).cast("int").alias("task"), F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double")).alias("x"))
-    return explanation.partial_dependence(rows, 0, [2.0, -1.0], 0.5, "task", 5)
+    rows = e.select((F.col("label") % 3).cast("int").alias("task"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return explanation.partial_dependence(rows, 0, [2.0, *[(i % 5 - 2) / 2 for i in range(1, 64)]], 0.5, "task", 5)
 
 
 @query(f"""WITH {CONTRIBUTIONS}, c AS (SELECT feature, round(x, 1) AS x, avg(contrib * CASE WHEN feature % 2 = 0 THEN 1 ELSE -1 END) AS y FROM contrib GROUP BY ALL), s AS (SELECT *, y - lag(y) OVER (PARTITION BY feature ORDER BY x) AS d FROM c)
@@ -78,8 +78,8 @@ def x08_monotone_steps(spark, sf_dir) -> DataFrame:
     return explanation.monotone_steps(curve, ["feature"], 1, -0.5)
 
 
-@query(f"WITH {CONTRIBUTIONS} SELECT sample_id, 'f' || (feature % 16) AS feature, {r6('sum(contrib)', 'contrib')} FROM contrib WHERE feature < 48 GROUP BY sample_id, 'f' || (feature % 16)")
+@query(f"WITH {CONTRIBUTIONS} SELECT sample_id, 'f' || (feature % 16) AS feature, {r6('sum(contrib)', 'contrib')} FROM contrib GROUP BY sample_id, 'f' || (feature % 16)")
 def p29_with_interactions(spark, sf_dir) -> DataFrame:
     rows = inputs.contributions(spark, sf_dir).select("sample_id", "feature", "contrib")
-    terms = spark.range(48).select(F.col("id").cast("int").alias("term"), F.concat(F.lit("f"), (F.col("id") % 16).cast("string")).alias("feature"))
+    terms = spark.range(64).select(F.col("id").cast("int").alias("term"), F.concat(F.lit("f"), (F.col("id") % 16).cast("string")).alias("feature"))
     return explanation.with_interactions(rows, terms)

@@ -23,7 +23,7 @@ def m01_enet_path(spark, sf_dir) -> DataFrame:
     p = len(NAMES)
     cell = linear.group_moments(_rows(spark, sf_dir).withColumn("all", F.lit(0)), ["all"], p).first()
     gram, moment, _, _ = linear.centred(linear.Moments.unpacked(cell["moments"], p))
-    penalties = linear.lambda_max(gram, moment, 0.5, np.ones(p)) * 0.01 ** (np.arange(10) / 9)
+    penalties = linear.lambda_max(gram, moment, 0.5, np.ones(p)) * 0.001 ** (np.arange(100) / 99)
     path = linear.enet_path(gram, moment, 0.5, penalties)
     rows = [(i, float(a), n, float(b)) for i, (a, bs) in enumerate(zip(penalties, path, strict=True)) for n, b in zip(NAMES, bs, strict=True)]
     return spark.createDataFrame(rows, "step int, penalty double, feature string, beta double")
@@ -54,7 +54,7 @@ def p28_design_path(spark, sf_dir) -> DataFrame:
     p = len(NAMES)
     rows = _rows(spark, sf_dir).withColumn("x", linear.design(F.col("x"), F.col("segment"), levels, "L3-L4")).withColumn("w", F.lit(1.0))
     factors = linear.penalty_factors(p, len(levels))
-    return linear.grid_search(rows, "fold", len(factors), CLASSES, [0.5], n=10, factors=factors)
+    return linear.grid_search(rows, "fold", len(factors), CLASSES, [0.2, 0.5, 0.9], factors=factors)
 
 
 _DUMMY = "CASE WHEN segment = {k} THEN 1.0 ELSE 0.0 END"

@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from bootstrap_draws import draws_by_cluster
 
-from gradeloom.functions import keys
-from gradeloom.operators import bootstrap, cutpoints, gram, harmonize, interactions, joins, metrics, ranks, selection, splits, thresholds
+from gradeloom.functions import keys, numeric
+from gradeloom.operators import bootstrap, cutpoints, explanation, gram, harmonize, interactions, joins, metrics, ranks, selection, splits, thresholds, voxels
 
 
 def test_null_grades_and_series(spark):
@@ -397,3 +397,73 @@ def test_groups_without_scanner_get_a_fold(spark):
     rows = spark.createDataFrame([(f"g{k // 2}", 1 + k % 4, "m" if k % 6 < 4 else None) for k in range(60)], "g string, y int, scanner string")
     assert splits.balanced_split(rows, "g", "y", "scanner", 4, 3, trials=4).count() == 30
     assert splits.stratified_group_kfold(rows.limit(0), "g", "y", 4, 3).count() == 0
+
+
+# images and curves
+
+
+def _flooded(mask):
+    """Components by flood fill, in reading order."""
+    out, n = np.zeros(mask.shape, int), 0
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        if out[y, x]:
+            continue
+        n += 1
+        todo = [(y, x)]
+        out[y, x] = n
+        while todo:
+            a, b = todo.pop()
+            for i in range(max(a - 1, 0), min(a + 2, mask.shape[0])):
+                for j in range(max(b - 1, 0), min(b + 2, mask.shape[1])):
+                    if mask[i, j] and not out[i, j]:
+                        out[i, j] = n
+                        todo.append((i, j))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.35, 0.5, 0.9, 1.0])
+def test_components_equal_a_flood_fill(share):
+    rng = np.random.default_rng(int(share * 10))
+    for shape in ((1, 1), (1, 30), (30, 1), (17, 23), (40, 40)):
+        mask = rng.random(shape) < share
+        assert (voxels.components8(mask) == _flooded(mask)).all()
+
+
+def test_components_of_long_paths():
+    spiral, comb = np.zeros((41, 41), bool), np.zeros((20, 61), bool)
+    for k in range(0, 20, 2):
+        spiral[k, k : 41 - k] = spiral[k : 41 - k, 40 - k] = spiral[40 - k, k : 41 - k] = True
+        spiral[k + 2 : 41 - k, k] = True
+    comb[:, ::2] = True
+    comb[-1] = True
+    for mask in (spiral, spiral.T, comb, comb[::-1], np.eye(33, dtype=bool), np.indices((20, 20)).sum(axis=0) % 2 == 0):
+        assert (voxels.components8(mask) == _flooded(mask)).all()
+
+
+def test_mixture_peaks_equal_the_fit_on_pixels(spark):
+    """Regions of many partitions, of distinct and of repeated intensities, of one value and with nulls."""
+    rng = np.random.default_rng(7)
+    regions = {1: np.concatenate([rng.normal(100, 9, 3000), rng.normal(160, 14, 2000)]), 2: rng.integers(0, 40, 900).astype(float), 3: np.full(20, 5.0), 4: rng.normal(0, 1, 7) + 1e6}
+    rows = [(case, 0, 7, float(v)) for case, x in regions.items() for v in x] + [(1, 0, 7, None), (1, 0, 8, 3.0)]
+    random.Random(1).shuffle(rows)
+    out = {r["case_id"]: r for r in voxels.mixture_peaks(spark.createDataFrame(rows, "case_id long, z int, label int, intensity double").repartition(6), [7]).collect()}
+    assert set(out) == set(regions)
+    for case, x in regions.items():
+        mean, sd, _ = numeric.two_gaussians(x)
+        scale = max(1.0, np.ptp(x))
+        assert np.allclose([out[case]["low"], out[case]["high"]], mean, rtol=0, atol=1e-6 * scale)
+        assert np.isclose(out[case]["index"], (mean[1] - mean[0]) / (sd.sum() + 1e-8), rtol=1e-5)
+
+
+def test_partial_dependence_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "FEW", 10)  # ranges
+    rng = np.random.default_rng(5)
+    x, by = rng.normal(size=(300, 3)), rng.integers(0, 2, 300)
+    x[by == 0, 1] = rng.integers(0, 4, (by == 0).sum())
+    rows = spark.createDataFrame([(int(b), v.tolist()) for b, v in zip(by, x, strict=True)] + [(0, [None, None, 1.0])], "b int, x array<double>")
+    got = explanation.partial_dependence(rows, 1, [1.0, -2.0, 0.5], 3.0, "b", 9).collect()
+    for b in (0, 1):
+        values = x[by == b, 1]
+        grid = np.unique(values) if b == 0 else np.quantile(values, np.arange(9) / 8)
+        mine = sorted((r["x"], r["effect"]) for r in got if r["b"] == b)
+        assert np.allclose([m[0] for m in mine], grid) and np.allclose([m[1] for m in mine], -2.0 * (grid - np.median(values)))
