@@ -81,6 +81,38 @@ def cells(matrix: DataFrame, p: int, tile: int | None = None) -> DataFrame:
     return matrix.mapInPandas(run, "i int, j int, x double")
 
 
+def over(matrix: DataFrame, p: int, threshold: float, tile: int | None = None) -> DataFrame:
+    """(i, j, x) for i < j with |x| over the threshold; no other cell becomes a row."""
+    tile = tile or TILE
+
+    def run(frames):
+        for frame in frames:
+            for i, j, packed in zip(frame["i"], frame["j"], frame["cells"], strict=True):
+                x = np.frombuffer(packed).reshape(_shape(i, j, p, tile))
+                a, b = np.nonzero(np.abs(np.triu(x, 1) if i == j else x) > threshold)
+                yield pd.DataFrame({"i": a + i * tile, "j": b + j * tile, "x": x[a, b]})
+
+    return matrix.mapInPandas(run, "i int, j int, x double")
+
+
+def extremes(matrix: DataFrame, p: int, threshold: float, tile: int | None = None) -> DataFrame:
+    """(i, most, n): of each feature the largest |x| with another, and with how many it is over the threshold; a row a feature and tile is added up."""
+    tile = tile or TILE
+
+    def run(frames):
+        for frame in frames:
+            for i, j, packed in zip(frame["i"], frame["j"], frame["cells"], strict=True):
+                x = np.abs(np.frombuffer(packed).reshape(_shape(i, j, p, tile)))
+                if i == j:
+                    x = x.copy()
+                    np.fill_diagonal(x, -1.0)
+                for k, y in ((i, x), *([(j, x.T)] if i < j else [])):
+                    yield pd.DataFrame({"i": k * tile + np.arange(len(y)), "most": y.max(axis=1), "n": (y > threshold).sum(axis=1)})
+
+    each = matrix.mapInPandas(run, "i int, most double, n long").where("most >= 0")  # a lone feature has no other
+    return each.groupBy("i").agg(F.max("most").alias("most"), F.sum("n").alias("n"))
+
+
 def dense(matrix: DataFrame, p: int, tile: int | None = None) -> np.ndarray:
     """The whole matrix on the driver, for few features."""
     tile = tile or TILE

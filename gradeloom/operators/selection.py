@@ -104,11 +104,26 @@ def pairwise_spearman(long: DataFrame) -> DataFrame:
     return cells.select(at[F.col("i")].alias("feature1"), at[F.col("j")].alias("feature2"), F.col("x").alias("rho"))
 
 
-def deduplicate(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95) -> DataFrame:
+def redundancy(long: DataFrame, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(pairs over the threshold: feature1, feature2, rho; extremes of all features: feature, max_abs_rho, n_over), of an aligned table.
+
+    Both are read off the tiles of the rank vectors' Gram matrix, so of features squared cells only those over the threshold become rows.
+    """
+    names = sorted(r["feature"] for r in long.select("feature").distinct().collect())
+    spark = long.sparkSession
+    if not names:
+        return spark.createDataFrame([], "feature1 string, feature2 string, rho double"), spark.createDataFrame([], "feature string, max_abs_rho double, n_over long")
+    matrix, at = gram.gram(rank_vectors(long), len(names), "r"), F.lit(names)
+    near = gram.over(matrix, len(names), threshold).select(at[F.col("i")].alias("feature1"), at[F.col("j")].alias("feature2"), F.col("x").alias("rho"))
+    return near, gram.extremes(matrix, len(names), threshold).select(at[F.col("i")].alias("feature"), F.col("most").alias("max_abs_rho"), F.col("n").alias("n_over"))
+
+
+def deduplicate(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95, extremes: DataFrame | None = None) -> DataFrame:
     """Audit of greedy removal: (feature, kept, removed_by, removed_rho, removed_order, max_abs_rho, n_over).
 
     Pairs over the threshold are taken from the strongest on (ties by names); the lower score goes, of equal scores the later name.
-    Only these pairs reach the driver; they are fewer than features squared, however many samples there are.
+    Only these pairs reach the driver; they are fewer than features squared, however many samples there are. `pairs` are all pairs, or those
+    over the threshold if `extremes` (of `redundancy`) says what the others amount to.
     """
     spark = pairs.sparkSession
     over = pairs.where(F.abs("rho") > threshold)
@@ -124,7 +139,7 @@ def deduplicate(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95) ->
         gone[loser] = (winner, rho, len(gone) + 1)
     removed = spark.createDataFrame([(f, *x) for f, x in gone.items()], "feature string, removed_by string, removed_rho double, removed_order int")
     both = pairs.select(F.col("feature1").alias("feature"), "rho").union(pairs.select(F.col("feature2").alias("feature"), "rho"))
-    most = both.groupBy("feature").agg(F.max(F.abs("rho")).alias("max_abs_rho"), F.count_if(F.abs("rho") > threshold).alias("n_over"))
+    most = extremes if extremes is not None else both.groupBy("feature").agg(F.max(F.abs("rho")).alias("max_abs_rho"), F.count_if(F.abs("rho") > threshold).alias("n_over"))
     audit = scores.select("feature", "score").join(most, "feature", "left").join(removed, "feature", "left")
     return audit.select("feature", "score", F.col("removed_by").isNull().alias("kept"), "removed_by", "removed_rho", "removed_order", F.coalesce("max_abs_rho", F.lit(0.0)).alias("max_abs_rho"), F.coalesce("n_over", F.lit(0)).alias("n_over"))
 

@@ -103,7 +103,8 @@ most AS (SELECT feature, max(abs(rho)) AS max_abs_rho, count(*) FILTER (abs(rho)
 def f08_deduplicate(spark, sf_dir) -> DataFrame:
     rows = _few(spark, sf_dir)
     scores = selection.spearman_with(rows).select("feature", F.abs("rho").alias("score"))
-    return selection.deduplicate(selection.pairwise_spearman(rows), scores, 0.95)
+    near, extremes = selection.redundancy(rows)
+    return selection.deduplicate(near, scores, 0.95, extremes)
 
 
 @query(f"WITH {PLANTED}, {_RHO} SELECT feature, {r6('abs(rho)', 'score')} FROM rho ORDER BY abs(rho) DESC, feature LIMIT 20")
@@ -181,7 +182,8 @@ close AS (SELECT count(*) AS n FROM (SELECT corr(a.r, b.r) AS rho FROM fp a JOIN
 def f16_feature_audit(spark, sf_dir) -> DataFrame:
     rows = inputs.planted(spark, sf_dir)
     scores = selection.spearman_with(rows).select("feature", F.abs("rho").alias("score"))
-    dedup = selection.deduplicate(selection.pairwise_spearman(rows), scores, 0.95)
+    near, extremes = selection.redundancy(rows)
+    dedup = selection.deduplicate(near, scores, 0.95, extremes)
     return selection.audit(rows.select("feature").distinct(), selection.icc21(inputs.features(spark, sf_dir)), _tests(spark, sf_dir), dedup)
 
 
@@ -206,7 +208,8 @@ def w1_robust_selection(spark, sf_dir) -> DataFrame:
     tests = selection.benjamini_hochberg(tests.withColumn("p", selection.p_value(F.col("rho"), F.col("n"))))
     strong = settled(selection.relevant(tests, selection.icc21(clean, 0.75)))
     kept = settled(gold.join(strong, "feature", "left_semi"))
-    audit = selection.deduplicate(settled(selection.pairwise_spearman(kept)), strong, 0.95).where("kept")
+    near, extremes = selection.redundancy(kept)
+    audit = selection.deduplicate(settled(near), strong, 0.95, extremes).where("kept")
     names = sorted(r["feature"] for r in audit.select("feature").collect())
     if not names:
         return spark.createDataFrame([], "feature string, pi double, mean_abs_beta double, score double, stable boolean, rank int")

@@ -467,3 +467,21 @@ def test_partial_dependence_by_hand(spark, monkeypatch):
         grid = np.unique(values) if b == 0 else np.quantile(values, np.arange(9) / 8)
         mine = sorted((r["x"], r["effect"]) for r in got if r["b"] == b)
         assert np.allclose([m[0] for m in mine], grid) and np.allclose([m[1] for m in mine], -2.0 * (grid - np.median(values)))
+
+
+def test_redundancy_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(gram, "TILE", 4)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(90, 5))
+    x = np.concatenate([base, base[:, :3] + 0.05 * rng.normal(size=(90, 3)), -base[:, 1:2], np.ones((90, 1))], axis=1)
+    long = spark.createDataFrame([(str(i), "s", f"f{j}", float(x[i, j])) for i in range(90) for j in range(10)], "case_id string, segment string, feature string, value double")
+    scores = spark.createDataFrame([(f"f{j}", float(j % 4)) for j in range(10)], "feature string, score double")
+    whole = selection.deduplicate(selection.pairwise_spearman(long), scores, 0.9).orderBy("feature").collect()
+    near, extremes = selection.redundancy(long, 0.9)
+    assert near.count() == 5  # three near copies, one turned round and its copy
+    got = selection.deduplicate(near, scores, 0.9, extremes).orderBy("feature").collect()
+    for a, b in zip(whole, got, strict=True):
+        assert a[:4] == b[:4] and a["removed_order"] == b["removed_order"] and a["n_over"] == b["n_over"] and np.isclose(a["max_abs_rho"], b["max_abs_rho"])
+    one, most = selection.redundancy(long.where("feature = 'f0'"), 0.9)
+    assert one.count() == 0 and most.count() == 0
+    assert all(t.count() == 0 for t in selection.redundancy(long.limit(0)))
