@@ -92,8 +92,14 @@ def dummy_name(column: str, level: str, prefix: str = "") -> str:
     return f"{prefix}{name_part(column)}__{name_part(level)}"
 
 
-def pair_key(path: Column) -> Column:
-    """Folder and file name without its suffixes and a closing mask or segmentation mark."""
+#: What marks a file as a mask.
+MASK_MARKS = ["_mask", "_seg", "-mask", "-seg"]
+
+
+def pair_key(path: Column, mask: bool = False) -> Column:
+    """Folder and file name without its suffixes; of a mask also without the marks, wherever they stand in the name."""
     folder = F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\..*$", "")
-    return F.concat(F.coalesce(folder, F.lit("")), F.regexp_replace(stem, r"(?i)[_-](mask|seg)$", ""))
+    stem = F.regexp_extract(path, r"(\.?[^./]*)[^/]*$", 1)
+    for mark in MASK_MARKS if mask else []:
+        stem = F.replace(stem, F.lit(mark), F.lit(""))
+    return F.concat(F.coalesce(folder, F.lit("")), stem)

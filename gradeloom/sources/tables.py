@@ -132,5 +132,38 @@ def write_json(tables: dict[str, DataFrame], path: str) -> None:
 
 def pair_images(images: DataFrame, masks: DataFrame) -> DataFrame:
     """(key, image, mask) of paths (column `path`) whose folder and bare name agree; of several masks the last path."""
-    m = masks.groupBy(keys.pair_key(F.col("path")).alias("key")).agg(F.max("path").alias("mask"))
+    m = masks.groupBy(keys.pair_key(F.col("path"), mask=True).alias("key")).agg(F.max("path").alias("mask"))
     return images.select(keys.pair_key(F.col("path")).alias("key"), F.col("path").alias("image")).join(m, "key")
+
+
+#: Suffixes of image files.
+IMAGE_SUFFIXES = [".dcm", ".nii", ".nii.gz", ".nrrd", ".mha", ".mhd"]
+
+
+def list_files(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
+    """(path, file, length, modified): the files under a folder and all folders in it, `path` from the folder on; all suffixes if none are named.
+
+    Spark lists the folders, many of them in parallel tasks, and on any file system that it reads; no file is opened. Empty files are
+    left out, as by all of Spark's readers; a folder without files gives no rows.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    below = re.escape(re.sub(r"^\w+://[^/]*|^\w+:(?=/)", "", root).rstrip("/") + "/")
+    rows = rows.select(F.regexp_extract("path", f"(?s)^.*?{below}(.*)$", 1).alias("path"), F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"))
+    if suffixes:
+        some = F.lit(False)
+        for s in suffixes:
+            some = some | F.endswith("path", F.lit(s))
+        rows = rows.where(some)
+    return rows
+
+
+def pair_folders(spark: SparkSession, images: str, masks: str) -> DataFrame:
+    """(case_id, folder, image, mask): files of two folder trees whose place and bare name agree, as paths from the trees' roots."""
+    found = pair_images(list_files(spark, images, IMAGE_SUFFIXES), list_files(spark, masks, IMAGE_SUFFIXES))
+    return found.select(F.regexp_extract("key", r"([^/]*)$", 1).alias("case_id"), F.regexp_replace("key", r"/?[^/]*$", "").alias("folder"), "image", "mask")
+
+
+def list_folds(spark: SparkSession, root: str, name: str = "val_predictions.csv") -> DataFrame:
+    """(fold, path): the prediction files under `root`, in folders fold_0, fold_1, ... at any depth."""
+    rows = list_files(spark, root).where(F.regexp_extract("path", r"([^/]*)$", 1) == name)
+    return rows.select(F.regexp_extract("path", r"(?:^|/)fold_(\d+)/", 1).try_cast("int").alias("fold"), "path").where(F.col("fold").isNotNull())

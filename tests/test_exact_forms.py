@@ -9,6 +9,7 @@ from bootstrap_draws import draws_by_cluster
 
 from gradeloom.functions import keys, numeric
 from gradeloom.operators import bootstrap, cutpoints, explanation, gram, harmonize, interactions, joins, metrics, ranks, selection, splits, thresholds, voxels
+from gradeloom.sources import tables
 
 
 def test_null_grades_and_series(spark):
@@ -485,3 +486,43 @@ def test_redundancy_is_that_of_all_pairs(spark, monkeypatch):
     one, most = selection.redundancy(long.where("feature = 'f0'"), 0.9)
     assert one.count() == 0 and most.count() == 0
     assert all(t.count() == 0 for t in selection.redundancy(long.limit(0)))
+
+
+# file trees
+
+
+def test_file_trees_are_paired(spark, tmp_path):
+    """A thousand files in nested folders: suffixes and marks in all forms, files that have no partner, other files, blanks in names."""
+    rng = random.Random(3)
+    want = set()
+    for k in range(400):
+        folder = rng.choice(["", "a", "a/b", "c d", "a/b/c"])
+        image = f"case{k}{rng.choice(['.nii.gz', '.nii', '.mha', '.x.nrrd', '.dcm'])}"
+        mask = f"{rng.choice(['case{}_mask', 'case{}-seg', 'case{}', 'case{}_seg-mask', 'case{}_SEG', 'other{}']).format(k)}{rng.choice(['.nii.gz', '.mhd'])}"
+        for root, name in (("images", image), ("masks", mask), ("images", f"note{k}.txt")):
+            at = tmp_path / root / folder
+            at.mkdir(parents=True, exist_ok=True)
+            (at / name).write_bytes(b"x" * (1 + k % 5))
+        if mask.split(".")[0] in {f"case{k}", f"case{k}_mask", f"case{k}-seg", f"case{k}_seg-mask"}:
+            dot = f"{folder}/" if folder else ""
+            want.add((f"case{k}", folder, dot + image, dot + mask))
+    assert 200 < len(want) < 300
+    assert {tuple(r) for r in tables.pair_folders(spark, str(tmp_path / "images"), f"file://{tmp_path}/masks/").collect()} == want
+    every = tables.list_files(spark, str(tmp_path / "images"))
+    assert every.count() == 800 and every.where("path LIKE 'note%' OR path LIKE '%/note%'").agg({"length": "sum"}).first()[0] == 3 * 400
+    assert "content" not in every._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    (tmp_path / "masks" / "a" / "case_z_mask.nii").write_bytes(b"x")
+    (tmp_path / "masks" / "a" / "case_z.nii").write_bytes(b"x")
+    (tmp_path / "images" / "a" / "case_z.nii").write_bytes(b"x")
+    (pair,) = tables.pair_folders(spark, str(tmp_path / "images"), str(tmp_path / "masks")).where("case_id = 'case_z'").collect()
+    assert pair["mask"] == "a/case_z_mask.nii"  # the last path
+    (tmp_path / "images" / "empty.nii").write_bytes(b"")
+    assert tables.list_files(spark, str(tmp_path / "images"), [".nii"]).where("path = 'empty.nii'").count() == 0
+
+
+def test_fold_files_are_listed(spark, tmp_path):
+    for at in ("fold_0", "run/fold_12", "fold_x", "notfold_3", "run/fold_2/deeper"):
+        (tmp_path / at).mkdir(parents=True, exist_ok=True)
+        (tmp_path / at / "val_predictions.csv").write_text("a\n1\n")
+        (tmp_path / at / "train_predictions.csv").write_text("a\n1\n")
+    assert {tuple(r) for r in tables.list_folds(spark, str(tmp_path)).collect()} == {(0, "fold_0/val_predictions.csv"), (12, "run/fold_12/val_predictions.csv"), (2, "run/fold_2/deeper/val_predictions.csv")}
