@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import voxels
+from ..operators import slices, voxels
 from . import inputs
 from .inputs import VOXELS
-from .registry import query, r6
+from .registry import ORACLES, query, r6
 
 SPACING = (4.0, 0.7, 0.7)
 
@@ -251,3 +251,40 @@ LEFT JOIN vox l ON l.case_id = w.case_id AND l.z = w.z AND l.y = floor(round(sy,
 def i15_rotate_about_mask(spark, sf_dir) -> DataFrame:
     """A quarter turn about the mask's centroid, between pixels."""
     return voxels.rotate_about_mask(inputs.voxels(spark, sf_dir), 90.0, 8, 8)
+
+
+# the same jobs on one slice per row
+
+
+def _slices(spark, sf_dir) -> DataFrame:
+    return slices.to_slices(inputs.voxels(spark, sf_dir), 8, 8)
+
+
+@query(ORACLES["i07_box_counts"])
+def i07_box_counts_by_slice(spark, sf_dir) -> DataFrame:
+    return slices.box_counts(_slices(spark, sf_dir), 110)
+
+
+@query(ORACLES["i15_translate"])
+def i15_translate_by_slice(spark, sf_dir) -> DataFrame:
+    return slices.to_voxels(slices.translate(_slices(spark, sf_dir), 1, 2))
+
+
+@query(ORACLES["i15_dilate"])
+def i15_dilate_by_slice(spark, sf_dir) -> DataFrame:
+    vox = inputs.voxels(spark, sf_dir)
+    vox = vox.withColumn("label", F.when((F.col("label") == 7) & (F.col("intensity") > 100), 7).otherwise(0))
+    grown = slices.dilate(slices.to_slices(vox, 8, 8), [7])
+    return grown.select("case_id", "z", F.size(F.filter("labels", lambda v: v == 7)).cast("long").alias("n"))
+
+
+@query(ORACLES["i15_erode"])
+def i15_erode_by_slice(spark, sf_dir) -> DataFrame:
+    count = lambda k: F.size(F.filter("labels", lambda v: v == k)).cast("long")
+    return slices.erode(_slices(spark, sf_dir), [7]).select("case_id", "z", count(7).alias("n"), count(20).alias("sac"))
+
+
+@query(ORACLES["i17_gradients"])
+def i17_gradients_by_slice(spark, sf_dir) -> DataFrame:
+    grad = slices.to_voxels(slices.gradients(_slices(spark, sf_dir)), "magnitude", "direction")
+    return voxels.direction_statistics(grad, [7]).select("case_id", "z", "mean", "resultant")

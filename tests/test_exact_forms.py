@@ -8,7 +8,7 @@ import pytest
 from bootstrap_draws import draws_by_cluster
 
 from gradeloom.functions import keys, numeric
-from gradeloom.operators import bootstrap, cutpoints, explanation, gram, harmonize, interactions, joins, metrics, ranks, selection, splits, thresholds, voxels
+from gradeloom.operators import bootstrap, cutpoints, explanation, gram, harmonize, interactions, joins, metrics, ranks, selection, slices, splits, thresholds, voxels
 from gradeloom.sources import tables
 
 
@@ -526,3 +526,34 @@ def test_fold_files_are_listed(spark, tmp_path):
         (tmp_path / at / "val_predictions.csv").write_text("a\n1\n")
         (tmp_path / at / "train_predictions.csv").write_text("a\n1\n")
     assert {tuple(r) for r in tables.list_folds(spark, str(tmp_path)).collect()} == {(0, "fold_0/val_predictions.csv"), (12, "run/fold_12/val_predictions.csv"), (2, "run/fold_2/deeper/val_predictions.csv")}
+
+
+# slices
+
+
+def test_slices_equal_voxel_jobs(spark):
+    """Random images of two discs that touch: growth, shrinking, shifts, edges and boxes by arrays as by joins of neighbours."""
+    rng = np.random.default_rng(2)
+    h, w = 9, 12
+    rows = [(c, z, y, x, float(np.round(rng.normal(100, 20), 3)), int(rng.choice([0, 7, 7, 7, 9, 9, 20]))) for c in range(3) for z in range(2) for y in range(h) for x in range(w)]
+    vox = spark.createDataFrame(rows, "case_id long, z int, y int, x int, intensity double, label int")
+    held = slices.to_slices(vox.repartition(4), h, w)
+    plain = lambda df, *more: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select("case_id", "z", "y", "x", "intensity", "label", *more).collect())
+    assert plain(slices.to_voxels(held)) == plain(vox)
+    for radius in (1, 2):
+        assert plain(slices.to_voxels(slices.dilate(held, [7, 9], radius))) == plain(voxels.dilate(vox, [7, 9], radius))
+        assert plain(slices.to_voxels(slices.erode(held, [7, 9], radius))) == plain(voxels.erode(vox, [7, 9], radius))
+    for shift in ((2, -3), (0, 0), (-9, 1), (20, 20)):
+        assert plain(slices.to_voxels(slices.translate(held, *shift))) == plain(voxels.translate(vox, *shift, h, w))
+    assert plain(slices.to_voxels(slices.gradients(held), "magnitude", "direction"), "magnitude", "direction") == plain(voxels.gradients(vox), "magnitude", "direction")
+    boxes = {tuple(r) for r in slices.box_counts(held, 110.0, most=8).collect()}
+    assert boxes == {tuple(r) for r in voxels.box_counts(vox.where("intensity > 110"), ["case_id", "z"], h, w, most=8).select("case_id", "z", "box", "n").collect()}
+
+
+def test_slices_with_gaps_and_strays(spark):
+    rows = [(1, 0, 0, 0, 5.0, 7), (1, 0, 1, 1, 6.0, 0), (1, 0, 9, 9, 1.0, 7), (1, 0, -1, 0, 1.0, 7), (1, 0, 1, 1, 7.0, 0)]
+    vox = spark.createDataFrame(rows, "case_id long, z int, y int, x int, intensity double, label int")
+    held = slices.to_slices(vox, 2, 2)
+    assert {tuple(r) for r in slices.to_voxels(held).collect()} == {(1, 0, 0, 0, 5.0, 7), (1, 0, 1, 1, 7.0, 0)}
+    assert {tuple(r)[2:4] + (r["label"],) for r in slices.to_voxels(slices.dilate(held, [7])).collect()} == {(0, 0, 7), (1, 1, 7)}  # absent places stay absent
+    assert slices.to_slices(vox.limit(0), 2, 2).count() == 0
