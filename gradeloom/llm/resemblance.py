@@ -26,7 +26,7 @@ SHINGLE = 5
 RESEMBLANCE = 0.8
 BANDS, ROWS = 20, 4
 #: Texts of a key whose pairs are listed; those of a shingle that are compared with as many others at once; and rows of such tiles in a task.
-CROWD, TILE, TASK_ROWS = 32, 2048, 40_000
+CROWD, TILE, TASK_ROWS = 32, 2048, 8_000
 #: Words of 64 bits in which a set's shingles are marked.
 MARKS = 64
 #: Buckets of the shingles' counts, which make the order.
