@@ -470,12 +470,12 @@ def train(texts: DataFrame, units: Units, batch: int = BATCH) -> Attention:
     net = Attention.new(units.count)
     size = len(net.flat()) + 1
     part = F.pmod(F.xxhash64("data", F.lit(31)), F.lit(FIRST_ROUND))
-    alike = saved(texts.groupBy("data").agg(F.count(F.lit(1)).alias("n")), "training-texts")
     for chosen in (part == 0, part != 0):
-        mine = alike.where(chosen)
+        mine = texts.where(chosen)
         many = (mine.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // 2 // BLOCK_IDS + 1
         learn = _learner(spark.sparkContext.broadcast((net, units)), batch)
-        dealt = mine.groupBy(F.pmod(F.xxhash64("data", F.lit(37)), F.lit(many)).alias("block"))
+        alike = mine.groupBy("data").agg(F.count(F.lit(1)).alias("n"))
+        dealt = alike.groupBy(F.pmod(F.xxhash64("data", F.lit(37)), F.lit(many)).alias("block"))
         (flat,) = tree_sum(dealt.applyInPandas(learn, BLOCKS), [size])
         if flat[0]:
             net = net.filled(flat[1:] / flat[0])
