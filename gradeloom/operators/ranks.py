@@ -36,7 +36,8 @@ def running_counts(cells: DataFrame, keys: list[str], value: str, count: str = "
     if cells.count() <= FEW:
         return cells.withColumn("before", upto(Window.partitionBy(*keys).orderBy(value), count))
     shares = [i / RANGES for i in range(1, RANGES)]
-    bounds = cells.groupBy(*keys).agg(F.percentile_approx(value, shares, 20 * RANGES).alias("__bounds"))
+    # approximate bounds follow the order in which parts arrive; they are used twice below, and must be the same both times
+    bounds = settled(cells.groupBy(*keys).agg(F.percentile_approx(value, shares, 20 * RANGES).alias("__bounds")))
     placed = cells.join(bounds, keys).withColumn("__range", _place(F.col(value), F.col("__bounds"))).drop("__bounds")
     sums = placed.groupBy(*keys, "__range").agg(F.sum(count).alias("__sum"))  # RANGES rows a key at most
     starts = sums.select(*keys, "__range", upto(Window.partitionBy(*keys).orderBy("__range"), "__sum").alias("__start"))
