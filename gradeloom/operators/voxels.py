@@ -133,14 +133,38 @@ def fractal_dimension(counts: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*keys, (-F.col("slope")).alias("fd"), "r_squared")
 
 
+def _cube(d: Column) -> Column:
+    """d^3 rounded once, as C's pow has it (Java's is off by a last digit now and then): products with their errors, by halves of the digits."""
+    s = d * d
+
+    def halves(v):
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        return high, v - high
+
+    (h, low), (sh, sl) = halves(d), halves(s)
+    of_square = ((h * h - s) + 2.0 * h * low) + low * low
+    of_cube = ((sh * h - s * d) + sh * low + sl * h) + sl * low
+    return s * d + (of_cube + of_square * d)
+
+
 def hu_moments(mask: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, area, hu1..hu7, log1..log7) of mask pixels (y, x); log is -sign(h) log10 |h|, 0 for 0 and what rounding leaves of it."""
-    c = mask.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    power = lambda b, n: F.lit(1.0) if n == 0 else b * power(b, n - 1)
+    """(keys, area, hu1..hu7, log1..log7) of mask pixels (y, x); log is -sign(h) log10 |h|, 0 for 0 and what rounding leaves of it.
+
+    Terms are added from the last pixel (y, x) to the first, the order in which the SQL adds them: of a symmetric mask hu5 and hu7 are but the
+    rounding of these sums, which would otherwise follow the order in which rows arrive. A group's pixels are those of one mask.
+    """
+    power = lambda b, n: b * b if n == 2 else _cube(b) if n == 3 else b
     orders = [(p, q) for p in range(4) for q in range(4) if 2 <= p + q <= 3]
-    m = mask.join(c, keys).groupBy(*keys).agg(F.first("area").alias("area"), *[F.sum(power(dx, p) * power(dy, q)).alias(f"m{p}{q}") for p, q in orders])
-    m = m.select(*keys, "area", *[(F.col(f"m{p}{q}") / F.pow("area", 1 + (p + q) / 2)).alias(f"n{p}{q}") for p, q in orders])
+    c = mask.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.sort_array(F.collect_list(F.struct("y", "x")), asc=False).alias("pixels"))
+
+    def term(pixel: Column, p: int, q: int) -> Column:
+        dx, dy = pixel["x"] - F.col("cx"), pixel["y"] - F.col("cy")
+        return power(dx, p) if q == 0 else power(dy, q) if p == 0 else dx * dx * dy if p == 2 else dx * dy * dy if q == 2 else dx * dy
+
+    sums = F.aggregate("pixels", F.struct(*[F.lit(0.0).alias(f"m{p}{q}") for p, q in orders]), lambda s, v: F.struct(*[(s[f"m{p}{q}"] + term(v, p, q)).alias(f"m{p}{q}") for p, q in orders]))
+    area = F.col("area")
+    scale = {2: area * area, 3: F.sqrt(area * area * area * area * area)}  # area^(1 + order / 2), rounded once
+    m = c.select(*keys, "area", sums.alias("m")).select(*keys, "area", *[(F.col(f"m.m{p}{q}") / scale[p + q]).alias(f"n{p}{q}") for p, q in orders])
     n = {pq: F.col(f"n{pq[0]}{pq[1]}") for pq in orders}
     a, b = n[3, 0] + n[1, 2], n[2, 1] + n[0, 3]
     c3, d3 = n[3, 0] - 3 * n[1, 2], 3 * n[2, 1] - n[0, 3]
