@@ -13,20 +13,25 @@ def split_perturbed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"base_case_id": base_case(F.col("case_id")), "condition": condition_of(F.col("case_id"))})
 
 
-def wide_to_long(rows: DataFrame, keys: list[str], segments: list[str] = SEGMENTS) -> DataFrame:
+def wide_to_long(rows: DataFrame, keys: list[str], segments: list[str] = SEGMENTS, absent: bool = True) -> DataFrame:
     """(keys, segment, feature, value) from columns named <type>_<segment>_<name>; the segment part is cut out once, infinities are null.
 
-    All columns go through one array and one explode, so thousands of columns are one narrow step.
+    All columns go through one array and one explode, so thousands of columns are one narrow step. Without `absent`, a segment that has
+    null in all its columns is one that the row lacks, and gives no rows.
     """
-    cells = []
+    cells, own = [], {}
     for c in rows.columns:
         if c in keys:
             continue
         for s in segments:
             if f"_{s}_" in c:
                 cells.append(F.struct(F.lit(s).alias("segment"), F.lit(c.replace(f"_{s}_", "_", 1)).alias("feature"), finite(F.col(f"`{c}`")).alias("value")))
+                own.setdefault(s, []).append(F.col(f"`{c}`"))
                 break
-    return rows.select(*keys, F.explode(F.array(*cells)).alias("e")).select(*keys, "e.*")
+    if absent:
+        return rows.select(*keys, F.explode(F.array(*cells)).alias("e")).select(*keys, "e.*")
+    there = F.array(*[F.when(F.coalesce(*columns).isNotNull(), F.lit(s)) for s, columns in own.items()])
+    return rows.select(*keys, there.alias("__there"), F.explode(F.array(*cells)).alias("e")).where(F.array_contains("__there", F.col("e.segment"))).select(*keys, "e.*")
 
 
 def export_by_level(rows: DataFrame, key: str, segments: list[str] = SEGMENTS) -> DataFrame:

@@ -55,7 +55,7 @@ def wide_features(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {FEATURES} SELECT case_id, segment, feature, {r6('value', 'value')} FROM feat WHERE condition = 'gold'")
 def p04_wide_to_long(spark, sf_dir) -> DataFrame:
-    return reshape.wide_to_long(wide_features(spark, sf_dir), ["case_id"])
+    return reshape.wide_to_long(wide_features(spark, sf_dir), ["case_id"], absent=False)  # a case may lack a level
 
 
 @query(f"WITH {FEATURES} SELECT case_id AS Sample_ID, segment AS Disc_Level, " + ", ".join(r6(f"max(value) FILTER (feature = 'Deep_{i}')", f"Deep_{i}") for i in range(64)) + " FROM feat WHERE condition = 'gold' GROUP BY ALL")
