@@ -446,25 +446,35 @@ def balanced_weights(rows: DataFrame, y: str, name: str = "w") -> DataFrame:
 
 
 def logistic_grid(rows: DataFrame, fold: str, classes: int, cs: tuple[float, ...] = (0.1, 1.0, 10.0), weights: tuple[str, ...] = ("none", "balanced"), features: str = "t", y: str = "y") -> DataFrame:
-    """(inverse_penalty, class_weight, n, nine metrics): for each setting, every fold predicted by a logistic regression of the other folds."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """(inverse_penalty, class_weight, n, nine metrics): for each setting, every fold predicted by a logistic regression of the other folds.
 
+    All settings of all folds are fitted together, so the rows are read once a Newton step. Rows without a fold or class are left out.
+    """
+    from . import logistic
     from .lineage import settled
     from .metrics import ordinal_metrics
 
-    data = rows.select(fold, F.col(y).cast("int").alias("y_true"), array_to_vector(F.col(features)).alias("__v"), F.col(y).cast("double").alias("__y")).persist()
-    out = None
-    for f in sorted(r[0] for r in data.select(fold).distinct().collect()):
-        train, held = balanced_weights(data.where(F.col(fold) != f), "__y").persist(), data.where(F.col(fold) == f)
-        n = train.count()
+    known = rows.where(F.col(fold).isNotNull() & F.col(y).isNotNull())
+    folds = sorted(r[0] for r in known.select(fold).distinct().collect())
+    place = F.array_position(F.lit(folds), F.col(fold)).cast("int") if folds else F.lit(0)
+    data = settled(known.select(place.alias("f"), F.col(y).cast("int").alias("y"), F.col(features).alias("x")))
+    counts = data.groupBy("f", "y").count().collect()  # folds times classes
+    levels = sorted({r["y"] for r in counts})
+    first = data.select(F.size("x")).first()
+    settings, named = [], []
+    for f in range(1, len(folds) + 1):
+        n = np.array([sum(r["count"] for r in counts if r["y"] == v and r["f"] != f) for v in levels], float)
+        if not n.any():
+            raise ValueError(f"no rows outside fold {folds[f - 1]!r}")
+        balanced = np.where(n > 0, n.sum() / ((n > 0).sum() * np.maximum(n, 1)), 0.0)
         for c in cs:
             for weight in weights:
-                model = LogisticRegression(featuresCol="__v", labelCol="__y", family="multinomial", standardization=False, regParam=1.0 / (c * max(n, 1)), probabilityCol="__p", rawPredictionCol="__r", predictionCol="__q", **({"weightCol": "w"} if weight == "balanced" else {})).fit(train)
-                expect = F.aggregate(F.transform(vector_to_array("__p"), lambda q, i: q * i), F.lit(0.0), lambda a, v: a + v)
-                part = model.transform(held).select(F.lit(c).alias("inverse_penalty"), F.lit(weight).alias("class_weight"), "y_true", F.col("__q").cast("int").alias("y_pred"), expect.alias("y_cont"))
-                out = part if out is None else out.unionByName(part)
-        train.unpersist()
+                settings.append((f, 1.0 / c, balanced if weight == "balanced" else (n > 0).astype(float)))
+                named.append((f, f"{weight}:{c!r}"))
+    fits = logistic.fit(data, settings, levels, first[0]) if first else []
+    out = logistic.predicted(data, [(f, name, beta) for (f, name), beta in zip(named, fits, strict=True)], levels)
+    parts = F.split("model", ":")
+    out = out.select(parts[1].cast("double").alias("inverse_penalty"), parts[0].alias("class_weight"), "y_true", "y_pred", "y_cont")
     return ordinal_metrics(settled(out), ["inverse_penalty", "class_weight"], classes)
 
 

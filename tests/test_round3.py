@@ -4,9 +4,11 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from gradeloom.operators import ranks, reshape, voxels
+from gradeloom.operators import linear, logistic, ranks, reshape, voxels
 
 
 def test_ranges_are_cut_once(spark, monkeypatch):
@@ -58,3 +60,31 @@ def test_absent_levels_give_no_rows(spark):
     long = {tuple(r) for r in reshape.wide_to_long(wide, ["case_id"], absent=False).collect()}
     assert long == {("1", "L1-L2", "Deep_0", 1.0), ("1", "L1-L2", "Deep_1", None), ("1", "L2-L3", "Deep_0", 3.0), ("2", "L2-L3", "Deep_0", 4.0)}
     assert reshape.wide_to_long(wide, ["case_id"]).count() == 6
+
+
+def test_logistic_settings_share_their_passes(spark):
+    """All folds and settings take few jobs together, and each fit is the optimum that Spark's own comes to."""
+    rng = np.random.default_rng(8)
+    y = np.arange(200) % 4 + 1
+    x = rng.standard_normal((200, 2)) + y[:, None] * [0.7, -0.3]
+    keep = (np.arange(200) % 5 == 0) | (y != 4)  # one class is in one fold only
+    rows = spark.createDataFrame([(int(i % 5), x[i].tolist(), float(y[i])) for i in range(200) if keep[i]], "fold int, t array<double>, y double").persist()
+    spark.sparkContext.setJobGroup("grid", "grid")
+    got = {(r["inverse_penalty"], r["class_weight"]): r for r in linear.logistic_grid(rows, "fold", 4).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("grid"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(got) == 6 and all(r["n"] == keep.sum() for r in got.values()) and jobs < 100
+
+    data = rows.select((F.col("fold") + 1).alias("f"), F.col("y").cast("int").alias("y"), F.col("t").alias("x"))
+    for f in (1, 3):
+        n = np.array([((y == c) & keep & (np.arange(200) % 5 != f - 1)).sum() for c in range(1, 5)], float)
+        balanced = np.where(n > 0, n.sum() / ((n > 0).sum() * np.maximum(n, 1)), 0)
+        (beta,) = logistic.fit(data, [(f, 1.0, balanced)], [1, 2, 3, 4], 2)
+        train = linear.balanced_weights(rows.where(F.col("fold") != f - 1), "y").withColumn("v", array_to_vector("t"))
+        fit = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", family="multinomial", standardization=False, regParam=1 / n.sum(), tol=1e-12, maxIter=1000).fit(train)
+        z = x @ beta[:, :2].T + beta[:, 2]
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        theirs = x @ fit.coefficientMatrix.toArray().T + fit.interceptVector.toArray()
+        q = np.exp(theirs - theirs.max(axis=1, keepdims=True))[:, 1:]
+        p, q = p / p.sum(axis=1, keepdims=True), np.pad(q / q.sum(axis=1, keepdims=True), ((0, 0), (0, 4 - q.shape[1])))
+        assert np.abs(p - q).max() < 1e-4
