@@ -26,6 +26,10 @@ BLOCK = 50
 ROWS, SORTED = 2000, 20_000
 #: Distinct values of y_cont (about) of a range, and the most ranges.
 RANGE_ROWS, RANGES = 50_000, 4096
+#: Partitions, and then groups of them, whose packed weights of a range are added in one task.
+FANS = (8, 64)
+#: Bytes of packed weights that a task gathers before it adds them up.
+HELD_BYTES = 64 << 20
 
 
 def leaf_draws(counts: np.ndarray, leaf: int, resamples: int, seed: int) -> np.ndarray:
@@ -118,13 +122,17 @@ def replicate_sums(rows: DataFrame, classes: int, width: int) -> DataFrame:
     return added(rows.mapInPandas(partial, "block long, sums binary, part long"), ["block"], "sums")
 
 
-def packed_values(value: np.ndarray, group: np.ndarray, weight: np.ndarray, bounds: np.ndarray):
-    """By range of the value: its distinct (value, class) pairs and their summed weights (pairs x replicates), in ascending order."""
+def merged(value: np.ndarray, group: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (value, class) pairs in ascending order, and their summed weights (pairs x replicates)."""
     order = np.lexsort((group, value))
     value, group = value[order], group[order]
     first = np.flatnonzero((np.diff(value, prepend=np.nan) != 0) | (np.diff(group, prepend=-1) != 0))
-    weight = np.add.reduceat(weight[order], first, axis=0, dtype=np.uint32)
-    value, group = value[first], group[first]
+    return value[first], group[first], np.add.reduceat(weight[order], first, axis=0, dtype=np.uint32)
+
+
+def packed_values(value: np.ndarray, group: np.ndarray, weight: np.ndarray, bounds: np.ndarray):
+    """By range of the value: its distinct (value, class) pairs and their summed weights (pairs x replicates), in ascending order."""
+    value, group, weight = merged(value, group, weight)
     at = np.searchsorted(bounds, value, side="left")
     cuts = np.flatnonzero(np.diff(at, prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(value)], strict=True):
@@ -149,38 +157,62 @@ def range_sums(value: np.ndarray, group: np.ndarray, weight: np.ndarray, classes
     return out
 
 
-def rank_sums(rows: DataFrame, classes: int, width: int, bounds: np.ndarray) -> DataFrame:
+def rank_sums(rows: DataFrame, classes: int, width: int, bounds: np.ndarray, fans: tuple[int, ...] = ()) -> DataFrame:
     """(replicate, at, sums): `range_sums` of every range of y_cont in every replicate; rows: y_true, y_cont, n, w.
 
-    Partitions hand on distinct values with their weights, packed by range and block of replicates: about a byte or two a row and replicate.
+    Partitions add up the weights of equal values and hand them on packed by range and block of replicates: four bytes at most a distinct
+    value of a partition and replicate, however many rows share it. `fans`: groups of so many partitions, then of groups, add theirs up.
     """
 
     def values(frames):
-        held, size = [], 0
+        held, size = None, 0
         for frame in frames:
-            held.append(frame[["y_true", "y_cont", "n", "w"]])
-            size += len(frame)
-            if size >= SORTED:
-                yield from handed(pd.concat(held))
-                held, size = [], 0
-        if size:
-            yield from handed(pd.concat(held))
-
-    def handed(frame):
-        weight = draw_matrix(frame["w"], width) * frame["n"].to_numpy(np.uint32)[:, None]
-        for at, value, group, w in packed_values(frame["y_cont"].to_numpy(float), frame["y_true"].to_numpy(), weight, bounds):
+            for a in range(0, len(frame), ROWS):
+                part = frame.iloc[a : a + ROWS]
+                weight = draw_matrix(part["w"], width) * part["n"].to_numpy(np.uint32)[:, None]
+                more = merged(part["y_cont"].to_numpy(float), part["y_true"].to_numpy(), weight)
+                held = [*(held or []), more]
+                size += len(more[0])
+                if size >= SORTED:
+                    held = [merged(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > SORTED // 2:  # mostly distinct: waiting for more would merge little
+                        yield from handed(*held[0])
+                        held, size = None, 0
+        if held:
+            yield from handed(*merged(*map(np.concatenate, zip(*held, strict=True))))
+
+    def handed(value, group, weight):
+        part = TaskContext.get().partitionId()
+        for at, value, group, w in packed_values(value, group, weight, bounds):
             blocks = range(0, width, BLOCK)
-            yield pd.DataFrame({"at": at, "block": np.arange(len(blocks)), "v": value.tobytes(), "g": group.astype(np.uint8).tobytes(), "w": [np.ascontiguousarray(w[:, b : b + BLOCK]).tobytes() for b in blocks]})
+            yield pd.DataFrame({"at": at, "block": np.arange(len(blocks)), "v": value.tobytes(), "g": group.astype(np.uint8).tobytes(), "w": [np.ascontiguousarray(w[:, b : b + BLOCK]).tobytes() for b in blocks], "part": part})
+
+    def unpacked(frame):
+        value, group, weight = (np.concatenate([np.frombuffer(b, kind) for b in frame[c]]) for c, kind in (("v", float), ("g", np.uint8), ("w", np.uint32)))
+        return value, group, weight.reshape(len(value), -1)
+
+    def added_up(frame: pd.DataFrame) -> pd.DataFrame:
+        held, size = [], 0
+        for i in range(len(frame)):
+            held.append(unpacked(frame.iloc[i : i + 1]))
+            size += held[-1][2].nbytes
+            if size > HELD_BYTES:
+                held = [merged(*map(np.concatenate, zip(*held, strict=True)))]
+                size = held[0][2].nbytes
+        value, group, weight = merged(*map(np.concatenate, zip(*held, strict=True)))
+        return frame[["at", "block", "part"]].iloc[:1].assign(v=[value.tobytes()], g=[group.astype(np.uint8).tobytes()], w=[np.ascontiguousarray(weight).tobytes()])
 
     def summed(frame: pd.DataFrame) -> pd.DataFrame:
-        value = np.concatenate([np.frombuffer(v) for v in frame["v"]])
-        group = np.concatenate([np.frombuffer(g, np.uint8) for g in frame["g"]])
+        value, group, weight = merged(*unpacked(frame))
         first = int(frame["block"].iloc[0]) * BLOCK
-        weight = np.concatenate([np.frombuffer(w, np.uint32) for w in frame["w"]]).reshape(len(value), -1)
         sums = range_sums(value, group, weight, classes)
         return pd.DataFrame({"replicate": first + np.arange(len(sums)), "at": frame["at"].iloc[0], "sums": list(sums)})
 
-    packed = rows.mapInPandas(values, "at int, block int, v binary, g binary, w binary")
+    kind = "at int, block int, part long, v binary, g binary, w binary"
+    packed = rows.mapInPandas(values, "at int, block int, v binary, g binary, w binary, part long").select("at", "block", "part", "v", "g", "w")
+    for fan in fans:  # so that no task holds the weights of all partitions
+        packed = packed.withColumn("part", F.floor(F.col("part") / fan)).groupBy("at", "block", "part").applyInPandas(added_up, kind)
     return packed.groupBy("at", "block").applyInPandas(summed, "replicate long, at int, sums array<double>")
 
 
@@ -208,7 +240,9 @@ def intervals(rows: DataFrame, cluster: str, classes: int, resamples: int = 1000
     cells = with_draws(kept.groupBy(*kept.columns).agg(F.count(F.lit(1)).alias("n")), resamples, seed)
 
     values = cells.select("y_cont").distinct()
-    ranges = int(np.clip(-(-values.count() // RANGE_ROWS), 1, RANGES))
+    distinct = values.count()
+    ranges = int(np.clip(-(-distinct // RANGE_ROWS), 1, RANGES))
+    shared = cells.count() > 4 * distinct  # else a range has few rows more than values
     bounds = np.array(values.agg(F.percentile_approx("y_cont", [k / ranges for k in range(1, ranges)], 20 * RANGES)).first()[0] if ranges > 1 else [], float)
     several = cells.select("cluster").distinct().limit(2).count() > 1
 
@@ -225,7 +259,7 @@ def intervals(rows: DataFrame, cluster: str, classes: int, resamples: int = 1000
 
     measured = "metric string, replicate long, value double"
     counted = replicate_sums(cells, classes, width).mapInPandas(count_metrics, measured)
-    ranked = rank_sums(cells, classes, width, np.unique(bounds))
+    ranked = rank_sums(cells, classes, width, np.unique(bounds), FANS if shared else ())
     ranked = ranked.groupBy("replicate").applyInPandas(rank_metric, measured)
     own, again = F.col("replicate") == 0, F.when(F.col("replicate") > 0, F.col("value"))
     low, high = (F.percentile(again, F.lit(s)) if several else F.max(F.lit(None).cast("double")) for s in (alpha / 2, 1 - alpha / 2))

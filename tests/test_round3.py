@@ -8,7 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from gradeloom.operators import linear, logistic, ranks, reshape, voxels
+from gradeloom.operators import bootstrap, linear, logistic, ranks, reshape, voxels
 
 
 def test_ranges_are_cut_once(spark, monkeypatch):
@@ -88,3 +88,22 @@ def test_logistic_settings_share_their_passes(spark):
         q = np.exp(theirs - theirs.max(axis=1, keepdims=True))[:, 1:]
         p, q = p / p.sum(axis=1, keepdims=True), np.pad(q / q.sum(axis=1, keepdims=True), ((0, 0), (0, 4 - q.shape[1])))
         assert np.abs(p - q).max() < 1e-4
+
+
+def test_bootstrap_ranks_of_shared_values_reach_a_task_added_up(spark, monkeypatch):
+    """A task that sums ranks gets each value of a range once, whatever the rows and partitions that share it; the sums are the same."""
+    rng = np.random.default_rng(6)
+    seen = spark.sparkContext.accumulator(0)
+    frame = pd.DataFrame({"y_true": rng.integers(1, 4, 4000), "y_cont": rng.integers(0, 30, 4000) / 7, "n": 1, "w": [bytes(v) for v in rng.integers(0, 3, (4000, 5)).astype(np.uint8)]})
+    rows = spark.createDataFrame(frame, "y_true int, y_cont double, n long, w binary").repartition(16)
+    whole, sums_of = bootstrap.range_sums(frame["y_cont"].to_numpy(), frame["y_true"].to_numpy(), bootstrap.draw_matrix(frame["w"], 5), 3), bootstrap.range_sums
+
+    def counted(value, group, weight, classes):
+        seen.add(len(value))
+        return sums_of(value, group, weight, classes)
+
+    monkeypatch.setattr(bootstrap, "range_sums", counted)
+    monkeypatch.setattr(bootstrap, "SORTED", 300)
+    got = sorted(bootstrap.rank_sums(rows, 3, 5, np.array([]), bootstrap.FANS).collect())
+    assert np.allclose([r["sums"] for r in got], whole)
+    assert seen.value <= 30 * 3
