@@ -20,6 +20,7 @@ def zscore_fit(long: DataFrame) -> DataFrame:
 
 
 def zscore_apply(long: DataFrame, fitted: DataFrame) -> DataFrame:
+    fitted = F.broadcast(fitted)  # a row a feature
     return long.join(fitted, "feature").withColumn("value", (F.col("value") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
 
 

@@ -8,7 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from gradeloom.operators import bootstrap, linear, logistic, ranks, reshape, voxels
+from gradeloom.operators import bootstrap, cleaning, harmonize, linear, logistic, ranks, reshape, voxels
 
 
 def test_ranges_are_cut_once(spark, monkeypatch):
@@ -107,3 +107,22 @@ def test_bootstrap_ranks_of_shared_values_reach_a_task_added_up(spark, monkeypat
     got = sorted(bootstrap.rank_sums(rows, 3, 5, np.array([]), bootstrap.FANS).collect())
     assert np.allclose([r["sums"] for r in got], whole)
     assert seen.value <= 30 * 3
+
+
+def test_few_keys_are_not_dealt_to_tasks(spark):
+    """Tables of a row a feature or segment go to the rows: a join that deals rows by one of a few keys puts each key's in one task."""
+    long = spark.createDataFrame([(str(i), "s", c, f"f{i % 2}", i * 1.0 if i % 5 else None, 1.0) for i in range(20) for c in ("gold", "other")], "case_id string, segment string, condition string, feature string, value double, weight double")
+    table = long.groupBy("feature").agg(F.avg("value").alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out, joins in (
+            (cleaning.impute(long, table.select("feature", "median")), 0),
+            (harmonize.zscore_apply(long, table.select("feature", "mean", "sd")), 0),
+            (cleaning.residualize(long, "feature", ["value"], "weight"), 0),
+            (cleaning.align(long, 2), 1),  # that of the samples
+        ):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == joins and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
