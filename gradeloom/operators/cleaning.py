@@ -41,7 +41,7 @@ def medians(long: DataFrame, train: Column | None = None) -> DataFrame:
 
 def impute(long: DataFrame, table: DataFrame) -> DataFrame:
     """Nulls replaced by the feature's median; features without one stay null."""
-    return long.join(table, "feature", "left").withColumn("value", F.coalesce("value", "median")).drop("median")
+    return long.join(F.broadcast(table), "feature", "left").withColumn("value", F.coalesce("value", "median")).drop("median")  # a row a feature
 
 
 #: Names of the pooled statistics.
