@@ -18,7 +18,7 @@ def align(long: DataFrame, conditions: int) -> DataFrame:
     sample = ["case_id", "segment"]
     whole = long.groupBy(*sample).agg(F.count_distinct("condition").alias("k")).where(F.col("k") == conditions).select(*sample)
     names = long.groupBy("feature").agg(F.count_distinct("condition").alias("k")).where(F.col("k") == conditions).select("feature")
-    return long.join(whole, sample, "left_semi").join(names, "feature", "left_semi")
+    return long.join(F.broadcast(names), "feature", "left_semi").join(whole, sample, "left_semi")  # a row a feature
 
 
 def drop_incomplete(long: DataFrame) -> DataFrame:
