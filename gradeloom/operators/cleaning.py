@@ -89,7 +89,7 @@ def residualize(rows: DataFrame, segment: str, columns: list[str], weight: str,
     fit = rows if train is None else rows.where(train)
     w = F.col(weight)
     means = fit.groupBy(segment).agg(*[F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"__{c}") for c in columns])
-    joined = rows.join(means, segment, "left")
+    joined = rows.join(F.broadcast(means), segment, "left")  # a row a segment
     return joined.withColumns({c: F.col(c) - F.coalesce(f"__{c}", F.lit(0.0)) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
