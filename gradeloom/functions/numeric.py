@@ -128,24 +128,39 @@ def two_gaussians(x: np.ndarray, n: np.ndarray | None = None, inner: np.ndarray
     x = np.asarray(x, float)
     if n is None:
         x, n = np.sort(x), np.ones(len(x))
-    inner = np.zeros(len(x)) if inner is None else inner
-    upto, total = np.cumsum(n), n.sum()
-    place = np.array([0.25, 0.75]) * (total - 1)
-    at = lambda i: x[np.searchsorted(upto, i, side="right")]
-    mean = at(np.floor(place)) + (place - np.floor(place)) * (at(np.ceil(place)) - at(np.floor(place)))
-    if mean[0] == mean[1]:
-        mean = mean + np.array([-1e-3, 1e-3])
-    middle = (n * x).sum() / total
-    sd, share = np.full(2, max(float(np.sqrt((n * ((x - middle) ** 2 + inner)).sum() / total)), 1e-3)), np.full(2, 0.5)
+    mean, sd, share = gaussian_pairs(np.zeros(1, int), x, n, np.zeros(len(x)) if inner is None else inner, rounds)
+    return mean[:, 0], sd[:, 0], share[:, 0]
+
+
+def gaussian_pairs(starts: np.ndarray, x: np.ndarray, n: np.ndarray, inner: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`two_gaussians` of many groups at once, as arrays (2, groups): a group's ascending bins begin at its start; each ends its rounds by itself."""
+    upto, of = np.cumsum(n), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+    upto, total = upto - (upto - n)[starts][of], np.add.reduceat(n, starts)
+    at = lambda i: x[starts + np.add.reduceat((upto <= i[of]).astype(int), starts)]
+    place = np.array([[0.25], [0.75]]) * (total - 1)
+    low, high = (np.stack([at(i) for i in f(place)]) for f in (np.floor, np.ceil))
+    mean = low + (place - np.floor(place)) * (high - low)
+    mean += np.where(mean[0] == mean[1], [[-1e-3], [1e-3]], 0.0)
+    middle = np.add.reduceat(n * x, starts) / total
+    sd = np.tile(np.maximum(np.sqrt(np.add.reduceat(n * ((x - middle[of]) ** 2 + inner), starts) / total), 1e-3), (2, 1))
+    share = np.full_like(mean, 0.5)
+    out, left = np.stack([mean, sd, share]), np.arange(len(starts))
     for _ in range(rounds):
-        log = np.log(share) - np.log(sd) - (x[:, None] - mean) ** 2 / (2 * sd**2)
-        r = np.exp(log - log.max(axis=1, keepdims=True))
-        r *= (n / r.sum(axis=1))[:, None]
-        each = r.sum(axis=0) + 1e-12
-        new = (r * x[:, None]).sum(axis=0) / each
-        sd = np.sqrt((r * ((x[:, None] - new) ** 2 + inner[:, None])).sum(axis=0) / each + 1e-6)
-        share, moved, mean = each / each.sum(), np.abs(new - mean).max(), new
-        if moved < 1e-10:
-            break
-    order = np.argsort(mean)
-    return mean[order], sd[order], share[order]
+        log = (np.log(share) - np.log(sd))[:, of] - (x - mean[:, of]) ** 2 / (2 * sd**2)[:, of]
+        r = np.exp(log - log.max(axis=0))
+        r *= n / r.sum(axis=0)
+        each = np.add.reduceat(r, starts, axis=1) + 1e-12
+        new = np.add.reduceat(r * x, starts, axis=1) / each
+        sd = np.sqrt(np.add.reduceat(r * ((x - new[:, of]) ** 2 + inner), starts, axis=1) / each + 1e-6)
+        share, moving, mean = each / each.sum(axis=0), ~(np.abs(new - mean).max(axis=0) < 1e-10), new
+        if not moving.all():
+            out[:, :, left] = mean, sd, share
+            left, stay, size = left[moving], moving[of], np.diff(np.append(starts, len(x)))[moving]
+            if not len(left):
+                break
+            x, n, inner, mean, sd, share = x[stay], n[stay], inner[stay], mean[:, moving], sd[:, moving], share[:, moving]
+            starts, of = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    out[:, :, left] = mean[:, : len(left)], sd[:, : len(left)], share[:, : len(left)]
+    order = np.argsort(out[0], axis=0)
+    mean, sd, share = (np.take_along_axis(v, order, axis=0) for v in out)
+    return mean, sd, share

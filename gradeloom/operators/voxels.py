@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import two_gaussians
+from ..functions.numeric import gaussian_pairs
+from . import runs
 
 #: Labels of discs and of the sac.
 DISC_LABELS = {"L1-L2": 3, "L2-L3": 5, "L3-L4": 7, "L4-L5": 9, "L5-S1": 11}
@@ -99,23 +100,23 @@ def mixture_peaks(vox: DataFrame, labels: list[int]) -> DataFrame:
     """(case_id, z, label, low, high, difference, index): peaks of two Gaussians in a region's intensities; null intensities are left out.
 
     The fit works on BINS counts, means and spreads of narrow bins, which are added up across partitions, so that no task gathers a
-    region's pixels. A bin's pixels share their chances at its mean, which moves the peaks by about the square of its width.
+    region's pixels, and regions are fitted many at once. A bin's pixels share their chances at its mean, which moves the peaks by about the square of its width.
     """
 
-    def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bin")
-        n = frame["n"].to_numpy(float)
-        x = frame["s"].to_numpy() / n
-        mean, sd, _ = two_gaussians(x + frame["low"].iloc[0], n, np.maximum(frame["ss"].to_numpy() / n - x * x, 0))
-        gap = float(mean[1] - mean[0])
-        return pd.DataFrame([(*key, float(mean[0]), float(mean[1]), gap, gap / (float(sd.sum()) + 1e-8))], columns=[*REGION, "low", "high", "difference", "index"])
+    def fit(frames):
+        for frame in runs.whole(frames, REGION):
+            at, n = runs.starts(frame, REGION), frame["n"].to_numpy(float)
+            x = frame["s"].to_numpy() / n
+            mean, sd, _ = gaussian_pairs(at, x + frame["low"].to_numpy(), n, np.maximum(frame["ss"].to_numpy() / n - x * x, 0))
+            gap = mean[1] - mean[0]
+            yield frame[REGION].iloc[at].assign(low=mean[0], high=mean[1], difference=gap, index=gap / (sd.sum(axis=0) + 1e-8))
 
     rows = vox.where(F.col("label").isin(labels) & F.col("intensity").isNotNull()).select(*REGION, F.col("intensity").cast("double").alias("v"))
     ends = rows.groupBy(*REGION).agg(F.min("v").alias("low"), F.max("v").alias("high"))
     off = F.col("v") - F.col("low")  # sums from the least value on keep their digits
     place = F.coalesce(F.floor(F.try_divide(off * BINS, F.col("high") - F.col("low"))), F.lit(0)).alias("bin")
     cells = rows.join(ends, REGION).groupBy(*REGION, place).agg(F.count(F.lit(1)).alias("n"), F.sum(off).alias("s"), F.sum(off * off).alias("ss"), F.first("low").alias("low"))
-    return cells.groupBy(*REGION).applyInPandas(fit, "case_id long, z int, label int, low double, high double, difference double, index double")
+    return runs.gathered(cells, REGION, "bin").mapInPandas(fit, "case_id long, z int, label int, low double, high double, difference double, index double")
 
 
 def box_counts(edges: DataFrame, keys: list[str], height: int, width: int, least: int = 1, most: int | None = None) -> DataFrame:
