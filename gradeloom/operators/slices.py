@@ -1,6 +1,6 @@
 """Image jobs on one slice per row: pixels and labels as arrays, row by row, so that a pixel's neighbours are in its own row.
 
-Making slices of voxels is the one shuffle; what follows works slice by slice, with shifts, running maxima and stencils of whole arrays in
+Making slices of voxels is the one shuffle; what follows works on some slices at a time, with shifts, running maxima and stencils of whole arrays in
 place of joins and windows of neighbours. A slice is what a task must hold. Where a slice has no voxel, its pixel is NaN and its label -1.
 """
 
@@ -11,23 +11,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import runs
+
 SLICE = ["case_id", "z"]
 ABSENT = -1
+#: Pixels that are worked on at once, or one slice if it has more.
+HELD = 1 << 18
 _COLUMNS = "case_id long, z int, height int, width int, pixels array<double>, labels array<int>"
 
 
 def to_slices(vox: DataFrame, height: int, width: int) -> DataFrame:
     """(case_id, z, height, width, pixels, labels) of voxels (case_id, z, y, x, intensity, label); voxels outside of the image are left out, of two at a place the last by label and intensity stays."""
-
-    def lay(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["label", "intensity"])
-        at = (frame["y"] * width + frame["x"]).to_numpy()
-        pixels, labels = np.full(height * width, np.nan), np.full(height * width, ABSENT, np.int32)
-        pixels[at], labels[at] = frame["intensity"], frame["label"]
-        return pd.DataFrame({"case_id": [key[0]], "z": [key[1]], "height": [height], "width": [width], "pixels": [pixels], "labels": [labels]})
+    size = height * width
+
+    def lay(frames):
+        for frame in runs.whole(frames, SLICE):
+            first = runs.starts(frame, SLICE)
+            ends = np.append(first[1:], len(frame))
+            at = (frame["y"] * width + frame["x"]).to_numpy()
+            for a in range(0, len(first), step := max(1, HELD // size)):
+                some, begin = slice(first[a], ends[min(a + step, len(first)) - 1]), first[a : a + step]
+                where = np.repeat(np.arange(len(begin)) * size, ends[a : a + step] - begin) + at[some]
+                pixels, labels = np.full(len(begin) * size, np.nan), np.full(len(begin) * size, ABSENT, np.int32)
+                pixels[where], labels[where] = frame["intensity"].to_numpy(float)[some], frame["label"].to_numpy()[some]
+                yield frame[SLICE].iloc[begin].assign(height=height, width=width, pixels=list(pixels.reshape(-1, size)), labels=list(labels.reshape(-1, size)))
 
     inside = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
-    return vox.where(inside).select(*SLICE, "y", "x", "intensity", "label").groupBy(*SLICE).applyInPandas(lay, _COLUMNS)
+    rows = vox.where(inside).select(*SLICE, "y", "x", "intensity", "label")
+    return runs.gathered(rows, SLICE, F.asc_nulls_last("label"), F.asc_nulls_last("intensity")).mapInPandas(lay, _COLUMNS)
 
 
 def to_voxels(slices: DataFrame, *more: str) -> DataFrame:
@@ -39,27 +50,27 @@ def to_voxels(slices: DataFrame, *more: str) -> DataFrame:
 
 
 def _each(slices: DataFrame, work, more: str = "") -> DataFrame:
-    """`work(pixels, labels)`, of images, makes a dictionary of new images for each slice; `more` declares those that slices don't have yet."""
-    columns = slices.columns
+    """`work(pixels, labels)`, of stacks of images of one size, makes a dictionary of new stacks; `more` declares the arrays that slices don't have yet."""
 
     def run(frames):
         for frame in frames:
-            made = []
-            for h, w, p, v in zip(frame["height"], frame["width"], frame["pixels"], frame["labels"], strict=True):
-                made.append({k: x.ravel() for k, x in work(np.asarray(p, float).reshape(h, w), np.asarray(v, np.int32).reshape(h, w)).items()})
-            if made:
-                yield frame.assign(**{k: [m[k] for m in made] for k in made[0]})
+            for (h, w), same in frame.groupby(["height", "width"], sort=False):
+                step = max(1, HELD // max(1, h * w))
+                for a in range(0, len(same), step):
+                    some = same.iloc[a : a + step]
+                    stack = lambda c, kind: np.stack(list(some[c])).astype(kind, copy=False).reshape(-1, h, w)  # noqa: B023, E731
+                    yield some.assign(**{k: list(x.reshape(len(some), -1)) for k, x in work(stack("pixels", float), stack("labels", np.int32)).items()})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slices.schema)
-    return slices.select(*columns).mapInPandas(run, schema + (f", {more}" if more else ""))
+    return slices.mapInPandas(run, schema + (f", {more}" if more else ""))
 
 
 def _shifted(image: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
-    """The image moved by whole pixels; `fill` where nothing comes from."""
-    h, w = image.shape
+    """Images (the last two axes) moved by whole pixels; `fill` where nothing comes from."""
+    h, w = image.shape[-2:]
     out = np.full_like(image, fill)
     if abs(dy) < h and abs(dx) < w:
-        out[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] = image[max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
+        out[..., max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] = image[..., max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
     return out
 
 
@@ -106,11 +117,11 @@ def gradients(slices: DataFrame) -> DataFrame:
 
     def work(p, v):
         padded = p
-        for axis in (0, 1):
-            padded = np.pad(padded, [(1, 1) if a == axis else (0, 0) for a in (0, 1)], mode="reflect" if p.shape[axis] > 1 else "edge")
-        dx = padded[:, 2:] - padded[:, :-2]
-        sx = padded[:, :-2] + 2 * padded[:, 1:-1] + padded[:, 2:]
-        gx, gy = dx[:-2] + 2 * dx[1:-1] + dx[2:], sx[2:] - sx[:-2]
+        for axis in (1, 2):
+            padded = np.pad(padded, [(1, 1) if a == axis else (0, 0) for a in (0, 1, 2)], mode="reflect" if p.shape[axis] > 1 else "edge")
+        dx = padded[..., 2:] - padded[..., :-2]
+        sx = padded[..., :-2] + 2 * padded[..., 1:-1] + padded[..., 2:]
+        gx, gy = dx[:, :-2] + 2 * dx[:, 1:-1] + dx[:, 2:], sx[:, 2:] - sx[:, :-2]
         return {"magnitude": np.sqrt(gx * gx + gy * gy), "direction": np.arctan2(gy, gx)}
 
     return _each(slices, work, "magnitude array<double>, direction array<double>")

@@ -496,11 +496,14 @@ def gradients(vox: DataFrame) -> DataFrame:
 
 
 def direction_statistics(grad: DataFrame, labels: list[int], bins: int = 36) -> DataFrame:
-    """(case_id, z, label, entropy, resultant, mean, sd, high, skew, kurtosis) of gradients in each region."""
+    """(case_id, z, label, entropy, resultant, mean, sd, high, skew, kurtosis) of gradients in each region, in one pass: bins are counted beside the moments."""
     rows = grad.where(F.col("label").isin(labels))
-    b = F.least(F.lit(bins - 1), F.floor((F.col("direction") + math.pi) / (2 * math.pi) * bins))
-    cells = rows.groupBy(*REGION, b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy(*REGION))
-    entropy = cells.withColumn("p", p).groupBy(*REGION).agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
-    m = rows.groupBy(*REGION).agg(F.avg("magnitude").alias("mean"), F.stddev_pop("magnitude").alias("sd"), F.max("magnitude").alias("high"), F.skewness("magnitude").alias("skew"), F.kurtosis("magnitude").alias("kurtosis"), F.avg(F.cos("direction")).alias("c"), F.avg(F.sin("direction")).alias("s"))
-    return m.join(entropy, REGION).select(*REGION, "entropy", F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")).alias("resultant"), "mean", "sd", "high", "skew", "kurtosis")
+    b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("direction") + math.pi) / (2 * math.pi) * bins)))
+    rows = rows.select(*REGION, "magnitude", "direction", F.when(F.col("direction").isNotNull(), b).otherwise(bins).alias("__b"))
+    counts = F.array(*[F.count_if(F.col("__b") == k) for k in range(bins + 1)]).alias("counts")
+    m = rows.groupBy(*REGION).agg(
+        F.count(F.lit(1)).alias("n"), counts, F.avg("magnitude").alias("mean"), F.stddev_pop("magnitude").alias("sd"), F.max("magnitude").alias("high"), F.skewness("magnitude").alias("skew"), F.kurtosis("magnitude").alias("kurtosis"), F.avg(F.cos("direction")).alias("c"), F.avg(F.sin("direction")).alias("s")
+    )
+    p = lambda c: c / F.col("n")
+    entropy = -F.aggregate(F.filter("counts", lambda c: c > 0), F.lit(0.0), lambda t, c: t + p(c) * F.log2(p(c)))
+    return m.select(*REGION, entropy.alias("entropy"), F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")).alias("resultant"), "mean", "sd", "high", "skew", "kurtosis")

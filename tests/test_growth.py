@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gradeloom.functions import numeric
-from gradeloom.operators import runs, voxels
+from gradeloom.operators import runs, slices, voxels
 
 
 def test_whole_groups_of_any_batches():
@@ -41,3 +41,35 @@ def test_regions_are_fitted_many_at_once(spark, monkeypatch):
     assert len(got) == 300 and calls.value <= 20
     for case, (mean, sd, _) in want.items():
         assert np.allclose([got[case]["low"], got[case]["high"], got[case]["index"]], [*mean, (mean[1] - mean[0]) / (sd.sum() + 1e-8)], rtol=1e-4)
+
+
+def test_slices_are_worked_on_in_bounded_stacks(spark, monkeypatch):
+    """Slices go through the work some at a time, no more than HELD pixels; what comes out is each slice's own."""
+    rng = np.random.default_rng(4)
+    calls, most = spark.sparkContext.accumulator(0), 16 * 20
+    frame = pd.DataFrame([(c, z, y, x, float(rng.integers(99)), int(rng.integers(1, 4))) for c in range(200) for z in range(2) for y in range(4) for x in range(4) if rng.random() < 0.8], columns=["case_id", "z", "y", "x", "intensity", "label"])
+    again = frame.iloc[::7].assign(intensity=lambda f: f["intensity"] - 1)  # two at a place: the larger label and intensity stays
+    vox = spark.createDataFrame(pd.concat([again, frame, again.assign(y=-1)]), "case_id long, z int, y int, x int, intensity double, label int").repartition(3)
+    shifted = slices._shifted
+
+    def counted(image, dy, dx, fill):
+        assert image.size <= most and image.shape[-2:] == (4, 4)
+        calls.add(1)
+        return shifted(image, dy, dx, fill)
+
+    monkeypatch.setattr(slices, "HELD", most)
+    monkeypatch.setattr(slices, "_shifted", counted)
+    moved = {tuple(r) for r in slices.to_voxels(slices.translate(slices.to_slices(vox, 4, 4), 1, -2)).collect()}
+    want = frame.assign(y=frame["y"] + 1, x=frame["x"] - 2)
+    assert moved == set(want[want["y"].between(0, 3) & want["x"].between(0, 3)].itertuples(index=False, name=None))
+    assert calls.value <= 2 * (400 // 20 + 16)
+
+
+def test_directions_are_summed_up_in_one_pass(spark):
+    """Gradients are made once for all statistics; null directions are a bin."""
+    angles = [-np.pi, -3.0, 0.0, 0.1, 3.1, np.pi, None, None]
+    rows = spark.createDataFrame([(1, 0, 7, float(i), a) for i, a in enumerate(angles)], "case_id long, z int, label int, magnitude double, direction double")
+    out = voxels.direction_statistics(rows, [7])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    bins = pd.Series([36 if a is None else min(35, int((a + np.pi) / (2 * np.pi) * 36)) for a in angles]).value_counts(normalize=True)
+    assert np.isclose(out.first()["entropy"], -(bins * np.log2(bins)).sum())
