@@ -221,9 +221,18 @@ def pca_fit(long: DataFrame, keys: list[str], eta: float = 0.95, most: int = 50)
 
 
 def pca_apply(long: DataFrame, keys: list[str], fitted: DataFrame, loadings: DataFrame, prefix: str = "PC") -> DataFrame:
-    """(keys, feature = prefix_component, value): standardised by `fitted`, then projected."""
-    z = zscore_apply(long.select(*keys, "feature", "value"), fitted).join(loadings, "feature")
-    return z.groupBy(*keys, F.concat(F.lit(prefix + "_"), F.col("component").cast("string")).alias("feature")).agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+    """(keys, feature = prefix_component, value): standardised by `fitted`, then projected.
+
+    A value meets its feature's weights of all components at once and adds to a sum of each, so only a sample's sums become a row a component.
+    """
+    found = {r["component"]: r["n"] for r in loadings.groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = loadings.groupBy("feature").pivot("component", sorted(found)).agg(F.sum("weight"))
+    p = weights.count()
+    z = zscore_apply(long.select(*keys, "feature", "value"), fitted).join(F.broadcast(weights), "feature")
+    # a component that lacks features is one that a sample may lack
+    part = lambda c, n: F.struct(F.lit(f"{prefix}_{c}").alias("feature"), F.sum(F.col("value") * F.col(f"`{c}`")).alias("value"), (F.lit(True) if n == p else F.count(f"`{c}`") > 0).alias("there"))
+    sums = z.groupBy(*keys).agg(F.array(*[part(c, n) for c, n in sorted(found.items())]).alias("sums"))
+    return sums.select(*keys, F.inline("sums")).where("there").drop("there")
 
 
 def apply_selector(long: DataFrame, kept: list[str], medians: DataFrame, order: list[str], keys: list[str]) -> DataFrame:

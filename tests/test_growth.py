@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gradeloom.functions import numeric
-from gradeloom.operators import runs, slices, voxels
+from gradeloom.operators import harmonize, runs, slices, voxels
 
 
 def test_whole_groups_of_any_batches():
@@ -73,3 +73,20 @@ def test_directions_are_summed_up_in_one_pass(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     bins = pd.Series([36 if a is None else min(35, int((a + np.pi) / (2 * np.pi) * 36)) for a in angles]).value_counts(normalize=True)
     assert np.isclose(out.first()["entropy"], -(bins * np.log2(bins)).sum())
+
+
+def test_samples_are_projected_without_a_row_for_each_weight(spark):
+    """No row a value and component: a value adds to the sums of all components; nulls, absent features and absent weights as in the plain join."""
+    rng = np.random.default_rng(5)
+    rows = [(str(i), f"f{j}", float(rng.normal()) if rng.random() < 0.8 else None) for i in range(40) for j in range(6) if rng.random() < 0.7]
+    long = spark.createDataFrame([*rows, ("none", "f1", None), ("other", "f9", 1.0), ("last", "f5", 2.0)], "case_id string, feature string, value double")
+    fitted = spark.createDataFrame([(f"f{j}", j / 3, 1.0 + j) for j in range(6)], "feature string, mean double, sd double")
+    for some in (range(6), range(5)):  # of component 2, all features or not the last
+        loadings = spark.createDataFrame([(f"f{j}", c, float(rng.normal())) for c in range(3) for j in (some if c == 2 else range(6))], "feature string, component int, weight double")
+        out = harmonize.pca_apply(long, ["case_id"], fitted, loadings)
+        plain = harmonize.zscore_apply(long, fitted).join(loadings, "feature").groupBy("case_id", F.concat(F.lit("PC_"), F.col("component").cast("string")).alias("feature")).agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+        got, want = ({(r["case_id"], r["feature"]): r["value"] for r in t.collect()} for t in (out, plain))
+        assert got.keys() == want.keys() and all(want[k] is None if v is None else np.isclose(v, want[k]) for k, v in got.items())
+        assert ("none", "PC_0") in got and got["none", "PC_0"] is None and (("last", "PC_2") in got) == (len(some) == 6)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate inline") < plan.index("Aggregate")  # rows of components are made of the sums
