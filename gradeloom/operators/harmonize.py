@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import norm_ppf
-from . import gram
+from . import gram, ranks
 from .lineage import settled
 from .ranks import attached, running_counts
 
@@ -38,8 +38,8 @@ def _shares(train: DataFrame, rows: DataFrame) -> DataFrame:
 def rank_share(train: DataFrame, rows: DataFrame) -> DataFrame:
     """rows with `u`: (number of training values <= x, at least 1, less a half) over their number, per feature.
 
-    Only distinct values with counts are ranked, in ranges; rows meet them in a join by value, frequent values (of a feature that mostly
-    is 0) by a broadcast. Rows of features that training lacks go.
+    Only distinct values with counts are ranked, in ranges; rows meet them in a broadcast of up to ranks.WHOLE values; of more, in a join
+    by value, and only frequent values (of a feature that mostly is 0) in a broadcast. Rows of features that training lacks go.
     """
     rows = settled(rows)
     return _with_shares(rows, settled(_shares(train, rows)), F.col("u"), "u")
@@ -47,7 +47,7 @@ def rank_share(train: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _with_shares(rows: DataFrame, table: DataFrame, what: Column, name: str) -> DataFrame:
     known = table.select("feature").distinct()
-    found = attached(rows.where(F.col("value").isNotNull()), table.select("feature", "value", "r", what.alias(name)).where("r > 0"), ["feature", "value"], "r")
+    found = attached(rows.where(F.col("value").isNotNull()), table.select("feature", "value", "r", what.alias(name)).where("r > 0"), ["feature", "value"], "r", ranks.WHOLE)
     lost = rows.where(F.col("value").isNull()).join(known, "feature", "left_semi").withColumn(name, F.lit(None).cast("double"))
     return found.select(*rows.columns, name).unionByName(lost)
 

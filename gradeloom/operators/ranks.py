@@ -19,6 +19,8 @@ RANGES = 128
 FEW = 500_000
 #: A key with more than one in HOT of all rows is frequent: there are fewer than HOT of them.
 HOT = 2000
+#: Rows of a table of values with a rank that are broadcast together (some 90 MB of hashed rows).
+WHOLE = 750_000
 
 
 def _place(value: Column, bounds: Column) -> Column:
@@ -59,13 +61,15 @@ def average_rank(rows: DataFrame, keys: list[str], value: str, count: str = "n",
     return cells.select(*keys, value, (F.col("before") + (F.col(count) + 1) / 2).alias("rank"))
 
 
-def attached(rows: DataFrame, table: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], count: str = "n", whole: int = 0) -> DataFrame:
     """`rows` with the columns of `table`, which has a row for each `keys` and in `count` how many rows have them; rows without one go.
 
-    Frequent keys are broadcast, so that their rows stay where they are; the others meet in a join, where none has more than one in HOT of
-    all rows. `rows` are read twice, so they should be settled.
+    A table of up to `whole` rows is broadcast. Of a larger one the frequent keys are, so that their rows stay where they are; the others meet
+    in a join, where none has more than one in HOT of all rows. `rows` are read twice then, so they should be settled.
     """
-    total = table.agg(F.sum(count)).first()[0] or 0
+    total, size = table.agg(F.coalesce(F.sum(count), F.lit(0)), F.count(F.lit(1))).first()
+    if size <= whole:
+        return rows.join(F.broadcast(table.drop(count)), keys)
     often = F.col(count) * HOT > F.lit(total)
     hot, rest = F.broadcast(table.where(often).drop(count)), table.where(~often).drop(count)
     return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(rest, keys))
@@ -76,7 +80,7 @@ def with_rank(rows: DataFrame, keys: list[str], value: str, name: str = "rank")
     rows = settled(rows.dropna(subset=[*keys, value]))
     run = running_counts(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), keys, value, "__n")
     table = settled(run.select(*keys, value, "__n", (F.col("before") + (F.col("__n") + 1) / 2).alias(name)))
-    return attached(rows, table, [*keys, value], "__n")
+    return attached(rows, table, [*keys, value], "__n", WHOLE)
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], name: str = "q") -> DataFrame:

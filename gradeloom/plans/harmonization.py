@@ -38,14 +38,14 @@ def n01_zscore(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_LONG}, t AS (SELECT feature, value, sum(count(*)) OVER (PARTITION BY feature ORDER BY value) AS k, sum(count(*)) OVER (PARTITION BY feature) AS n FROM long WHERE fold <> 0 GROUP BY feature, value), u AS (SELECT l.feature, l.fold, (greatest(1, coalesce(t.k, 0)) - 0.5) / (SELECT max(n) FROM t x WHERE x.feature = l.feature) AS value FROM long l ASOF LEFT JOIN t ON l.feature = t.feature AND l.value >= t.value) SELECT feature, fold, {_SUM} FROM u GROUP BY feature, fold")
 def n02_rank_share(spark, sf_dir) -> DataFrame:
-    rows = _long(spark, sf_dir)
+    rows = _long(spark, sf_dir).select("feature", "fold", "value")  # rows are kept on the way, so only what is summed up
     u = harmonize.rank_share(rows.where("fold <> 0"), rows)
     return _summary(u.select("feature", "fold", F.col("u").alias("value")), "fold")
 
 
 @query()
 def n02_rank_gauss(spark, sf_dir) -> DataFrame:
-    rows = _long(spark, sf_dir)
+    rows = _long(spark, sf_dir).select("feature", "fold", "value")
     return _summary(harmonize.rank_gauss(rows.where("fold <> 0"), rows), "fold")
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gradeloom.functions import numeric
-from gradeloom.operators import harmonize, runs, slices, voxels
+from gradeloom.operators import harmonize, ranks, runs, slices, voxels
 
 
 def test_whole_groups_of_any_batches():
@@ -90,3 +90,21 @@ def test_samples_are_projected_without_a_row_for_each_weight(spark):
         assert ("none", "PC_0") in got and got["none", "PC_0"] is None and (("last", "PC_2") in got) == (len(some) == 6)
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Generate inline") < plan.index("Aggregate")  # rows of components are made of the sums
+
+
+def test_rows_meet_a_table_of_few_values_in_one_pass(spark, monkeypatch):
+    """Up to WHOLE distinct values are broadcast, and the rows are read once; beyond, frequent values and a join give the same."""
+    long = spark.createDataFrame([("f" if i % 3 else "g", i % 5, None if i % 50 == 7 else float(0 if i % 4 else i % 97)) for i in range(600)], "feature string, fold int, value double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {}
+        for whole in (ranks.WHOLE, 0):
+            monkeypatch.setattr(ranks, "WHOLE", whole)
+            for name, out in (("gauss", harmonize.rank_gauss(long.where("fold <> 0"), long)), ("share", harmonize.rank_share(long.where("fold <> 0"), long)), ("rank", ranks.with_rank(long, ["feature"], "value"))):
+                plan = out._jdf.queryExecution().executedPlan().toString()
+                assert ("LeftAnti" in plan) == (whole == 0)
+                got.setdefault(name, []).append(sorted(map(str, out.collect())))
+        assert all(a == b and len(a) >= 588 for a, b in got.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
