@@ -21,7 +21,8 @@ def icc21(long: DataFrame, threshold: float = 0.75) -> DataFrame:
 
     Values are centred on their feature's mean first, so large offsets cost no digits.
     """
-    centred = long.join(long.groupBy("feature").agg(F.avg("value").alias("__mean")), "feature").withColumn("v", F.col("value") - F.col("__mean"))
+    means = F.broadcast(long.groupBy("feature").agg(F.avg("value").alias("__mean")))  # a row a feature
+    centred = long.join(means, "feature").withColumn("v", F.col("value") - F.col("__mean"))
     rows = centred.groupBy("feature", *SAMPLE).agg(F.avg("v").alias("m"), F.sum(F.col("v") * F.col("v")).alias("ss"))
     by_row = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m") * F.col("m")).alias("rr"), F.sum("ss").alias("total"))
     by_col = centred.groupBy("feature", "condition").agg(F.avg("v").alias("m")).groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("m") * F.col("m")).alias("cc"))
@@ -63,7 +64,7 @@ def spearman_with(long: DataFrame, grade: str = "pfirrmann") -> DataFrame:
     pairs = long.where(F.col("value").isNotNull() & F.col(grade).isNotNull()).groupBy("feature", "value", grade).agg(F.count(F.lit(1)).alias("n"))
     pairs = settled(pairs)
     ranked = pairs.join(average_rank(pairs, ["feature"], "value").withColumnRenamed("rank", "rank_x"), ["feature", "value"]).join(
-        average_rank(pairs, ["feature"], grade, few=True).withColumnRenamed("rank", "rank_y"), ["feature", grade]
+        F.broadcast(average_rank(pairs, ["feature"], grade, few=True).withColumnRenamed("rank", "rank_y")), ["feature", grade]
     )
     spread = pairs.groupBy("feature").agg(F.sum("n").alias("n"), F.count_distinct("value").alias("vx"), F.count_distinct(grade).alias("vy"))
     rho = weighted_correlation(ranked, ["feature"], "rank_x", "rank_y", "n", "rho").join(spread, "feature")
@@ -90,7 +91,7 @@ def rank_vectors(long: DataFrame) -> DataFrame:
     """(case_id, segment, r): average ranks of all features, in the order of their names, centred and scaled to unit length per feature."""
     joined = settled(with_rank(long.select(*SAMPLE, "feature", "value"), ["feature"], "value"))
     m = joined.groupBy("feature").agg(F.avg("rank").alias("m"), F.stddev_pop("rank").alias("s"), F.count(F.lit(1)).alias("c"))
-    z = joined.join(m, "feature").select(*SAMPLE, "feature", F.coalesce(F.try_divide(F.col("rank") - F.col("m"), F.col("s") * F.sqrt("c")), F.lit(0.0)).alias("z"))
+    z = joined.join(F.broadcast(m), "feature").select(*SAMPLE, "feature", F.coalesce(F.try_divide(F.col("rank") - F.col("m"), F.col("s") * F.sqrt("c")), F.lit(0.0)).alias("z"))
     return z.groupBy(*SAMPLE).agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "z"))), lambda x: x["z"]).alias("r"))
 
 

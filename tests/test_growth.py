@@ -4,8 +4,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from gradeloom import plans
 from gradeloom.functions import numeric
-from gradeloom.operators import harmonize, ranks, runs, slices, voxels
+from gradeloom.operators import harmonize, ranks, runs, selection, slices, voxels
 
 
 def test_whole_groups_of_any_batches():
@@ -108,3 +109,18 @@ def test_rows_meet_a_table_of_few_values_in_one_pass(spark, monkeypatch):
         assert all(a == b and len(a) >= 588 for a, b in got.values())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_an_audit_tests_its_features_once(spark, sf_dir, monkeypatch):
+    """Rank correlations with the grade are made once for tests and scores, and no join deals rows by feature alone."""
+    calls, found = [], selection.spearman_with
+    monkeypatch.setattr(selection, "spearman_with", lambda *args: calls.append(1) or found(*args))
+    assert plans.QUERIES["f16_feature_audit"](spark, sf_dir).count() == 64 and len(calls) == 1
+    long = spark.createDataFrame([(str(i), "s", c, f"f{j}", float(i * j)) for i in range(9) for j in range(2) for c in ("gold", "other")], "case_id string, segment string, condition string, feature string, value double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = selection.icc21(long)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") >= 2  # the first is of rows a feature
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
