@@ -35,16 +35,16 @@ def wide_to_long(rows: DataFrame, keys: list[str], segments: list[str] = SEGMENT
 
 
 def export_by_level(rows: DataFrame, key: str, segments: list[str] = SEGMENTS) -> DataFrame:
-    """One row per case and level: the level's columns without its name, and columns of no level on each of them."""
+    """One row per case and level: the level's columns without its name, and columns of no level on each of them. The wide rows are read once."""
     plain = [c for c in rows.columns if c != key and not any(f"_{s}_" in c for s in segments)]
-    out = None
-    for s in segments:
-        own = {c: c.replace(f"_{s}_", "_", 1) for c in rows.columns if f"_{s}_" in c}
-        if not own:
-            continue
-        part = rows.select(F.col(key).alias("Sample_ID"), F.lit(s).alias("Disc_Level"), *plain, *[F.col(f"`{c}`").alias(n) for c, n in own.items()])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    own = {s: {c.replace(f"_{s}_", "_", 1): c for c in rows.columns if f"_{s}_" in c} for s in segments}
+    own = {s: columns for s, columns in own.items() if columns}
+    if not own:
+        return None
+    names = list(dict.fromkeys(n for columns in own.values() for n in columns))
+    level = lambda s: F.struct(F.lit(s).alias("Disc_Level"), *[(F.col(f"`{own[s][n]}`") if n in own[s] else F.lit(None)).alias(n) for n in names])
+    parts = rows.select(F.col(key).alias("Sample_ID"), *[F.col(f"`{c}`") for c in plain], F.explode(F.array(*[level(s) for s in own])).alias("__e"))
+    return parts.select("Sample_ID", "__e.Disc_Level", *[F.col(f"`{c}`") for c in plain], *[F.col(f"__e.`{n}`") for n in names])
 
 
 #: How a segment may be written, in any case.

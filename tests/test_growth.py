@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import plans
 from gradeloom.functions import numeric
-from gradeloom.operators import harmonize, ranks, runs, selection, slices, voxels
+from gradeloom.operators import harmonize, ranks, reshape, runs, selection, slices, voxels
 
 
 def test_whole_groups_of_any_batches():
@@ -124,3 +124,12 @@ def test_an_audit_tests_its_features_once(spark, sf_dir, monkeypatch):
         assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") >= 2  # the first is of rows a feature
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_levels_are_cut_out_of_wide_rows_read_once(spark):
+    wide = spark.createDataFrame([("1", 5, 1.0, 2, 3.0), ("2", 6, None, 4, None)], "case_id string, age int, `Deep_L1-L2_0` double, `Deep_L1-L2_1` int, `Deep_L2-L3_0` double")
+    wide = wide.groupBy("case_id").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in wide.columns[1:]])
+    out = reshape.export_by_level(wide, "case_id")
+    assert out.columns == ["Sample_ID", "Disc_Level", "age", "Deep_0", "Deep_1"]
+    assert {tuple(r) for r in out.collect()} == {("1", "L1-L2", 5, 1.0, 2), ("1", "L2-L3", 5, 3.0, None), ("2", "L1-L2", 6, None, 4), ("2", "L2-L3", 6, None, None)}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
