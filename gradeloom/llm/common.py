@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,9 +130,24 @@ def rows_in(batches: Iterable, rows: int = 1000, size: int = 16_000_000, text: s
             yield frame.iloc[start:]
 
 
+def batches_in(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 16_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into batches of at most `rows` rows and about `size` bytes of text, each a copy: string kernels of Arrow take
+    slices whose offsets don't begin at 0 for other texts (`ascii_lower` after a cast)."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch[text]).fill_null(0).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < len(upto):
+            full = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + size, side="right"))
+            stop = max(start + 1, min(start + rows, full))
+            yield batch.take(pa.array(np.arange(start, stop)))
+            start = stop
+
+
 #: Rows that hold a part's share of a sum of vectors, block by block.
 BLOCKS = "vector int, block int, part long, kind string, at binary, x binary"
 BLOCK = 1 << 15
+#: Blocks that a task lays out at once.
+BLOCKS_AT_ONCE = 16
 
 
 def blocks(vector: int, x: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -142,8 +159,9 @@ def blocks(vector: int, x: np.ndarray) -> Iterator[pd.DataFrame]:
         if len(full):
             thin = 2 * len(full) < len(piece)
             out.append((vector, i // BLOCK, part, piece.dtype.str, full.astype("<u4").tobytes() if thin else b"", (piece[full] if thin else piece).tobytes()))
-    if out:
-        yield pd.DataFrame(out, columns=["vector", "block", "part", "kind", "at", "x"])
+        if len(out) == BLOCKS_AT_ONCE or out and i + BLOCK >= len(x):
+            yield pd.DataFrame(out, columns=["vector", "block", "part", "kind", "at", "x"])
+            out = []
 
 
 def _add_blocks(frame: pd.DataFrame) -> pd.DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks, fold, new_dir, rows_in, saved, tree_sum
+from .common import BLOCKS, batches_in, blocks, fold, new_dir, rows_in, saved, tree_sum
 
 VOCABULARY = 50257
 END = 50256
@@ -53,8 +53,8 @@ BATCH = 128
 MIX = 0.7
 #: Words whose counts go to every task, the most frequent ones; the other words' counts are joined.
 FREQUENT = 1_000_000
-#: Distinct words that a cutting task keeps before it hands on their counts and starts anew.
-CACHE = 500_000
+#: Distinct words that a cutting task keeps before it hands on their counts and starts anew, and new ones that go to the coder in one call.
+CACHE, LINES = 500_000, 20_000
 
 _FROM = CONTEXT - STRIDE
 _SEEN = (_BACK := np.arange(_FROM, CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]) >= 0
@@ -87,42 +87,56 @@ def words_of(text: str | None) -> list[bytes]:
 def words_in(texts) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """The words of texts as numbers into a list of the distinct ones, that list, and how many words each text has: what `words_of`
     gives, without an object for each word."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    at, words, n = distinct_words(pa.array(texts, pa.large_string()))
+    return at, words.to_pylist(), n
+
+
+def distinct_words(texts: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray]:
+    """`words_in` with the distinct words in Arrow, so these have no objects either."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     values, offsets = lists.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
     full = pc.not_equal(values, "")  # blanks at a text's ends leave empty parts
     upto = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
     listed = values.filter(full).dictionary_encode()
-    return listed.indices.to_numpy().astype(np.int64), listed.dictionary.cast(pa.large_binary()).to_pylist(), np.diff(upto[offsets.astype(np.int64)])
+    return listed.indices.to_numpy().astype(np.int64), listed.dictionary.cast(pa.large_binary()), np.diff(upto[offsets.astype(np.int64)])
 
 
 class Cutter:
-    """Numbers of words, in the order they are met, and the subword ids of each (with a blank before it). Number 0 is the end."""
+    """Numbers of words, in the order they are met, and the subword ids of each (with a blank before it). Number 0 is the end.
+
+    Words are kept in Arrow: one costs its bytes and no object, and objects of a million words would stay in a worker's memory."""
 
     def __init__(self, path: str):
-        self.encode = coder(path).encode_ordinary
-        self.number, self.data, self.size = {b" ": 0}, [np.array([END], np.uint16)], [1]
-        self.flat, self.sizes = self.data[0], np.ones(1, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Cut new words in one call, a line each: a line end is a token of its own unless a word has other white space."""
-        lines = [" " + w.decode("utf-8", "replace") for w in words]
-        ids = np.asarray(self.encode("\n".join(lines)), np.uint16)
-        cut = np.flatnonzero(ids == LINE_END)
-        if len(cut) == len(words) - 1:
-            sizes = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
-            ids = ids[ids != LINE_END]
-        else:
-            parts = [np.asarray(self.encode(line), np.uint16) for line in lines]
-            sizes, ids = np.array([len(p) for p in parts]), np.concatenate(parts)
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.data.append(ids)
-        self.size.append(sizes)
-        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if new := [w for w in words if w not in self.number]:
-            self.learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.encode = coder(path).encode_to_numpy
+        self.words, self.flat, self.sizes = pa.array([b" "], pa.large_binary()), np.array([END], np.uint16), np.ones(1, np.int64)
+
+    def learn(self, words: pa.LargeBinaryArray) -> None:
+        """Cut new words some thousands in a call, a line each: a line end is a token of its own unless a word has other white space."""
+        flat, all_sizes = [self.flat], [self.sizes]
+        for i in range(0, len(words), LINES):
+            lines = [" " + w.decode("utf-8", "replace") for w in words[i : i + LINES].to_pylist()]
+            ids = self.encode("\n".join(lines)).astype(np.uint16)
+            cut = np.flatnonzero(ids == LINE_END)
+            if len(cut) == len(lines) - 1:
+                sizes = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
+                ids = ids[ids != LINE_END]
+            else:
+                parts = [self.encode(line).astype(np.uint16) for line in lines]
+                sizes, ids = np.array([len(p) for p in parts]), np.concatenate(parts)
+            flat.append(ids)
+            all_sizes.append(sizes)
+        self.words, self.flat, self.sizes = pa.concat_arrays([self.words, words]), np.concatenate(flat), np.concatenate(all_sizes)
+
+    def numbers(self, words: pa.LargeBinaryArray | list[bytes]) -> np.ndarray:
+        listed = (words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())).dictionary_encode()
+        words, out = listed.dictionary, np.full(len(listed.dictionary), -1, np.int64)
+        at = pc.index_in(self.words, value_set=words).fill_null(-1).to_numpy()  # the smaller side is hashed
+        met = np.flatnonzero(at >= 0)
+        out[at[met]] = met
+        if len(new := np.flatnonzero(out < 0)):
+            out[new] = len(self.words) + np.arange(len(new))
+            self.learn(words.take(pa.array(new)))
+        return out[listed.indices.to_numpy()]
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of a sequence of words, and how many each word has."""
@@ -134,42 +148,47 @@ class Cutter:
 
 
 PARTS = "kind int, id string, held boolean, data binary, n long"
+PARTS_SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.string()), ("held", pa.bool_()), ("data", pa.binary()), ("n", pa.int64())])
+
+
+def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """16-bit ids laid end to end as a value for each of `sizes`."""
+    offsets = np.concatenate(([0], np.cumsum(2 * sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
 def cut_texts(rows: DataFrame, path: str) -> DataFrame:
     """Rows of two kinds, saved: 0, a text of `rows` (id, held, text) as 16-bit subword ids with its number of words;
     1, a word of the texts that are not held, as ids, with its count in a part of the input. The end is a word."""
 
-    def cut(frames):
+    def cut(batches):
         cutter = Cutter(path)
         count = np.zeros(1, np.int64)
 
         def counted():
-            full = np.flatnonzero(count)
-            begin = np.cumsum(cutter.sizes) - cutter.sizes
-            words = [cutter.flat[begin[k] : begin[k] + cutter.sizes[k]].tobytes() for k in full.tolist()]
-            return pd.DataFrame({"kind": 1, "id": None, "held": False, "data": words, "n": count[full]})
+            words = _binary(cutter.flat, cutter.sizes).filter(pa.array(count > 0))
+            n = len(words)
+            return pa.record_batch([np.ones(n, np.int32), pa.nulls(n, pa.string()), np.zeros(n, bool), words, count[count > 0]], PARTS_SCHEMA)
 
-        for frame in rows_in(frames, size=4_000_000):
-            at, words, n = words_in(frame["text"])
+        for batch in batches_in(batches, size=4_000_000):
+            at, words, n = distinct_words(batch["text"].cast(pa.large_string()))
             numbers = np.zeros(len(at) + len(n), np.int64)  # each text closes with number 0
             numbers[np.arange(len(at)) + np.repeat(np.arange(len(n)), n)] = cutter.numbers(words)[at]
             n = n + 1
-            held = frame["held"].to_numpy(bool)
+            held = batch["held"].to_numpy(zero_copy_only=False)
             count = np.concatenate([count, np.zeros(len(cutter.sizes) - len(count), np.int64)])
             count += np.bincount(numbers[~np.repeat(held, n)], minlength=len(count))
             ids, sizes = cutter.ids(numbers)
-            stop = np.cumsum(sizes)[np.cumsum(n) - 1].tolist()
-            data = [ids[a:b].tobytes() for a, b in zip([0, *stop], stop, strict=False)]
-            yield pd.DataFrame({"kind": 0, "id": frame["id"].to_numpy(), "held": held, "data": data, "n": n})
-            if len(cutter.number) > CACHE:
+            data = _binary(ids, np.add.reduceat(sizes, np.cumsum(n) - n))
+            yield pa.record_batch([np.zeros(len(n), np.int32), batch["id"], batch["held"], data, n], PARTS_SCHEMA)
+            if len(cutter.words) > CACHE:
                 yield counted()
                 cutter, count = Cutter(path), np.zeros(1, np.int64)
         if count.any():
             yield counted()
 
     spark = rows.sparkSession
-    made, at = rows.mapInPandas(cut, PARTS), new_dir(spark, "subwords")
+    made, at = rows.mapInArrow(cut, PARTS), new_dir(spark, "subwords")
     made.write.partitionBy("kind").parquet(at)
     return spark.read.schema(made.schema).parquet(at)
 

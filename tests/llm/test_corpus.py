@@ -1,22 +1,26 @@
 """Corpus operators against brute force, and on edge rows: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
+import gc
 import gzip
 import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontam, fingerprint, langid, linededup, lm, packing, resemblance, sharding, simhash, toxicity, warc
-from gradeloom.llm.common import BLOCKS, blocks, sample_bound, tree_sum
+from gradeloom.llm import common, decontam, fingerprint, langid, linededup, lm, packing, resemblance, sharding, simhash, toxicity, warc
+from gradeloom.llm.common import BLOCKS, batches_in, blocks, sample_bound, tree_sum
 from gradeloom.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score double, found int, key string"
@@ -1011,3 +1015,48 @@ def test_pipeline_stages_on_edge_rows(spark, sf_dir):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
     assert sum(r["text"] == text for r in kept) == 1 and sum(r["text"] == "one" for r in kept) == 1
     assert sum(not (r["text"] or "").strip() for r in kept) == 1
+
+
+def test_lm_cutter_keeps_no_object_a_word():
+    """A word that the cutter has met holds a few dozen bytes in all, in numpy and Arrow together."""
+    cutter, n = lm.Cutter(public_tokenizers.path("byte_bpe_50k.tiktoken")), 60_000
+    cutter.numbers([b"first", b"words"])
+    gc.collect()
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        for k in range(0, n, 20_000):
+            cutter.numbers([b"w%dx" % i for i in range(k, k + 20_000)])
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert cutter.numbers([b"w7x", b"first", b"w59999x", b"w7x"]).tolist() == [10, 1, n + 2, 10]
+    assert held < 60 * n
+
+
+def test_arrow_batches_cut_by_rows_and_size():
+    """Every text is in one batch, in its place, with the words that it has alone."""
+    texts = [*EDGE, "A b", None, "", "c  D " * 40, "x" * 300, "\u00c0B e"] * 3
+    whole = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    for rows, size in ((1, 10**9), (4, 10**9), (1000, 50), (1000, 10**9)):
+        parts = list(batches_in([whole.slice(0, 5), whole.slice(5), whole.slice(0, 0)], rows, size))
+        assert [t for p in parts for t in p["text"].to_pylist()] == texts
+        assert all(len(p) <= rows and (len(p) == 1 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) <= size) for p in parts)
+        for p in parts:
+            at, words, n = lm.distinct_words(p["text"].fill_null("").cast(pa.large_string()))
+            words = words.to_pylist()
+            assert [words[i] for i in at] == [w for t in p["text"].to_pylist() for w in lm.words_of(t)]
+            assert n.tolist() == [len(lm.words_of(t)) for t in p["text"].to_pylist()]
+
+
+def test_blocks_come_some_at_a_time(monkeypatch):
+    """A task lays out a few blocks of its share at once, not all of them."""
+    monkeypatch.setattr(common, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    x = np.zeros(40 * common.BLOCK + 5)
+    x[:: common.BLOCK] = np.arange(41)
+    frames = list(blocks(0, x))
+    assert max(map(len, frames)) <= common.BLOCKS_AT_ONCE
+    rows = pd.concat(frames)
+    assert rows["block"].tolist() == list(range(1, 41)) and [np.frombuffer(b)[0] for b in rows["x"]] == list(range(1, 41))
+    assert not list(blocks(0, np.zeros(3 * common.BLOCK)))
